@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, packing
+from factloom.llm import bpe, packing, quality, secrets, sharding
 
 #: Where tokenizer files lie, if not in the installed package of public tokenizers.
 TOKENIZER_DIR = os.environ.get("FACTLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -31,5 +31,23 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_packing": op2_packing}
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Put every document into one of 40 shards of nearly equal bytes."""
+    return sharding.shard(table(spark, sf_dir, "documents"), 40)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge every document by word statistics and compression bands."""
+    return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Find secrets in every document."""
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.render(base).cast("binary"), 256).alias("base_sha256"), secrets.render(F.col("spans")).alias("spans"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op8_sharding": op8_sharding, "op9_quality": op9_quality, "op10_secrets": op10_secrets}
 ORACLE_SQL: dict[str, str] = {}
