@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.arrowkit import ragged
+from factloom.llm.arrowkit import ragged, small_batches
 
 #: Fixed value: how byte-level BPE cuts text into words before merging.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -202,6 +202,7 @@ def encoder(spark: SparkSession, path: str):
     Null and empty texts give an empty array. Texts of any length are encoded whole. Ids depend on the text
     alone, so repeated rows and ties need no rule, and other columns are left as they are.
     """
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(tokenizer_source(path))
 
     @F.arrow_udf("array<int>")
@@ -219,6 +220,7 @@ def decoder(spark: SparkSession, path: str):
 
     Bytes that aren't UTF-8 become U+FFFD; null ids are left out.
     """
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(tokenizer_source(path))
 
     @F.arrow_udf("string")

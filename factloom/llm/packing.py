@@ -22,7 +22,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.arrowkit import ragged
+from factloom.llm.arrowkit import ragged, small_batches
 from factloom.llm.bpe import WORDS, Bpe, tokenizer_source
 from factloom.llm.scratch import materialize
 
@@ -174,6 +174,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_token: int = 0
 
     Every token lies in one piece; all sequences but the last of the residue are full.
     """
+    small_batches(docs.sparkSession)
     source = tokenizer_source(tokenizer)
     kind = docs.schema[id_col].dataType.simpleString()
     cut = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
