@@ -7,7 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, packing, quality, secrets, sharding
+from factloom.llm import bpe, langid, packing, quality, secrets, sharding, toxicity
+from factloom.llm.heldout import held_out
 
 #: Where tokenizer files lie, if not in the installed package of public tokenizers.
 TOKENIZER_DIR = os.environ.get("FACTLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -31,6 +32,20 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predict every document's language."""
+    docs = table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", held_out().alias("held_out"), langid.identify(docs, langid.learn(docs)).alias("p"))
+    return found.select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every document's toxicity."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return docs.select("doc_id", held_out().alias("held_out"), toxicity.probability(docs, model).alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Put every document into one of 40 shards of nearly equal bytes."""
     return sharding.shard(table(spark, sf_dir, "documents"), 40)
@@ -49,5 +64,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.render(base).cast("binary"), 256).alias("base_sha256"), secrets.render(F.col("spans")).alias("spans"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op8_sharding": op8_sharding, "op9_quality": op9_quality, "op10_secrets": op10_secrets}
+QUERIES = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op5_langid": op5_langid, "op7_toxicity": op7_toxicity, "op8_sharding": op8_sharding, "op9_quality": op9_quality, "op10_secrets": op10_secrets}
 ORACLE_SQL: dict[str, str] = {}
