@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, langid, packing, quality, secrets, sharding, toxicity
+from factloom.llm import bpe, knn, langid, packing, quality, secrets, sharding, toxicity
 from factloom.llm.heldout import held_out
 
 #: Where tokenizer files lie, if not in the installed package of public tokenizers.
@@ -39,6 +39,11 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best partners of every 50th vector."""
+    return knn.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score every document's toxicity."""
     docs = table(spark, sf_dir, "documents")
@@ -64,5 +69,16 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.render(base).cast("binary"), 256).alias("base_sha256"), secrets.render(F.col("spans")).alias("spans"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op5_langid": op5_langid, "op7_toxicity": op7_toxicity, "op8_sharding": op8_sharding, "op9_quality": op9_quality, "op10_secrets": op10_secrets}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op5_langid": op5_langid, "op6_topk": op6_topk, "op7_toxicity": op7_toxicity, "op8_sharding": op8_sharding, "op9_quality": op9_quality, "op10_secrets": op10_secrets}
+ORACLE_SQL: dict[str, str] = {
+    "op6_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, x.vec_id, CAST(list_inner_product(q.v::DOUBLE[], x.v::DOUBLE[]) AS BIGINT) AS score
+            FROM v q JOIN v x ON q.vec_id % 50 = 0 AND x.vec_id <> q.vec_id
+        )
+        SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM scored
+        WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5""",
+}
