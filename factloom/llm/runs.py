@@ -46,7 +46,14 @@ def expand_sorted(b: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
-def _build(batches):
+def _build(run_bytes: int):
+    def build(batches):
+        yield from _pack_runs(batches, run_bytes)
+
+    return build
+
+
+def _pack_runs(batches, run_bytes: int):
     part, seq = TaskContext.get().partitionId(), 0
     ids, texts, offsets, size = [], [], [np.zeros(1, np.int64)], 0
 
@@ -61,7 +68,7 @@ def _build(batches):
         own = batch.column(0).cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
         a = 0
         while a < len(own):
-            room = RUN_BYTES - size
+            room = run_bytes - size
             b = min(max(int(np.searchsorted(off, off[a] + room, "right")) - 1, a), a + RUN_ROWS - sum(map(len, ids)), len(own))
             if b == a and not ids:
                 b = a + 1
@@ -78,11 +85,11 @@ def _build(batches):
         yield row()
 
 
-def build_runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def build_runs(docs: DataFrame, id_col: str, text_col: str, run_bytes: int = RUN_BYTES) -> DataFrame:
     """The runs of ``docs``, written to the shared folder."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-    return materialize(rows.mapInArrow(_build, "run long, n_docs long, n_bytes long, ids binary, texts binary"), "runs", "uncompressed")
+    return materialize(rows.mapInArrow(_build(run_bytes), "run long, n_docs long, n_bytes long, ids binary, texts binary"), "runs", "uncompressed")
 
 
 def open_run(ids: bytes, texts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
