@@ -92,7 +92,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 FIELDS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def _judge(text_col: str):
+def _judge(text_col: str, names: list[str]):
     def run(batches):
         compressor = zstandard.ZstdCompressor(level=3)
         for batch in batches:
@@ -102,14 +102,15 @@ def _judge(text_col: str):
                 s = statistics(raw, own)
                 failed = (s["n_words"] < LEAST_WORDS) | (100 * s["n_repeat_words"] > REPEAT_PERCENT * s["n_words"])
                 kept = [not f and compression_verdict(raw[own[i] : own[i + 1]].tobytes(), compressor) for i, f in enumerate(failed.tolist())]
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *(pa.array(s[f].astype(np.int64)) for f in FIELDS), pa.array(failed), pa.array(kept, pa.bool_())], [*batch.schema.names, *FIELDS, "base_failed", "kept"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *(pa.array(s[f].astype(np.int64)) for f in FIELDS), pa.array(failed), pa.array(kept, pa.bool_())], [*batch.schema.names, *names])
 
     return run
 
 
-def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the statistics, base_failed and kept appended; columns of these names in ``docs`` are replaced."""
+def judge(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
+    """``docs`` with the statistics, base_failed and kept appended; columns of ``docs`` that have these names, after ``prefix``, are replaced."""
     small_batches(docs.sparkSession)
-    docs = docs.drop(*(c for c in [*FIELDS, "base_failed", "kept"] if c in docs.columns and c != text_col))
+    names = [prefix + c for c in (*FIELDS, "base_failed", "kept")]
+    docs = docs.drop(*(c for c in names if c in docs.columns and c != text_col))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_judge(text_col), f"{fields}, {', '.join(f'{f} long' for f in FIELDS)}, base_failed boolean, kept boolean")
+    return docs.mapInArrow(_judge(text_col, names), f"{fields}, {', '.join(f'`{c}` long' for c in names[:-2])}, {', '.join(f'`{c}` boolean' for c in names[-2:])}")

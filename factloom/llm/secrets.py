@@ -6,7 +6,7 @@ identifier, a weak identifier near a secret, an endpoint near both. The interval
 parts in order of position, once forwards and once backwards, so it needs no shuffle and never forms pairs.
 
 Positions are code points, ends exclusive. Null and empty texts have no spans. Equal rows get equal spans; of
-spans with one start the kinds' order decides. Columns of the input are kept; one named ``spans`` is replaced.
+spans with one start the kinds' order decides. Columns of the input are kept; one named as the result is replaced.
 """
 
 from __future__ import annotations
@@ -72,8 +72,8 @@ def link(parts: Column) -> Column:
     return F.transform(F.filter(joined, stays), lambda x: x["p"])
 
 
-def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``spans``: array<struct<start, end, kind>> by start, then kind (its place in KINDS)."""
+def scan(docs: DataFrame, text_col: str = "text", out: str = "spans") -> DataFrame:
+    """``docs`` with ``spans`` (or as ``out`` says): array<struct<start, end, kind>> by start, then kind (its place in KINDS)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = [
         spans_of(text, ASSIGN, 0, (2, LEAST_ASSIGNED)),
@@ -83,8 +83,8 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
         spans_of(text, WEAK_SECRET, 4),
         F.when(text.contains("://"), spans_of(text, ENDPOINT, 5)).otherwise(F.array().cast(_SPAN)),
     ]
-    parts = docs.withColumn("spans", F.array_sort(F.concat(*found)))
-    return parts.withColumn("spans", F.when(F.exists("spans", lambda p: p["kind"] > 2), link(F.col("spans"))).otherwise(F.col("spans")))
+    parts = docs.withColumn(out, F.array_sort(F.concat(*found)))
+    return parts.withColumn(out, F.when(F.exists(out, lambda p: p["kind"] > 2), link(F.col(out))).otherwise(F.col(out)))
 
 
 def render(spans: Column) -> Column:

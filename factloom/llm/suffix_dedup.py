@@ -18,6 +18,8 @@ aren't carried; an empty table gives no rows.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -298,7 +300,7 @@ def _meet(group):
     return pa.table({"run": pa.array([names[k] for k in some], pa.int64()), "told": pa.array([squeeze(np.array(told[k], "<i8")) for k in some], pa.binary())})
 
 
-def _remove(hashes: float):
+def _remove(hashes: float, as_text: bool):
     def told_to(batches):
         for batch in batches:
             told = batch.column("told").to_pylist()
@@ -327,16 +329,17 @@ def _remove(hashes: float):
                 kept_end = np.cumsum(size - removed)
                 for a, b in slices(offsets, 1 << 20):
                     kept = [kept_data[e - n : e] for e, n in zip(kept_end[a:b].tolist(), (size - removed)[a:b].tolist(), strict=True)]
+                    crc = [zlib.crc32(data[offsets[i] : offsets[i + 1]]) for i in range(a, b)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[a:b], mask=ids[a:b] == NO_ID), pa.array(size[a:b]), pa.array(removed[a:b]), pa.array((spans[offsets[1:]] - spans[offsets[:-1]])[a:b]), pa.array(kept, pa.binary())],
-                        ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
+                        [pa.array(ids[a:b], mask=ids[a:b] == NO_ID), pa.array(size[a:b]), pa.array(crc, pa.int64()), pa.array(removed[a:b]), pa.array((spans[offsets[1:]] - spans[offsets[:-1]])[a:b]), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())],
+                        ["doc_id", "n_bytes", "crc32", "n_removed", "n_spans", "kept"],
                     )
 
     return told_to
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_bytes: int = RUN_BYTES) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, and kept, the bytes that are left."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_bytes: int = RUN_BYTES, as_text: bool = False) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_bytes and crc32 (of the whole text), n_removed, n_spans, and kept, the bytes that are left (as text: without halves of characters)."""
     runs = build_runs(docs, id_col, text_col, run_bytes)
     size = total_bytes(runs)
     hashes = size / BYTES_AN_ANCHOR
@@ -352,5 +355,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sent = asked.mapInArrow(_send(hashes, borders), "part int, run long, first long, shared binary, rest binary, least binary")
     told = materialize(sent.groupBy("part").applyInArrow(_meet, "run long, told binary").groupBy("run").agg(F.collect_list("told").alias("told")), "told")
     kind = docs.schema[id_col].dataType.simpleString()
-    out = asked.join(told, "run", "left").mapInArrow(_remove(hashes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = asked.join(told, "run", "left").mapInArrow(_remove(hashes, as_text), "doc_id long, n_bytes long, crc32 long, n_removed long, n_spans long, kept " + ("string" if as_text else "binary"))
     return out.withColumn("doc_id", F.col("doc_id").cast(kind))
