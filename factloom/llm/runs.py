@@ -20,9 +20,9 @@ from factloom.llm.arrowkit import small_batches, utf8_parts
 from factloom.llm.scratch import materialize
 
 #: Bytes and rows of a run at most (a longer text is a run by itself).
-RUN_BYTES, RUN_ROWS = 4 << 20, 1 << 16
+RUN_BYTES, RUN_ROWS = 2 << 20, 1 << 16
 #: Hashes of one range that are compared together, about.
-RANGE_HASHES = 1_000_000
+RANGE_HASHES = 500_000
 #: The id of rows whose own id is null.
 NO_ID = -(2**63)
 

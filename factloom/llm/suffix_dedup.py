@@ -70,7 +70,7 @@ def _anchors(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """Anchors' positions, the first and last windows they own, their documents and their grams' hashes."""
     parts = []
-    for a, b in slices(offsets, 1 << 20):
+    for a, b in slices(offsets, 1 << 19):
         at, first, last, doc, h = _anchors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         parts.append((at + offsets[a], first + offsets[a], last + offsets[a], doc + a, h))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (*[np.zeros(0, np.int64)] * 4, np.zeros(0, np.uint64))
@@ -106,8 +106,9 @@ class SuffixRun:
         padded = np.concatenate([np.zeros(SPREAD, np.uint8), data, np.zeros(PASSAGE, np.uint8)])
         record = np.zeros((len(at), RECORD), np.uint8)
         on, back = np.arange(PASSAGE), np.arange(SPREAD - 1)
-        record[:, :PASSAGE] = padded[(at + SPREAD)[:, None] + on] * (on < right[:, None])
-        record[:, PASSAGE : PASSAGE + SPREAD - 1] = padded[(at + SPREAD - 1)[:, None] - back] * (back < left[:, None])
+        view = np.lib.stride_tricks.sliding_window_view(padded, PASSAGE) if len(at) else padded[None]
+        record[:, :PASSAGE] = view[at + SPREAD] * (on < right[:, None])
+        record[:, PASSAGE : PASSAGE + SPREAD - 1] = view[at + 1, SPREAD - 2 :: -1][:, : SPREAD - 1] * (back < left[:, None])
         record[:, -2], record[:, -1] = right, left + 1
         order = np.argsort(record.view(f"S{RECORD}").ravel(), kind="stable")
         record = record[order]
