@@ -125,4 +125,7 @@ def with_tables(sql: str) -> str:
         return sql
     heads = ", ".join(f"{n} AS ({SQL[n]})" for n in needed)
     body = sql.strip()
-    return f"WITH {heads}, {body[4:].strip()}" if body[:5].upper() == "WITH " else f"WITH {heads} {body}"
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(head):
+            return f"{head}{heads}, {body.removeprefix(head)}"
+    return f"WITH {heads} {body}"
