@@ -397,11 +397,11 @@ def _(d: Data) -> DataFrame:
     return dedupe.budget_sample(d.documents.select("doc_id", "source", "n_chars"), 40)
 
 
-_DAILY = "SELECT user_id % 10 AS ws, CAST(ts AS DATE) AS day, round(avg(value), 2) AS debt FROM events GROUP BY ALL"
+_DAILY = "SELECT user_id % 10 AS ws, CAST(ts AS DATE) AS day, floor(round(sum(value), 2)) AS debt FROM events GROUP BY ALL"
 
 
 def _daily(d: Data) -> DataFrame:
-    return d.events.groupBy((F.col("user_id") % 10).alias("ws"), F.to_date("ts").alias("day")).agg(F.round(F.avg("value"), 2).alias("debt"))
+    return d.events.groupBy((F.col("user_id") % 10).alias("ws"), F.to_date("ts").alias("day")).agg(F.floor(F.round(F.sum("value"), 2)).cast("double").alias("debt"))
 
 
 @query("w05_version_lag", f"WITH m AS ({_DAILY}) SELECT ws, CAST(day AS VARCHAR) AS day, round(debt - lag(debt) OVER (PARTITION BY ws ORDER BY day), 2) AS delta FROM m")
