@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.plans import graphs, relational, texts  # noqa: F401
+from factloom.plans import graphs, relational, reports, texts  # noqa: F401
 from factloom.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
