@@ -106,7 +106,7 @@ class SuffixRun:
         padded = np.concatenate([np.zeros(SPREAD, np.uint8), data, np.zeros(PASSAGE, np.uint8)])
         record = np.zeros((len(at), RECORD), np.uint8)
         on, back = np.arange(PASSAGE), np.arange(SPREAD - 1)
-        view = np.lib.stride_tricks.sliding_window_view(padded, PASSAGE) if len(at) else padded[None]
+        view = np.lib.stride_tricks.sliding_window_view(padded, PASSAGE)
         record[:, :PASSAGE] = view[at + SPREAD] * (on < right[:, None])
         record[:, PASSAGE : PASSAGE + SPREAD - 1] = view[at + 1, SPREAD - 2 :: -1][:, : SPREAD - 1] * (back < left[:, None])
         record[:, -2], record[:, -1] = right, left + 1
