@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import bpe, jaccard, knn, langid, packing, quality, secrets, sharding, suffix_dedup, toxicity
 from factloom.llm.heldout import held_out
 
-#: Where tokenizer files lie, if not in the installed package of public tokenizers.
-TOKENIZER_DIR = os.environ.get("FACTLOOM_TOKENIZERS", "/opt/tokenizers")
-BYTE_BPE = f"{TOKENIZER_DIR}/byte_bpe_50k.json"
+#: The byte-level vocabulary; the operators take any such file's path.
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
