@@ -1,24 +1,44 @@
 """A cleaning and packing pipeline over ``documents``.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last return the
-columns of ``docs``. Rows without a doc_id pass the stages that compare documents unchanged.
+columns of ``docs``. Rows without a doc_id pass the stages that compare documents unchanged. The tables that a
+stage writes on its way stay until the next stage is called: by then its result has been written.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import jaccard, packing, quality, secrets, suffix_dedup
 from factloom.llm.queries import BYTE_BPE
-from factloom.llm.scratch import materialize
+from factloom.llm.scratch import materialize, recorded, remove
+
+_written: list[str] = []
+
+
+def stage(f):
+    """Removes what the stage before wrote on its way, and notes what this one writes."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove(spark, _written)
+        with recorded(_written):
+            return f(spark, docs, sf_dir)
+
+    return run_stage
+
 
 
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
     return quality.judge(docs, prefix="_quality_").where("_quality_kept").select(docs.columns)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of linked documents the one with the smallest id stays; documents without words have no group."""
     groups = jaccard.near_duplicates(docs)
@@ -27,6 +47,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return named.dropDuplicates(["doc_id", "text"]).select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
+@stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that earlier documents have are cut out; halves of characters at the cuts go with them."""
     left = suffix_dedup.remove_repeats(docs.select("doc_id", "text"), as_text=True)
@@ -37,12 +58,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return replaced(docs, joined, F.coalesce("_kept", "text"))
 
 
+@stage
 def redacted_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark."""
     found = secrets.scan(docs, out="_spans")
     return replaced(docs, found, secrets.redact(F.col("text"), F.col("_spans")))
 
 
+@stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 1024 tokens."""
     return packing.pack(docs, BYTE_BPE)
@@ -70,6 +93,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), "stage")
+    for _, f in STAGES[:-1]:
+        docs = materialize(f(spark, docs, sf_dir), "stage")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -18,9 +19,40 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_recording: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def recorded(paths: list[str]):
+    """Tables that are written meanwhile are noted in ``paths``."""
+    _recording.append(paths)
+    try:
+        yield
+    finally:
+        _recording.pop()
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing reads any more."""
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Spark's own setting: shuffle files go as soon as the query that wrote them has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back."""
+    """Write ``df`` as Parquet in the shared folder and read it back; its shuffle files, no longer needed, go."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/factloom-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    if _recording:
+        _recording[-1].append(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, True)
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
