@@ -272,8 +272,8 @@ def _debt_in(d: Data) -> DataFrame:
     return d.table("nation").select(k.alias("k"), ((k * 7) % 101).alias("cover"), (((k * 13) % 100) / 100.0).alias("trust"), (k % 11).alias("conflicts"), (k % 9).alias("weak"), F.lit(20).alias("asserted"), (k % 14).alias("unanswered"), (k % 7).alias("gaps"))
 
 
-_DEBT = f"""SELECT k, round(0.08 * least(20.0, gaps * 4.0), 1) AS topics, round(0.16 * least(40.0, 100.0 * weak / greatest(asserted, 1)), 1) AS weak_edges, round(0.18 * least(30.0, conflicts * 4.0), 1) AS conflicts,
-    round(0.12 * least(25.0, unanswered * 2.5), 1) AS unanswered, round(0.18 * (100 - 100 * trust), 1) AS trust, round(0.28 * greatest(0, 100.0 - cover), 1) AS coverage FROM ({_DEBT_IN})"""
+_DEBT = f"""SELECT k, CAST(round(0.08 * least(20.0, gaps * 4.0), 1) AS DOUBLE) AS topics, CAST(round(0.16 * least(40.0, 100.0 * weak / greatest(asserted, 1)), 1) AS DOUBLE) AS weak_edges, CAST(round(0.18 * least(30.0, conflicts * 4.0), 1) AS DOUBLE) AS conflicts,
+    CAST(round(0.12 * least(25.0, unanswered * 2.5), 1) AS DOUBLE) AS unanswered, CAST(round(0.18 * (100 - 100 * trust), 1) AS DOUBLE) AS trust, CAST(round(0.28 * greatest(0, 100.0 - cover), 1) AS DOUBLE) AS coverage FROM ({_DEBT_IN})"""
 
 
 @query("a16_debt", f"""WITH p AS ({_DEBT}) SELECT *, round(least(100.0, topics + weak_edges + conflicts + unanswered + trust + coverage), 1) AS score,
@@ -435,7 +435,7 @@ def _(d: Data) -> DataFrame:
     return _daily(d).select("ws", F.col("day").cast("string").alias("day"), F.max("debt").over(Window.partitionBy("ws").orderBy("day")).alias("best"))
 
 
-@query("w11_rank_score", "SELECT id, round(least(0.99, 0.99 - 0.04 * (row_number() OVER (PARTITION BY conv_id ORDER BY length(content) DESC, id) - 1)), 2) AS score FROM messages")
+@query("w11_rank_score", "SELECT id, CAST(round(least(0.99, 0.99 - 0.04 * (row_number() OVER (PARTITION BY conv_id ORDER BY length(content) DESC, id) - 1)), 2) AS DOUBLE) AS score FROM messages")
 def _(d: Data) -> DataFrame:
     i = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc(F.char_length("content")), "id")) - 1
     return d.messages.select("id", F.round(F.least(F.lit(0.99), 0.99 - 0.04 * i), 2).alias("score"))
