@@ -9,7 +9,7 @@ from factloom.functions import questions, text
 from factloom.plans.datasets import Data
 from factloom.plans.registry import query
 
-_ASKED = ("What is the capital of France?", "Compare SL3000 and SL2000", "Who is the CEO of Acme?", "who is Joe", "How do I renew the policy?", "What is PlayReady?", "When was it founded?", "Tell me more", "my api key is lost", "What is the password policy", "Who owns the pipeline?", "Does X require Y", "alpha vs beta", "Is Z part of Q", "share the bearer token", "Where is the office in Rome", "hello there")
+_ASKED = ("What is the capital of France?", "Compare SL3000 and SL2000", "Who is the CEO of Acme?", "who is Joe", "How do I renew the policy?", "What is Quartz?", "When was it founded?", "Tell me more", "my api key is lost", "What is the password policy", "Who owns the pipeline?", "Does X require Y", "alpha vs beta", "Is Z part of Q", "share the bearer token", "Where is the office in Rome", "hello there")
 _SQL = "a AS (SELECT unnest(range(" + str(len(_ASKED)) + ")) AS q, unnest([" + ", ".join("'" + x.replace("'", "''") + "'" for x in _ASKED) + "]) AS t UNION ALL SELECT 1000 + id, content FROM messages WHERE role = 'user')"
 
 

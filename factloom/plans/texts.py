@@ -100,7 +100,7 @@ def _(d: Data) -> DataFrame:
     return m.select("page_id", prose.alias("prose_chars"), F.round(density, 3).alias("link_density"), reason.alias("thin_reason"))
 
 
-_QUESTIONS = ("hello there!", "How do you do?", "I will kill the process now", "compare SL3000 and SL2000", "what a b-i.t.c.h", "good morning", "you 1d10t", "What is PlayReady?", "difference between alpha and beta", "fuck   you", "hi what is this", "A vs B", "plain words")
+_QUESTIONS = ("hello there!", "How do you do?", "I will kill the process now", "compare SL3000 and SL2000", "what a b-i.t.c.h", "good morning", "you 1d10t", "What is Quartz?", "difference between alpha and beta", "fuck   you", "hi what is this", "A vs B", "plain words")
 
 
 def _questions(d: Data) -> DataFrame:
