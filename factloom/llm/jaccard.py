@@ -118,7 +118,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     need = n - -(-n * NUM // DEN) + 1
     rare = tokens[~frequent]
     singles = mix(rare[:need] + np.uint64(1))
-    if len(rare) >= need or need == 1:  # with need 1 only equal sets link, and those are one class
+    if len(rare) >= need or n < NUM:  # smaller sets link with equal ones only, and those are one class
         return singles
     often, out = tokens[frequent], [singles]
     for subclasses in sorted({level(m) for m in (-(-n * NUM // DEN), n)}):

@@ -236,6 +236,20 @@ def test_op4_dense_family(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == groups(rows_)
 
 
+def test_op4_short_frequent_text(spark):
+    """Copies of short texts in more runs than make their shingles frequent, beside the same text with a word more at either end."""
+    rng = random.Random(13)
+    texts = {n: " ".join(f"s{n}w{i}" for i in range(n)) for n in (5, 6, 7, 8, 9)}
+    rows_ = []
+    for i in range(60):
+        rows_ += [(10 * i + n, t) for n, t in texts.items()]
+        rows_.append((10 * i, " ".join(f"f{rng.randrange(10**6)}" for _ in range(200))))
+    for n, t in texts.items():
+        rows_ += [(1000 + n, t + " after"), (1100 + n, "before " + t), (1200 + n, t + " two more")]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows_, "doc_id long, text string").repartition(4), run_bytes=1_000)
+    assert sorted(map(tuple, got.collect()), key=repr) == groups(rows_)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)] + [(2000, 2001 + i) for i in range(60)]
