@@ -7,12 +7,16 @@ least-squares solution says how often to use each, the repeats are rounded to wh
 exact fits among the rest are taken greedily, and the residue is laid end to end and cut at window borders.
 Spark then numbers the tails of each length and every tail finds its slot from its number alone.
 
+Ids come from tiktoken with the vocabulary of ``Bpe``. It takes no run of about a million blanks, so texts with
+long runs go to ``Bpe`` itself, which gives the same ids.
+
 Defined cases: null and empty texts are documents of the end token only; equal rows and equal doc_ids are
 packed one by one; an empty table gives no pieces; columns other than the id and the text aren't carried.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import lru_cache
 
@@ -23,11 +27,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.arrowkit import ragged, small_batches
-from factloom.llm.bpe import WORDS, Bpe, tokenizer_source
+from factloom.llm.bpe import WORDS, Bpe, _loaded, tokenizer_source
 from factloom.llm.scratch import materialize
 
 #: Rows of one length that are numbered together at most, about.
 NUMBERED_TOGETHER = 20_000
+#: Blanks in a row from which on tiktoken isn't asked: it keeps a way back for each and has room for less than a million.
+LONG_BLANKS = 100_000
+#: Python's blanks include all that tiktoken's pattern takes for one.
+_BLANKS = re.compile(r"\s+")
 
 
 def combinations(window: int, present: np.ndarray) -> np.ndarray:
@@ -124,13 +132,21 @@ def _fast(source: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("own", pat_str=WORDS, mergeable_ranks=bpe.id_of, special_tokens=bpe.special)
 
 
+def _ids(source: str, text: str) -> np.ndarray:
+    if len(text) < LONG_BLANKS or max((m.end() - m.start() for m in _BLANKS.finditer(text)), default=0) < LONG_BLANKS:
+        return np.asarray(_fast(source).encode(text, allowed_special="all"), "<u4")
+    bpe = _loaded(source)
+    ids = bpe.encode([text])[0]
+    bpe.cache.clear()  # runs of this length aren't worth remembering
+    return ids
+
+
 def _cut(source: str, window: int, end_token: int, keep_ids: bool):
     def cut(batches):
-        encode = _fast(source)
         for batch in batches:
             tails, windows, tokens = [], [], []
             for text in batch.column(1).to_pylist():
-                ids = np.append(np.asarray(encode.encode(text or "", allowed_special="all"), "<u4"), np.uint32(end_token)).astype("<u4")
+                ids = np.append(_ids(source, text or ""), np.uint32(end_token)).astype("<u4")
                 full = len(ids) - len(ids) % window
                 parts = [ids[i : i + window].tobytes() for i in range(0, full, window)]
                 windows.append(parts if keep_ids else [zlib.crc32(p) for p in parts])

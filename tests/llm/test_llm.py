@@ -124,6 +124,12 @@ def test_op2(spark, docs, tokenizer, odd, none):
     assert packing.pack(none, queries.BYTE_BPE).count() == 0
 
 
+def test_op2_long_blanks(spark, tokenizer):
+    texts = ["a" + " " * 1_500_000 + "b", "\n" * 2_000_000, "x <|endoftext|>" + " \t\r\n" * 400_000 + "<|endoftext|> y", ("word" + "\n" * 99_999) * 12, "\u3000" * 100_000 + "z", "plain text"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    packed_well(packing.pack(table, queries.BYTE_BPE, keep_ids=True).collect(), texts, tokenizer, 0.01)
+
+
 def test_plan_uses_every_slot_once():
     counts = np.zeros(64, np.int64)
     counts[[5, 9, 20, 30, 34, 50, 63]] = [40, 13, 500, 77, 81, 3, 9]
