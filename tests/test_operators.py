@@ -96,6 +96,16 @@ def test_near_duplicates_by_brute_force(spark):
     assert got == want
 
 
+def test_near_duplicates_pairs_one_of_equal_texts(spark, monkeypatch):
+    seen, pairs_of = [], dedupe.similar_pairs
+    monkeypatch.setattr(dedupe, "similar_pairs", lambda *a: seen.append(pairs_of(*a)) or seen[-1])
+    base, other = " ".join(f"word{i}" for i in range(60)), " ".join(f"else{i}" for i in range(60))
+    texts = [base + " tail"] + [base] * 150 + [other] * 150 + ["", "", None, None, "?", "?"]
+    got = {r.id: r.decision for r in dedupe.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), 0.85).collect()}
+    assert got == {i: "keep" if i in (0, 151) or i > 300 else "skip_near" for i in range(len(texts))}
+    assert [tuple(r) for r in seen[0].collect()] == [(0, 1)]
+
+
 def test_ego_paths_of_a_cycle(spark):
     edges = spark.createDataFrame([("1", "2"), ("2", "3"), ("3", "4"), ("4", "1")], "src string, dst string").select(F.monotonically_increasing_id().cast("string").alias("id"), "src", "dst", F.lit("R").alias("rel_type"), F.lit(1.0).alias("weight"))
     got = graph.ego_paths(spark.createDataFrame([("1",)], "seed string"), edges, 3, 24).groupBy("length").count().collect()
