@@ -1,15 +1,17 @@
 """Exact top-k search by inner product as a Voronoi kNN join.
 
-Pivots, a bounded sample of the vectors, part the space into Voronoi cells. A cell's summary is its count and
-its radius. Every query first meets the rows of its own cell, which bounds its k-th score from below; by
-Cauchy-Schwarz no row x of a cell with pivot p can score more than <q,p> + |q| |x-p|, so the query is sent
-on only to cells whose radius allows more than that bound, and there meets only rows far enough from the pivot.
+Pivots, a sample of the vectors that grows with the square root of their number, part the space into Voronoi
+cells. A cell's summary is its count and its radius. Every query first meets the rows of its own cell, which
+bounds its k-th score from below; by Cauchy-Schwarz no row x of a cell with pivot p can score more than
+<q,p> + |q| |x-p|, so the query is replicated only to cells whose radius allows more than that bound, and there
+meets only rows far enough from the pivot. Queries travel, not rows, as they are few against the rows.
 Cells are split into blocks of bounded size by a hash of the row, so a vector that fills a third of the table is
 solved by many tasks; the blocks' answers, k of each, are merged.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, nor do null ids;
-shorter vectors are extended by zeros; equal scores go to the smaller id; of repeated ids every row counts as a
-candidate, but none with the query's own id, and one of them asks; an empty table gives no rows; other columns aren't carried.
+shorter vectors are extended by zeros; components so large that a score could leave 64 bits are an error;
+equal scores go to the smaller id; of repeated ids every row counts as a candidate, but none with the query's own id,
+and one of them asks; an empty table gives no rows; other columns aren't carried.
 """
 
 from __future__ import annotations
@@ -24,8 +26,6 @@ from pyspark.sql import functions as F
 
 from factloom.llm.scratch import materialize
 
-#: Pivots at most; fewer for small tables.
-PIVOTS = 256
 #: Rows of a block, about; queries that meet a block at once.
 BLOCK_ROWS, QUERY_ROWS = 4096, 2048
 
@@ -52,7 +52,7 @@ def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Exact integer inner products of rows of whole numbers."""
     if np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * max(1, q.shape[1]) < 2**53:
         return (q @ x.T).astype(np.int64)
-    return (q.astype(np.int64)[:, None, :] * x.astype(np.int64)[None]).sum(2)
+    return q.astype(np.int64) @ x.astype(np.int64).T
 
 
 def _assign(pivots: np.ndarray):
@@ -103,31 +103,36 @@ def _solve(k: int, dims: int):
     return run
 
 
-def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k best rows by exact integer inner product. is_query: tells queries by the id column."""
-    sound = materialize(quantized(vectors, id_col, vector_col), "vectors")
-    n, dims = sound.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: each query's k best rows by exact integer inner product. is_query: tells queries by the id column. pivots: a quarter of the square root of the row count, if not given."""
+    sound = quantized(vectors, id_col, vector_col)
+    n, dims, most = sound.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0)), F.max(F.array_max(F.transform("v", lambda c: F.abs(c.cast("double")))))).first()
     kinds = "query_id long, vec_id long, score long"
     if not n:
         return sound.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    want = int(min(pivots, max(1, (n / 16) ** 0.5)))
-    chosen = sound.orderBy(F.xxhash64("id"), "id").limit(want).select("v").toArrow()  # bounded by ``pivots``
+    if (most or 0.0) >= 2**53 or (most or 0.0) ** 2 * dims >= 2**63:
+        raise ValueError("components too large: scores could leave 64 bits")
+    want = pivots or max(1, int(n**0.5 / 4))
+    by_hash = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    chosen = sound.where(by_hash < int(min(1.0, 4 * want / n + 64 / n) * (1 << 30))).orderBy(F.xxhash64("id"), "id").limit(want).select("v").toArrow()  # bounded by ``want``
+    if not len(chosen):  # few distinct ids, all hashed high
+        chosen = sound.limit(want).select("v").toArrow()
     centre = np.unique(_matrix(chosen.column("v").combine_chunks(), dims), axis=0)
-    placed = materialize(sound.mapInArrow(_assign(centre), "id long, v array<long>, cell int, away double"), "cells")
+    placed = sound.withColumn("mark", F.monotonically_increasing_id()).mapInArrow(_assign(centre), "id long, v array<long>, mark long, cell int, away double")
+    placed = materialize(placed, "cells")
     cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()  # one row per pivot
-    blocks = {r.cell: -(-r.n // BLOCK_ROWS) for r in cells}
+    count = np.zeros(len(centre), np.int64)
     radius = np.full(len(centre), -1.0)
     for r in cells:
-        radius[r.cell] = r.radius
-    count = F.element_at(F.create_map(*(F.lit(x) for c in blocks.items() for x in c)), F.col("cell"))
-    block = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), count).cast("int")
-    data = materialize(placed.select(F.lit(0).alias("side"), "cell", block.alias("block"), "id", "v", "away"), "blocks")
+        count[r.cell], radius[r.cell] = -(-r.n // BLOCK_ROWS), r.radius
+    blocks = F.get(F.lit(count.tolist()), F.col("cell"))
+    data = placed.select(F.lit(0).alias("side"), "cell", F.pmod(F.xxhash64("mark"), blocks).cast("int").alias("block"), "id", "v", "away")
     asked = placed.where(is_query(F.col("id"))).select("id", "v", "cell").dropDuplicates(["id"])
     solve = _solve(k, dims)
 
     def met(queries: DataFrame) -> DataFrame:
         """queries: cell, id, v, away (the least distance from the pivot that matters)."""
-        spread = queries.select(F.lit(1).alias("side"), "cell", F.explode(F.sequence(F.lit(0), (count - 1).cast("int"))).alias("block"), "id", "v", "away")
+        spread = queries.select(F.lit(1).alias("side"), "cell", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))).alias("block"), "id", "v", "away")
         return data.unionByName(spread).groupBy("cell", "block").applyInArrow(solve, kinds)
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

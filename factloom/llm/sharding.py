@@ -1,12 +1,17 @@
 """Deterministic shards of nearly equal bytes by minimax contiguous partition, in DataFrame and SQL functions only.
 
-Rows with equal texts are an atomic group. Groups fall, by the hash of their text, into a fixed number of
-ordered units, so the table of unit sizes is bounded whatever the input. Units larger than an even share of
-what is left get a shard of their own; over the ordered rest a binary search finds the smallest capacity for
-which greedy filling needs no more than the remaining shards, and the units are cut there: under that
-capacity, each cut as near to an even share as leaves the later shards feasible. Slots come from
-row numbers within salted parts of a unit plus prefix sums over the bounded table of part counts, so a text
-that holds a third of all rows is numbered by many tasks.
+Rows with equal texts are an atomic group. Groups fall, by the hash of their text, into a fixed number of units, so
+the table of sizes is bounded whatever the input; a unit is never cut (with fewer groups than units it is a
+group, nearly always). The units' order: those larger than an even share of what is left, each a shard by itself
+since no capacity below its size is feasible, then the others by hash. Over these a binary search finds the smallest
+capacity for which greedy filling needs no more than the remaining shards, and they are cut there. Filling every
+shard up to the capacity would leave the last one short, so of the cuts that keep to the capacity those nearest to
+even shares are taken. Slots come from row numbers within parts of a unit, as many as its rows need, plus prefix sums
+over part counts, so a text that holds a third of all rows is numbered by many tasks.
+
+Defined cases: null texts count no bytes and form one group with empty ones; repeated rows share a shard and
+take slots in any order; null ids are rows like others; a very long text is one large group; an empty table
+gives no rows; other columns aren't carried; with fewer groups than shards some shards stay empty.
 """
 
 from __future__ import annotations
@@ -18,8 +23,8 @@ from factloom.llm.scratch import materialize
 
 #: Ordered units that groups are hashed into.
 UNITS = 32_768
-#: Parts of a unit that are numbered apart.
-SALTS = 64
+#: Rows of a part of a unit, about; parts are numbered apart.
+PART_ROWS = 65_536
 #: Bytes that a row counts besides its text.
 ROW_BYTES = 16
 
@@ -56,35 +61,29 @@ def capacity_plan(units: DataFrame, shards: int) -> DataFrame:
                 named_struct('i', s.i + 1, 'cur', x, 'rest', s.rest - s.cur, 'cuts', array_append(s.cuts, s.i)),
                 named_struct('i', s.i + 1, 'cur', s.cur + x, 'rest', s.rest, 'cuts', s.cuts))).cuts AS cuts""",
     )
-    placed = "concat(transform(rest, (x, i) -> struct(x.unit as unit, size(filter(cuts, c -> c <= i)) as shard)), transform(alone.own, (x, i) -> struct(x as unit, cast(alone.k + i as int) as shard)))"
+    placed = "concat(transform(alone.own, (x, i) -> struct(x as unit, i as shard)), transform(rest, (x, i) -> struct(x.unit as unit, size(alone.own) + size(filter(cuts, c -> c <= i)) as shard)))"
     return one.selectExpr("capacity", f"explode({placed}) AS p").select("p.unit", "p.shard", "capacity")
 
 
-def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", units: int = UNITS, salts: int = SALTS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, text_crc32, law, shard, slot, grown_shard.
-
-    Null texts count no bytes and form one group with empty ones. Repeated rows share a shard and take
-    neighbouring slots in any order. An empty table gives no rows. Other columns aren't carried. With fewer
-    groups than shards some shards stay empty.
-    """
+def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", units: int = UNITS, part_rows: int = PART_ROWS) -> DataFrame:
+    """One row per row of ``docs``: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.pmod(F.xxhash64(text), F.lit(units)).cast("int").alias("unit"),
-        F.pmod(F.xxhash64(F.col(id_col), F.lit("part")), F.lit(salts)).cast("int").alias("salt"),
+        F.monotonically_increasing_id().alias("mark"),
     )
     rows = materialize(rows, "sizes")
-    parts = rows.groupBy("unit", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
-    of_unit = parts.groupBy("unit").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    of_unit = rows.groupBy("unit").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
     plan = capacity_plan(of_unit.select("unit", "bytes"), shards)
     earlier = lambda *by: Window.partitionBy(by[0]).orderBy(by[1]).rowsBetween(Window.unboundedPreceding, -1)
     none = F.lit(0).cast("long")
-    bases = of_unit.select("unit", "n").join(plan, "unit").select("unit", "shard", F.coalesce(F.sum("n").over(earlier("shard", "unit")), none).alias("unit_base"))
-    offsets = parts.select("unit", "salt", F.coalesce(F.sum("n").over(earlier("unit", "salt")), none).alias("part_base"))
-    within = Window.partitionBy("unit", "salt").orderBy("doc_id", "text_crc32", "size")
-    numbered = rows.select("*", (F.row_number().over(within) - 1).cast("long").alias("nth")).join(offsets, ["unit", "salt"])
-    return numbered.join(F.broadcast(bases), "unit").select(  # at most ``units`` rows
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("unit_base") + F.col("part_base") + F.col("nth")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
-    )
+    bases = of_unit.select("unit", F.ceil(F.col("n") / part_rows).alias("parts"), "n").join(plan, "unit").select("unit", "shard", "parts", F.coalesce(F.sum("n").over(earlier("shard", "unit")), none).alias("unit_base"))
+    bases = materialize(bases, "units")
+    dealt = rows.join(F.broadcast(bases), "unit").withColumn("part", F.pmod(F.xxhash64("mark"), F.col("parts")))  # at most ``units`` rows
+    offsets = dealt.groupBy("unit", "part").agg(F.count("*").alias("n")).select("unit", "part", F.coalesce(F.sum("n").over(earlier("unit", "part")), none).alias("part_base"))
+    within = Window.partitionBy("unit", "part").orderBy("doc_id", "mark")
+    numbered = dealt.withColumn("nth", (F.row_number().over(within) - 1).cast("long")).join(offsets, ["unit", "part"])
+    return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("unit_base") + F.col("part_base") + F.col("nth")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

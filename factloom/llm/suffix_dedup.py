@@ -55,7 +55,7 @@ def _anchors(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     load = np.ndarray((n,), "<u8", padded.tobytes(), 0, (1,))
     gram = mix(load[: n - 23] * np.uint64(0x9E3779B97F4A7C15) + load[8 : n - 15] * np.uint64(0xD6E8FEB86659FD93) + load[16 : n - 7] * np.uint64(0xA24BAED4963EE407) + (load[16 : n - 7] >> np.uint64(29)) + (load[8 : n - 15] >> np.uint64(31)))
-    low = np.uint64((1 << max(20, n.bit_length())) - 1)
+    low = np.uint64(2**32 - 1)  # places in a slice; of grams that agree in the upper bits the leftmost is the anchor, in every text alike
     least = _sliding_min((gram & ~low) | np.arange(len(gram), dtype=np.uint64), SPREAD)
     count = np.diff(offsets)[long] - PASSAGE + 1
     window, doc = ragged(count, offsets[long]), np.repeat(long, count)
