@@ -17,11 +17,14 @@ of bounded size. Nothing is capped.
 
 Defined cases: null and empty texts and texts without words have no shingles and link with nothing; with fewer
 words than a shingle the whole sequence is one; rows are nodes, so repeated rows form one class; a row without
-an id joins no class and has no component; columns other than id and text aren't carried.
+an id joins no class and has no component; a very long text is a run by itself; an empty table gives no rows;
+columns other than id and text aren't carried.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from factloom.llm.arrowkit import ragged, slices
 from factloom.llm.components import components
 from factloom.llm.runs import NO_ID, RUN_BYTES, build_runs, cut_ranges, enough, expand, expand_sorted, multiplicities, open_run, range_bits, squeeze, squeeze_sorted, total_bytes
-from factloom.llm.scratch import materialize
+from factloom.llm.scratch import materialize, passing
 from factloom.llm.words import LOWER, mix, windows, words_of
 
 SHINGLE = 5
@@ -88,7 +91,7 @@ def _meta(batches):
             i, data, offsets = open_run(ids, texts)
             sets = shingle_sets(data, offsets)
             prints, stands = _local(i, sets)
-            yield pa.RecordBatch.from_arrays([pa.array([run]), pa.array([ids]), pa.array([squeeze(np.array([len(s) for s in sets], "<i8"))]), pa.array([squeeze(stands)]), pa.array([squeeze(prints)])], ["run", "ids", "sizes", "stands", "prints"])
+            yield pa.RecordBatch.from_arrays([pa.array([run]), pa.array([ids]), pa.array([squeeze(np.array([len(s) for s in sets], "<i8"))]), pa.array([squeeze(stands)]), pa.array([squeeze(prints)]), pa.array([squeeze(np.array([(zlib.crc32(data[a:b]), b - a) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], "<i8").reshape(-1, 2))])], ["run", "ids", "sizes", "stands", "prints", "texts"])
 
 
 def _distinct(batches):
@@ -328,12 +331,18 @@ def _pairs(rows: DataFrame, condition: str) -> DataFrame:
     return x.join(y, "bucket").where(f"x_node < y_node AND x_root <> y_root AND {condition}").select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_bytes: int = RUN_BYTES) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id (the smallest id reachable by links)."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_bytes: int = RUN_BYTES, with_texts: bool = False) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id (the smallest id reachable by links); with_texts: also n_bytes and crc32 of the text."""
+    with passing(docs.sparkSession):
+        out = materialize(_components(docs, id_col, text_col, run_bytes), "groups", keep=True)
+    return out if with_texts else out.drop("n_bytes", "crc32")
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, run_bytes: int) -> DataFrame:
     runs = build_runs(docs, id_col, text_col, run_bytes)
     size = total_bytes(runs)
     hashes, bits = size / BYTES_A_SHINGLE, range_bits(size / BYTES_A_SIGNATURE)
-    meta = materialize(runs.mapInArrow(_meta, "run long, ids binary, sizes binary, stands binary, prints binary"), "meta", "uncompressed")
+    meta = materialize(runs.mapInArrow(_meta, "run long, ids binary, sizes binary, stands binary, prints binary, texts binary"), "meta", "uncompressed")
     own = meta.mapInArrow(_distinct, "node long, doc long, p1 long, p2 long, n long")
     keys = ["p1", "p2", "n"]
     first = own.groupBy(*keys).agg(F.min(F.struct("doc", "node")).alias("r"))
@@ -367,13 +376,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest = grown.groupBy("root").agg(F.min("doc").alias("component"))
     told = grown.join(smallest, "root").groupBy(run_of.alias("run")).agg(F.collect_list(F.struct(place.alias("at"), "component")).alias("told"))
     kind = docs.schema[id_col].dataType.simpleString()
-    out = meta.select("run", "ids", "sizes", "stands").join(told, "run", "left").mapInArrow(_report, "doc_id long, n_shingles long, component_id long")
-    return out.select(F.col("doc_id").cast(kind), "n_shingles", F.col("component_id").cast(kind))
+    out = meta.select("run", "ids", "sizes", "stands", "texts").join(told, "run", "left").mapInArrow(_report, "doc_id long, n_shingles long, component_id long, n_bytes long, crc32 long")
+    return out.select(F.col("doc_id").cast(kind), "n_shingles", F.col("component_id").cast(kind), "n_bytes", "crc32")
 
 
 def _report(batches):
     for batch in batches:
-        for ids, sizes, stands, told in zip(*(batch.column(c).to_pylist() for c in ("ids", "sizes", "stands", "told")), strict=True):
+        for ids, sizes, stands, told, texts in zip(*(batch.column(c).to_pylist() for c in ("ids", "sizes", "stands", "told", "texts")), strict=True):
             i, stands = expand(ids, "<i8"), expand(stands, "<i8")
             component = i.copy()
             if told:
@@ -381,4 +390,5 @@ def _report(batches):
                 of[[t["at"] for t in told]] = [t["component"] for t in told]
                 component = np.where(stands >= 0, of[np.maximum(stands, 0)], i)
             null = i == NO_ID
-            yield pa.RecordBatch.from_arrays([pa.array(i, mask=null), pa.array(expand(sizes, "<i8")), pa.array(component, mask=null)], ["doc_id", "n_shingles", "component_id"])
+            crc, size = expand(texts, "<i8").reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(i, mask=null), pa.array(expand(sizes, "<i8")), pa.array(component, mask=null), pa.array(size), pa.array(crc)], ["doc_id", "n_shingles", "component_id", "n_bytes", "crc32"])

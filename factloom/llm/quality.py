@@ -6,7 +6,8 @@ since short texts give the compressor little to learn from. A text is rejected i
 band of its length, or if more than ``CHUNK_SHARE`` of its chunks lie outside the band of theirs.
 
 Defined cases: null and empty texts have no words and fail the base rule; ties don't arise; repeated rows are
-judged alike; other columns of any name are kept by ``judge``.
+judged alike; very long texts are read whole; an empty table gives no rows; other columns of any name are kept by
+``judge``.
 """
 
 from __future__ import annotations

@@ -78,8 +78,61 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.render(base).cast("binary"), 256).alias("base_sha256"), secrets.render(F.col("spans")).alias("spans"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_suffix_dedup": op3_suffix_dedup, "op4_jaccard": op4_jaccard, "op5_langid": op5_langid, "op6_topk": op6_topk, "op7_toxicity": op7_toxicity, "op8_sharding": op8_sharding, "op9_quality": op9_quality, "op10_secrets": op10_secrets}
+def base_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9's word statistics and base rule, without the compression verdict."""
+    return op9_quality(spark, sf_dir).drop("kept")
+
+
+def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10's base spans, without the linked ones."""
+    return op10_secrets(spark, sf_dir).drop("spans")
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_suffix_dedup": op3_suffix_dedup, "op4_jaccard": op4_jaccard, "op5_langid": op5_langid, "op6_topk": op6_topk, "op7_toxicity": op7_toxicity, "op8_sharding": op8_sharding, "op9_quality": op9_quality, "op10_secrets": op10_secrets, "base_quality": base_quality, "base_secrets": base_secrets}
 ORACLE_SQL: dict[str, str] = {
+    "op4_jaccard": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+        ), sets AS MATERIALIZED (
+            SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words
+        ), shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+        classes AS MATERIALIZED (SELECT min(doc_id) AS rep, any_value(s) AS s, len(any_value(s)) AS n FROM sets WHERE len(s) > 0 GROUP BY list_sort(s)),
+        rep_shingles AS MATERIALIZED (SELECT rep, n, unnest(s) AS shingle FROM classes),
+        links AS MATERIALIZED (
+            SELECT a.rep AS x, b.rep AS y FROM rep_shingles a JOIN rep_shingles b ON a.shingle = b.shingle AND a.rep <> b.rep AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+            GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+        ), reach AS (SELECT rep AS x, rep AS y FROM classes UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+        least_of AS (SELECT x, min(y) AS component FROM reach GROUP BY x),
+        member AS (SELECT s.doc_id, c.rep FROM sets s JOIN classes c ON len(s.s) > 0 AND list_sort(s.s) = list_sort(c.s))
+        SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(l.component, s.doc_id) AS component_id
+        FROM sets s LEFT JOIN member m USING (doc_id) LEFT JOIN least_of l ON l.x = m.rep""",
+    "base_quality": r"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        words AS MATERIALIZED (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM t),
+        lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM t),
+        again AS (SELECT doc_id, CAST(count(*) - count(DISTINCT line) AS BIGINT) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+        windows AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, array_to_string(w[i:i + 4], ' ') AS five FROM words WHERE len(w) >= 5),
+        twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, five) > 1),
+        covered AS (SELECT doc_id, CAST(count(DISTINCT k) AS BIGINT) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS k FROM twice) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: len(x))), 0) AS BIGINT) AS word_chars,
+            CAST(len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(a.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
+            len(w) < 10 OR 100 * coalesce(c.n, 0) > 20 * len(w) AS base_failed
+        FROM words LEFT JOIN again a USING (doc_id) LEFT JOIN covered c USING (doc_id)""",
+    "base_secrets": r"""
+        WITH kinds(kind, name, pattern, part, least) AS (VALUES
+            (0, 'assign', '(?:(?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1, 6),
+            (1, 'access', 'AKIA[A-Z0-9]+', 0, 20), (2, 'hex', '[0-9a-f]+', 0, 24)),
+        t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        pieces AS (
+            SELECT doc_id, 0 AS kind, regexp_extract_all(t, '(?:(?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS m, regexp_extract_all(t, '(?:(?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1) AS g,
+                string_split_regex(t, '(?:(?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+') AS b FROM t
+            UNION ALL SELECT doc_id, 1, regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'), string_split_regex(t, 'AKIA[A-Z0-9]+') FROM t
+            UNION ALL SELECT doc_id, 2, regexp_extract_all(t, '[0-9a-f]+'), regexp_extract_all(t, '[0-9a-f]+'), string_split_regex(t, '[0-9a-f]+') FROM t
+        ), each AS (SELECT doc_id, kind, unnest(range(1, len(m) + 1)) AS i, unnest(list_transform(m, lambda x: len(x))) AS n, unnest(list_transform(g, lambda x: len(x))) AS k, unnest(list_transform(b[1:len(m)], lambda x: len(x))) AS gap FROM pieces),
+        ends AS (SELECT doc_id, kind, n, k, sum(gap + n) OVER (PARTITION BY doc_id, kind ORDER BY i) AS e FROM each),
+        spans AS (SELECT doc_id, kind, CAST(e - n AS BIGINT) AS s, CAST(e AS BIGINT) AS e, name FROM ends JOIN kinds USING (kind) WHERE k >= least)
+        SELECT t.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, sha256(coalesce(string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind), '')) AS base_sha256
+        FROM t LEFT JOIN spans USING (doc_id) GROUP BY t.doc_id""",
     "op6_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings

@@ -6,7 +6,8 @@ identifier, a weak identifier near a secret, an endpoint near both. The interval
 parts in order of position, once forwards and once backwards, so it needs no shuffle and never forms pairs.
 
 Positions are code points, ends exclusive. Null and empty texts have no spans. Equal rows get equal spans; of
-spans with one start the kinds' order decides. Columns of the input are kept; one named as the result is replaced.
+spans with one start the kinds' order decides. Very long texts take time in proportion to their length and matches;
+an empty table gives no rows. Columns of the input are kept; one named as the result is replaced.
 """
 
 from __future__ import annotations

@@ -6,14 +6,14 @@ so equal windows have equal anchors, and successive windows with one anchor form
 only one document has can't take part; the runs find them out by exchanging sorted fingerprints. The owned strings
 that are left, each written as its suffix from the anchor on and then the bytes before the anchor backwards, are
 sorted within each run, front-coded (the length shared with the predecessor and the rest) and exchanged by
-ranges of the gram. A loser tree merges the runs of a range: it keeps with every loser the prefix known to be
+ranges of the gram's hash. A loser tree merges the runs of a range: it keeps with every loser the prefix known to be
 shared with the last winner, and compares strings only from there on. Equal strings come out next to each other, and
 so do all owned strings of one gram, whose windows are then matched exactly. Answers go back to the runs, where
 each passage's copies were collapsed to the smallest id before they were sent.
 
 Defined cases: null and empty texts have no bytes; texts of fewer than 50 bytes are kept; rows with equal ids
 aren't copies of each other; rows without an id are kept whole and remove nothing; columns other than id and text
-aren't carried; an empty table gives no rows.
+aren't carried; a very long text is a run by itself; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.arrowkit import ragged, slices
-from factloom.llm.runs import NO_ID, RUN_BYTES, build_runs, enough, expand, multiplicities, open_run, squeeze, total_bytes
+from factloom.llm.runs import NO_ID, RUN_BYTES, build_runs, enough, expand, multiplicities, open_run, range_bits, squeeze, total_bytes
 from factloom.llm.scratch import materialize
 from factloom.llm.words import mix
 
@@ -34,10 +34,8 @@ PASSAGE, GRAM = 50, 24
 SPREAD = PASSAGE - GRAM + 1  # grams of a window
 #: A suffix as it is sorted: at most 50 bytes from the anchor on, 26 before it backwards, spare bytes, both lengths.
 RECORD = 80
-#: Bytes of text for one anchor, roughly, and suffixes of one range, about; only sizes ranges.
-BYTES_AN_ANCHOR, RANGE_SUFFIXES = 14, 120_000
-#: Runs that range borders are sampled from, and borders' sample of one run.
-SAMPLED_RUNS, SAMPLED_KEYS = 48, 256
+#: Bytes of text for one anchor, roughly; only sizes ranges.
+BYTES_AN_ANCHOR = 14
 
 
 def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -95,13 +93,13 @@ def _grams(ids, data, offsets):
 
 
 class SuffixRun:
-    """A run's sorted distinct suffixes, with the places where they occur."""
+    """A run's distinct suffixes, sorted within the ranges of their grams' hashes, with the places where they occur."""
 
     def __init__(self, ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, answers: list[dict] | None, hashes: float):
         at, first, last, doc, h = _named(ids, anchors(data, offsets))
         grams, which = np.unique(h, return_inverse=True)
         stay = enough(grams, answers, hashes)[which] if len(h) else np.zeros(0, bool)
-        at, first, last, doc = at[stay], first[stay], last[stay], doc[stay]
+        at, first, last, doc, part = at[stay], first[stay], last[stay], doc[stay], h[stay] >> np.uint64(64 - range_bits(hashes))
         right, left = last + PASSAGE - at, at - first
         padded = np.concatenate([np.zeros(SPREAD, np.uint8), data, np.zeros(PASSAGE, np.uint8)])
         record = np.zeros((len(at), RECORD), np.uint8)
@@ -111,12 +109,13 @@ class SuffixRun:
         record[:, PASSAGE : PASSAGE + SPREAD - 1] = view[at + 1, SPREAD - 2 :: -1][:, : SPREAD - 1] * (back < left[:, None])
         record[:, -2], record[:, -1] = right, left + 1
         order = np.argsort(record.view(f"S{RECORD}").ravel(), kind="stable")
+        order = order[np.argsort(part[order], kind="stable")]
         record = record[order]
         differs = record[1:] != record[:-1]
         new = np.ones(len(record), bool)
         new[1:] = differs.any(1)
         start = np.flatnonzero(new)
-        self.record = record[start]
+        self.record, self.part = record[start], part[order][start]
         self.shared = np.zeros(len(start), np.uint8)  # bytes shared with the predecessor
         if len(start) > 1:
             self.shared[1:] = differs[start[1:] - 1].argmax(1)
@@ -124,9 +123,6 @@ class SuffixRun:
         self.first, self.last, self.doc = first[order], last[order], doc[order]
         self.start, self.least = start, np.minimum.reduceat(ids[self.doc], start) if len(start) else np.zeros(0, np.int64)
 
-    def keys(self) -> np.ndarray:
-        return np.ascontiguousarray(self.record[:, :GRAM]).view(f"S{GRAM}").ravel()
-
 
 def _each(batches, hashes: float):
     for batch in batches:
@@ -135,27 +131,16 @@ def _each(batches, hashes: float):
             yield run, i, data, offsets, SuffixRun(i, data, offsets, answers, hashes)
 
 
-def _sample(hashes: float):
-    def run(batches):
-        for key, *_, s in _each(batches, hashes):
-            k = s.keys()
-            take = np.random.default_rng(key % 2**32).integers(0, max(1, len(k)), min(len(k), SAMPLED_KEYS))
-            yield pa.RecordBatch.from_arrays([pa.array([bytes(x).ljust(GRAM, b"\0") for x in k[take].tolist()], pa.binary()), pa.array(np.full(len(take), len(k) / max(1, len(take))))], ["key", "weight"])
-
-    return run
-
-
-def _send(hashes: float, borders: np.ndarray):
+def _send(hashes: float):
     def run(batches):
         for key, _, _, _, s in _each(batches, hashes):
-            edge = np.concatenate([[0], np.searchsorted(s.keys(), borders), [len(s.record)]])
+            begin = np.flatnonzero(np.concatenate([[True], s.part[1:] != s.part[:-1]])) if len(s.part) else np.zeros(0, np.int64)
             parts, first, shared, rest, least = [], [], [], [], []
-            for p in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
-                a, b = edge[p], edge[p + 1]
+            for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(s.part)], strict=False):
                 lcp = s.shared[a:b].copy()
                 lcp[0] = 0
-                parts.append(p)
-                first.append(int(a))
+                parts.append(int(s.part[a]))
+                first.append(a)
                 shared.append(squeeze(lcp))
                 rest.append(squeeze(s.record[a:b][np.arange(RECORD) >= lcp[:, None]]))
                 least.append(squeeze(s.least[a:b].astype("<i8")))
@@ -346,14 +331,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hashes = size / BYTES_AN_ANCHOR
     answers = materialize(multiplicities(runs, _grams, hashes, 2), "repeated")
     asked = runs.select("run", "ids", "texts").join(answers, "run", "left")
-    share = min(1.0, SAMPLED_RUNS / max(1, runs.count()))
-    picked = runs.where(F.pmod(F.xxhash64("run"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("run", "ids", "texts").join(answers, "run", "left")
-    keys = picked.mapInArrow(_sample(hashes), "key binary, weight double").toArrow()  # at most about SAMPLED_RUNS * SAMPLED_KEYS
-    order = np.argsort(np.array(keys.column("key").to_pylist() or [b""], f"S{GRAM}"), kind="stable")
-    weight = np.cumsum(keys.column("weight").to_numpy()[order]) if len(keys) else np.zeros(1)
-    ranges = int(min(1 << 20, max(64, weight[-1] / share / RANGE_SUFFIXES)))
-    borders = np.unique(np.array(keys.column("key").to_pylist() or [b""], f"S{GRAM}")[order][np.searchsorted(weight, np.arange(1, ranges) * weight[-1] / ranges).clip(0, len(order) - 1)])
-    sent = asked.mapInArrow(_send(hashes, borders), "part int, run long, first long, shared binary, rest binary, least binary")
+    sent = asked.mapInArrow(_send(hashes), "part int, run long, first long, shared binary, rest binary, least binary")
     told = materialize(sent.groupBy("part").applyInArrow(_meet, "run long, told binary").groupBy("run").agg(F.collect_list("told").alias("told")), "told")
     kind = docs.schema[id_col].dataType.simpleString()
     out = asked.join(told, "run", "left").mapInArrow(_remove(hashes, as_text), "doc_id long, n_bytes long, crc32 long, n_removed long, n_spans long, kept " + ("string" if as_text else "binary"))

@@ -8,7 +8,8 @@ window, so a few words count in long texts too, calibrated on training texts tha
 
 Defined cases: null and empty texts score as texts without n-grams, with the lowest log-odds; if no label can
 be learned from, all scores are 0; a document labelled twice counts as toxic if any label says so; repeated
-rows are scored alike; columns other than id, text and label are never read.
+rows are scored alike; very long texts are scored and learned from whole; an empty table gives no rows; columns
+other than id, text and label are never read.
 """
 
 from __future__ import annotations
@@ -20,15 +21,16 @@ from pyspark.sql import functions as F
 
 from factloom.llm.arrowkit import slices, small_batches, utf8_parts
 from factloom.llm.heldout import held_out, sampled, share_for
+from factloom.llm.scratch import materialize
 
 GRAMS = (3, 4, 5, 6)
 BUCKETS = 1 << 17
 DIMENSIONS = 16
 #: Words of a window.
 WINDOW = 8
-#: Labelled texts that are learned from, about, and windows of one of them at most: of toxic and of other texts.
-TRAIN_ROWS, TOXIC_WINDOWS, OTHER_WINDOWS = 8_000, 400, 8
-EPOCHS, BATCHES, RATE = 8, 24, 0.3
+#: The sample of labelled texts that is learned from: rows and bytes of whole texts, about. Every window of a sampled text counts.
+TRAIN_ROWS, TRAIN_BYTES = 8_000, 8 << 20
+EPOCHS, BATCH_WINDOWS, RATE = 6, 4096, 0.3
 _KEEP = np.zeros(256, bool)
 _KEEP[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100), ord("@"), ord("$"), ord("!"), ord("*")]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -89,53 +91,42 @@ def _odds(data: np.ndarray, offsets: np.ndarray, score: np.ndarray) -> np.ndarra
     return np.concatenate(parts) if parts else np.zeros(0)
 
 
-def _windows(batches):
-    """Windows (texts) of training rows: all of toxic ones, some of others, up to the limits."""
-    for batch in batches:
-        out, label = [], []
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = (text or "").split()
-            starts = np.arange(0, max(1, len(words)), WINDOW)
-            most = TOXIC_WINDOWS if toxic else OTHER_WINDOWS
-            if len(starts) > most:
-                starts = np.sort(np.random.default_rng(len(words)).choice(starts, most, replace=False))
-            out += [" ".join(words[i : i + WINDOW]) for i in starts.tolist()]
-            label += [toxic] * len(starts)
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(label, pa.int32())], ["window", "toxic"])
-
-
-def fit(windows: list[str], labels: np.ndarray, classes: int = 2, seed: int = 11) -> np.ndarray:
-    """Every bucket's part of the log-odds of class 1: embeddings and softmax trained jointly (Adagrad on cross-entropy)."""
-    raw = [w.encode() for w in windows]
-    offsets = np.cumsum([0, *map(len, raw)])
-    g = Grams(np.frombuffer(b"".join(raw), np.uint8), offsets)
-    of = g.doc[g.at].astype(np.int32)
-    words = np.maximum(1, np.bincount(g.doc, minlength=len(raw)))
-    n = len(raw)
-    weight = (1.0 / (g.per_word[g.at] * words[of])).astype(np.float32)
-    order = np.argsort(of, kind="stable").astype(np.int32)
-    of, bucket, weight = of[order], g.bucket[order], weight[order]
-    del g, order
-    edge = np.searchsorted(of, np.arange(n + 1, dtype=np.int32))
+def windows_of(texts: list[str | None], labels: list[int]) -> tuple[list[bytes], np.ndarray]:
+    """All windows of the texts, each with its text's label."""
+    out, of = [], []
+    for text, label in zip(texts, labels, strict=True):
+        words = (text or "").encode().split()
+        own = [b" ".join(words[i : i + WINDOW]) for i in range(0, max(1, len(words)), WINDOW)]
+        out += own
+        of += [label] * len(own)
+    return out, np.array(of, np.int64)
+
+
+def fit(windows: list[bytes], labels: np.ndarray, classes: int = 2, seed: int = 11) -> np.ndarray:
+    """Every bucket's part of the log-odds of class 1: embeddings and softmax trained jointly (Adagrad on cross-entropy, in minibatches)."""
+    n = len(windows)
     rng = np.random.default_rng(seed)
     embed = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     linear, bias = rng.normal(0, 0.5, (DIMENSIONS, classes)).astype(np.float32), np.zeros(classes, np.float32)
     speed_e, speed_l, speed_b = np.full(BUCKETS, 1e-8), np.full(linear.shape, 1e-8), np.full(classes, 1e-8)
-    target = np.eye(classes)[labels]
     for _ in range(EPOCHS):
-        for rows in np.array_split(rng.permutation(n), min(BATCHES, max(1, n // 64))):
-            take = np.repeat(edge[rows] - np.concatenate([[0], np.cumsum(np.diff(edge)[rows])[:-1]]), np.diff(edge)[rows]) + np.arange(int(np.diff(edge)[rows].sum()))
-            own, b, w = np.repeat(np.arange(len(rows)), np.diff(edge)[rows]), bucket[take], weight[take]
-            by_class = embed @ linear
+        for rows in np.array_split(rng.permutation(n), max(1, -(-n // BATCH_WINDOWS))):
+            raw = [windows[i] for i in rows.tolist()]
+            g = Grams(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+            own = g.doc[g.at]
+            w = 1.0 / (g.per_word[g.at] * np.maximum(1, np.bincount(g.doc, minlength=len(rows)))[own])
+            used, b = np.unique(g.bucket, return_inverse=True)
+            rows_e = embed[used]
+            by_class = rows_e @ linear
             logit = np.stack([np.bincount(own, by_class[b, k] * w, len(rows)) for k in range(classes)], 1) + bias
             p = np.exp(logit - logit.max(1, keepdims=True))
-            gap = (p / p.sum(1, keepdims=True) - target[rows]) / len(rows)
-            coef = np.stack([np.bincount(b, gap[own, k] * w, BUCKETS) for k in range(classes)], 1)
-            grad_e, grad_l, grad_b = coef @ linear.T, embed.T @ coef, gap.sum(0)
-            speed_e += (grad_e**2).mean(1)
+            gap = (p / p.sum(1, keepdims=True) - np.eye(classes)[labels[rows]]) / len(rows)
+            coef = np.stack([np.bincount(b, gap[own, k] * w, len(used)) for k in range(classes)], 1)
+            grad_e, grad_l, grad_b = coef @ linear.T, rows_e.T @ coef, gap.sum(0)
+            speed_e[used] += (grad_e**2).mean(1)
             speed_l += grad_l**2
             speed_b += grad_b**2
-            embed -= (RATE * grad_e / np.sqrt(speed_e)[:, None]).astype(np.float32)
+            embed[used] -= (RATE * grad_e / np.sqrt(speed_e[used])[:, None]).astype(np.float32)
             linear -= (RATE * 0.2 * grad_l / np.sqrt(speed_l)).astype(np.float32)
             bias -= (RATE * 0.2 * grad_b / np.sqrt(speed_b)).astype(np.float32)
     return (embed @ (linear[:, 1] - linear[:, 0])).astype(np.float32)
@@ -157,18 +148,23 @@ def calibrate(odds: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return float(beta[0] / scale), float(beta[1] - beta[0] * mid / scale)
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> tuple[np.ndarray, float, float] | None:
-    """Bucket scores, slope and offset; None if there are no labelled rows outside the held-out fold."""
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> tuple[np.ndarray, float, float] | None:
+    """Bucket scores, slope and offset; None if there are no labelled rows outside the held-out fold.
+
+    About ``rows`` labelled rows are learned from, or fewer if their whole texts would have more than about ``size`` bytes.
+    """
     small_batches(docs.sparkSession)
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("y"))
-    part = sampled(share_for(marked, rows), id_col)
-    train = docs.where(part & ~held_out(id_col)).select(id_col, F.col(text_col).alias("t")).join(marked.where(part), id_col)
+    share = share_for(marked, rows)
+    train = docs.where(sampled(share, id_col) & ~held_out(id_col)).select(id_col, F.col(text_col).alias("t")).join(marked.where(sampled(share, id_col)), id_col)
+    train = materialize(train, "train")
+    found = train.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    train = train.where(sampled(share * min(1.0, size / max(1, found)), id_col))
     fits = F.pmod(F.xxhash64(F.col(id_col), F.lit("fit")), F.lit(4)) > 0
-    got = train.where(fits).select("t", "y").mapInArrow(_windows, "window string, toxic int").toArrow()
-    y = got.column("toxic").to_numpy()
-    if not len(y):
+    got = train.where(fits).select("t", "y").orderBy(id_col, "t").toArrow()
+    if not len(got):
         return None
-    score = fit(got.column("window").to_pylist(), y.astype(np.int64))
+    score = fit(*windows_of(got.column("t").to_pylist(), got.column("y").to_pylist()))
     checked = train.where(~fits).select("y", log_odds(docs, score, "t").alias("x")).toArrow()
     x, yc = checked.column("x").to_numpy(), checked.column("y").to_numpy()
     if len(yc) < 20 or len(set(yc.tolist())) < 2:  # too few to calibrate on apart
