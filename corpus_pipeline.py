@@ -1,82 +1,72 @@
 """A cleaning and packing pipeline over ``documents``.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last return the
-columns of ``docs``. Rows without a doc_id pass the stages that compare documents unchanged. The tables that a
-stage writes on its way stay until the next stage is called: by then its result has been written.
+columns of ``docs``. Rows without a doc_id pass the stages that compare documents unchanged.
 """
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import jaccard, packing, quality, secrets, suffix_dedup
 from factloom.llm.queries import BYTE_BPE
-from factloom.llm.scratch import materialize, recorded, remove
-
-_written: list[str] = []
-
-
-def stage(f):
-    """Removes what the stage before wrote on its way, and notes what this one writes."""
-
-    @functools.wraps(f)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        remove(spark, _written)
-        with recorded(_written):
-            return f(spark, docs, sf_dir)
-
-    return run_stage
-
+from factloom.llm.scratch import materialize
 
 
-@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
-    return quality.judge(docs, prefix="_quality_").where("_quality_kept").select(docs.columns)
+    own = named("quality", docs)
+    return quality.judge(docs, prefix=own("")).where(F.col(own("kept"))).select(docs.columns)
 
 
-@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of linked documents the one with the smallest id stays; documents without words have no group."""
-    groups = jaccard.near_duplicates(docs)
-    stays = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(stays, "doc_id", "left_semi").select(docs.columns)
-    return named.dropDuplicates(["doc_id", "text"]).select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    own = named("group", docs)
+    groups = jaccard.near_duplicates(docs, with_texts=True)
+    stays = groups.where("doc_id = component_id").select("doc_id", F.struct("n_bytes", "crc32").alias(own("key"))).distinct()
+    rows = docs.where("doc_id IS NOT NULL").withColumn(own("key"), text_key())
+    return rows.join(stays, ["doc_id", own("key")], "left_semi").dropDuplicates(["doc_id", own("key")]).select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
-@stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that earlier documents have are cut out; halves of characters at the cuts go with them."""
+    own = named("found", docs)
     left = suffix_dedup.remove_repeats(docs.select("doc_id", "text"), as_text=True)
-    left = left.where("doc_id IS NOT NULL AND n_removed > 0").select("doc_id", F.col("n_bytes").alias("_bytes"), F.col("crc32").alias("_crc32"), F.col("kept").alias("_kept"))
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumns({"_bytes": F.octet_length(text).cast("long"), "_crc32": F.crc32(text.cast("binary"))})
-    joined = keyed.join(left.dropDuplicates(["doc_id", "_bytes", "_crc32"]), ["doc_id", "_bytes", "_crc32"], "left")
-    return replaced(docs, joined, F.coalesce("_kept", "text"))
+    left = left.where("doc_id IS NOT NULL AND n_removed > 0").select("doc_id", F.struct("n_bytes", "crc32").alias(own("key")), F.col("kept").alias(own("kept")))
+    joined = docs.withColumn(own("key"), text_key()).join(left.dropDuplicates(["doc_id", own("key")]), ["doc_id", own("key")], "left")
+    return replaced(docs, joined, F.coalesce(F.col(own("kept")), F.col("text")))
 
 
-@stage
 def redacted_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark."""
-    found = secrets.scan(docs, out="_spans")
-    return replaced(docs, found, secrets.redact(F.col("text"), F.col("_spans")))
+    spans = named("found", docs)("spans")
+    return replaced(docs, secrets.scan(docs, out=spans), secrets.redact(F.col("text"), F.col(spans)))
 
 
-@stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 1024 tokens."""
     return packing.pack(docs, BYTE_BPE)
 
 
+def text_key():
+    """Length and checksum of the text: with the id, what tells rows apart."""
+    text = F.coalesce("text", F.lit(""))
+    return F.struct(F.octet_length(text).cast("long").alias("n_bytes"), F.crc32(text.cast("binary")).alias("crc32"))
+
+
+def named(label: str, docs: DataFrame):
+    """Names for columns that no column of ``docs`` has."""
+    while any(c.lower().startswith(label) for c in docs.columns):
+        label = "_" + label
+    return lambda c: f"{label}_{c}"
+
+
 def replaced(docs: DataFrame, rows: DataFrame, text) -> DataFrame:
     """The columns of ``docs`` with a new text and its length."""
-    new = rows.withColumn("_text", text)
-    length = {"n_chars": F.when(F.col("_text").isNotNull(), F.char_length("_text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    value = {"text": F.col("_text"), **{k: v for k, v in length.items() if v is not None}}
-    return new.select(*(value.get(c, F.col(c)).alias(c) for c in docs.columns))
+    new = named("new", docs)("text")
+    value = {"text": F.col(new), "n_chars": F.coalesce(F.char_length(F.col(new)).cast(dict(docs.dtypes).get("n_chars", "long")), "n_chars")}
+    return rows.withColumn(new, text).select(*(value.get(c, F.col(c)).alias(c) for c in docs.columns))
 
 
 STAGES = [
