@@ -28,15 +28,22 @@ def reach(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
 
 
 def ego_paths(seeds: DataFrame, edges: DataFrame, hops: int, k: int) -> DataFrame:
-    """seed, path (nodes), length: the k first simple paths of each seed by length, then by nodes."""
+    """seed, path (nodes), length: the k first simple paths of each seed by length, then by nodes.
+
+    Longer paths count only for seeds that shorter ones don't fill, so after every hop a seed that has k paths
+    stops, and one that goes on has fewer than k to extend.
+    """
     steps = undirected(edges).select("u", "v").distinct()
-    paths = seeds.select("seed", F.array("seed").alias("path"))
-    all_paths, order = None, Window.partitionBy("seed").orderBy("length", "key")
+    paths = seeds.select("seed", F.array("seed").alias("path"), F.lit(0).cast("long").alias("had"))
+    all_paths = None
     for h in range(1, hops + 1):
-        paths = paths.withColumn("u", F.element_at("path", -1)).join(steps, "u").where(~F.array_contains("path", F.col("v"))).select("seed", F.concat("path", F.array("v")).alias("path"))
-        step = paths.select("seed", F.array_join("path", ">").alias("key"), F.lit(h).alias("length"))
+        ahead = paths.withColumn("u", F.element_at("path", -1)).join(steps, "u").where(~F.array_contains("path", F.col("v"))).select("seed", F.concat("path", F.array("v")).alias("path"), "had")
+        ranked = ahead.withColumn("key", F.array_join("path", ">")).withColumn("r", F.row_number().over(Window.partitionBy("seed").orderBy("key")))
+        kept = ranked.where(F.col("r") + F.col("had") <= k)
+        step = kept.select("seed", F.col("key").alias("path"), F.lit(h).alias("length"))
         all_paths = step if all_paths is None else all_paths.unionByName(step)
-    return all_paths.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("seed", F.col("key").alias("path"), "length")
+        paths = kept.select("seed", "path", (F.col("had") + F.count("*").over(Window.partitionBy("seed"))).alias("had")).where(F.col("had") < k)
+    return all_paths
 
 
 def trail_strength(chunks: Column, hops: Column, mean_weight: Column, fit: Column, conflict: Column, pair: Column) -> Column:

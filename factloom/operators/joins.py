@@ -38,18 +38,24 @@ def resolve_exact(names: DataFrame, nodes: DataFrame, aliases: DataFrame) -> Dat
 
 
 def fuzzy_link(names: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """term, id, rank of the k best nodes by name: exact, then prefix of either, then containment (terms or names of 5 and more).
+    """term, id, rank of the k best nodes by any of their names (id, normalized_name): exact, then prefix of either, then containment (terms or names of 5 and more).
 
-    Candidates come from equal 4-character pieces, so the join is an equi-join; terms under 4 characters have none.
+    Whichever string lies in the other, all its 4-character pieces do: it is looked up by its rarest one, so that
+    pieces which many names share form no large groups. Strings under 4 characters have no candidates.
     """
     from pyspark.sql import Window
 
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(c) - 3), lambda i: F.substring(c, i, 4)))
     terms = names.where(F.char_length("term") >= 4).select("term", F.explode(grams(F.col("term"))).alias("g"))
     named = nodes.where(F.char_length("normalized_name") >= 4).select("id", F.col("normalized_name").alias("n"), F.explode(grams(F.col("normalized_name"))).alias("g"))
-    near = terms.join(named, "g").select("term", "id", "n").distinct()
+    often = named.groupBy("g").agg(F.count("*").alias("often"))
+    rarest = F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "g"))["g"].alias("g")
+    by_term = terms.join(often, "g", "left").groupBy("term").agg(rarest).join(named, "g").select("term", "id", "n")
+    by_name = named.join(often, "g").groupBy("id", "n").agg(rarest).join(terms, "g").select("term", "id", "n")
+    near = by_term.union(by_name).distinct()
     long_t, long_n = F.char_length("term") >= 5, F.char_length("n") >= 5
     rank = F.when(F.col("term") == F.col("n"), 0).when(F.col("n").startswith(F.col("term")) | F.col("term").startswith(F.col("n")), 1).when((long_t & F.col("n").contains(F.col("term"))) | (long_n & F.col("term").contains(F.col("n"))), 2)
     scored = near.select("term", "id", rank.alias("class"), F.abs(F.char_length("term") - F.char_length("n")).alias("gap")).where("class IS NOT NULL")
-    order = Window.partitionBy("term").orderBy("class", "gap", "id")
-    return scored.select("term", "id", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)
+    best = scored.groupBy("term", "id").agg(F.min(F.struct("class", "gap")).alias("best"))
+    order = Window.partitionBy("term").orderBy("best", "id")
+    return best.select("term", "id", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,19 +14,39 @@ def top_per_group(rows: DataFrame, group: list[str], order: list, k: int) -> Dat
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.coalesce(F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0)), F.lit(1.0))
+#: Queries and vectors of a block, about: what one task holds as matrices.
+QUERY_BLOCK, VECTOR_BLOCK = 4096, 16384
+
+
+def _best_of_block(k: int):
+    def run(group: pa.Table) -> pa.Table:
+        asks = group.column("ask").to_numpy(zero_copy_only=False)
+        ids = group.column("vec_id").to_numpy()
+        x = np.array(group.column("embedding").to_pylist(), np.float64)
+        x /= np.where((norm := np.linalg.norm(x, axis=1, keepdims=True)) == 0, 1.0, norm)
+        q, v, q_ids, v_ids = x[asks], x[~asks], ids[asks], ids[~asks]
+        rows = []
+        for i, s in enumerate(np.round(q @ v.T, 6)):
+            s, who = s[v_ids != q_ids[i]], v_ids[v_ids != q_ids[i]]
+            top = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k]) if len(s) > k else np.arange(len(s))
+            rows += [(q_ids[i], who[j], s[j]) for j in top[np.lexsort((who[top], -s[top]))[:k]]]
+        q_out, v_out, s_out = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.table({"query_id": pa.array(q_out, pa.int64()), "vec_id": pa.array(v_out, pa.int64()), "score": pa.array(s_out, pa.float64())})
+
+    return run
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, score, rank of the k most similar vectors of a stated, small query set (checked to be broadcastable).
+    """query_id, vec_id, score, rank of the k most similar vectors by cosine.
 
-    The queries' vectors are normalised once; only ids and scores are ranked.
+    Queries and vectors are dealt into blocks and every block of the one meets every block of the other: exact
+    cosines of all pairs, k of each pair of blocks kept. Only ids and scores are ranked.
     """
-    size = queries.count()
-    if size > 10_000:
-        raise ValueError("nearest() is for stated query sets; use a kNN join for more")
-    pairs = vectors.join(F.broadcast(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))), F.col("vec_id") != F.col("query_id"))
-    scored = pairs.select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+    n, m = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-vectors.count() // VECTOR_BLOCK))
+    each = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
+    dealt = lambda size: F.pmod(F.xxhash64("vec_id"), F.lit(size)).cast("int")
+    some = lambda df: df.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    asks = some(queries).select(F.lit(True).alias("ask"), dealt(n).alias("i"), each(m).alias("j"), "vec_id", "embedding")
+    held = some(vectors).select(F.lit(False).alias("ask"), each(n).alias("i"), dealt(m).alias("j"), "vec_id", "embedding")
+    scored = asks.unionByName(held).groupBy("i", "j").applyInArrow(_best_of_block(k), "query_id long, vec_id long, score double")
     return top_per_group(scored, ["query_id"], [F.desc("score"), "vec_id"], k)

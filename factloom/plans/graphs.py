@@ -18,28 +18,28 @@ def _(d: Data) -> DataFrame:
     return graph.undirected(d.active_edges).groupBy(F.col("u").alias("node")).agg(F.count("*").alias("n"), F.min("v").alias("first"))
 
 
-_TREE = "kg_tree AS (SELECT src AS u, dst AS v FROM kg_active WHERE rel_type <> 'PROVIDES' UNION SELECT dst, src FROM kg_active WHERE rel_type <> 'PROVIDES')"
+_STEPS = "kg_steps AS MATERIALIZED (SELECT src AS u, dst AS v FROM kg_active UNION SELECT dst, src FROM kg_active)"
 
 
-@query("g02_reach", f"""WITH RECURSIVE {_TREE}, w(seed, node, hops) AS (SELECT id, id, 0 FROM kg_nodes WHERE id IN ('supplier:1', 'customer:7', 'nation:3') UNION SELECT seed, v, hops + 1 FROM w JOIN kg_tree ON u = node WHERE hops < 3)
+@query("g02_reach", f"""WITH RECURSIVE {_STEPS}, w(seed, node, hops) AS (SELECT 'supplier:' || s_suppkey, 'supplier:' || s_suppkey, 0 FROM supplier WHERE s_suppkey % 20 = 0 UNION SELECT seed, v, hops + 1 FROM w JOIN kg_steps ON u = node WHERE hops < 3)
     SELECT seed, node, CAST(min(hops) AS INTEGER) AS hops FROM w GROUP BY 1, 2""")
 def _(d: Data) -> DataFrame:
-    """Shortest distances within three hops."""
-    seeds = d.nodes.where(F.col("id").isin("supplier:1", "customer:7", "nation:3")).select(F.col("id").alias("seed"))
-    return graph.reach(seeds, d.active_edges.where("rel_type <> 'PROVIDES'"), 3)
+    """Shortest distances within three hops of every 20th supplier, over all active edges."""
+    seeds = d.table("supplier").where("s_suppkey % 20 = 0").select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("seed"))
+    return graph.reach(seeds, d.active_edges, 3)
 
 
-@query("g03_ego_paths", f"""WITH RECURSIVE {_TREE}, w(seed, path, length) AS (SELECT id, [id], 0 FROM kg_nodes WHERE type = 'Section' UNION ALL SELECT seed, list_append(path, v), length + 1 FROM w JOIN kg_tree ON u = path[-1] WHERE length < 2 AND NOT list_contains(path, v))
+@query("g03_ego_paths", f"""WITH RECURSIVE {_STEPS}, w(seed, path, length) AS (SELECT id, [id], 0 FROM kg_nodes WHERE type IN ('Section', 'Topic') UNION ALL SELECT seed, list_append(path, v), length + 1 FROM w JOIN kg_steps ON u = path[-1] WHERE length < 3 AND NOT list_contains(path, v) AND (length < 2 OR starts_with(seed, 'region')))
     SELECT seed, array_to_string(path, '>') AS path, CAST(length AS INTEGER) AS length FROM w WHERE length > 0 QUALIFY row_number() OVER (PARTITION BY seed ORDER BY length, array_to_string(path, '>')) <= 24""")
 def _(d: Data) -> DataFrame:
-    """The first simple paths from each section."""
-    seeds = d.nodes.where("type = 'Section'").select(F.col("id").alias("seed"))
-    return graph.ego_paths(seeds, d.active_edges.where("rel_type <> 'PROVIDES'"), 2, 24)
+    """The first 24 simple paths of up to three hops from every section and topic, over all active edges."""
+    seeds = d.nodes.where("type IN ('Section', 'Topic')").select(F.col("id").alias("seed"))
+    return graph.ego_paths(seeds, d.active_edges, 3, 24)
 
 
-@query("g04_trail_strength", """WITH c AS (SELECT edge_id, count(DISTINCT chunk_id) AS chunks FROM kg_evidence WHERE status = 'active' GROUP BY 1)
-    SELECT p.id AS first, b.id AS second, round(least(1.0, 0.72 + 0.06 * chunks - 0.1 + 0.08 * ((p.weight + b.weight) / 2 - 1.0)), 6) AS strength
-    FROM kg_active p JOIN kg_active b ON b.src = p.src AND b.rel_type = 'BELONGS_TO' JOIN c ON c.edge_id = p.id WHERE p.rel_type = 'PROVIDES'""")
+@query("g04_trail_strength", """WITH c AS MATERIALIZED (SELECT edge_id, count(DISTINCT chunk_id) AS chunks FROM kg_evidence WHERE status = 'active' GROUP BY 1), a AS MATERIALIZED (SELECT id, src, rel_type, weight FROM kg_active),
+    p AS MATERIALIZED (SELECT a.*, chunks FROM a JOIN c ON c.edge_id = a.id WHERE rel_type = 'PROVIDES'), b AS MATERIALIZED (SELECT * FROM a WHERE rel_type = 'BELONGS_TO')
+    SELECT p.id AS first, b.id AS second, round(least(1.0, 0.72 + 0.06 * chunks - 0.1 + 0.08 * ((p.weight + b.weight) / 2 - 1.0)), 6) AS strength FROM p JOIN b ON b.src = p.src""")
 def _(d: Data) -> DataFrame:
     """Two-hop trails part - supplier - nation."""
     c = d.evidence.where("status = 'active'").groupBy(F.col("edge_id").alias("first")).agg(F.countDistinct("chunk_id").alias("chunks"))
@@ -84,7 +84,7 @@ def _(d: Data) -> DataFrame:
     return ordered.learned_weight(d.outcomes, "path_key", ["ts", "event_id"], "won")
 
 
-@query("g23_restore", "WITH old AS (SELECT id, weight FROM kg_edges WHERE length(id) % 2 = 0), now AS (SELECT id, weight * 0.5 AS weight FROM kg_active) SELECT now.id, coalesce(old.weight, now.weight) AS weight FROM now LEFT JOIN old ON old.id = now.id")
+@query("g23_restore", "WITH e AS MATERIALIZED (SELECT id, weight, status FROM kg_edges), old AS MATERIALIZED (SELECT id, weight FROM e WHERE length(id) % 2 = 0), now AS MATERIALIZED (SELECT id, weight * 0.5 AS weight FROM e WHERE status = 'active') SELECT now.id, coalesce(old.weight, now.weight) AS weight FROM now LEFT JOIN old ON old.id = now.id")
 def _(d: Data) -> DataFrame:
     version = d.edges.where(F.char_length("id") % 2 == 0).select("id", "weight")
     return graph.restored(d.active_edges.select("id", (F.col("weight") * 0.5).alias("weight")), version)

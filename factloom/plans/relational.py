@@ -27,10 +27,11 @@ def _aliases(d: Data) -> DataFrame:
 
 
 def _terms(d: Data) -> DataFrame:
-    return d.table("part").where("p_partkey % 20 = 3").select(F.lower(F.concat_ws(" ", "p_name", "p_brand")).alias("term")).union(d.table("supplier").where("s_suppkey % 10 = 1").select(F.lower("s_name").alias("term"))).distinct()
+    """Every part's name with its brand and every supplier's name."""
+    return d.table("part").select(F.lower(F.concat_ws(" ", "p_name", "p_brand")).alias("term")).union(d.table("supplier").select(F.lower("s_name").alias("term"))).distinct()
 
 
-_TERMS = "SELECT lower(p_name || ' ' || p_brand) AS term FROM part WHERE p_partkey % 20 = 3 UNION SELECT lower(s_name) FROM supplier WHERE s_suppkey % 10 = 1"
+_TERMS = "SELECT lower(p_name || ' ' || p_brand) AS term FROM part UNION SELECT lower(s_name) FROM supplier"
 
 
 @query("j02_name_or_alias", f"""WITH al AS ({_ALIASES}), t AS ({_TERMS})
@@ -40,15 +41,18 @@ def _(d: Data) -> DataFrame:
     return joins.resolve_exact(_terms(d), d.nodes, _aliases(d))
 
 
-@query("j03_fuzzy_link", """WITH t AS (SELECT lower(substr(s_name, 1, 12)) AS term FROM supplier WHERE s_suppkey % 25 = 1 UNION SELECT lower(p_name) || 's' FROM part WHERE p_partkey < 5),
-    c AS (SELECT term, id, CASE WHEN term = normalized_name THEN 0 WHEN starts_with(normalized_name, term) OR starts_with(term, normalized_name) THEN 1
-        WHEN (length(term) >= 5 AND contains(normalized_name, term)) OR (length(normalized_name) >= 5 AND contains(term, normalized_name)) THEN 2 END AS cls, abs(length(term) - length(normalized_name)) AS gap
-        FROM t JOIN kg_nodes ON length(term) >= 4 AND length(normalized_name) >= 4)
-    SELECT term, id, CAST(row_number() OVER w AS INTEGER) AS rank FROM c WHERE cls IS NOT NULL WINDOW w AS (PARTITION BY term ORDER BY cls, gap, id) QUALIFY row_number() OVER w <= 5""")
+@query("j03_fuzzy_link", f"""WITH al AS ({_ALIASES}), t AS (SELECT lower(substr(s_name, 1, 12)) AS term FROM supplier WHERE s_suppkey % 20 = 0 UNION SELECT lower(p_name) || 's' FROM part WHERE p_partkey % 20 = 0 UNION SELECT lower(p_brand) || ' x' FROM part WHERE p_partkey % 20 = 0),
+    n AS (SELECT id, normalized_name AS n FROM kg_nodes UNION SELECT node_id, normalized_alias FROM al),
+    c AS (SELECT term, id, CASE WHEN term = n THEN 0 WHEN starts_with(n, term) OR starts_with(term, n) THEN 1
+        WHEN (length(term) >= 5 AND contains(n, term)) OR (length(n) >= 5 AND contains(term, n)) THEN 2 END AS cls, abs(length(term) - length(n)) AS gap
+        FROM t JOIN n ON length(term) >= 4 AND length(n) >= 4),
+    b AS (SELECT term, id, min((cls, gap)) AS best FROM c WHERE cls IS NOT NULL GROUP BY ALL)
+    SELECT term, id, CAST(row_number() OVER w AS INTEGER) AS rank FROM b WINDOW w AS (PARTITION BY term ORDER BY best, id) QUALIFY row_number() OVER w <= 5""")
 def _(d: Data) -> DataFrame:
-    """Fuzzy entity link: exact, prefix, containment; closest in length first."""
-    t = d.table("supplier").where("s_suppkey % 25 = 1").select(F.lower(F.substring("s_name", 1, 12)).alias("term")).union(d.table("part").where("p_partkey < 5").select(F.concat(F.lower("p_name"), F.lit("s")).alias("term"))).distinct()
-    return joins.fuzzy_link(t, d.nodes, 5)
+    """Fuzzy entity link of every 20th name, by names and aliases: exact, prefix, containment; closest in length first."""
+    part = d.table("part").where("p_partkey % 20 = 0")
+    t = d.table("supplier").where("s_suppkey % 20 = 0").select(F.lower(F.substring("s_name", 1, 12)).alias("term")).union(part.select(F.concat(F.lower("p_name"), F.lit("s")))).union(part.select(F.concat(F.lower("p_brand"), F.lit(" x")))).distinct()
+    return joins.fuzzy_link(t, d.nodes.select("id", "normalized_name").unionByName(_aliases(d).select(F.col("node_id").alias("id"), F.col("normalized_alias").alias("normalized_name"))), 5)
 
 
 @query("j04_evidenced_count", "SELECT rel_type, count(DISTINCT v.edge_id) AS n FROM kg_evidence v JOIN kg_active e ON e.id = v.edge_id GROUP BY 1")
@@ -115,9 +119,11 @@ def _(d: Data) -> DataFrame:
     return best.select("edge_id", "b.quote", "b.confidence")
 
 
-@query("j14_missing_links", "SELECT id FROM kg_nodes WHERE type = 'Product' AND NOT EXISTS (SELECT 1 FROM kg_active e WHERE e.dst = kg_nodes.id)")
+@query("j14_missing_links", "SELECT id FROM kg_nodes WHERE type = 'Person' AND NOT EXISTS (SELECT 1 FROM kg_active e WHERE e.src = kg_nodes.id AND e.edge_class = 'asserted_fact')")
 def _(d: Data) -> DataFrame:
-    return d.nodes.where("type = 'Product'").select("id").join(d.active_edges.select(F.col("dst").alias("id")), "id", "left_anti")
+    """Persons that no active, asserted edge leaves."""
+    linked = d.active_edges.where("edge_class = 'asserted_fact'").select(F.col("src").alias("id"))
+    return d.nodes.where("type = 'Person'").select("id").join(linked, "id", "left_anti")
 
 
 @query("j15_chunk_titles", "SELECT v.id, coalesce(o.o_orderstatus, 'document') AS title FROM kg_evidence v LEFT JOIN orders o ON o.o_orderkey = v.chunk_id AND o.o_orderstatus <> 'P'")
@@ -143,12 +149,12 @@ def _(d: Data) -> DataFrame:
     return aggregates.path_success(held, "edge")
 
 
-@query("j21_case_outcomes", """WITH r AS (SELECT user_id, event_type, CAST(day(ts) AS INTEGER) AS g, max(value) > 25 AS ok FROM events WHERE user_id < 40 AND event_type IN ('view', 'click') AND day(ts) <= 2 GROUP BY ALL),
+@query("j21_case_outcomes", """WITH r AS (SELECT user_id, event_type, CAST(day(ts) AS INTEGER) AS g, max(value) > 25 AS ok FROM events WHERE day(ts) <= 2 GROUP BY ALL),
     a AS (SELECT * FROM r WHERE g = 1), b AS (SELECT * FROM r WHERE g = 2)
     SELECT coalesce(a.user_id, b.user_id) AS case_id, coalesce(a.event_type, b.event_type) AS kind, coalesce(CAST(a.ok AS VARCHAR), 'unknown') AS first, coalesce(CAST(b.ok AS VARCHAR), 'unknown') AS last FROM a FULL JOIN b ON a.user_id = b.user_id AND a.event_type = b.event_type""")
 def _(d: Data) -> DataFrame:
     """Cases of two generations side by side, missing ones unknown."""
-    r = d.events.where("user_id < 40 AND event_type IN ('view', 'click') AND day(ts) <= 2").groupBy("user_id", "event_type", F.dayofmonth("ts").alias("g")).agg((F.max("value") > 25).alias("ok"))
+    r = d.events.where("day(ts) <= 2").groupBy("user_id", "event_type", F.dayofmonth("ts").alias("g")).agg((F.max("value") > 25).alias("ok"))
     of = lambda g, name: r.where(F.col("g") == g).select(F.col("user_id").alias("case_id"), F.col("event_type").alias("kind"), F.col("ok").cast("string").alias(name))
     both = of(1, "first").join(of(2, "last"), ["case_id", "kind"], "full")
     return both.select("case_id", "kind", F.coalesce("first", F.lit("unknown")).alias("first"), F.coalesce("last", F.lit("unknown")).alias("last"))
@@ -315,11 +321,11 @@ def _(d: Data) -> DataFrame:
     return aggregates.sla(_debt_in(d), F.col("cover"), F.col("unanswered"), F.col("conflicts")).select("k", "passing", "cta")
 
 
-@query("a23_value_conflicts", """WITH f AS (SELECT 'brand:' || p_brand AS src, CAST(floor(p_retailprice / 50) * 50 AS BIGINT) AS amount FROM part WHERE p_size <= 2)
+@query("a23_value_conflicts", """WITH f AS (SELECT 'brand:' || p_brand AS src, CAST(floor(p_retailprice / 50) * 50 AS BIGINT) AS amount FROM part)
     SELECT src, count(DISTINCT amount) AS n, string_agg(DISTINCT CAST(amount AS VARCHAR), ',' ORDER BY CAST(amount AS VARCHAR)) AS amounts FROM f GROUP BY 1 HAVING count(DISTINCT amount) >= 2""")
 def _(d: Data) -> DataFrame:
     """Entities whose values disagree."""
-    f = d.table("part").where("p_size <= 2").select(F.concat(F.lit("brand:"), "p_brand").alias("src"), (F.floor(F.col("p_retailprice") / 50) * 50).cast("long").alias("amount"))
+    f = d.table("part").select(F.concat(F.lit("brand:"), "p_brand").alias("src"), (F.floor(F.col("p_retailprice") / 50) * 50).cast("long").alias("amount"))
     return aggregates.value_conflicts(f)
 
 
@@ -422,10 +428,10 @@ def _(d: Data) -> DataFrame:
     return _daily(d).groupBy("ws").agg(drift.alias("drift"), (drift >= 3).alias("flagged"))
 
 
-@query("w08_transitions", """WITH r AS (SELECT user_id, CAST(ts AS DATE) AS day, max(value) > 25 AS ok FROM events WHERE user_id < 60 GROUP BY ALL), t AS (SELECT *, lag(ok) OVER (PARTITION BY user_id ORDER BY day) AS was FROM r)
+@query("w08_transitions", """WITH r AS (SELECT user_id, CAST(ts AS DATE) AS day, max(value) > 25 AS ok FROM events GROUP BY ALL), t AS (SELECT *, lag(ok) OVER (PARTITION BY user_id ORDER BY day) AS was FROM r)
     SELECT user_id, count(*) FILTER (WHERE ok AND NOT was) AS newly_passed, count(*) FILTER (WHERE NOT ok AND was) AS newly_failed FROM t GROUP BY 1""")
 def _(d: Data) -> DataFrame:
-    r = d.events.where("user_id < 60").groupBy("user_id", F.to_date("ts").alias("day")).agg((F.max("value") > 25).alias("ok"))
+    r = d.events.groupBy("user_id", F.to_date("ts").alias("day")).agg((F.max("value") > 25).alias("ok"))
     t = r.withColumn("was", F.lag("ok").over(Window.partitionBy("user_id").orderBy("day")))
     return t.groupBy("user_id").agg(F.count_if(F.col("ok") & ~F.col("was")).alias("newly_passed"), F.count_if(~F.col("ok") & F.col("was")).alias("newly_failed"))
 
@@ -457,11 +463,12 @@ def _(d: Data) -> DataFrame:
 # --- top-k ---------------------------------------------------------------------------------------
 
 
-@query("t01_nearest", """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id < 20 AND q.vec_id <> v.vec_id)
+@query("t01_nearest", """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id)
     SELECT query_id, vec_id, score, CAST(row_number() OVER w AS INTEGER) AS rank FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 6""")
 def _(d: Data) -> DataFrame:
+    """The nearest of every 20th vector."""
     v = d.table("embeddings")
-    return topk.nearest(v.where("vec_id < 20"), v, 6)
+    return topk.nearest(v.where("vec_id % 20 = 0"), v, 6)
 
 
 @query("t02_top_quotes", "SELECT edge_id, id, confidence FROM kg_evidence WHERE status = 'active' QUALIFY row_number() OVER (PARTITION BY edge_id ORDER BY confidence DESC, id) <= 2")
@@ -540,11 +547,11 @@ def _(d: Data) -> DataFrame:
     return d.active_edges.where("src <> dst").groupBy("src", "dst", "rel_type", "edge_class").agg(F.min("id").alias("id"))
 
 
-@query("d09_conflict_pairs", """WITH f AS (SELECT DISTINCT p_brand AS src, CAST(floor(p_retailprice / 100) * 100 AS BIGINT) AS amount FROM part WHERE p_size = 1)
+@query("d09_conflict_pairs", """WITH f AS (SELECT DISTINCT p_brand AS src, CAST(floor(p_retailprice / 20) * 20 AS BIGINT) AS amount FROM part)
     SELECT x.src, x.amount AS low, y.amount AS high FROM f x JOIN f y ON x.src = y.src AND x.amount < y.amount""")
 def _(d: Data) -> DataFrame:
     """Pairs of distinct amounts of one entity: amounts are collapsed before they are paired."""
-    f = d.table("part").where("p_size = 1").select(F.col("p_brand").alias("src"), (F.floor(F.col("p_retailprice") / 100) * 100).cast("long").alias("amount")).distinct()
+    f = d.table("part").select(F.col("p_brand").alias("src"), (F.floor(F.col("p_retailprice") / 20) * 20).cast("long").alias("amount")).distinct()
     return f.withColumnRenamed("amount", "low").join(f.withColumnRenamed("amount", "high"), "src").where("low < high").select("src", "low", "high")
 
 
@@ -554,8 +561,10 @@ def _(d: Data) -> DataFrame:
     return _aliases(d).join(keep, ["node_id", "normalized_alias"], "left_anti")
 
 
-@query("d11_shared_tokens", """WITH t AS (SELECT DISTINCT item_id, lower(unnest(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' '))) AS w FROM benchmark)
-    SELECT DISTINCT x.item_id AS a, y.item_id AS b FROM t x JOIN t y ON x.w = y.w AND x.item_id < y.item_id AND length(x.w) >= 12""")
+@query("d11_shared_tokens", r"""WITH t AS (SELECT id, conv_id, turn, list_sort(list_distinct(list_filter(regexp_extract_all(lower(content), '[a-z0-9]+'), lambda w: length(w) >= 5))) AS w FROM messages), p AS (SELECT id, w, lag(w) OVER (PARTITION BY conv_id ORDER BY turn, id) AS was FROM t)
+    SELECT id, len(list_intersect(w, was)) > 0 AS shared, CAST(len(list_intersect(w, was)) AS INTEGER) AS n FROM p WHERE was IS NOT NULL""")
 def _(d: Data) -> DataFrame:
-    w = d.table("benchmark").select("item_id", F.explode(F.split(F.lower(F.regexp_replace("text", r"\s+", " ")), " ")).alias("w")).where(F.char_length("w") >= 12).distinct()
-    return w.withColumnRenamed("item_id", "a").join(w.withColumnRenamed("item_id", "b"), "w").where("a < b").select("a", "b").distinct()
+    """Whether a turn shares a token of five characters or more with the one before it."""
+    w = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("content"), F.lit("[a-z0-9]+"), F.lit(0)), lambda x: F.char_length(x) >= 5))
+    t = d.messages.select("id", w.alias("w"), F.lag(w).over(Window.partitionBy("conv_id").orderBy("turn", "id")).alias("was")).where("was IS NOT NULL")
+    return t.select("id", F.arrays_overlap("w", "was").alias("shared"), F.size(F.array_intersect("w", "was")).alias("n"))
