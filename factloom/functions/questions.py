@@ -5,41 +5,217 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from factloom.functions.arrays import distinct_ci, found, let, lowered, strings, without
+
 #: Requests for secrets.
 SECRETS = (r"\bpassword\b", r"\bapi[_ -]?key\b", r"\bsecret\b", r"\bssn\b", r"\bsocial security\b", r"\bprivate key\b", r"\bbearer token\b")
 #: Questions about the shape of the graph.
-STRUCTURAL = r"\b(who owns|who (is )?responsible|how (is|are|does|do) .+ related|what('s| is) the relationship between|does .+ (require|depend|need)|is .+ required|must .+ (require|use|have)|supersede|conflict(s|ing)? with|depends on|governed by|part of|belongs to|related to|applies to|defined as)\b"
-#: Comparisons, and the shapes of evidence in the order they are tried.
+STRUCTURAL = r"\b(who owns|who (?:is )?responsible|how (?:is|are|does|do) .+ related|what(?:'s| is) the relationship between|does .+ (?:require|depend|need)|is .+ required|must .+ (?:require|use|have)|supersede|conflict(?:s|ing)? with|depends on|governed by|part of|belongs to|related to|applies to|defined as)\b"
+#: Words that mark a question for the knowledge base.
+KNOWLEDGE = r"\b(what|why|when|where|which|who|whom|whose|how\s+(?:do|does|did|can|could|would|should|is|are|was|were|to|much|many)|explain|define|describe|compare|difference|summarize|overview|tell\s+me|list|show|help\s+me\s+(?:with|understand)|does|is\s+there|are\s+there|can\s+(?:i|we|you)|policy|license|agreement|requirement|compliance|specification|standard)\b"
+#: Comparisons, their sides, and codes.
 COMPARE_FRAME = r"\b(compare|comparison|comparing|difference|differences|differ|versus|vs\.?|between)\b"
-COMPARE_JOIN = r"\b(and|vs\.?|versus|between)\b"
-VERSUS = r"\b.+\s+(vs\.?|versus)\s+.+"
+COMPARE_JOIN = r"\b(?:and|vs\.?|versus|between)\b"
+VERSUS = r"\b.+\s+(?:vs\.?|versus)\s+.+"
+SIDES = (
+    r"\b(?:compare|comparing|comparison\s+of)\s+(.+?)\s+(?:and|vs\.?|versus)\s+(.+?)(?:\?|$)",
+    r"\b(?:difference|differences)\s+between\s+(.+?)\s+and\s+(.+?)(?:\?|$)",
+    r"\b(.+?)\s+(?:vs\.?|versus)\s+(.+?)(?:\?|$)",
+)
+SIDE_LEAD = r"^(?:the|a|an|compare|comparing|difference|differences|between)\s+"
+CODE = r"\b([A-Za-z]{1,8}\d{2,})\b"
+#: Shapes of evidence.
 OUTSIDE = r"\b(weather|forecast|temperature|humidity|capital of|stock price|lottery|sports score)\b"
-SINGLE_ROLE = r"\bwho\s+(is|was)\b.{0,80}\b(ceo|coo|cfo|cto|cmo|chro|cio|clo|chairman|chairwoman|chair|president)\b"
+SINGLE_ROLE = r"\bwho\s+(?:is|was)\b.{0,80}\b(ceo|coo|cfo|cto|cmo|chro|cio|clo|chairman|chairwoman|chair|president|chief\s+[\w]+(?:\s+(?:and\s+|&)\s+[\w]+)*(?:\s+[\w]+){0,3}\s+officer)\b"
+ATTRIBUTE = r"\bwho\s+is\b|\bwho\s+was\b|\bwhat\s+is\s+.+\s+(title|role|position)\b|\b(ceo|coo|cfo|cto|cmo|chro|chairman|president|chief\s+\w+(?:\s+\w+)?\s+officer)\s+of\b|\bwho\s+(?:is\s+)?(?:the\s+)?(ceo|coo|cfo|cto|cmo|chro|chairman|president|chief\s+[\w]+(?:\s+(?:and\s+)?[\w]+){0,4}\s+officer)\b"
 WHO_IS = r"^\s*who\s+is\b"
 HOW_TO = r"\b(how\s+(do|can|to|does|should)|steps?\b|renew|process|procedure|install|configure|set\s*up|enable)\b"
-DEFINE = r"\b(what\s+is|what\s+are|what'?s|define|definition\s+of|meaning\s+of|name\s+some|list\s+some|what\s+capabilities|what\s+services)\b"
+DEFINE = r"\b(what\s+is|what\s+are|what'?s|define|definition\s+of|meaning\s+of|name\s+some|list\s+some|name\s+(?:the|a few)|what\s+capabilities|what\s+services)\b"
 FACTOID = r"\b(when|where|how\s+many|how\s+much|how\s+long|how\s+old|which\s+year|what\s+date|located|address|office\s+in)\b"
+#: Questions for a roster of people, for one officer, and for a team that isn't named.
+ROSTER = r"\b(leadership|executive|executives|c-?suite|board(?:\s+of\s+directors)?|officers?|management\s+team|senior\s+leaders?)\b"
+ROSTER_WHO = r"\b(who|whom|which|names?|roster|members?|compose[sd]?|on\s+the|list|tell\s+me\s+about)\b"
+OFFICER_ROLE = r"(ceo|coo|cfo|cto|cmo|chro|cio|clo|chairman|chairwoman|chair|president|chief\s+\w+(?:\s+(?:and|&)\s+\w+)*(?:\s+\w+){0,3}\s+officer)\b"
+TEAM_ONLY = r"^\s*(the\s+)?team\s*\??\s*$"
+TEAM_WHO = r"\bwho\b.{0,40}\bteam\b|\bteam\b.{0,40}\bwho\b|\bwho all\b|\bmembers of (the |our )?team\b|\bwho(?:'s| is| are) (on |in )?(the |our )?team\b"
+#: Questions about whole documents, and what rules them out.
+FACTUAL = r"\b(difference|differences|compare|comparison|versus|vs\.?)\b|\bwhat\s+are\b|\bwhat\s+is\s+(?!this\b)(?!there\b)|\bhow\s+(does|do|is|are)\b|\b(security\s+level|output\s+protection)\b|\b(require|required|must|owns?|supersede)\b"
+DEICTIC = r"\b(this|these|the)\s+(document|file|pdf|one|upload|resume|cv)\b|\bwhose\s+(document|file|pdf|resume|cv)\b|\bwhat\s+is\s+this\b|\bwho(se|'s)?\s+is\s+this\b"
+OVERVIEW = (
+    r"what['’]?s?\s+there\b", r"what\s+is\s+there\b", r"what('?s|\s+is)\s+in\s+(this|the|my)\b", r"what\s+does\s+(this|the)\s+.+\s+(say|cover|contain|include)\b", r"whose\s+(document|file|pdf|resume|cv)\b",
+    r"who(se|'s)?\s+(is\s+)?this\s+(document|file|pdf|resume|cv)\b", r"who\s+(owns|wrote|uploaded)\s+this\b", r"what\s+is\s+this\s+(document|file|pdf|resume|cv)\b", r"contents?\s+of\s+(this|the)\b", r"summarize\s+(this|the)\b",
+    r"\boverview\s+of\s+(this|the)\b", r"tell\s+me\s+about\s+(this|the)\s+(document|file|pdf|agreement|resume|cv)\b", r"what\s+do\s+we\s+know\s+about\s+(this|the)\s+(document|file|pdf)\b", r"in\s+(this|the)\s+(agreement|document|pdf|contract|license|resume|cv)\b",
+)
+WHAT_DOCUMENT = r"^(what|whats|what's)\b.+\b(agreement|contract|license|resume|cv)\b"
+#: Questions for a person's papers, what rules them out, and words that are no names.
+CANDIDATE = r"\bcandidate\b|\bresume\b|\bcv\b|\bnamed\b|\bnames?\s+[A-Z][a-z]|is\s+there\s+(any|a)\b|do\s+we\s+have\b|anyone\s+named\b|person\s+named\b"
+CANDIDATE_CUE = r"\b(candidate|resume|cv|named)\b"
+NO_CANDIDATE = r"\b(difference|compare|versus|vs\.?|between)\b|\bname\s+(some|a\s+few|the|any|our|their)\b|\b(capabilities|services|offerings?|features|products|pathways)\b"
+NO_NAMES = "is there any a an the named name names candidate candidates resume resumes cv do we have anyone person called about what who does with from can could would should you your please how why when where which whats compare difference between versus agreement contract license document policy level levels".split()
+#: Words that are no search terms, and words that are weak ones.
+NO_TERMS = (
+    "what whats which where when who whom whose why how can could would should does did are is the and for from with about tell me you your please difference differences between compare comparison versus them their this that these those have has any there into over under than then also just like know give show "
+    "explain describe list define definition levels level document documents file files pdf name some roughly about does offer offers one two three four five six seven eight nine ten several various main key team teams leadership leader leaders executive executives management"
+).split()
+WEAK_TERMS = "document documents file files pdf please tell know give show explain describe define difference differences compare comparison versus between name some roughly long many much offer offers one two three four five several various main key".split()
+VAGUE = "about team teams page home site menu contact learn more click here read see view info information general overview introduction leadership leader leaders executive executives management".split()
+#: Verbs, officers' full titles and phrases that a question's terms are completed with.
+VERBS = ("renew", "renewal", "install", "configure", "enable", "disable")
+OFFICERS = (("ceo", "chief executive officer", "chief executive"), ("cfo", "chief financial officer", "chief financial"), ("cto", "chief technology officer", "chief technology"), ("coo", "chief operating officer", "chief operating"))
+PHRASES = ("transformation pathways", "transformation pathway", "ai transformation", "what we do")
+OFFERED = ("capabilities", "services", "offerings", "solutions")
 
 
-def _has(q: Column, pattern: str) -> Column:
+def has(q: Column, pattern: str) -> Column:
     return q.rlike("(?i)" + pattern)
 
 
+def _words(*ws: str) -> Column:
+    return F.array(*map(F.lit, ws))
+
+
 def asks_secret(q: Column) -> Column:
-    return _has(q, "|".join(SECRETS))
+    return has(q, "|".join(SECRETS))
 
 
 def is_structural(q: Column) -> Column:
     return F.lower(q).rlike(STRUCTURAL)
 
 
+def is_knowledge(q: Column, greeting: Column) -> Column:
+    """Long messages, and those with a hint and three words, belong to the knowledge base without further asking."""
+    words = F.size(found(q, "[A-Za-z0-9']+"))
+    return ~greeting & ((F.char_length(F.trim(q)) >= 100) | (has(q, KNOWLEDGE) & (words >= 3)))
+
+
+def codes(q: Column) -> Column:
+    return found(q, CODE, 1)
+
+
 def is_comparison(q: Column) -> Column:
-    return (_has(q, COMPARE_FRAME) & _has(q, COMPARE_JOIN)) | _has(q, VERSUS)
+    return (has(q, COMPARE_FRAME) & (has(q, COMPARE_JOIN) | (F.size(codes(q)) >= 2))) | has(q, VERSUS)
+
+
+def compare_sides(q: Column) -> Column:
+    """Up to four things that are compared: the sides of the first pattern that fits, and codes; two codes or more stand alone."""
+    edges = "^[ \\t\"'.,]+|[ \\t\"'.,]+$"
+
+    def side(pattern: str, group: int) -> Column:
+        s = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract(q, "(?i)" + pattern, group), edges, ""), r"\s+", " "))
+        return F.regexp_replace(F.regexp_replace(s, "(?i)" + SIDE_LEAD, ""), edges, "")
+
+    named = strings()
+    for p in reversed(SIDES):
+        a, b = side(p, 1), side(p, 2)
+        named = F.when((a != "") & (b != "") & (F.lower(a) != F.lower(b)), F.array(a, b)).otherwise(named)
+
+    def chosen(all_sides: Column) -> Column:
+        coded = F.filter(all_sides, lambda s: s.rlike(r"^[A-Za-z]{1,8}\d{2,}$"))
+        return F.slice(F.when(F.size(coded) >= 2, coded).otherwise(all_sides), 1, 4)
+
+    return let(distinct_ci(F.concat(named, codes(q))), chosen)
+
+
+def is_overview(q: Column) -> Column:
+    """Questions about what a document holds; questions for facts aren't."""
+    return ~has(q, FACTUAL) & (has(q, DEICTIC) | has(q, "|".join(OVERVIEW)) | has(q, WHAT_DOCUMENT))
+
+
+def is_deictic(q: Column) -> Column:
+    return has(q, DEICTIC)
+
+
+def query_names(q: Column) -> Column:
+    """Likely names of persons: capitalised spans, and words that ``named`` and the like announce."""
+    known = lambda n: ~F.lower(n).isin(*NO_NAMES)
+    spans = F.filter(found(q, r"\b([A-Z][a-z]{1,30}(?:\s+[A-Z][a-z]{1,30}){0,2})\b", 1), known)
+    told = F.filter(found(q, r"(?i)\b(?:named|names|name|called|candidate)\s+([a-z][a-z'-]{1,30})\b", 1), known)
+    return distinct_ci(F.concat(spans, F.transform(told, lambda n: F.concat(F.upper(F.substring(n, 1, 1)), F.lower(F.substring(n, 2, 99))))))
+
+
+def is_candidate(q: Column) -> Column:
+    return ~has(q, NO_CANDIDATE) & (F.size(query_names(q)) > 0) & (has(q, CANDIDATE) | has(q, CANDIDATE_CUE))
+
+
+def is_roster(q: Column) -> Column:
+    """Questions for the people of a leadership or board, not for one officer."""
+    low = F.trim(F.lower(q))
+    one = low.rlike(r"\bwho\s+(?:is|was)\b.{0,80}\b" + OFFICER_ROLE)
+    return low.rlike(ROSTER) & ~one & (low.rlike(ROSTER_WHO) | (F.size(found(low, "[a-zA-Z]+")) <= 7) | low.contains("?"))
+
+
+def is_officer(q: Column) -> Column:
+    return has(q, r"\bwho\s+(?:is|was)\b.{0,100}\b" + OFFICER_ROLE)
+
+
+def needs_team(q: Column) -> Column:
+    """Questions for a team that don't say which."""
+    low = F.trim(F.lower(q))
+    return ~low.rlike(ROSTER) & (low.rlike(TEAM_ONLY) | low.rlike(TEAM_WHO))
 
 
 def evidence_shape(q: Column) -> Column:
     """The evidence a question needs; questions about the world outside stay open."""
+    one = has(q, SINGLE_ROLE)
     return (
-        F.when(_has(q, OUTSIDE), "open").when(is_comparison(q), "compare").when(_has(q, SINGLE_ROLE) | _has(q, WHO_IS), "attribute")
-        .when(_has(q, HOW_TO), "how_to").when(_has(q, DEFINE), "define").when(_has(q, FACTOID), "factoid").otherwise("open")
+        F.when(F.trim(q) == "", "open").when(has(q, OUTSIDE), "open").when(needs_team(q), "list_people").when(is_comparison(q), "compare")
+        .when(one | (has(q, ATTRIBUTE) & ~has(q, DEFINE) & ~is_roster(q)), "attribute").when(is_roster(q) & ~one, "list_people").when(has(q, WHO_IS), "attribute")
+        .when(has(q, HOW_TO), "how_to").when(has(q, DEFINE), "define").when(has(q, FACTOID), "factoid").otherwise("open")
     )
+
+
+def distinctive_terms(q: Column) -> Column:
+    """Up to twelve terms worth looking for: codes, quoted and capitalised spans, neighbouring words, words, acronyms."""
+    stop = lambda w: F.lower(w).isin(*NO_TERMS)
+
+    def spans(w: Column) -> Column:
+        def at(i: Column) -> Column:
+            two, third = F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)), F.get(w, i + 2)
+            more = F.when(third.isNotNull() & ~stop(third), F.array(F.concat_ws(" ", two, third))).otherwise(strings())
+            return F.when(stop(F.get(w, i)) | stop(F.get(w, i + 1)), strings()).otherwise(F.concat(F.array(two), more))
+
+        return F.when(F.size(w) > 1, F.flatten(F.transform(F.sequence(F.lit(0), F.size(w) - 2), at))).otherwise(strings())
+
+    phrases = let(found(q, "[A-Za-z][A-Za-z0-9_-]{2,}"), spans)
+    words = F.filter(F.concat(found(q, "[A-Za-z][A-Za-z0-9_-]{3,}"), found(q, r"\b[A-Z]{2,4}\b")), lambda w: ~stop(w))
+    quoted = F.transform(found(q, "[\"']([^\"']{3,80})[\"']", 1), lambda t: F.trim(t))
+    return distinct_ci(F.concat(found(q, r"\b([A-Z]{2,}\d{2,}|\d{3,}[A-Z]+|[A-Z]{3,}\d+)\b", 1), quoted, found(q, r"\b([A-Z][a-z0-9]+(?:\s+[A-Z][a-z0-9]+){1,4})\b", 1), phrases, words), 12)
+
+
+def required_terms(q: Column) -> Column:
+    """Up to fourteen terms that evidence should cover: the distinctive ones, standards in front, and what verbs, officers and offers add."""
+    low = F.lower(q)
+    kept = let(distinctive_terms(q), lambda t: F.when(F.size(t) > 2, F.filter(t, lambda x: ~F.lower(x).isin(*WEAK_TERMS))).otherwise(t))
+    standard = r"\b([A-Z]{2,})\s*[- ]?\s*(\d{2,}(?:\.\d+)?)\b"
+    both = F.flatten(F.zip_with(found(q, standard, 1), found(q, standard, 2), lambda a, b: F.array(F.concat_ws(" ", a, b), F.concat(a, b))))
+    front = F.concat(found(q, r"\b([A-Z]{2,}\d{2,})\b", 1), both)
+    out = let(kept, lambda t: F.concat(F.reverse(F.array_distinct(F.filter(front, lambda x: ~F.array_contains(t, x)))), t))
+    added = [F.when(low.contains(v), F.array(F.lit(v))).otherwise(strings()) for v in VERBS]
+    added += [F.when(low.rlike(rf"\b{short}\b"), _words(*full)).otherwise(strings()) for short, *full in OFFICERS]
+    out = let(out, lambda t: F.concat(t, without(F.concat(*added), lowered(t))))
+    said = F.concat(*(F.when(low.contains(p), F.array(F.lit(p))).otherwise(strings()) for p in PHRASES))
+    out = let(out, lambda t: F.concat(F.reverse(without(said, lowered(t))), t))
+    offers = low.rlike(r"\b(capabilities|services|offerings?|solutions)\b") & low.rlike(r"\b(name|list|offer|what|which)\b")
+    asked = F.concat(*(F.when(low.contains(p), F.array(F.lit(p))).otherwise(strings()) for p in OFFERED))
+    plain = lambda t: F.filter(F.concat(t, without(asked, lowered(t))), lambda x: ~x.rlike(r"(?i)^capabilities\s+\w+$"))
+    return let(out, lambda t: F.slice(F.when(offers, plain(t)).otherwise(t), 1, 14))
+
+
+def question_terms(q: Column) -> Column:
+    """Codes, quoted spans, words of four characters and acronyms; vague words aren't terms."""
+    words = F.filter(found(q, "[A-Za-z][A-Za-z0-9_-]{3,}"), lambda w: ~F.lower(w).isin(*VAGUE))
+    quoted = F.transform(found(q, "[\"']([^\"']{3,80})[\"']", 1), lambda t: F.trim(t))
+    return distinct_ci(F.filter(F.concat(found(q, r"\b([A-Z]{2,}\d{2,}|\d{3,}[A-Z]+|[A-Z]{3,}\d+)\b", 1), quoted, words, found(q, r"\b[A-Z]{2,4}\b")), lambda t: F.char_length(t) >= 2))
+
+
+def anchors(q: Column) -> Column:
+    """Spans that a supporting quote should name, longest first."""
+    lead = "(?i)^(?:(?:did|does|do|is|are|was|were|what|who|how|when|where|why|which|can|could|would|should)(?:\\s+|$))+"
+    spans = F.transform(found(q, r"\b([A-Z][a-z0-9]+(?:\s+[A-Z][a-z0-9]+){1,5})\b", 1), lambda s: F.regexp_replace(F.regexp_replace(s, r"\s+", " "), lead, ""))
+    spans = F.filter(spans, lambda s: s.contains(" ") | (F.char_length(s) >= 4))
+    standard = r"\b([A-Z]{2,})\s*[- ]?\s*(\d{2,}(?:\.\d+)?)\b"
+    both = F.flatten(F.zip_with(found(q, standard, 1), found(q, standard, 2), lambda a, b: F.array(F.concat_ws(" ", a, b), F.concat(a, b))))
+    quoted = F.transform(found(q, "[\"']([^\"']{3,80})[\"']", 1), lambda t: F.trim(t))
+    every = F.filter(F.concat(quoted, spans, codes(q), both), lambda t: F.char_length(t) >= 3)
+    placed = F.transform(every, lambda t, i: F.struct((-F.char_length(t)).alias("size"), i.alias("at"), t.alias("t")))
+    return distinct_ci(F.transform(F.array_sort(placed), lambda x: x["t"]))

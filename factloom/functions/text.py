@@ -5,10 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Moderation keyword and pattern lists (those that the checks below need).
+#: Moderation keywords and patterns, in the order of their classes.
+THREAT = (r"\b(i\s+will\s+(kill|hurt|rape)|rape\s+you|bomb\s+you)\b", r"\b(terrorist\s+attack|make\s+a\s+bomb)\b")
+HATE = (r"\b(nigg(?:er|a)|faggot|\bfag\b|tranny|kike|spic|chink|wetback)\b",)
+SEXUAL_WORDS = (
+    "sex sexy sexier sexiest sexual sexually porn porno pornography xxx onlyfans hentai nude nudes naked boobs tits pussy vagina penis cock dick blowjob handjob cybersex orgasm erotic fetish horny nsfw babe babes bae slut whore hookup booty"
+).split()
+SEXUAL = (
+    r"\b(have|want|do|need|lets?|let'?s)\s+(a\s+|some\s+|to\s+)?sex\b",
+    r"\bsex\s+(with|chat|talk|please|now|tonight)\b",
+    r"\b(fuck\s+me|send\s+(nudes|pics)|dick\s*pic)\b",
+    r"\b(hot\s*stuff|make\s+love|sleep\s+with\s+me|kiss\s+me)\b",
+    r"\b(date\s+me|marry\s+me|love\s+you\s+baby)\b",
+    r"\b(how\s+are\s+you|hi|hello|hey)\b.+\b(sexy|hot|babe|baby|darling|sweetheart)\b",
+    r"\b(sexy|hot|babe|baby|darling|sweetheart)\b.+\b(how\s+are\s+you|hi|hello|hey)\b",
+    r"\b(are\s+you\s+single|wanna\s+hook\s*up|hook\s*up\s+tonight|netflix\s+and\s+chill)\b",
+    r"\bmasturbat\w*\b",
+)
 ABUSE_WORDS = ("asshole", "bastard", "bitch", "bitches", "cunt", "motherfucker", "dipshit", "shithead", "dumbass", "jackass", "bullshit")
-ABUSE = r"\b(fuck\s+you|screw\s+you|damn\s+you)\b|\b(kill\s+yourself|kys)\b|\b(go\s+to\s+hell|piece\s+of\s+shit)\b|\bf+u+c+k+(?:ing|er|ed|off)?\b|\bs+h+i+t+(?:ty)?\b|\b(idiot|moron|retard(?:ed)?)\b"
-THREAT = r"\b(i\s+will\s+(kill|hurt|rape)|rape\s+you|bomb\s+you)\b|\b(terrorist\s+attack|make\s+a\s+bomb)\b"
+ABUSE = (
+    r"\b(fuck\s+you|screw\s+you|damn\s+you)\b",
+    r"\b(kill\s+yourself|kys)\b",
+    r"\b(go\s+to\s+hell|piece\s+of\s+shit)\b",
+    r"\bf+u+c+k+(?:ing|er|ed|off)?\b",
+    r"\bs+h+i+t+(?:ty)?\b",
+    r"\b(idiot|moron|retard(?:ed)?)\b",
+)
 GREETING = r"^\s*(hi|hello|hey|howdy|hola|namaste|yo|good\s*(morning|afternoon|evening|day)|greetings|(hi|hello|hey)\s+(there|friend|folks|everyone|all|team)|what'?s\s+up|how\s+are\s+you(?:\s+doing)?|how\s+do\s+you\s+do|nice\s+to\s+(?:meet|see)\s+you)[\s!?.,]*$"
 #: Chrome phrases, each worth .35.
 BOILERPLATE = (
@@ -50,12 +72,16 @@ def entity_name(t: Column) -> Column:
 
 
 def moderation(t: Column) -> Column:
-    """Reason code of a blocked question, or null: threats, then abuse."""
+    """Reason code of a blocked question, or null: threats, hate, sexual content, abuse."""
     low = F.regexp_replace(F.regexp_replace(F.lower(stripped(t)), r"[*._-]+", " "), r"\s+", " ")
     plain = F.translate(low, "013@", "oiea")
     both = F.concat_ws("\n", t, plain)
     words = F.regexp_extract_all(plain, F.lit("[a-z]+"), F.lit(0))
-    return F.when(both.rlike("(?i)" + THREAT), "INAPPROPRIATE_THREAT").when(F.arrays_overlap(words, F.array(*map(F.lit, ABUSE_WORDS))) | both.rlike(f"(?i)({ABUSE})"), "INAPPROPRIATE_ABUSE")
+    any_of = lambda patterns: both.rlike("(?i)" + "|".join(patterns))
+    one_of = lambda listed: F.arrays_overlap(words, F.array(*map(F.lit, listed)))
+    return (
+        F.when(any_of(THREAT), "INAPPROPRIATE_THREAT").when(any_of(HATE), "INAPPROPRIATE_HATE").when(one_of(SEXUAL_WORDS) | any_of(SEXUAL), "INAPPROPRIATE_SEXUAL").when(one_of(ABUSE_WORDS) | any_of(ABUSE), "INAPPROPRIATE_ABUSE")
+    )
 
 
 def is_greeting(t: Column) -> Column:

@@ -94,3 +94,11 @@ def ancestors(path: Column) -> Column:
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
     steps = F.when(F.size(parts) > 1, F.sequence(F.size(parts) - 1, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
     return F.when(F.size(parts) > 0, F.concat(F.transform(steps, lambda n: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), n), "/"))), F.array(F.lit("/")))).otherwise(F.array().cast("array<string>"))
+
+
+#: Questions for news.
+CHRONICLE_ASKED = r"\b(news|press|blog|announced|announcement|insights?\s+blog|podcast|webinar|yesterday|last\s+week)\b"
+
+
+def asks_chronicle(q: Column) -> Column:
+    return q.rlike("(?i)" + CHRONICLE_ASKED)

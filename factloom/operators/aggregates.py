@@ -104,3 +104,10 @@ def hygiene(nodes: DataFrame, edges: DataFrame, outcomes: DataFrame) -> DataFram
     for p in parts[1:]:
         out = out.union(p)
     return out
+
+
+def trust_status(nodes: Column, conflicting: Column, asks: Column, grounded: Column, evidence: Column) -> Column:
+    """building without nodes, review with conflicts or ungrounded answers, trusted with enough evidence."""
+    review = conflicting | ((asks >= 3) & (grounded < 70))
+    trusted = ((asks == 0) & (evidence >= 50)) | (grounded >= 70) | (evidence >= 75)
+    return F.when(nodes == 0, "building").when(review, "review").when(trusted, "trusted").otherwise("review")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.operators.lineage import cut
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     """u, v, id, rel_type, weight: every edge in both directions."""
@@ -15,15 +17,18 @@ def undirected(edges: DataFrame) -> DataFrame:
 def reach(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     """seed, node, hops: nodes within ``hops`` of each seed by their shortest distance.
 
-    Every step expands only the nodes found in the step before, each once per seed.
+    Every step expands only the nodes found in the step before, each once per seed, and is written, so that no
+    step computes earlier ones again.
     """
-    steps = undirected(edges).select("u", "v").distinct()
+    steps = cut(undirected(edges).select(F.col("u").alias("node"), "v").distinct())
     found = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("hops"))
     frontier = found
     for h in range(1, hops + 1):
-        ahead = frontier.join(steps.withColumnRenamed("u", "node"), "node").select("seed", F.col("v").alias("node")).distinct()
-        frontier = ahead.join(found.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hops", F.lit(h)).select("seed", "node", "hops")
+        ahead = frontier.join(steps, "node").select("seed", F.col("v").alias("node")).distinct()
+        frontier = cut(ahead.join(found.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", F.lit(h).alias("hops")))
         found = found.unionByName(frontier)
+        if frontier.isEmpty():
+            break
     return found
 
 
@@ -33,13 +38,13 @@ def ego_paths(seeds: DataFrame, edges: DataFrame, hops: int, k: int) -> DataFram
     Longer paths count only for seeds that shorter ones don't fill, so after every hop a seed that has k paths
     stops, and one that goes on has fewer than k to extend.
     """
-    steps = undirected(edges).select("u", "v").distinct()
+    steps = cut(undirected(edges).select("u", "v").distinct())
     paths = seeds.select("seed", F.array("seed").alias("path"), F.lit(0).cast("long").alias("had"))
     all_paths = None
     for h in range(1, hops + 1):
         ahead = paths.withColumn("u", F.element_at("path", -1)).join(steps, "u").where(~F.array_contains("path", F.col("v"))).select("seed", F.concat("path", F.array("v")).alias("path"), "had")
         ranked = ahead.withColumn("key", F.array_join("path", ">")).withColumn("r", F.row_number().over(Window.partitionBy("seed").orderBy("key")))
-        kept = ranked.where(F.col("r") + F.col("had") <= k)
+        kept = cut(ranked.where(F.col("r") + F.col("had") <= k).select("seed", "path", "key", "had"))
         step = kept.select("seed", F.col("key").alias("path"), F.lit(h).alias("length"))
         all_paths = step if all_paths is None else all_paths.unionByName(step)
         paths = kept.select("seed", "path", (F.col("had") + F.count("*").over(Window.partitionBy("seed"))).alias("had")).where(F.col("had") < k)
@@ -52,6 +57,36 @@ def trail_strength(chunks: Column, hops: Column, mean_weight: Column, fit: Colum
     return raw * F.when(conflict, 0.7).otherwise(1.0)
 
 
+#: Words of questions, the relation they ask for, and what a trail with it gains.
+RELATIONS = (
+    (("own", "responsible", "owner"), "owns", 0.25), (("require", "must", "need", "depend"), "requires", 0.25), (("supersed", "replace", "obsolete"), "supersedes", 0.3), (("conflict", "contradict"), "conflicts_with", 0.3), (("part of", "belongs", "component"), "part_of", 0.2),
+    (("govern", "policy", "applies"), "governed_by", 0.2), (("govern", "policy", "applies"), "applies_to", 0.2), (("use", "using", "via"), "uses", 0.15), (("provide", "offer"), "provides", 0.15), (("related", "relationship", "between"), "related_to", 0.2), (("defin", "mean", "what is"), "defined_as", 0.2),
+    (("who", "employ", "works", "reports"), "employs", 0.2), (("who", "employ", "works", "reports"), "works_for", 0.2), (("who", "employ", "works", "reports"), "reports_to", 0.2), (("who", "found"), "founded_by", 0.22), (("who", "found"), "founded", 0.18), (("who", "lead", "leads", "heads", "run"), "led_by", 0.18), (("who", "lead", "leads", "heads", "run"), "leads", 0.15), (("who", "role"), "has_role", 0.2),
+)
+
+
+def adjusted_strength(strength: Column, question: Column, rels: Column, names: Column, seeds: Column) -> Column:
+    """A trail's strength for a lower-case question: by its relations, by the share of the question's entities on it, and by how many of them."""
+    asked = F.greatest(F.lit(0.0), F.lit(0.0), *(F.when(question.rlike("|".join(words)) & rels.contains(rel), gain).otherwise(0.0) for words, rel, gain in RELATIONS))
+    blob, n = F.lower(F.array_join(names, " ")), F.size(F.array_intersect(names, seeds))
+    fit = F.size(F.filter(seeds, lambda s: blob.contains(F.lower(s)))) / F.greatest(F.lit(1), F.size(seeds))
+    return strength + asked + 0.28 * fit - F.when(fit < 0.2, 0.35).otherwise(0.0) + F.when(n >= 2, 0.12 * (n - 1)).otherwise(0.0)
+
+
+def asserted(relations: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
+    """Relations (rel, src, dst, text, weight) that may be stored as facts, with kind, span_start and span_end.
+
+    The relation must be allowed, both names present and different whatever their spelling, and the text must hold
+    one of them; the span is the name with 40 characters before it and 80 after it.
+    """
+    key = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    low = F.lower("text")
+    place = lambda c: F.when(low.contains(F.lower(c)), F.struct((F.instr(low, F.lower(c)) - 1).alias("at"), F.greatest(F.char_length(c), F.lit(8)).alias("size")))
+    kinds = relations.withColumn("kind", F.upper(F.regexp_replace("rel", "[^A-Za-z0-9]+", "_"))).where(F.col("kind").isin(*allowed) & (F.col("src") != "") & (F.col("dst") != "") & (F.lower("src") != F.lower("dst")) & (key("src") != key("dst")))
+    placed = kinds.withColumn("span", F.coalesce(place("src"), place("dst"))).where("span IS NOT NULL")
+    return placed.withColumns({"span_start": F.greatest(F.lit(0), F.col("span.at") - 40), "span_end": F.least(F.char_length("text"), F.col("span.at") + F.col("span.size") + 80)}).drop("span")
+
+
 def restored(now: DataFrame, version: DataFrame) -> DataFrame:
     """id, weight: edges of a version get their weight back, later ones stay as they are, lost ones aren't brought back."""
     return now.join(version.withColumnRenamed("weight", "old"), "id", "left").select("id", F.coalesce("old", "weight").alias("weight"))

@@ -1,4 +1,4 @@
-"""Queries on what questions ask for, and the decision that follows."""
+"""Queries on what questions ask for, and the decision that follows. The SQL states its patterns itself."""
 
 from __future__ import annotations
 
@@ -9,45 +9,139 @@ from factloom.functions import questions, text
 from factloom.plans.datasets import Data
 from factloom.plans.registry import query
 
-_ASKED = ("What is the capital of France?", "Compare SL3000 and SL2000", "Who is the CEO of Acme?", "who is Joe", "How do I renew the policy?", "What is Quartz?", "When was it founded?", "Tell me more", "my api key is lost", "What is the password policy", "Who owns the pipeline?", "Does X require Y", "alpha vs beta", "Is Z part of Q", "share the bearer token", "Where is the office in Rome", "hello there")
-_SQL = "a AS (SELECT unnest(range(" + str(len(_ASKED)) + ")) AS q, unnest([" + ", ".join("'" + x.replace("'", "''") + "'" for x in _ASKED) + "]) AS t UNION ALL SELECT 1000 + id, content FROM messages WHERE role = 'user')"
+ASKED = (
+    "What is the capital of France?", "Compare SL3000 and SL2000", "Who is the CEO of Acme?", "who is Joe", "How do I renew the policy?", "What is Quartz?", "When was it founded?", "Tell me more", "my api key is lost", "What is the password policy", "Who owns the pipeline?", "Does X require Y", "alpha vs beta", "Is Z part of Q",
+    "share the bearer token", "Where is the office in Rome", "hello there", "difference between the Gold Plan and a Silver Plan?", "What are the differences between SL150, sl150 and HDCP22?", "gold versus silver", "What's in this document?", "Summarize the agreement", "what is there in my upload", "Whose resume is this?", "What is in this file and how does it work",
+    "Is there any candidate named neha?", "Do we have Nitin Sharma in the knowledge base?", "Name some capabilities and services", "Find the resume of Ada King", "Who are the executives on the leadership team?", "Leadership team?", "Who is the Chief People and Culture Officer at Acme?", "Who is in the team?", "team?", "members of our team please", "The board members of Acme Holdings have met in June and July",
+    "What is the role of the auditor", "Which ISO 27001 controls does the 'Data Vault' need", "Tell me about Grace Hopper Project Apollo", "How many offices and since when?", "What services do you offer in AI transformation", "steps to install and configure TLS 1.3", "Explain the SLA for SL2000 and OPL270", "NASA UK EU rules", "What does the licence require", "",
+)
+ASKS = "a AS (SELECT unnest(range(" + str(len(ASKED)) + ")) AS q, unnest([" + ", ".join("'" + x.replace("'", "''") + "'" for x in ASKED) + "]) AS t UNION ALL SELECT 1000 + id, content FROM messages WHERE role = 'user')"
 
 
-def _asked(d: Data) -> DataFrame:
-    own = d.spark.range(len(_ASKED)).select(F.col("id").alias("q"), F.element_at(F.array(*map(F.lit, _ASKED)), (F.col("id") + 1).cast("int")).alias("t"))
+def asked(d: Data) -> DataFrame:
+    """q, t: stated questions and those of the users."""
+    own = d.spark.range(len(ASKED)).select(F.col("id").alias("q"), F.element_at(F.array(*map(F.lit, ASKED)), (F.col("id") + 1).cast("int")).alias("t"))
     return own.unionByName(d.messages.where("role = 'user'").select((1000 + F.col("id")).alias("q"), F.col("content").alias("t")))
 
 
-def _lit(p: str) -> str:
-    return "'(?i)" + p.replace("'", "''") + "'"
+_ROLE = r"(ceo|coo|cfo|cto|cmo|chro|cio|clo|chairman|chairwoman|chair|president|chief\s+\w+(\s+(and|&)\s+\w+)*(\s+\w+){0,3}\s+officer)\b"
+_COMPARE = r"""((regexp_matches(t, '(?i)\b(compare|comparison|comparing|difference|differences|differ|versus|vs\.?|between)\b') AND (regexp_matches(t, '(?i)\b(and|vs\.?|versus|between)\b') OR len(regexp_extract_all(t, '\b[A-Za-z]{1,8}\d{2,}\b')) >= 2)) OR regexp_matches(t, '(?i)\b.+\s+(vs\.?|versus)\s+.+'))"""
+_SCOPE = r"regexp_matches(lower(t), '\b(leadership|executive|executives|c-?suite|board(\s+of\s+directors)?|officers?|management\s+team|senior\s+leaders?)\b')"
+_ROSTER = rf"""({_SCOPE} AND NOT regexp_matches(lower(t), '\bwho\s+(is|was)\b.{{0,80}}\b{_ROLE}') AND (regexp_matches(lower(t), '\b(who|whom|which|names?|roster|members?|compose[sd]?|on\s+the|list|tell\s+me\s+about)\b') OR len(regexp_extract_all(t, '[a-zA-Z]+')) <= 7 OR contains(t, '?')))"""
+_TEAM = rf"""(NOT {_SCOPE} AND (regexp_full_match(trim(lower(t)), '(the\s+)?team\s*\??') OR regexp_matches(lower(t), '\bwho\b.{{0,40}}\bteam\b|\bteam\b.{{0,40}}\bwho\b|\bwho all\b|\bmembers of (the |our )?team\b')))"""
+_OFFICER = rf"regexp_matches(t, '(?i)\bwho\s+(is|was)\b.{{0,100}}\b{_ROLE}')"
+_ONE = r"regexp_matches(t, '(?i)\bwho\s+(is|was)\b.{0,80}\b(ceo|coo|cfo|cto|cmo|chro|cio|clo|chairman|chairwoman|chair|president|chief\s+\w+(\s+(and\s+|&)\s+\w+)*(\s+\w+){0,3}\s+officer)\b')"
+_ATTRIBUTE = r"regexp_matches(t, '(?i)\bwho\s+(is|was)\b|\bwhat\s+is\s+.+\s+(title|role|position)\b|\b(ceo|coo|cfo|cto|cmo|chro|chairman|president|chief\s+\w+(\s+\w+)?\s+officer)\s+of\b|\bwho\s+(is\s+)?(the\s+)?(ceo|coo|cfo|cto|cmo|chro|chairman|president|chief\s+\w+(\s+(and\s+)?\w+){0,4}\s+officer)\b')"
+_DEFINE = r"regexp_matches(t, '(?i)\b(what\s+is|what\s+are|what''?s|define|definition\s+of|meaning\s+of|name\s+some|list\s+some|name\s+(the|a few)|what\s+capabilities|what\s+services)\b')"
+SHAPE = rf"""CASE WHEN trim(t) = '' OR regexp_matches(t, '(?i)\b(weather|forecast|temperature|humidity|capital of|stock price|lottery|sports score)\b') THEN 'open' WHEN {_TEAM} THEN 'list_people' WHEN {_COMPARE} THEN 'compare' WHEN {_ONE} OR ({_ATTRIBUTE} AND NOT {_DEFINE} AND NOT {_ROSTER}) THEN 'attribute' WHEN {_ROSTER} THEN 'list_people'
+    WHEN regexp_matches(t, '(?i)^\s*who\s+is\b') THEN 'attribute' WHEN regexp_matches(t, '(?i)\b(how\s+(do|can|to|does|should)|steps?\b|renew|process|procedure|install|configure|set\s*up|enable)\b') THEN 'how_to' WHEN {_DEFINE} THEN 'define'
+    WHEN regexp_matches(t, '(?i)\b(when|where|how\s+many|how\s+much|how\s+long|how\s+old|which\s+year|what\s+date|located|address|office\s+in)\b') THEN 'factoid' ELSE 'open' END"""
+_SECRET = r"regexp_matches(t, '(?i)\b(password|api[_ -]?key|secret|ssn|social security|private key|bearer token)\b')"
+_GREETING = r"""(length(trim(t)) <= 60 AND regexp_full_match(trim(t), '(?i)(hi|hello|hey|howdy|hola|namaste|yo|good\s*(morning|afternoon|evening|day)|greetings|(hi|hello|hey)\s+(there|friend|folks|everyone|all|team)|what''?s\s+up|how\s+are\s+you(\s+doing)?|how\s+do\s+you\s+do|nice\s+to\s+(meet|see)\s+you)[\s!?.,]*'))"""
+_STRUCT = r"regexp_matches(lower(t), '\b(who owns|who (is )?responsible|how (is|are|does|do) .+ related|what(''s| is) the relationship between|does .+ (require|depend|need)|is .+ required|must .+ (require|use|have)|supersede|conflict(s|ing)? with|depends on|governed by|part of|belongs to|related to|applies to|defined as)\b')"
+_DEICTIC = r"regexp_matches(t, '(?i)\b(this|these|the)\s+(document|file|pdf|one|upload|resume|cv)\b|\bwhose\s+(document|file|pdf|resume|cv)\b|\bwhat\s+is\s+this\b|\bwho(se|''s)?\s+is\s+this\b')"
+_OVERVIEW = rf"""(NOT (regexp_matches(t, '(?i)\b(difference|differences|compare|comparison|versus|vs\.?)\b|\bwhat\s+are\b|\bhow\s+(does|do|is|are)\b|\b(security\s+level|output\s+protection)\b|\b(require|required|must|owns?|supersede)\b') OR len(list_filter(regexp_extract_all(lower(t), '\bwhat\s+is\s+(\w*)', 1), lambda w: w NOT IN ('this', 'there'))) > 0)
+    AND ({_DEICTIC} OR regexp_matches(t, '(?i)what[''’]?s?\s+there\b|what\s+is\s+there\b|what(''?s|\s+is)\s+in\s+(this|the|my)\b|what\s+does\s+(this|the)\s+.+\s+(say|cover|contain|include)\b|who\s+(owns|wrote|uploaded)\s+this\b|contents?\s+of\s+(this|the)\b|summarize\s+(this|the)\b|\boverview\s+of\s+(this|the)\b|tell\s+me\s+about\s+(this|the)\s+(document|file|pdf|agreement|resume|cv)\b|in\s+(this|the)\s+(agreement|document|pdf|contract|license|resume|cv)\b')
+        OR regexp_matches(t, '(?i)^(what|whats|what''s)\b.+\b(agreement|contract|license|resume|cv)\b')))"""
+
+
+def _once(xs: str, most: int | None = None) -> str:
+    """SQL: strings of a list in order, each once whatever its case."""
+    out = f"list_filter({xs}, lambda x, i: list_position(list_transform({xs}, lambda y: lower(y)), lower(x)) = i)"
+    return f"{out}[1:{most}]" if most else out
+
+
+_NAMES_IN = r"""list_concat(list_filter(regexp_extract_all(t, '\b([A-Z][a-z]{1,30}(\s+[A-Z][a-z]{1,30}){0,2})\b', 1), lambda x: NOT list_contains(stop, lower(x))),
+    list_transform(list_filter(regexp_extract_all(t, '(?i)\b(named|names|name|called|candidate)\s+([a-z][a-z''-]{1,30})\b', 2), lambda x: NOT list_contains(stop, lower(x))), lambda x: upper(x[1]) || lower(x[2:])))"""
+_NAMES = rf"""n0 AS (SELECT q, regexp_replace(t, '[À-ɏ]', '_', 'g') AS t, string_split('is there any a an the named name names candidate candidates resume resumes cv do we have anyone person called about what who does with from can could would should you your please how why when where which whats compare difference between versus agreement contract license document policy level levels', ' ') AS stop FROM a),
+    n1 AS MATERIALIZED (SELECT q, t, {_NAMES_IN} AS found FROM n0), n2 AS (SELECT q, t, {_once('found')} AS names FROM n1)"""
+_CANDIDATE = r"""(NOT regexp_matches(t, '(?i)\b(difference|compare|versus|vs\.?|between)\b|\bname\s+(some|a\s+few|the|any|our|their)\b|\b(capabilities|services|offerings?|features|products|pathways)\b') AND len(names) > 0 AND regexp_matches(t, '(?i)\b(candidate|resume|cv|named)\b|\bnames?\s+[A-Z][a-z]|is\s+there\s+(any|a)\b|do\s+we\s+have\b'))"""
+
+
+@query("f02_secret_guard", f"WITH {ASKS} SELECT q, {_SECRET} AS secret FROM a")
+def _(d: Data) -> DataFrame:
+    return asked(d).select("q", questions.asks_secret(F.col("t")).alias("secret"))
 
 
-_COMPARE = f"(regexp_matches(t, {_lit(questions.COMPARE_FRAME)}) AND regexp_matches(t, {_lit(questions.COMPARE_JOIN)})) OR regexp_matches(t, {_lit(questions.VERSUS)})"
-_SHAPE = f"""CASE WHEN regexp_matches(t, {_lit(questions.OUTSIDE)}) THEN 'open' WHEN {_COMPARE} THEN 'compare' WHEN regexp_matches(t, {_lit(questions.SINGLE_ROLE)}) OR regexp_matches(t, {_lit(questions.WHO_IS)}) THEN 'attribute'
-    WHEN regexp_matches(t, {_lit(questions.HOW_TO)}) THEN 'how_to' WHEN regexp_matches(t, {_lit(questions.DEFINE)}) THEN 'define' WHEN regexp_matches(t, {_lit(questions.FACTOID)}) THEN 'factoid' ELSE 'open' END"""
-_SECRET = f"regexp_matches(t, {_lit('|'.join(questions.SECRETS))})"
-_STRUCT = f"regexp_matches(lower(t), {_lit(questions.STRUCTURAL)})"
+@query("f05_route", f"WITH {ASKS}, {_NAMES} SELECT q, CASE WHEN {_STRUCT} AND NOT ({_COMPARE}) AND NOT {_OVERVIEW} AND NOT {_CANDIDATE} THEN 'structural' ELSE 'fuzzy' END AS intent FROM n2")
+def _(d: Data) -> DataFrame:
+    """Structural questions go to the graph, all others to the text first."""
+    t = F.col("t")
+    fuzzy = questions.is_comparison(t) | questions.is_overview(t) | questions.is_candidate(t)
+    return asked(d).select("q", F.when(questions.is_structural(t) & ~fuzzy, "structural").otherwise("fuzzy").alias("intent"))
 
 
-@query("f02_secret_guard", f"WITH {_SQL} SELECT q, {_SECRET} AS secret FROM a")
+@query("f06_comparison", rf"""WITH {ASKS}, p AS (SELECT q, t, {_COMPARE} AS comparison, regexp_extract(t, '(?i)\b(compare|comparing|comparison\s+of)\s+(.+?)\s+(and|vs\.?|versus)\s+(.+?)(\?|$)', 2) AS a1, regexp_extract(t, '(?i)\b(compare|comparing|comparison\s+of)\s+(.+?)\s+(and|vs\.?|versus)\s+(.+?)(\?|$)', 4) AS b1,
+    regexp_extract(t, '(?i)\b(difference|differences)\s+between\s+(.+?)\s+and\s+(.+?)(\?|$)', 2) AS a2, regexp_extract(t, '(?i)\b(difference|differences)\s+between\s+(.+?)\s+and\s+(.+?)(\?|$)', 3) AS b2, regexp_extract(t, '(?i)\b(.+?)\s+(vs\.?|versus)\s+(.+?)(\?|$)', 1) AS a3, regexp_extract(t, '(?i)\b(.+?)\s+(vs\.?|versus)\s+(.+?)(\?|$)', 3) AS b3 FROM a),
+    c AS (SELECT q, t, comparison, list_transform([a1, b1, a2, b2, a3, b3], lambda x: regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(x, '^[ \t"''.,]+|[ \t"''.,]+$', '', 'g'), '\s+', ' ', 'g')), '(?i)^(the|a|an|compare|comparing|difference|differences|between)\s+', ''), '^[ \t"''.,]+|[ \t"''.,]+$', '', 'g')) AS s FROM p),
+    g AS MATERIALIZED (SELECT q, comparison, list_concat(CASE WHEN s[1] <> '' AND s[2] <> '' AND lower(s[1]) <> lower(s[2]) THEN s[1:2] WHEN s[3] <> '' AND s[4] <> '' AND lower(s[3]) <> lower(s[4]) THEN s[3:4] WHEN s[5] <> '' AND s[6] <> '' AND lower(s[5]) <> lower(s[6]) THEN s[5:6] ELSE [] END, regexp_extract_all(t, '\b[A-Za-z]{{1,8}}\d{{2,}}\b')) AS s FROM c),
+    o AS MATERIALIZED (SELECT q, comparison, {_once('s')} AS s FROM g), k AS (SELECT *, list_filter(s, lambda x: regexp_full_match(x, '[A-Za-z]{{1,8}}\d{{2,}}')) AS coded FROM o)
+    SELECT q, comparison, array_to_string((CASE WHEN len(coded) >= 2 THEN coded ELSE s END)[1:4], '|') AS sides FROM k""")
 def _(d: Data) -> DataFrame:
-    return _asked(d).select("q", questions.asks_secret(F.col("t")).alias("secret"))
+    """Whether a question compares, and what: sides of the first pattern that fits, codes first."""
+    t = F.col("t")
+    return asked(d).select("q", questions.is_comparison(t).alias("comparison"), F.array_join(questions.compare_sides(t), "|").alias("sides"))
 
 
-@query("f05_route", f"WITH {_SQL} SELECT q, CASE WHEN {_STRUCT} AND NOT ({_COMPARE}) THEN 'structural' ELSE 'fuzzy' END AS intent FROM a")
+@query("f07_overview", f"WITH {ASKS} SELECT q, {_OVERVIEW} AS overview, {_DEICTIC} AS deictic FROM a")
 def _(d: Data) -> DataFrame:
-    t = F.col("t")
-    return _asked(d).select("q", F.when(questions.is_structural(t) & ~questions.is_comparison(t), "structural").otherwise("fuzzy").alias("intent"))
+    return asked(d).select("q", questions.is_overview(F.col("t")).alias("overview"), questions.is_deictic(F.col("t")).alias("deictic"))
+
+
+@query("f08_candidate", f"WITH {ASKS}, {_NAMES} SELECT q, {_CANDIDATE} AS candidate, array_to_string(names, '|') AS names FROM n2")
+def _(d: Data) -> DataFrame:
+    """Questions for a person's papers, and the names in them."""
+    return asked(d).select("q", questions.is_candidate(F.col("t")).alias("candidate"), F.array_join(questions.query_names(F.col("t")), "|").alias("names"))
+
+
+@query("f09_roster", f"WITH {ASKS} SELECT q, {_ROSTER} AS roster, {_OFFICER} AS officer, {_TEAM} AS clarify FROM a")
+def _(d: Data) -> DataFrame:
+    return asked(d).select("q", questions.is_roster(F.col("t")).alias("roster"), questions.is_officer(F.col("t")).alias("officer"), questions.needs_team(F.col("t")).alias("clarify"))
 
 
-@query("f10_evidence_shape", f"WITH {_SQL} SELECT q, {_SHAPE} AS shape FROM a")
+@query("f10_evidence_shape", f"WITH {ASKS} SELECT q, {SHAPE} AS shape, {_TEAM} AND NOT regexp_matches(t, '(?i)\\b(weather|forecast|temperature|humidity|capital of|stock price|lottery|sports score)\\b') AS needs_clarify FROM a")
 def _(d: Data) -> DataFrame:
-    return _asked(d).select("q", questions.evidence_shape(F.col("t")).alias("shape"))
+    t = F.col("t")
+    return asked(d).select("q", questions.evidence_shape(t).alias("shape"), (questions.needs_team(t) & ~questions.has(t, questions.OUTSIDE)).alias("needs_clarify"))
 
 
-@query("ask_gate", f"WITH {_SQL} SELECT CASE WHEN {_SECRET} THEN 'refuse' WHEN length(t) <= 60 AND regexp_matches(t, {_lit(text.GREETING)}) THEN 'greet' ELSE {_SHAPE} END AS gate, count(*) AS n FROM a GROUP BY 1")
+_KNOWN = r"""(length(trim(t)) >= 100 OR (len(regexp_extract_all(t, '[A-Za-z0-9'']+')) >= 3 AND regexp_matches(t, '(?i)\b(what|why|when|where|which|who|whom|whose|how\s+(do|does|did|can|could|would|should|is|are|was|were|to|much|many)|explain|define|describe|compare|difference|summarize|overview|tell\s+me|list|show|help\s+me\s+(with|understand)|does|is\s+there|are\s+there|can\s+(i|we|you)|policy|license|agreement|requirement|compliance|specification|standard)\b')))"""
+
+
+@query("ask_gate", f"WITH {ASKS} SELECT CASE WHEN {_SECRET} THEN 'refuse' WHEN {_GREETING} THEN 'greet' WHEN {_KNOWN} THEN {SHAPE} ELSE 'knowledge' END AS gate, count(*) AS n FROM a GROUP BY 1")
 def _(d: Data) -> DataFrame:
-    """Guard, greeting and shape in one pass."""
+    """Guard, greeting, clear knowledge with its shape, and knowledge by default, in one pass."""
     t = F.col("t")
-    gate = F.when(questions.asks_secret(t), "refuse").when(text.is_greeting(t), "greet").otherwise(questions.evidence_shape(t))
-    return _asked(d).groupBy(gate.alias("gate")).agg(F.count("*").alias("n"))
+    gate = F.when(questions.asks_secret(t), "refuse").when(text.is_greeting(t), "greet").when(questions.is_knowledge(t, text.is_greeting(t)), questions.evidence_shape(t)).otherwise("knowledge")
+    return asked(d).groupBy(gate.alias("gate")).agg(F.count("*").alias("n"))
+
+
+_TERMS = rf"""t0 AS (SELECT q, t, string_split('what whats which where when who whom whose why how can could would should does did are is the and for from with about tell me you your please difference differences between compare comparison versus them their this that these those have has any there into over under than then also just like know give show explain describe list define definition levels level document documents file files pdf name some roughly offer offers one two three four five six seven eight nine ten several various main key team teams leadership leader leaders executive executives management', ' ') AS stop,
+        regexp_extract_all(t, '[A-Za-z][A-Za-z0-9_-]{{2,}}') AS w FROM a),
+    t1 AS MATERIALIZED (SELECT q, t, list_concat(regexp_extract_all(t, '\b([A-Z]{{2,}}\d{{2,}}|\d{{3,}}[A-Z]+|[A-Z]{{3,}}\d+)\b'), list_transform(regexp_extract_all(t, '["'']([^"'']{{3,80}})["'']', 1), lambda x: trim(x)), regexp_extract_all(t, '\b([A-Z][a-z0-9]+(\s+[A-Z][a-z0-9]+){{1,4}})\b'),
+        flatten(list_transform(range(1, len(w)), lambda i: CASE WHEN list_contains(stop, lower(w[i])) OR list_contains(stop, lower(w[i + 1])) THEN [] WHEN i + 2 <= len(w) AND NOT list_contains(stop, lower(w[i + 2])) THEN [w[i] || ' ' || w[i + 1], w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]] ELSE [w[i] || ' ' || w[i + 1]] END)),
+        list_filter(list_concat(regexp_extract_all(t, '[A-Za-z][A-Za-z0-9_-]{{3,}}'), regexp_extract_all(t, '\b[A-Z]{{2,4}}\b')), lambda x: NOT list_contains(stop, lower(x)))) AS found FROM t0),
+    t2 AS MATERIALIZED (SELECT q, t, {_once('found', 12)} AS terms FROM t1)"""
+
+
+@query("r06_distinctive_terms", f"WITH {ASKS}, {_TERMS} SELECT q, array_to_string(terms, '|') AS terms FROM t2")
+def _(d: Data) -> DataFrame:
+    return asked(d).select("q", F.array_join(questions.distinctive_terms(F.col("t")), "|").alias("terms"))
+
+
+_ADD = "list_filter({new}, lambda x: NOT list_contains(list_transform({to}, lambda y: lower(y)), lower(x)))"
+_REQUIRED = rf"""u0 AS (SELECT q, t, lower(t) AS low, CASE WHEN len(terms) > 2 THEN list_filter(terms, lambda x: NOT list_contains(string_split('document documents file files pdf please tell know give show explain describe define difference differences compare comparison versus between name some roughly long many much offer offers one two three four five several various main key', ' '), lower(x))) ELSE terms END AS terms,
+        regexp_extract_all(t, '\b([A-Z]{{2,}})\s*[- ]?\s*(\d{{2,}}(\.\d+)?)\b', 1) AS x, regexp_extract_all(t, '\b([A-Z]{{2,}})\s*[- ]?\s*(\d{{2,}}(\.\d+)?)\b', 2) AS y FROM t2),
+    u1 AS MATERIALIZED (SELECT q, low, terms, list_filter(list_concat(regexp_extract_all(t, '\b([A-Z]{{2,}}\d{{2,}})\b'), flatten(list_transform(range(1, len(x) + 1), lambda i: [x[i] || ' ' || y[i], x[i] || y[i]]))), lambda z: NOT list_contains(terms, z)) AS front FROM u0),
+    u2 AS MATERIALIZED (SELECT q, low, list_concat(list_reverse(list_filter(front, lambda z, i: list_position(front, z) = i)), terms) AS terms FROM u1),
+    u3 AS MATERIALIZED (SELECT q, low, terms, list_concat(list_filter(['renew', 'renewal', 'install', 'configure', 'enable', 'disable'], lambda v: contains(low, v)), CASE WHEN regexp_matches(low, '\bceo\b') THEN ['chief executive officer', 'chief executive'] ELSE [] END, CASE WHEN regexp_matches(low, '\bcfo\b') THEN ['chief financial officer', 'chief financial'] ELSE [] END,
+        CASE WHEN regexp_matches(low, '\bcto\b') THEN ['chief technology officer', 'chief technology'] ELSE [] END, CASE WHEN regexp_matches(low, '\bcoo\b') THEN ['chief operating officer', 'chief operating'] ELSE [] END) AS more FROM u2),
+    u4 AS MATERIALIZED (SELECT q, low, list_concat(terms, {_ADD.format(new='more', to='terms')}) AS terms, list_filter(['transformation pathways', 'transformation pathway', 'ai transformation', 'what we do'], lambda p: contains(low, p)) AS said FROM u3),
+    u5 AS MATERIALIZED (SELECT q, low, list_concat(list_reverse({_ADD.format(new='said', to='terms')}), terms) AS terms, list_filter(['capabilities', 'services', 'offerings', 'solutions'], lambda p: contains(low, p)) AS offers FROM u4),
+    u6 AS MATERIALIZED (SELECT q, CASE WHEN regexp_matches(low, '\b(capabilities|services|offerings?|solutions)\b') AND regexp_matches(low, '\b(name|list|offer|what|which)\b') THEN list_filter(list_concat(terms, {_ADD.format(new='offers', to='terms')}), lambda x: NOT regexp_full_match(lower(x), 'capabilities\s+\w+')) ELSE terms END AS terms FROM u5)"""
+
+
+@query("r07_required_terms", f"WITH {ASKS}, {_TERMS}, {_REQUIRED} SELECT q, array_to_string(terms[1:14], '|') AS terms FROM u6")
+def _(d: Data) -> DataFrame:
+    """Terms that evidence should cover, without those of stories and characters."""
+    return asked(d).select("q", F.array_join(questions.required_terms(F.col("t")), "|").alias("terms"))

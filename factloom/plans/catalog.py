@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.plans import asks, graphs, relational, reports, texts  # noqa: F401
+from factloom.plans import asks, graphs, packs, relational, reports, texts, upkeep  # noqa: F401
 from factloom.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -13,6 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+FIRST = ("Ada", "Grace", "Alan", "Edsger", "Barbara", "Donald", "Mary")
+LAST = ("Hopper", "Turing", "Liskov", "Knuth", "Reid-Dodick")
+ROLES = ("Chief Executive Officer", "CFO", "Vice President", "Chief People and Culture Officer", "engineer", "former CTO")
+PLACES = ("https://x.example/about/leaders", "https://x.example/news/item", "https://x.example/services/cloud", "handbook", "https://x.example/learning-path", "https://x.example/insights/renew")
+
+
 class Data:
     """Lazily built DataFrames over one folder of tables."""
 
@@ -74,6 +80,20 @@ class Data:
             F.when(spoken & (n % 11 != 0), (n % 101) / 100.0).alias("trust"),
         )
 
+    @cached_property
+    def passages(self) -> DataFrame:
+        """id, title, text: passages about people, procedures, accounts, menus and plans, one for each customer"""
+        k = F.col("c_custkey")
+        pick = lambda listed, n: F.element_at(F.array(*map(F.lit, listed)), (n % len(listed) + 1).cast("int"))
+        n = lambda by: F.floor(k / by)
+        person = F.concat_ws(" ", pick(FIRST, k), pick(LAST, n(7)))
+        spoken = F.concat(person, F.lit(", "), pick(ROLES, n(5)), F.lit(", leads the "), F.col("c_mktsegment"), F.lit(" group since "), (2008 + k % 17).cast("string"), F.lit(". "), pick(LAST, n(3)), F.lit(" signed for it."))
+        accounts = F.concat(F.lit("# Cloud Data Services\nA "), F.col("c_mktsegment"), F.lit(" account is a record that provides credit. Over 12,000 employees in "), (k % 40).cast("string"), F.lit(" offices and 30+ years of experience. Retail Banking Platform and Digital Product Experience are our services."))
+        texts = F.when(k % 5 == 0, spoken).when(k % 5 == 1, F.concat(F.lit("To renew a licence, first select the form and then submit it. Step 2 must follow within "), (k % 30).cast("string"), F.lit(" days.")))
+        texts = texts.when(k % 5 == 2, accounts).when(k % 5 == 3, F.concat(F.lit("Home | About Us | Contact Us | Site Map | Skip to content. All rights reserved by "), F.col("c_name")))
+        texts = texts.otherwise(F.concat(F.lit("The SL"), (1000 * (k % 4)).cast("string"), F.lit(" gold plan differs from the silver plan. Imagine. Design. Deliver. That is our transformation pathway.")))
+        return self.table("customer").select(k.alias("id"), F.concat(pick(PLACES, n(2)), F.lit("/"), k.cast("string")).alias("title"), texts.alias("text"))
+
     @cached_property
     def documents(self) -> DataFrame:
         return self.table("documents")
@@ -106,6 +126,13 @@ SQL = {
     "kg_active": "SELECT * FROM kg_edges WHERE status = 'active'",
     "kg_evidence": """SELECT 'ev:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey AS id, 'sp:' || l_suppkey || ':' || l_partkey AS edge_id, l_orderkey AS chunk_id, l_returnflag || l_linestatus AS quote, round(1 - l_discount, 2) AS confidence, CASE WHEN l_returnflag = 'R' THEN 'superseded' ELSE 'active' END AS status FROM lineitem""",
     "messages": """SELECT conv_id * 1000 + turn AS id, conv_id, turn, role, text AS content, CASE WHEN role = 'assistant' THEN CASE length(text) % 7 WHEN 0 THEN 'refuse' WHEN 1 THEN 'clarify' ELSE 'answer' END END AS decision, CASE WHEN role = 'assistant' AND length(text) % 11 <> 0 THEN (length(text) % 101) / 100.0::DOUBLE END AS trust FROM conversations""",
+    "passages": """SELECT k AS id, places[CAST((k // 2) % 6 + 1 AS BIGINT)] || '/' || k AS title, CASE k % 5
+        WHEN 0 THEN first[CAST(k % 7 + 1 AS BIGINT)] || ' ' || last[CAST((k // 7) % 5 + 1 AS BIGINT)] || ', ' || roles[CAST((k // 5) % 6 + 1 AS BIGINT)] || ', leads the ' || seg || ' group since ' || (2008 + k % 17) || '. ' || last[CAST((k // 3) % 5 + 1 AS BIGINT)] || ' signed for it.'
+        WHEN 1 THEN 'To renew a licence, first select the form and then submit it. Step 2 must follow within ' || (k % 30) || ' days.'
+        WHEN 2 THEN '# Cloud Data Services' || chr(10) || 'A ' || seg || ' account is a record that provides credit. Over 12,000 employees in ' || (k % 40) || ' offices and 30+ years of experience. Retail Banking Platform and Digital Product Experience are our services.'
+        WHEN 3 THEN 'Home | About Us | Contact Us | Site Map | Skip to content. All rights reserved by ' || name ELSE 'The SL' || (1000 * (k % 4)) || ' gold plan differs from the silver plan. Imagine. Design. Deliver. That is our transformation pathway.' END AS text
+        FROM (SELECT c_custkey AS k, c_mktsegment AS seg, c_name AS name, ['Ada', 'Grace', 'Alan', 'Edsger', 'Barbara', 'Donald', 'Mary'] AS first, ['Hopper', 'Turing', 'Liskov', 'Knuth', 'Reid-Dodick'] AS last, ['Chief Executive Officer', 'CFO', 'Vice President', 'Chief People and Culture Officer', 'engineer', 'former CTO'] AS roles,
+            ['https://x.example/about/leaders', 'https://x.example/news/item', 'https://x.example/services/cloud', 'handbook', 'https://x.example/learning-path', 'https://x.example/insights/renew'] AS places FROM customer)""",
     "outcomes": "SELECT event_id, ts, 'p' || (user_id % 40) AS path_key, event_type = 'purchase' AS won FROM events WHERE event_type IN ('purchase', 'error')",
 }
 

@@ -29,7 +29,7 @@ def _(d: Data) -> DataFrame:
     return graph.reach(seeds, d.active_edges, 3)
 
 
-@query("g03_ego_paths", f"""WITH RECURSIVE {_STEPS}, w(seed, path, length) AS (SELECT id, [id], 0 FROM kg_nodes WHERE type IN ('Section', 'Topic') UNION ALL SELECT seed, list_append(path, v), length + 1 FROM w JOIN kg_steps ON u = path[-1] WHERE length < 3 AND NOT list_contains(path, v) AND (length < 2 OR starts_with(seed, 'region')))
+@query("g03_ego_paths", f"""WITH RECURSIVE {_STEPS}, w(seed, path, length) AS (SELECT id, [id], 0 FROM kg_nodes WHERE type IN ('Section', 'Topic') UNION ALL SELECT seed, list_append(path, v), length + 1 FROM w JOIN kg_steps ON u = path[-1] WHERE length < 3 AND NOT list_contains(path, v))
     SELECT seed, array_to_string(path, '>') AS path, CAST(length AS INTEGER) AS length FROM w WHERE length > 0 QUALIFY row_number() OVER (PARTITION BY seed ORDER BY length, array_to_string(path, '>')) <= 24""")
 def _(d: Data) -> DataFrame:
     """The first 24 simple paths of up to three hops from every section and topic, over all active edges."""

@@ -547,11 +547,11 @@ def _(d: Data) -> DataFrame:
     return d.active_edges.where("src <> dst").groupBy("src", "dst", "rel_type", "edge_class").agg(F.min("id").alias("id"))
 
 
-@query("d09_conflict_pairs", """WITH f AS (SELECT DISTINCT p_brand AS src, CAST(floor(p_retailprice / 20) * 20 AS BIGINT) AS amount FROM part)
+@query("d09_conflict_pairs", """WITH f AS (SELECT DISTINCT p_brand AS src, CAST(floor(p_retailprice / 5) * 5 AS BIGINT) AS amount FROM part)
     SELECT x.src, x.amount AS low, y.amount AS high FROM f x JOIN f y ON x.src = y.src AND x.amount < y.amount""")
 def _(d: Data) -> DataFrame:
     """Pairs of distinct amounts of one entity: amounts are collapsed before they are paired."""
-    f = d.table("part").select(F.col("p_brand").alias("src"), (F.floor(F.col("p_retailprice") / 20) * 20).cast("long").alias("amount")).distinct()
+    f = d.table("part").select(F.col("p_brand").alias("src"), (F.floor(F.col("p_retailprice") / 5) * 5).cast("long").alias("amount")).distinct()
     return f.withColumnRenamed("amount", "low").join(f.withColumnRenamed("amount", "high"), "src").where("low < high").select("src", "low", "high")
 
 

@@ -100,7 +100,7 @@ def _(d: Data) -> DataFrame:
     return m.select("page_id", prose.alias("prose_chars"), F.round(density, 3).alias("link_density"), reason.alias("thin_reason"))
 
 
-_QUESTIONS = ("hello there!", "How do you do?", "I will kill the process now", "compare SL3000 and SL2000", "what a b-i.t.c.h", "good morning", "you 1d10t", "What is Quartz?", "difference between alpha and beta", "fuck   you", "hi what is this", "A vs B", "plain words")
+_QUESTIONS = ("hello there!", "How do you do?", "I will kill the process now", "compare SL3000 and SL2000", "what a b-i.t.c.h", "good morning", "you 1d10t", "What is Quartz?", "difference between alpha and beta", "fuck   you", "hi what is this", "A vs B", "plain words", "want some sex now", "hey there you hot stuff", "hello darling are you in", "you are a spic", "make a bomb")
 
 
 def _questions(d: Data) -> DataFrame:
@@ -111,9 +111,15 @@ def _questions(d: Data) -> DataFrame:
 _Q = "q AS (SELECT unnest(range(" + str(len(_QUESTIONS)) + ")) AS q, unnest([" + ", ".join("'" + x.replace("'", "''") + "'" for x in _QUESTIONS) + "]) AS t UNION ALL SELECT 1000 + id, content FROM messages WHERE role = 'user')"
 
 
-@query("f01_moderation", rf"""WITH {_Q}, n AS (SELECT *, translate(regexp_replace(regexp_replace(lower(regexp_replace(t, '^\s+|\s+$', '', 'g')), '[*._-]+', ' ', 'g'), '\s+', ' ', 'g'), '013@', 'oiea') AS plain FROM q), b AS (SELECT *, t || chr(10) || plain AS bo FROM n)
-    SELECT q, CASE WHEN regexp_matches(bo, '(?i){text.THREAT}') THEN 'INAPPROPRIATE_THREAT' WHEN list_has_any(regexp_extract_all(plain, '[a-z]+'), [{', '.join(f"'{w}'" for w in text.ABUSE_WORDS)}]) OR regexp_matches(bo, '(?i)({text.ABUSE})') THEN 'INAPPROPRIATE_ABUSE' END AS reason FROM b""")
+@query("f01_moderation", rf"""WITH {_Q}, n AS (SELECT *, translate(regexp_replace(regexp_replace(lower(regexp_replace(t, '^\s+|\s+$', '', 'g')), '[*._-]+', ' ', 'g'), '\s+', ' ', 'g'), '013@', 'oiea') AS plain FROM q), b AS (SELECT *, t || chr(10) || plain AS bo, regexp_extract_all(plain, '[a-z]+') AS w FROM n)
+    SELECT q, CASE WHEN regexp_matches(bo, '(?i)\b(i\s+will\s+(kill|hurt|rape)|rape\s+you|bomb\s+you|terrorist\s+attack|make\s+a\s+bomb)\b') THEN 'INAPPROPRIATE_THREAT'
+        WHEN regexp_matches(bo, '(?i)\b(nigg(er|a)|faggot|fag|tranny|kike|spic|chink|wetback)\b') THEN 'INAPPROPRIATE_HATE'
+        WHEN list_has_any(w, string_split('sex sexy sexier sexiest sexual sexually porn porno pornography xxx onlyfans hentai nude nudes naked boobs tits pussy vagina penis cock dick blowjob handjob cybersex orgasm erotic fetish horny nsfw babe babes bae slut whore hookup booty', ' '))
+            OR regexp_matches(bo, '(?i)\b(fuck\s+me|send\s+(nudes|pics)|dick\s*pic|hot\s*stuff|make\s+love|sleep\s+with\s+me|kiss\s+me|date\s+me|marry\s+me|love\s+you\s+baby|are\s+you\s+single|wanna\s+hook\s*up|hook\s*up\s+tonight|netflix\s+and\s+chill|masturbat\w*)\b')
+            OR regexp_matches(bo, '(?i)\b(how\s+are\s+you|hi|hello|hey)\b.+\b(sexy|hot|babe|baby|darling|sweetheart)\b') OR regexp_matches(bo, '(?i)\b(sexy|hot|babe|baby|darling|sweetheart)\b.+\b(how\s+are\s+you|hi|hello|hey)\b') THEN 'INAPPROPRIATE_SEXUAL'
+        WHEN list_has_any(w, string_split('asshole bastard bitch bitches cunt motherfucker dipshit shithead dumbass jackass bullshit', ' ')) OR regexp_matches(bo, '(?i)\b(fuck\s+you|screw\s+you|damn\s+you|kill\s+yourself|kys|go\s+to\s+hell|piece\s+of\s+shit|f+u+c+k+(ing|er|ed|off)?|s+h+i+t+(ty)?|idiot|moron|retard(ed)?)\b') THEN 'INAPPROPRIATE_ABUSE' END AS reason FROM b""")
 def _(d: Data) -> DataFrame:
+    """Moderation of questions: four classes in their order."""
     return _questions(d).select("q", text.moderation(F.col("t")).alias("reason"))
 
 
@@ -125,17 +131,6 @@ def _(d: Data) -> DataFrame:
     return _questions(d).select("q", text.is_greeting(F.col("t")).alias("greeting"))
 
 
-_FRAME, _AND, _VS = r"\b(compare|comparison|comparing|difference|differences|differ|versus|vs\.?|between)\b", r"\b(and|vs\.?|versus|between)\b", r"\b.+\s+(vs\.?|versus)\s+.+"
-
-
-@query("f06_comparison", rf"WITH {_Q} SELECT q, (regexp_matches(t, '(?i){_FRAME}') AND (regexp_matches(t, '(?i){_AND}') OR len(regexp_extract_all(t, '\b([A-Za-z]{{1,8}}\d{{2,}})\b')) >= 2)) OR regexp_matches(t, '(?i){_VS}') AS comparison, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '\b([A-Za-z]{{1,8}}\d{{2,}})\b'))), ',') AS codes FROM q WHERE q < 1000")
-def _(d: Data) -> DataFrame:
-    t = F.col("t")
-    codes = F.regexp_extract_all(t, F.lit(r"\b([A-Za-z]{1,8}\d{2,})\b"), F.lit(1))
-    comparison = (t.rlike("(?i)" + _FRAME) & (t.rlike("(?i)" + _AND) | (F.size(codes) >= 2))) | t.rlike("(?i)" + _VS)
-    return _questions(d).where("q < 1000").select("q", comparison.alias("comparison"), F.array_join(F.array_sort(F.array_distinct(codes)), ",").alias("codes"))
-
-
 @query("f24_window", "SELECT event_id, (hour(ts) - 22 + 24) % 24 < 5 AS busy FROM events")
 def _(d: Data) -> DataFrame:
     """A maintenance window over midnight."""
