@@ -230,3 +230,50 @@ def hybrid_score(shape: Column, q: Column, terms: Column, title: Column, t: Colu
         return F.when((n_hits == 0) & ~((shape == "list_people") & (x["people"] > 0)), base * 0.2).otherwise(out)
 
     return let(F.struct(hits(terms, low).alias("hits"), F.size(people(blob)).alias("people"), fit(shape, q, title, t).alias("fit")), scored)
+
+
+#: Words of resumes and of agreements with their weights, and words of page frames.
+RESUME_INFO = (("experience", 2.0), ("education", 2.0), ("skills", 1.5), ("resume", 2.0), ("curriculum vitae", 2.0), ("work history", 1.5), ("linkedin", 1.0), ("email", 0.5), ("phone", 0.5))
+AGREEMENT_INFO = (("license", 2.0), ("agreement", 2.0), ("contract", 1.8), ("under this", 1.5), ("intellectual property", 1.5), ("product", 1.0), ("rights", 1.0), ("specification", 0.8))
+FRAME_INFO = ("©", "all rights reserved", "contact us", "terms of use", "html5")
+
+
+def info_score(low: Column, asked: Column) -> Column:
+    """How much a passage tells about a resume or an agreement, more so if the question asks for one."""
+    sums = lambda listed: sum((F.when(low.contains(w), points).otherwise(0.0) for w, points in listed), F.lit(0.0))
+    resume = F.when(asked.rlike("resume|cv|whose|experience|candidate"), 1.4).otherwise(1.0)
+    agreement = F.when(asked.rlike("agreement|license|contract|policy"), 1.3).otherwise(0.35)
+    return resume * sums(RESUME_INFO) + agreement * sums(AGREEMENT_INFO) - sums((w, 1.5) for w in FRAME_INFO)
+
+
+def graph_leads(relevance: Column, strength: Column, coverage: Column) -> Column:
+    """Whether a trail's evidence may lead the pack."""
+    return (relevance >= 0.45) & (strength >= 0.6) & ~((coverage >= 0.45) & (relevance < 0.55))
+
+
+def graph_base(relevance: Column, confidence: Column) -> Column:
+    """The score that a trail's quote enters the pack with."""
+    return F.when(relevance < 0.2, 0.28 + 0.1 * confidence).when(relevance < 0.45, 0.4 + 0.25 * relevance + 0.05 * confidence).otherwise(0.55 + 0.4 * relevance + 0.05 * confidence)
+
+
+def entry_score(shape: Column, q: Column, terms: Column, title: Column, t: Column) -> Column:
+    """The best score that any scan lets a passage enter with; null if none finds it.
+
+    Scans: terms and shapes in the text, rosters, officers, definitions and offers, the section of the path, whole documents.
+    """
+    blob = blob_of(title, t)
+    low, asked = F.lower(blob), F.lower(q)
+
+    def scanned(n: Column) -> Column:
+        offers = asked.rlike(r"\b(capabilities|services|offerings?|solutions)\b")
+        shaped = (shape == "define") & (((asked.contains("pathway") | asked.contains("transformation")) & has_triad(t)) | (offers & supports_offers(title, t)))
+        lexical = F.when(shaped, 0.85).when((F.size(hits(terms, low)) > 0) | (F.size(terms) == 0), 0.55)
+        roster = F.when(questions.is_roster(q) & (n > 0) & (F.char_length(t) >= 40), 0.7 + 0.05 * F.least(n, F.lit(6)))
+        role = F.when(asked.rlike(r"\b(ceo|chief\s+executive)\b"), low.rlike(r"serves\s+as\s+chief\s+executive|chief\s+executive\s+officer")).when(asked.rlike(r"\b(cfo|chief\s+financial)\b"), low.rlike(r"chief\s+financial")).when(asked.rlike(r"\b(cto|chief\s+technology)\b"), low.rlike(r"chief\s+technology")).otherwise(False)
+        officer = F.when(questions.is_officer(q) & role, F.when(F.lower(title).contains("leaders"), 1.8).otherwise(1.4))
+        define = F.when((shape == "define") & (asked.contains("pathway") | asked.contains("transformation")) & has_triad(t), 1.35).when((shape == "define") & offers & (is_service_page(title) | (offering_density(t) >= 0.55)), 1.2)
+        section = F.when(F.size(hits(terms, F.lower(title))) > 0, F.when(is_insight_page(title), 0.95).otherwise(1.4))
+        overview = F.when(questions.is_overview(q), 0.5)
+        return F.when((F.char_length(F.trim(t)) >= 20) & ~((text.boilerplate_penalty(blob) >= 1.125) & (F.char_length(t) < 280)), F.greatest(lexical, roster, officer, define, section, overview))
+
+    return let(F.size(people(blob)), scanned)

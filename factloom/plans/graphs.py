@@ -144,13 +144,13 @@ def _(d: Data) -> DataFrame:
     return d.events.select("user_id", "event_id", "ts", F.row_number().over(w).alias("r")).where("r <= 14").drop("r")
 
 
-@query("r19_graph_base", "SELECT n.type, count(*) AS edges, round(avg(e.weight), 4) AS mean_weight FROM kg_active e JOIN kg_nodes n ON n.id = e.src GROUP BY 1")
-def _(d: Data) -> DataFrame:
-    n = d.nodes.select(F.col("id").alias("src"), "type")
-    return d.active_edges.join(n, "src").groupBy("type").agg(F.count("*").alias("edges"), F.round(F.avg("weight"), 4).alias("mean_weight"))
-
-
 @query("a18_debt_drilldown", """SELECT e.id, s.name AS from_name, t.name AS to_name, e.weight FROM kg_active e JOIN kg_nodes s ON s.id = e.src JOIN kg_nodes t ON t.id = e.dst WHERE edge_class = 'asserted_fact' AND weight < 0.55 ORDER BY weight, e.id LIMIT 20""")
 def _(d: Data) -> DataFrame:
     weak = d.active_edges.where("edge_class = 'asserted_fact' AND weight < 0.55").orderBy("weight", "id").limit(20)
     return joins.with_endpoint_names(weak, d.nodes).select("id", F.col("src_name").alias("from_name"), F.col("dst_name").alias("to_name"), "weight")
+
+
+@query("mean_weight_by_type", "SELECT n.type, count(*) AS edges, round(avg(e.weight), 4) AS mean_weight FROM kg_active e JOIN kg_nodes n ON n.id = e.src GROUP BY 1")
+def _(d: Data) -> DataFrame:
+    n = d.nodes.select(F.col("id").alias("src"), "type")
+    return d.active_edges.join(n, "src").groupBy("type").agg(F.count("*").alias("edges"), F.round(F.avg("weight"), 4).alias("mean_weight"))
