@@ -115,8 +115,8 @@ def cut_ranges(sorted_hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(sorted_hashes, tops), [len(sorted_hashes)]])
 
 
-def multiplicities(runs: DataFrame, unique: Callable, hashes: float, least: int) -> DataFrame:
-    """run, answers: array<struct<part, bits>>, telling which hashes reach ``least``.
+def multiplicities(runs: DataFrame, unique: Callable, hashes: float, least: int, hot: int | None = None) -> DataFrame:
+    """run, answers: array<struct<part, bits, hot>>, telling which hashes reach ``least``, and which ``hot`` (at most 65,535), if asked.
 
     unique(ids, data, offsets) gives a run's distinct 64-bit hashes, sorted, and their counts. The bits, part by
     part, follow the order of the distinct hashes. Ranges with nothing that reaches ``least`` are left out.
@@ -130,7 +130,7 @@ def multiplicities(runs: DataFrame, unique: Callable, hashes: float, least: int)
                 edge = cut_ranges(h, bits)
                 parts = [p for p in range(1 << bits) if edge[p + 1] > edge[p]]
                 low = [squeeze_sorted(h[edge[p] : edge[p + 1]] >> np.uint64(16)) for p in parts]
-                count = [squeeze(np.minimum(n[edge[p] : edge[p + 1]], least).astype("<u2")) for p in parts]
+                count = [squeeze(np.minimum(n[edge[p] : edge[p + 1]], hot or least).astype("<u2")) for p in parts]
                 yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([run] * len(parts), pa.int64()), pa.array(low, pa.binary()), pa.array(count, pa.binary())], ["part", "run", "low", "count"])
 
     def meet(group):
@@ -138,22 +138,22 @@ def multiplicities(runs: DataFrame, unique: Callable, hashes: float, least: int)
         low = [expand_sorted(b) for b in group.column("low").to_pylist()]
         count = np.concatenate([expand(b, "<u2") for b in group.column("count").to_pylist()]).astype(np.int64)
         _, which = np.unique(np.concatenate(low), return_inverse=True)
-        enough = (np.bincount(which, count) >= least)[which]
+        total = np.bincount(which, count)[which]
         ends = np.cumsum([len(x) for x in low])
-        out = [(r, enough[e - len(x) : e]) for r, x, e in zip(run, low, ends.tolist(), strict=True)]
-        return pa.table({"run": pa.array([r for r, b in out], pa.int64()), "part": pa.array([part] * len(out), pa.int32()), "bits": pa.array([squeeze(np.packbits(b)) for r, b in out], pa.binary())})
+        told = lambda enough: pa.array([squeeze(np.packbits(enough[e - len(x) : e])) for x, e in zip(low, ends.tolist(), strict=True)], pa.binary())
+        return pa.table({"run": pa.array(run, pa.int64()), "part": pa.array([part] * len(run), pa.int32()), "bits": told(total >= least), "hot": told(total >= hot) if hot else pa.nulls(len(run), pa.binary())})
 
     sent = runs.mapInArrow(emit, "part int, run long, low binary, count binary")
-    told = sent.groupBy("part").applyInArrow(meet, "run long, part int, bits binary")
-    return told.groupBy("run").agg(F.collect_list(F.struct("part", "bits")).alias("answers"))
+    told = sent.groupBy("part").applyInArrow(meet, "run long, part int, bits binary, hot binary")
+    return told.groupBy("run").agg(F.collect_list(F.struct("part", "bits", "hot")).alias("answers"))
 
 
-def enough(h: np.ndarray, answers: list[dict] | None, hashes: float) -> np.ndarray:
-    """The answers to a run's sorted distinct hashes, as booleans."""
+def enough(h: np.ndarray, answers: list[dict] | None, hashes: float, which: str = "bits") -> np.ndarray:
+    """The answers (bits or hot) to a run's sorted distinct hashes, as booleans."""
     bits = range_bits(hashes)
     edge = cut_ranges(h, bits)
     out = np.zeros(len(h), bool)
     for a in answers or []:
         p = a["part"]
-        out[edge[p] : edge[p + 1]] = np.unpackbits(expand(a["bits"], "u1"))[: edge[p + 1] - edge[p]]
+        out[edge[p] : edge[p + 1]] = np.unpackbits(expand(a[which], "u1"))[: edge[p + 1] - edge[p]]
     return out

@@ -11,6 +11,10 @@ shared with the last winner, and compares strings only from there on. Equal stri
 so do all owned strings of one gram, whose windows are then matched exactly. Answers go back to the runs, where
 each passage's copies were collapsed to the smallest id before they were sent.
 
+A gram that very many documents have, each in a context of its own, would bring one string a document to one
+range. The windows of such grams are exchanged one by one instead, by ranges of their own hash (128 bits stand
+for the 50 bytes), so they spread over all tasks; what a run's documents share is one window there, too.
+
 Defined cases: null and empty texts have no bytes; texts of fewer than 50 bytes are kept; rows with equal ids
 aren't copies of each other; rows without an id are kept whole and remove nothing; columns other than id and text
 aren't carried; a very long text is a run by itself; an empty table gives no rows.
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.arrowkit import ragged, slices
-from factloom.llm.runs import NO_ID, RUN_BYTES, build_runs, enough, expand, multiplicities, open_run, range_bits, squeeze, total_bytes
+from factloom.llm.runs import NO_ID, RUN_BYTES, build_runs, cut_ranges, enough, expand, expand_sorted, multiplicities, open_run, range_bits, squeeze, squeeze_sorted, total_bytes
 from factloom.llm.scratch import materialize
 from factloom.llm.words import mix
 
@@ -36,6 +40,8 @@ SPREAD = PASSAGE - GRAM + 1  # grams of a window
 RECORD = 80
 #: Bytes of text for one anchor, roughly; only sizes ranges.
 BYTES_AN_ANCHOR = 14
+#: Documents from which on a gram's windows are exchanged one by one (counted run by run).
+HOT = 4096
 
 
 def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -92,13 +98,41 @@ def _grams(ids, data, offsets):
     return h[first], np.add.reduceat(other.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
 
 
+def _window_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the 50 bytes at each place."""
+    load = np.ndarray((len(data) - 7,), "<u8", data.tobytes(), 0, (1,))
+    one, two = (np.full(len(at), seed, np.uint64) for seed in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
+    for j in (*range(0, PASSAGE - 8, 8), PASSAGE - 8):
+        chunk = load[at + j]
+        one, two = mix(one ^ chunk), mix(two + chunk * np.uint64(0xD6E8FEB86659FD93))
+    return one, two
+
+
+class HotWindows:
+    """A run's distinct windows of hot grams, sorted by hash, with the places where they occur."""
+
+    def __init__(self, ids: np.ndarray, data: np.ndarray, first: np.ndarray, last: np.ndarray, doc: np.ndarray):
+        count = last - first + 1
+        at, doc = ragged(count, first), np.repeat(doc, count)
+        one, two = _window_hashes(data, at) if len(at) else (np.zeros(0, np.uint64),) * 2
+        order = np.lexsort((two, one))
+        one, two, self.at, self.doc = one[order], two[order], at[order], doc[order]
+        new = np.ones(len(at), bool)
+        new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        start = np.flatnonzero(new)
+        self.one, self.two, self.of = one[start], two[start], np.cumsum(new) - 1
+        self.least = np.minimum.reduceat(ids[self.doc], start) if len(start) else np.zeros(0, np.int64)
+
+
 class SuffixRun:
     """A run's distinct suffixes, sorted within the ranges of their grams' hashes, with the places where they occur."""
 
     def __init__(self, ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, answers: list[dict] | None, hashes: float):
         at, first, last, doc, h = _named(ids, anchors(data, offsets))
         grams, which = np.unique(h, return_inverse=True)
-        stay = enough(grams, answers, hashes)[which] if len(h) else np.zeros(0, bool)
+        stay, hot = (enough(grams, answers, hashes, k)[which] if len(h) else np.zeros(0, bool) for k in ("bits", "hot"))
+        self.hot = HotWindows(ids, data, first[hot], last[hot], doc[hot])
+        stay &= ~hot
         at, first, last, doc, part = at[stay], first[stay], last[stay], doc[stay], h[stay] >> np.uint64(64 - range_bits(hashes))
         right, left = last + PASSAGE - at, at - first
         padded = np.concatenate([np.zeros(SPREAD, np.uint8), data, np.zeros(PASSAGE, np.uint8)])
@@ -133,6 +167,7 @@ def _each(batches, hashes: float):
 
 def _send(hashes: float):
     def run(batches):
+        bits = range_bits(hashes)
         for key, _, _, _, s in _each(batches, hashes):
             begin = np.flatnonzero(np.concatenate([[True], s.part[1:] != s.part[:-1]])) if len(s.part) else np.zeros(0, np.int64)
             parts, first, shared, rest, least = [], [], [], [], []
@@ -144,6 +179,14 @@ def _send(hashes: float):
                 shared.append(squeeze(lcp))
                 rest.append(squeeze(s.record[a:b][np.arange(RECORD) >= lcp[:, None]]))
                 least.append(squeeze(s.least[a:b].astype("<i8")))
+            edge = cut_ranges(s.hot.one, bits)
+            for p in np.flatnonzero(edge[1:] > edge[:-1]).tolist():  # ranges of windows come after those of suffixes
+                a, b = edge[p], edge[p + 1]
+                parts.append((1 << bits) + p)
+                first.append(int(a))
+                shared.append(squeeze_sorted(s.hot.one[a:b]))
+                rest.append(squeeze(s.hot.two[a:b]))
+                least.append(squeeze(s.hot.least[a:b].astype("<i8")))
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([key] * len(parts), pa.int64()), pa.array(first, pa.int64()), *(pa.array(x, pa.binary()) for x in (shared, rest, least))], ["part", "run", "first", "shared", "rest", "least"])
 
     return run
@@ -248,7 +291,38 @@ def resolve(variants: list[tuple[bytes, int]]) -> list[list[tuple[int, int, int]
     return out
 
 
-def _meet(group):
+def _meet(bits: int):
+    def run(group):
+        return _meet_windows(group) if group.column("part")[0].as_py() >> bits else _meet_suffixes(group)
+
+    return run
+
+
+def _answers(names: list[int], told: list[np.ndarray], windows: bool) -> pa.Table:
+    some = [k for k, t in enumerate(told) if len(t)]
+    return pa.table({"run": pa.array([names[k] for k in some], pa.int64()), "windows": pa.array([windows] * len(some), pa.bool_()), "told": pa.array([squeeze(np.asarray(told[k], "<i8")) for k in some], pa.binary())})
+
+
+def _meet_windows(group):
+    """Of a range's windows tell each run those that have a smaller id elsewhere: place, smallest id."""
+    names, first = group.column("run").to_pylist(), group.column("first").to_pylist()
+    one = [expand_sorted(b) for b in group.column("shared").to_pylist()]
+    size = [len(x) for x in one]
+    one, two = np.concatenate(one), np.concatenate([expand(b, "<u8") for b in group.column("rest").to_pylist()])
+    own = np.concatenate([expand(b, "<i8") for b in group.column("least").to_pylist()])
+    order = np.lexsort((two, one))
+    new = np.ones(len(one), bool)
+    new[1:] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])
+    least = np.empty(len(one), np.int64)
+    least[order] = np.minimum.reduceat(own[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    told, end = [], np.cumsum(size)
+    for n, e, f in zip(size, end.tolist(), first, strict=True):
+        at = np.flatnonzero(least[e - n : e] < own[e - n : e])
+        told.append(np.stack([at + f, least[e - n : e][at]], 1).ravel())
+    return _answers(names, told, True)
+
+
+def _meet_suffixes(group):
     """Merge a range's runs; tell each run, for its suffixes, which windows have a smaller id elsewhere."""
     names = group.column("run").to_pylist()
     first = group.column("first").to_pylist()
@@ -282,8 +356,7 @@ def _meet(group):
             places.append([(r, i)])
     if variants:
         close(variants, places)
-    some = [k for k, t in enumerate(told) if t]
-    return pa.table({"run": pa.array([names[k] for k in some], pa.int64()), "told": pa.array([squeeze(np.array(told[k], "<i8")) for k in some], pa.binary())})
+    return _answers(names, [np.array(t, np.int64) for t in told], False)
 
 
 def _remove(hashes: float, as_text: bool):
@@ -292,8 +365,18 @@ def _remove(hashes: float, as_text: bool):
             told = batch.column("told").to_pylist()
             for (_, ids, data, offsets, s), t in zip(_each([batch], hashes), told, strict=True):
                 begin, end = [s.first[(w := s.least[s.of] < ids[s.doc])]], [s.last[w] + PASSAGE]
-                for blob in t or []:
-                    item, a, b, m = expand(blob, "<i8").reshape(-1, 4).T
+                least = s.hot.least.copy()
+                for answer in t or []:
+                    if answer["windows"]:
+                        item, m = expand(answer["told"], "<i8").reshape(-1, 2).T
+                        least[item] = m
+                gone = s.hot.at[least[s.hot.of] < ids[s.hot.doc]]
+                begin.append(gone)
+                end.append(gone + PASSAGE)
+                for answer in t or []:
+                    if answer["windows"]:
+                        continue
+                    item, a, b, m = expand(answer["told"], "<i8").reshape(-1, 4).T
                     count = np.append(s.start[1:], len(s.of))[item] - s.start[item]
                     where = ragged(count, s.start[item])
                     a, b, m = (np.repeat(x, count) for x in (a, b, m))
@@ -329,10 +412,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs = build_runs(docs, id_col, text_col, run_bytes)
     size = total_bytes(runs)
     hashes = size / BYTES_AN_ANCHOR
-    answers = materialize(multiplicities(runs, _grams, hashes, 2), "repeated")
+    answers = materialize(multiplicities(runs, _grams, hashes, 2, HOT), "repeated")
     asked = runs.select("run", "ids", "texts").join(answers, "run", "left")
     sent = asked.mapInArrow(_send(hashes), "part int, run long, first long, shared binary, rest binary, least binary")
-    told = materialize(sent.groupBy("part").applyInArrow(_meet, "run long, told binary").groupBy("run").agg(F.collect_list("told").alias("told")), "told")
+    told = materialize(sent.groupBy("part").applyInArrow(_meet(range_bits(hashes)), "run long, windows boolean, told binary").groupBy("run").agg(F.collect_list(F.struct("windows", "told")).alias("told")), "told")
     kind = docs.schema[id_col].dataType.simpleString()
     out = asked.join(told, "run", "left").mapInArrow(_remove(hashes, as_text), "doc_id long, n_bytes long, crc32 long, n_removed long, n_spans long, kept " + ("string" if as_text else "binary"))
     return out.withColumn("doc_id", F.col("doc_id").cast(kind))

@@ -201,5 +201,24 @@ def test_ranges_grow_with_the_input(spark):
             suffix_dedup.BYTES_AN_ANCHOR = before
 
 
+def test_hot_grams_by_windows(spark):
+    """Phrases that many documents have, each in its own context, with nearly all grams hot."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    phrase, other = prose(30), prose(14)
+    rows_ = [(i, prose(rng.randint(0, 30)) + " " + phrase + " " + prose(rng.randint(0, 30)) + (other + prose(9) if i % 3 == 0 else "") + ("é" * 30 + "z" * 70 if i % 7 == 0 else "")) for i in range(90)]
+    rows_ += [(5, phrase), (100, phrase + phrase), (None, phrase), (101, rows_[8][1]), (102, None), (103, other)]
+    table = spark.createDataFrame(rows_, "doc_id long, text string").repartition(3)
+    before = suffix_dedup.HOT
+    for hot in (1, 2, 20, 4096):
+        suffix_dedup.HOT = hot
+        try:
+            got = suffix_dedup.remove_repeats(table, run_bytes=1_500)
+            assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, sha(bytes(r.kept))) for r in got.collect()), key=repr) == repeats(rows_)
+        finally:
+            suffix_dedup.HOT = before
+
+
 def test_shared_folder_is_named_or_local(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
