@@ -87,6 +87,11 @@ def asserted(relations: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
     return placed.withColumns({"span_start": F.greatest(F.lit(0), F.col("span.at") - 40), "span_end": F.least(F.char_length("text"), F.col("span.at") + F.col("span.size") + 80)}).drop("span")
 
 
+def purged(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """Edges that touch none of the nodes (id) that go."""
+    return edges.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti").select(edges.columns)
+
+
 def restored(now: DataFrame, version: DataFrame) -> DataFrame:
     """id, weight: edges of a version get their weight back, later ones stay as they are, lost ones aren't brought back."""
     return now.join(version.withColumnRenamed("weight", "old"), "id", "left").select("id", F.coalesce("old", "weight").alias("weight"))
