@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from factloom.functions.arrays import let
+
 #: Moderation keywords and patterns, in the order of their classes.
 THREAT = (r"\b(i\s+will\s+(kill|hurt|rape)|rape\s+you|bomb\s+you)\b", r"\b(terrorist\s+attack|make\s+a\s+bomb)\b")
 HATE = (r"\b(nigg(?:er|a)|faggot|\bfag\b|tranny|kike|spic|chink|wetback)\b",)
@@ -111,16 +113,21 @@ def doc_kind(title: Column, t: Column) -> Column:
     return out.when(blob.rlike(NAVISH) & (F.char_length(stripped(t)) < 400), "nav").otherwise("unknown")
 
 
-def passage_signals(title: Column, t: Column) -> dict[str, Column]:
-    """prose_score, chrome_score, doc_kind, has_dated_claim, quarantine of a passage."""
+def passage_struct(title: Column, t: Column) -> Column:
+    """prose_score, chrome_score, doc_kind, has_dated_claim and quarantine of a passage, as one struct whose parts are computed once."""
     blob = F.concat(title, F.lit("\n"), t)
-    chrome = F.least(F.lit(1.0), boilerplate_penalty(blob) / 1.5)
-    words = F.size(F.regexp_extract_all(t, F.lit("[A-Za-z]{3,}"), F.lit(0)))
-    full = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.55 * F.least(F.lit(1.0), F.char_length(t) / 600.0) + 0.45 * (1.0 - chrome)))
-    prose = F.when(words < 12, F.least(full, F.lit(0.25))).otherwise(full)
-    kind, size = doc_kind(title, t), F.char_length(stripped(t))
-    quarantine = ((chrome >= 0.75) & (prose < 0.28)) | ((kind == "nav") & (size < 280)) | (size < 40)
-    return {"prose_score": F.round(prose, 3), "chrome_score": F.round(chrome, 3), "doc_kind": kind, "has_dated_claim": blob.rlike(r"\b(20\d{2}|19\d{2})\b"), "quarantine": quarantine}
+    known = F.struct(
+        F.least(F.lit(1.0), boilerplate_penalty(blob) / 1.5).alias("chrome"), F.size(F.regexp_extract_all(t, F.lit("[A-Za-z]{3,}"), F.lit(0))).alias("words"),
+        doc_kind(title, t).alias("kind"), F.char_length(stripped(t)).alias("size"), F.char_length(t).alias("n"), blob.rlike(r"\b(20\d{2}|19\d{2})\b").alias("dated"),
+    )
+
+    def scored(x: Column) -> Column:
+        full = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.55 * F.least(F.lit(1.0), x["n"] / 600.0) + 0.45 * (1.0 - x["chrome"])))
+        prose = F.when(x["words"] < 12, F.least(full, F.lit(0.25))).otherwise(full)
+        quarantine = ((x["chrome"] >= 0.75) & (prose < 0.28)) | ((x["kind"] == "nav") & (x["size"] < 280)) | (x["size"] < 40)
+        return F.struct(F.round(prose, 3).alias("prose_score"), F.round(x["chrome"], 3).alias("chrome_score"), x["kind"].alias("doc_kind"), x["dated"].alias("has_dated_claim"), quarantine.alias("quarantine"))
+
+    return let(known, scored)
 
 
 def amount(t: Column) -> Column:

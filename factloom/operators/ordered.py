@@ -30,7 +30,35 @@ def look_back(rows: DataFrame, group: str, day: str, value: str, days: int) -> D
 
 
 def learned_weight(outcomes: DataFrame, key: str, time, won: str, start: float = 1.0, up: float = 0.045, down: float = -0.04, low: float = 0.12, high: float = 2.8) -> DataFrame:
-    """key, weight: outcomes folded in order of time, clamped after every step (so the order matters)."""
-    folded = outcomes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*time, won))).alias("o"))
-    step = lambda w, o: F.least(F.lit(high), F.greatest(F.lit(low), w + F.when(o[won], up).otherwise(down)))
-    return folded.select(key, F.round(F.aggregate("o", F.lit(start), step), 6).alias("weight"))
+    """key, weight: outcomes folded in order of time (a timestamp first), clamped after every step (so the order matters).
+
+    A clamped step x -> min(h, max(l, x + d)), after another, is one of the same kind. So steps are folded minute by
+    minute, these day by day, and those at last: no list grows with all of a key's outcomes.
+    """
+    one = F.struct(F.when(F.col(won), up).otherwise(down).alias("d"), F.lit(low).alias("l"), F.lit(high).alias("h"))
+    clamp = lambda s, x: F.least(s["h"], F.greatest(s["l"], x + s["d"]))
+    after = lambda first, then: F.struct((first["d"] + then["d"]).alias("d"), clamp(then, first["l"]).alias("l"), clamp(then, first["h"]).alias("h"))
+    nothing = F.struct(F.lit(0.0).alias("d"), F.lit(-1e300).alias("l"), F.lit(1e300).alias("h"))
+    stamp, rest = F.col(time[0]).cast("timestamp"), F.struct(*time)
+    steps = outcomes.select(key, F.date_trunc("day", stamp).alias("day"), F.date_trunc("minute", stamp).alias("minute"), rest.alias("at"), one.alias("step"))
+
+    def folded(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+        listed = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, "step"))).alias("o"))
+        return listed.select(*by, F.aggregate("o", nothing, lambda s, x: after(s, x["step"])).alias("step"))
+
+    every = folded(folded(folded(steps, [key, "day", "minute"], "at"), [key, "day"], "minute"), [key], "day")
+    return every.select(key, F.round(clamp(F.col("step"), F.lit(start)), 6).alias("weight"))
+
+
+def running_count(rows: DataFrame, key: str, time: list, flag: str, name: str) -> DataFrame:
+    """Rows with the number of rows of their key, up to them in order of time, for which ``flag`` holds.
+
+    Counted within days, plus the count of earlier days: no task sorts all rows of a key.
+    """
+    one = F.when(F.col(flag), 1).otherwise(0)
+    dated = rows.withColumn("_day", F.date_trunc("day", F.col(time[0]).cast("timestamp")))
+    days = dated.groupBy(key, "_day").agg(F.sum(one).alias("_n"))
+    before = Window.partitionBy(key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = days.select(key, "_day", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_earlier"))
+    within = Window.partitionBy(key, "_day").orderBy(*time).rowsBetween(Window.unboundedPreceding, 0)
+    return dated.withColumn("_own", F.sum(one).over(within)).join(earlier, [key, "_day"]).withColumn(name, F.col("_own") + F.col("_earlier")).drop("_day", "_own", "_earlier")

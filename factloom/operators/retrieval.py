@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text
-from factloom.operators import chunks, ordered
+from factloom.operators import chunks
 
 
 def term_overlap(t: Column, terms: list[str]) -> Column:
@@ -37,10 +37,15 @@ def evidence_pack(scored: DataFrame, terms: list[str], k: int) -> DataFrame:
 
 
 def lexical_pack(docs: DataFrame, terms: list[str], k: int) -> DataFrame:
-    """The k best passages of deduplicated, chunked documents, quarantined ones left out."""
-    unique = ordered.keep_one(docs.select("doc_id", "text", "source", "n_chars", F.sha2("text", 256).alias("h")), "h", F.desc("n_chars"), F.desc("doc_id")).where("decision = 'keep'")
-    pieces = chunks.chunked(unique, "doc_id", "text").join(unique.select("doc_id", "source"), "doc_id")
-    signals = text.passage_signals(F.col("source"), F.col("piece"))
-    scored = pieces.where(~signals["quarantine"]).select("doc_id", "ordinal", "char_start", "char_end", F.round(text.lexical_score(F.col("piece"), F.col("source"), terms), 4).alias("score"), text.excerpt(F.col("piece"), terms[0]).alias("excerpt"))
+    """The k best passages of deduplicated, chunked documents, quarantined ones left out.
+
+    Which copies go is told by hashes; texts are never shuffled to find out, and meet the ids that go as they are read.
+    """
+    hashed = docs.select("doc_id", "n_chars", F.sha2("text", 256).alias("h"))
+    stays = hashed.groupBy("h").agg(F.max(F.struct("n_chars", "doc_id"))["doc_id"].alias("stays"), F.count("*").alias("n"))
+    goes = hashed.join(stays.where("n > 1"), "h").where("doc_id <> stays").select("doc_id")
+    unique = docs.select("doc_id", "text", "source").join(goes, "doc_id", "left_anti")
+    pieces = chunks.chunked(unique, "doc_id", "text", keep=["source"]).withColumn("signals", text.passage_struct(F.col("source"), F.col("piece")))
+    scored = pieces.where("NOT signals.quarantine").select("doc_id", "ordinal", "char_start", "char_end", F.round(text.lexical_score(F.col("piece"), F.col("source"), terms), 4).alias("score"), text.excerpt(F.col("piece"), terms[0]).alias("excerpt"))
     order = [F.desc("score"), F.col("doc_id"), F.col("ordinal")]
     return scored.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))

@@ -124,7 +124,9 @@ def _(d: Data) -> DataFrame:
     return d.edges.where("status = 'active'").where(F.col("src").isin("supplier:1", "supplier:2", "customer:3")).select("id", "src", "dst")
 
 
-@query("k01_rate_limit")
+@query("k01_rate_limit", """WITH h AS (SELECT event_id, user_id AS key, epoch_us(CAST(ts AS TIMESTAMP)) / 1e6 AS t FROM events), l AS (SELECT key, list({'t': t, 'recent': [t], 'out': [true], 'ids': [event_id]} ORDER BY t, event_id) AS hits FROM h GROUP BY 1),
+    f AS (SELECT key, list_reduce(hits, lambda a, x: {'t': x.t, 'recent': CASE WHEN len(list_filter(a.recent, lambda r: x.t - r <= 7200)) < 2 THEN list_append(list_filter(a.recent, lambda r: x.t - r <= 7200), x.t) ELSE list_filter(a.recent, lambda r: x.t - r <= 7200) END, 'out': list_append(a.out, len(list_filter(a.recent, lambda r: x.t - r <= 7200)) < 2), 'ids': list_concat(a.ids, x.ids)}) AS s FROM l)
+    SELECT key, unnest(s.ids) AS event_id, unnest(s.out) AS accepted FROM f""")
 def _(d: Data) -> DataFrame:
     """Sliding-window rate limit: hits that are rejected don't count."""
     return limits.rate_limited(d.events.select("event_id", F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts")), 2, 7200)

@@ -456,8 +456,8 @@ def _(d: Data) -> DataFrame:
 
 @query("w14_running_totals", "SELECT event_id, CAST(sum(CASE WHEN won THEN 1 ELSE 0 END) OVER (PARTITION BY path_key ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS wins FROM outcomes")
 def _(d: Data) -> DataFrame:
-    w = Window.partitionBy("path_key").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return d.outcomes.select("event_id", F.sum(F.when(F.col("won"), 1).otherwise(0)).over(w).alias("wins"))
+    """Wins of every path so far."""
+    return ordered.running_count(d.outcomes, "path_key", ["ts", "event_id"], "won", "wins").select("event_id", "wins")
 
 
 # --- top-k ---------------------------------------------------------------------------------------

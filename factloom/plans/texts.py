@@ -66,12 +66,12 @@ def _(d: Data) -> DataFrame:
     return _urls(d).select("page_id", web.locale(web.url_path(F.col("url"))).alias("locale"))
 
 
-@query("j17_nearest_ancestor", f"""WITH {_U}, h AS (SELECT DISTINCT regexp_extract(url, '^https?://[^/?#]*') AS host, CASE WHEN length(p) > 1 THEN regexp_replace(p, '/+$', '') ELSE p END AS p FROM x WHERE page_id >= 1000000)
+@query("j17_nearest_ancestor", f"""WITH {_U}, h AS (SELECT DISTINCT regexp_extract(url, '^https?://[^/?#]*') AS host, CASE WHEN length(p) > 1 THEN regexp_replace(p, '/+$', '') ELSE p END AS p FROM x)
     SELECT a.host, a.p, arg_max(b.p, length(b.p)) AS parent FROM h a JOIN h b ON a.host = b.host AND a.p <> b.p AND (b.p = '/' OR starts_with(a.p, b.p || '/')) GROUP BY ALL""")
 def _(d: Data) -> DataFrame:
     """Nearest existing ancestor: every page's ancestors are exploded, so the range join is an equi-join."""
     p = F.regexp_replace(web.url_path(F.col("url")), "(?<=.)/+$", "")
-    h = _urls(d).where("page_id >= 1000000").select(F.regexp_extract("url", "^https?://[^/?#]*", 0).alias("host"), p.alias("p")).distinct()
+    h = _urls(d).select(F.regexp_extract("url", "^https?://[^/?#]*", 0).alias("host"), p.alias("p")).distinct()
     up = h.select("host", "p", F.posexplode(web.ancestors(F.col("p"))).alias("distance", "parent"))
     found = up.join(h.select("host", F.col("p").alias("parent")), ["host", "parent"])
     return found.groupBy("host", "p").agg(F.min_by("parent", "distance").alias("parent"))
@@ -185,14 +185,13 @@ _SIGNALS = rf"""s0 AS (SELECT doc_id, lang, text, source || chr(10) || substr(te
 @query("r04_signals", rf"""WITH {_SIGNALS} SELECT doc_id, round(prose, 3) AS prose_score, round(chrome, 3) AS chrome_score, kind AS doc_kind, regexp_matches(b || text, '\b(20\d{{2}}|19\d{{2}})\b') AS has_dated_claim, (chrome >= 0.75 AND prose < 0.28) OR (kind = 'nav' AND size < 280) OR size < 40 AS quarantine FROM s2""")
 def _(d: Data) -> DataFrame:
     """Passage signals."""
-    s = text.passage_signals(F.col("source"), F.col("text"))
-    return d.documents.select("doc_id", *(c.alias(n) for n, c in s.items()))
+    return d.documents.select("doc_id", text.passage_struct(F.col("source"), F.col("text")).alias("s")).select("doc_id", "s.*")
 
 
 @query("a14_readiness", f"""WITH {_SIGNALS} SELECT lang, count(*) AS scored, count(*) FILTER (WHERE (chrome >= 0.75 AND prose < 0.28) OR (kind = 'nav' AND size < 280) OR size < 40) AS quarantined, round(100.0 * count(*) FILTER (WHERE chrome >= 0.55) / count(*), 1) AS chrome_heavy_pct, count(*) FILTER (WHERE kind = 'policy') AS policies FROM s2 WHERE size >= 20 GROUP BY 1""")
 def _(d: Data) -> DataFrame:
-    s = text.passage_signals(F.col("source"), F.col("text"))
-    rows = d.documents.where(F.char_length(text.stripped(F.col("text"))) >= 20).select("lang", s["quarantine"].alias("q"), s["chrome_score"].alias("c"), s["doc_kind"].alias("k"))
+    s = text.passage_struct(F.col("source"), F.col("text")).alias("s")
+    rows = d.documents.where(F.char_length(text.stripped(F.col("text"))) >= 20).select("lang", s).select("lang", F.col("s.quarantine").alias("q"), F.col("s.chrome_score").alias("c"), F.col("s.doc_kind").alias("k"))
     return rows.groupBy("lang").agg(F.count("*").alias("scored"), F.count_if("q").alias("quarantined"), F.round(100.0 * F.count_if(F.col("c") >= 0.55) / F.count("*"), 1).alias("chrome_heavy_pct"), F.count_if(F.col("k") == "policy").alias("policies"))
 
 
@@ -272,7 +271,18 @@ def _(d: Data) -> DataFrame:
     return retrieval.evidence_pack(s, list(_TERM), 6)
 
 
-@query("lexical_evidence_pack")
+def _sql_pack() -> str:
+    score = " + ".join(f"CASE WHEN contains(lower(piece), '{t}') THEN {3.0 if ' ' in t else 1.0} ELSE 0.0 END + CASE WHEN contains(lower(source), '{t}') THEN 1.5 ELSE 0.0 END + 0.15::DOUBLE * ((length(piece) - length(replace(lower(piece), '{t}', ''))) / {len(t)})" for t in ("the of", "thntion", "license"))
+    blob = "(source || chr(10) || piece)"
+    return rf"""WITH one AS (SELECT *, 0 AS z FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY n_chars DESC, doc_id DESC) = 1), cut AS (SELECT doc_id, source, unnest(range(0, CASE WHEN n_chars <= 900 THEN 1 ELSE CAST(ceil((n_chars - 900) / 780.0) AS BIGINT) + 1 END)) AS k, text, n_chars FROM one),
+    p AS (SELECT doc_id, source, k AS ordinal, 780 * k AS char_start, least(n_chars, 780 * k + 900) AS char_end, regexp_replace(substr(text, CAST(780 * k + 1 AS BIGINT), 900), '^\s+|\s+$', '', 'g') AS piece FROM cut), q AS MATERIALIZED (SELECT *, least(1.0::DOUBLE, CAST({_sql_penalty(blob)} AS DOUBLE) / 1.5) AS chrome, len(regexp_extract_all(piece, '[A-Za-z]{{3,}}')) AS words, length(piece) AS size FROM p WHERE piece <> ''),
+    f AS (SELECT *, greatest(0.0, least(1.0, 0.55::DOUBLE * least(1.0::DOUBLE, size / 600.0::DOUBLE) + 0.45::DOUBLE * (1.0 - chrome))) AS full_score FROM q), g AS (SELECT *, CASE WHEN words < 12 THEN least(full_score, 0.25) ELSE full_score END AS prose FROM f),
+    s AS (SELECT doc_id, ordinal, char_start, char_end, round(CAST({score} AS DOUBLE), 4) AS score, instr(lower(piece), 'the of') AS pos, piece FROM g WHERE NOT ((chrome >= 0.75 AND prose < 0.28) OR size < 40 OR (size < 280 AND regexp_matches(source || chr(10) || substr(piece, 1, 800), '(?i)\b(site\s*map|cookie|close menu|sign in|log in|skip to (content|main)|all rights reserved)\b')))),
+    r AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id, ordinal) AS rank FROM s)
+    SELECT doc_id, ordinal, CAST(char_start AS BIGINT) AS char_start, CAST(char_end AS BIGINT) AS char_end, score, CASE WHEN pos > 0 THEN substr(piece, greatest(1, pos - 100), pos + 6 + 220 - greatest(1, pos - 100)) ELSE substr(piece, 1, 320) END AS excerpt, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 20"""
+
+
+@query("lexical_evidence_pack", _sql_pack())
 def _(d: Data) -> DataFrame:
     """Deduplicate, chunk, score and rank passages, with excerpts: the flagship."""
     return retrieval.lexical_pack(d.documents, list(_TERM), 20)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -23,14 +23,23 @@ def admit(times: list[float], recent: list[float], limit: int, window: float) ->
 
 
 def rate_limited(hits: DataFrame, limit: int, window: float) -> DataFrame:
-    """event_id, key, accepted of hits (event_id, key, ts). A key's hits are gathered: keys are callers, each bounded by its own rate."""
+    """event_id, key, accepted of hits (event_id, key, ts).
+
+    After a pause longer than the window nothing accepted before it counts any more, so only hits between two such
+    pauses must be taken together; a key's hits are cut at every 256th pause.
+    """
+    kind = hits.schema["key"].dataType.simpleString()
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["ts", "event_id"])
         seconds = (rows["ts"].astype("datetime64[us]").astype("int64") / 1e6).tolist()
         return rows[["event_id", "key"]].assign(accepted=admit(seconds, [], limit, window)[0])
 
-    return hits.groupBy("key").applyInPandas(one, "event_id long, key long, accepted boolean")
+    by = Window.partitionBy("key").orderBy("ts", "event_id")
+    pause = F.col("ts").cast("double") - F.lag("ts").over(by).cast("double") > window
+    nth = F.sum(F.when(pause, 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    runs = hits.withColumn("run", F.floor(nth / 256))
+    return runs.groupBy("key", "run").applyInPandas(one, f"event_id long, key {kind}, accepted boolean")
 
 
 def rate_limit_stream(hits: DataFrame, limit: int, window: float) -> DataFrame:
