@@ -68,7 +68,7 @@ def _anchors(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     new[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(at)) - 1
-    return [at[first], window[first], window[last], doc[first], gram[at[first]]]
+    return [at[first], window[first], window[last], doc[first], mix(gram[at[first]])]  # mixed anew: the least of many hashes is small, and ranges go by size
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
