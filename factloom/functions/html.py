@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -67,3 +68,55 @@ def _contents(html: pd.Series) -> pd.DataFrame:
 def main_content(html):
     """Title, lines of content (headings as #, list items as -, each line once) and link targets in order."""
     return F.pandas_udf(_contents, "struct<title:string,text:string,links:array<string>>")(html)
+
+
+#: Links to persons' pages, words of menus that are no persons, and roles.
+PROFILE = re.compile(r"/(?:profiles?|people|leaders?|leadership|team|board|bio)/[^/?#]+", re.I)
+NO_PERSONS = ("navigation", "language", "cookie", "menu", "skip to", "united states", "worldwide", "english", "chinese", "deutsch", "español", "português")
+ROLE = re.compile(r"\b(Chief(?:\s+[A-Za-z][A-Za-z /&-]{1,50})?(?:\s+Officer)?|Global Head[A-Za-z /&-]{0,60}|Regional Managing Director[A-Za-z /&-]{0,40}|Board Member|Chair(?:man|person)?)\b", re.I)
+
+
+class _Cards(HTMLParser):
+    """Links to persons with what names them: image labels, then the link's own label or title; and their text."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.cards: list[dict] = []
+        self.open: dict | None = None
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        if tag == "a" and PROFILE.search(a.get("href") or ""):
+            self.open = {"href": a["href"], "label": a.get("aria-label") or a.get("title") or "", "images": [], "words": []}
+            self.cards.append(self.open)
+        elif tag == "img" and self.open is not None and (a.get("alt") or "").strip():
+            self.open["images"].append(a["alt"].strip())
+
+    def handle_endtag(self, tag):
+        if tag == "a":
+            self.open = None
+
+    def handle_data(self, data):
+        if self.open is not None and data.strip():
+            self.open["words"].append(" ".join(data.split()))
+
+
+def _people(html: str | None) -> list[str]:
+    page, out = _Cards(), {}
+    page.feed(html or "")
+    page.close()
+    for card in page.cards:
+        slug = re.sub(r"[?#].*$", "", card["href"]).rstrip("/").rsplit("/", 1)[-1]
+        name = next(iter(card["images"]), "") or card["label"].strip() or " ".join(w.capitalize() for w in slug.replace("_", "-").split("-") if w.isalpha())
+        low = name.lower()
+        if not re.search("[A-Za-z]{2,}", name) or len(name) > 60 or "," in name or any(w in low for w in NO_PERSONS) or low in out:
+            continue
+        role = ROLE.search(re.sub(r"\bPronouns?\b.*$", "", " ".join(card["words"][:12]), flags=re.I))
+        role = " ".join(role[0].split()).strip(" -|/") if role else ""
+        out[low] = f"{name} serves as {role}." if len(role) >= 4 and role.lower() not in low else f"{name} is listed among the organization's leaders."
+    return list(out.values())
+
+
+def people_lines(html):
+    """Sentences on the persons that a page's profile links name, with their roles; each person once."""
+    return F.pandas_udf(lambda s: s.map(_people), "array<string>")(html)

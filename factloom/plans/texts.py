@@ -89,6 +89,17 @@ def _(d: Data) -> DataFrame:
     return d.pages.select("page_id", html.main_content("html").alias("m")).select("page_id", "m.title", "m.text", F.size("m.links").alias("n_links"))
 
 
+@query("s14_people_lines")
+def _(d: Data) -> DataFrame:
+    """Persons on pages: those of a made-up grid of leaders, one card for each supplier, and whatever the stored pages link."""
+    k, n = F.col("s_suppkey"), F.col("s_suppkey").cast("string")
+    name = F.concat(F.element_at(F.array(*map(F.lit, ("Ada", "Grace", "Alan"))), (k % 3 + 1).cast("int")), F.lit(" "), F.element_at(F.array(*map(F.lit, ("Hopper", "Turing"))), (k % 2 + 1).cast("int")))
+    label = F.when(k % 4 == 0, F.concat(F.lit('><noscript><img alt="'), name, F.lit('"></noscript>'))).when(k % 4 == 1, F.concat(F.lit(' aria-label="'), name, F.lit('">'))).when(k % 4 == 2, F.lit(' title="Main menu">')).otherwise(F.lit(">"))
+    card = F.concat(F.lit('<a href="/profiles/leaders/'), F.lower(F.replace(name, F.lit(" "), F.lit("-"))), F.lit('"'), label, F.lit("<p>"), F.when(k % 3 == 0, "Chief Data Officer").when(k % 3 == 1, "Board Member Pronouns she").otherwise("Reads a lot"), F.lit("</p></a>"))
+    made = d.table("supplier").select((2_000_000 + k).alias("page_id"), F.concat(F.lit("<html><body>"), card, card, F.lit("</body></html>")).alias("html"))
+    return made.unionByName(d.pages.select("page_id", "html")).select("page_id", F.explode(html.people_lines("html")).alias("line"))
+
+
 @query("s15_page_quality")
 def _(d: Data) -> DataFrame:
     """Link density, prose and reasons why a page is thin."""

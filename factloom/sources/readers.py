@@ -19,6 +19,10 @@ class SourceNotConfiguredError(RuntimeError):
     """A source that is planned but can't be read."""
 
 
+class NoFilesError(RuntimeError):
+    """A source that gave no file."""
+
+
 def files(spark: SparkSession, path: str) -> DataFrame:
     """path, length, content of the files of a folder, whatever its depth."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
@@ -46,6 +50,34 @@ def expanded(uploads: DataFrame) -> DataFrame:
     return uploads.select("filename", "content").mapInArrow(run, "filename string, appears_at string, content binary")
 
 
+def left_out(uploads: DataFrame) -> DataFrame:
+    """filename, member, reason of what ``expanded`` doesn't take from archives: beyond the number of files, too large, or of no known kind."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not name.lower().endswith(".zip"):
+                    continue
+                with zipfile.ZipFile(io.BytesIO(raw)) as z:
+                    shown = [m for m in z.infolist() if not m.is_dir() and "__MACOSX" not in m.filename and not m.filename.rsplit("/", 1)[-1].startswith(".")]
+                    known = [m for m in shown if m.filename.lower().endswith(SUFFIXES)]
+                    out += [(name, m.filename, "kind") for m in shown if m not in known]
+                    out += [(name, m.filename, "count") for m in known[MAX_FILES:]]
+                    out += [(name, m.filename, "size") for m in known[:MAX_FILES] if m.file_size > MAX_BYTES]
+            cols = list(zip(*out, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["filename", "member", "reason"])
+
+    return uploads.select("filename", "content").mapInArrow(run, "filename string, member string, reason string")
+
+
+def landed(found: DataFrame) -> DataFrame:
+    """Files of a source with text and hashes, ready to be stored; none is an error."""
+    if found.isEmpty():
+        raise NoFilesError("NO_FILES")
+    return texts(found)
+
+
 def texts(raw: DataFrame) -> DataFrame:
     """Files with ``text``, invalid bytes left out, and hashes of bytes and stripped text."""
     text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "�", "")
@@ -58,6 +90,29 @@ def sitemap_urls(xml: DataFrame) -> DataFrame:
     return xml.select("source", F.explode(F.regexp_extract_all("xml", F.lit(r"<loc>\s*([^<\s]+)\s*</loc>"), F.lit(1))).alias("url"))
 
 
+def seeded_urls(stored: DataFrame) -> DataFrame:
+    """host, url of pages that stored robots and sitemap files (url, text) lead to.
+
+    robots.txt names sitemaps beside the usual ones, a sitemap of sitemaps names others of its host; pages are those
+    of the same host, without query and fragment, each once.
+    """
+    host = lambda c: F.regexp_replace(F.lower(F.regexp_extract(c, r"^https?://([^/?#]*)", 1)), r"^www\.", "")
+    files_ = stored.select("url", "text", host(F.col("url")).alias("host"))
+    robots = files_.where("url LIKE '%/robots.txt'").select("host", F.explode(F.regexp_extract_all("text", F.lit(r"(?im)^sitemap:\s*(\S+)"), F.lit(1))).alias("url"))
+    usual = files_.where(F.col("url").rlike(r"^https?://[^/]+/sitemap(_index|-index)?\.xml$")).select("host", "url")
+    maps = files_.select("url", "text")
+    told = robots.union(usual).distinct().join(maps, "url").select("host", F.explode(F.regexp_extract_all("text", F.lit(r"<loc>\s*([^<\s]+)\s*</loc>"), F.lit(1))).alias("url"))
+    nested = told.where(F.col("url").endswith(".xml") & (host(F.col("url")) == F.col("host"))).distinct().join(maps, "url").select("host", F.explode(F.regexp_extract_all("text", F.lit(r"<loc>\s*([^<\s]+)\s*</loc>"), F.lit(1))).alias("url"))
+    pages = told.union(nested).where(~F.col("url").endswith(".xml") & (host(F.col("url")) == F.col("host")))
+    return pages.select("host", F.regexp_replace("url", r"[?#].*$", "").alias("url")).distinct()
+
+
+def sample(spark: SparkSession, path: str) -> DataFrame:
+    """filename, content of a bundled folder of text files, by name."""
+    found = files(spark, path).where(F.lower("path").rlike(r"\.(txt|md)$"))
+    return found.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), "content").orderBy("filename")
+
+
 def golden_cases(spark: SparkSession, path: str) -> DataFrame:
     """Cases of the best suite of each agent: most cases first, then suite_id; files that start with _ are left out."""
     suites = spark.read.option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "[!_]*.json").json(path)
@@ -66,12 +121,17 @@ def golden_cases(spark: SparkSession, path: str) -> DataFrame:
     return one.select("suite_id", "agent_name", F.explode("cases").alias("case")).select("suite_id", "agent_name", "case.*")
 
 
-#: Kinds of sources and their readers; planned ones raise.
-CONNECTORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"files": files, "sharepoint": files, "blob": files}
+#: Kinds of sources and their readers, and kinds that are planned only. Libraries and blob containers are read through the path Spark sees them by.
+CONNECTORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"files": files, "sample": sample, "sharepoint": files, "blob": files}
 PLANNED = ("confluence", "jira", "slack", "notion", "gdrive", "s3", "email")
 
 
+def register(kind: str, reader: Callable[[SparkSession, str], DataFrame]) -> None:
+    """Add a kind of source, or replace its reader."""
+    CONNECTORS[kind] = reader
+
+
 def connector(kind: str) -> Callable[[SparkSession, str], DataFrame]:
-    if kind in PLANNED:
-        raise SourceNotConfiguredError(f"{kind} is planned")
+    if kind not in CONNECTORS:
+        raise SourceNotConfiguredError(f"{kind} is planned" if kind in PLANNED else f"{kind} isn't known; there are {', '.join(sorted(CONNECTORS))}")
     return CONNECTORS[kind]

@@ -39,3 +39,33 @@ def test_sinks(spark, tmp_path):
     sinks.append(old, str(tmp_path / "t"), ["k"])
     sinks.append(old, str(tmp_path / "t"), ["k"])
     assert spark.read.parquet(str(tmp_path / "t")).count() == 4
+
+
+def test_archives_tell_what_they_leave_out(spark, monkeypatch):
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        for name in ("a.txt", "b.txt", "c.txt", "pic.png", "__MACOSX/x.txt"):
+            z.writestr(name, "text")
+    df = spark.createDataFrame([("up.zip", bytearray(buf.getvalue()))], "filename string, content binary")
+    monkeypatch.setattr(readers, "MAX_FILES", 2)
+    assert {(r.member, r.reason) for r in readers.left_out(df).collect()} == {("c.txt", "count"), ("pic.png", "kind")}
+    with pytest.raises(readers.NoFilesError):
+        readers.landed(readers.expanded(df).where("false"))
+
+
+def test_seeded_urls(spark):
+    loc = lambda *urls: "".join(f"<url><loc>{u}</loc></url>" for u in urls)
+    stored = [
+        ("https://www.x.com/robots.txt", "User-agent: *\nSitemap: https://x.com/maps/main.xml\n"), ("https://x.com/maps/main.xml", loc("https://x.com/a?q=1", "https://other.com/b", "https://x.com/maps/more.xml")),
+        ("https://x.com/maps/more.xml", loc("https://x.com/c#top", "https://x.com/a")), ("https://y.com/sitemap.xml", loc("https://y.com/only")), ("https://y.com/unlinked.xml", loc("https://y.com/hidden")),
+    ]
+    got = readers.seeded_urls(spark.createDataFrame(stored, "url string, text string"))
+    assert sorted(map(tuple, got.collect())) == [("x.com", "https://x.com/a"), ("x.com", "https://x.com/c"), ("y.com", "https://y.com/only")]
+
+
+def test_connectors_and_samples(spark, tmp_path):
+    for name in ("b.md", "a.txt", "c.png"):
+        (tmp_path / name).write_text(name)
+    assert [(r.filename, bytes(r.content)) for r in readers.connector("sample")(spark, str(tmp_path)).collect()] == [("a.txt", b"a.txt"), ("b.md", b"b.md")]
+    with pytest.raises(readers.SourceNotConfiguredError, match="isn't known"):
+        readers.connector("nothing")
