@@ -23,6 +23,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,6 +144,7 @@ def _ids(source: str, text: str) -> np.ndarray:
 
 def _cut(source: str, window: int, end_token: int, keep_ids: bool):
     def cut(batches):
+        seen = 0
         for batch in batches:
             tails, windows, tokens = [], [], []
             for text in batch.column(1).to_pylist():
@@ -153,7 +155,9 @@ def _cut(source: str, window: int, end_token: int, keep_ids: bool):
                 tails.append(ids[full:].tobytes())
                 tokens.append(len(ids))
             kind = pa.list_(pa.binary() if keep_ids else pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.int64()), pa.array([t % window for t in tokens], pa.int32()), pa.array(windows, kind), pa.array(tails, pa.binary())], ["doc_id", "doc_tokens", "tail_len", "windows", "tail"])
+            mark = np.arange(seen, seen + len(tokens)) + (TaskContext.get().partitionId() << 33)
+            seen += len(tokens)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mark), pa.array(tokens, pa.int64()), pa.array([t % window for t in tokens], pa.int32()), pa.array(windows, kind), pa.array(tails, pa.binary())], ["doc_id", "mark", "doc_tokens", "tail_len", "windows", "tail"])
 
     return cut
 
@@ -194,7 +198,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_token: int = 0
     source = tokenizer_source(tokenizer)
     kind = docs.schema[id_col].dataType.simpleString()
     cut = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        _cut(source, window, end_token, keep_ids), f"doc_id {kind}, doc_tokens long, tail_len int, windows array<{'binary' if keep_ids else 'long'}>, tail binary"
+        _cut(source, window, end_token, keep_ids), f"doc_id {kind}, mark long, doc_tokens long, tail_len int, windows array<{'binary' if keep_ids else 'long'}>, tail binary"
     )
     cut = materialize(cut, "cut")
     n_windows = F.floor(F.col("doc_tokens") / window)
@@ -203,8 +207,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_token: int = 0
         counts[r.tail_len], windows[r.tail_len] = r.n, r.w
     buckets = max(64, -(-int(counts.max()) // NUMBERED_TOGETHER))
     key = ["tail_len", "bucket"]
-    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "doc_tokens", F.crc32("tail")), F.lit(buckets)))
-    within = Window.partitionBy(*key).orderBy("doc_id", "doc_tokens", F.crc32("tail"))
+    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("mark"), F.lit(buckets)))
+    within = Window.partitionBy(*key).orderBy("doc_id", "mark")
     before = within.rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy("tail_len").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = dealt.groupBy(*key).agg(F.count("*").alias("n"), F.sum(n_windows).alias("w"))

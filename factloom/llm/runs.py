@@ -23,7 +23,7 @@ from factloom.llm.scratch import materialize
 RUN_BYTES, RUN_ROWS = 2 << 20, 1 << 16
 #: Hashes of one range that are compared together, about.
 RANGE_HASHES = 500_000
-#: The id of rows whose own id is null.
+#: The id of rows whose own id is null; ids themselves are longs above it.
 NO_ID = -(2**63)
 
 
@@ -59,7 +59,7 @@ def _pack_runs(batches, run_bytes: int):
 
     def row():
         return pa.RecordBatch.from_arrays(
-            [pa.array([(part << 16) + seq]), pa.array([sum(map(len, ids))]), pa.array([size]), pa.array([squeeze(np.concatenate(ids))]), pa.array([squeeze(np.concatenate([np.diff(np.concatenate(offsets)).astype("<i8").view("u1"), *texts]))])],
+            [pa.array([(part << 24) + seq]), pa.array([sum(map(len, ids))]), pa.array([size]), pa.array([squeeze(np.concatenate(ids))]), pa.array([squeeze(np.concatenate([np.diff(np.concatenate(offsets)).astype("<i8").view("u1"), *texts]))])],
             ["run", "n_docs", "n_bytes", "ids", "texts"],
         )
 
