@@ -23,7 +23,7 @@ from factloom.llm.scratch import materialize
 
 #: Ordered units that groups are hashed into.
 UNITS = 32_768
-#: Rows of a part of a unit, about; parts are numbered apart.
+#: Rows of a part of a unit, about; parts are numbered apart. Units of 4,096 rows and more have 64 parts at least.
 PART_ROWS = 65_536
 #: Bytes that a row counts besides its text.
 ROW_BYTES = 16
@@ -80,7 +80,7 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     plan = capacity_plan(of_unit.select("unit", "bytes"), shards)
     earlier = lambda *by: Window.partitionBy(by[0]).orderBy(by[1]).rowsBetween(Window.unboundedPreceding, -1)
     none = F.lit(0).cast("long")
-    bases = of_unit.select("unit", F.ceil(F.col("n") / part_rows).alias("parts"), "n").join(plan, "unit").select("unit", "shard", "parts", F.coalesce(F.sum("n").over(earlier("shard", "unit")), none).alias("unit_base"))
+    bases = of_unit.select("unit", F.greatest(F.ceil(F.col("n") / part_rows), F.least(F.lit(64), F.ceil(F.col("n") / 64))).alias("parts"), "n").join(plan, "unit").select("unit", "shard", "parts", F.coalesce(F.sum("n").over(earlier("shard", "unit")), none).alias("unit_base"))
     bases = materialize(bases, "units")
     dealt = rows.join(F.broadcast(bases), "unit").withColumn("part", F.pmod(F.xxhash64("mark"), F.col("parts")))  # at most ``units`` rows
     offsets = dealt.groupBy("unit", "part").agg(F.count("*").alias("n")).select("unit", "part", F.coalesce(F.sum("n").over(earlier("unit", "part")), none).alias("part_base"))
