@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import html
 import io
+import re
 import zipfile
 from collections.abc import Callable
 
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Kinds of files that are taken from archives and folders.
 SUFFIXES = (".pdf", ".docx", ".pptx", ".xlsx", ".txt", ".md", ".csv", ".json", ".html", ".htm", ".xml", ".log")
-MAX_FILES, MAX_BYTES = 100, 100 << 20
+MAX_FILES, MAX_BYTES, SHEET_ROWS = 100, 100 << 20, 200
 
 
 class SourceNotConfiguredError(RuntimeError):
@@ -71,6 +73,55 @@ def left_out(uploads: DataFrame) -> DataFrame:
     return uploads.select("filename", "content").mapInArrow(run, "filename string, member string, reason string")
 
 
+def _words(xml: str, tag: str) -> str:
+    """The text of all elements of a kind, put together; tabs and breaks count as blanks and lines."""
+    marked = re.sub(r"<w:tab\b[^>]*/>", "\t", re.sub(r"<(?:w|a):br\b[^>]*/>", f"<{tag}>\n</{tag}>", xml))
+    return html.unescape("".join(re.findall(rf"<{tag}(?:\s[^>]*)?>([^<]*)</{tag}>", marked)))
+
+
+def _office_text(name: str, raw: bytes) -> str | None:
+    """The text of a .docx, .pptx or .xlsx file, whose parts are XML; None for other files and broken ones."""
+    kind = name.lower().rsplit(".", 1)[-1]
+    if kind not in ("docx", "pptx", "xlsx"):
+        return None
+    try:
+        with zipfile.ZipFile(io.BytesIO(raw)) as z:
+            part = lambda p: z.read(p).decode("utf-8", "replace") if p in z.namelist() else ""
+            numbered = lambda pattern: sorted((p for p in z.namelist() if re.fullmatch(pattern, p)), key=lambda p: int(re.findall(r"\d+", p)[-1]))
+            if kind == "docx":
+                lines = (_words(p, "w:t") for p in re.findall(r"(?s)<w:p\b.*?</w:p>", part("word/document.xml")))
+                return "\n".join(x for x in lines if x.strip())
+            if kind == "pptx":
+                return "\n\n".join("\n".join("\n".join(_words(p, "a:t") for p in re.findall(r"(?s)<a:p\b.*?</a:p>", shape)) for shape in re.findall(r"(?s)<p:txBody\b.*?</p:txBody>", part(s))) for s in numbered(r"ppt/slides/slide\d+\.xml"))
+            shared = [_words(x, "t") for x in re.findall(r"(?s)<si\b.*?</si>", part("xl/sharedStrings.xml"))]
+            titles = [html.unescape(t) for t in re.findall(r"<sheet\b[^>]*\bname=\"([^\"]*)\"", part("xl/workbook.xml"))]
+            out = []
+            for title, sheet in zip(titles, numbered(r"xl/worksheets/sheet\d+\.xml"), strict=False):
+                rows = []
+                for row in re.findall(r"(?s)<row\b.*?</row>", part(sheet)):
+                    cells = []
+                    for attributes, body in re.findall(r"(?s)<c\b([^>]*)>(.*?)</c>", row):
+                        v = _words(body, "v") or _words(body, "t")
+                        cells.append(shared[int(v)] if 't="s"' in attributes and v else v)
+                    if any(cells):
+                        rows.append(" | ".join(c for c in cells if c))
+                out.append(f"# Sheet {title}\n" + "\n".join(rows[:SHEET_ROWS]))
+            return "\n\n".join(out)
+    except (zipfile.BadZipFile, ValueError, IndexError, KeyError):
+        return None
+
+
+def office_texts(found: DataFrame) -> DataFrame:
+    """filename, text of office files (filename, content); null for files of other kinds and broken ones."""
+
+    def run(batches):
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_office_text(n, r or b"") for n, r in zip(names, batch.column(1).to_pylist(), strict=True)], pa.string())], ["filename", "text"])
+
+    return found.select("filename", "content").mapInArrow(run, "filename string, text string")
+
+
 def landed(found: DataFrame) -> DataFrame:
     """Files of a source with text and hashes, ready to be stored; none is an error."""
     if found.isEmpty():

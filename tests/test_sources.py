@@ -69,3 +69,20 @@ def test_connectors_and_samples(spark, tmp_path):
     assert [(r.filename, bytes(r.content)) for r in readers.connector("sample")(spark, str(tmp_path)).collect()] == [("a.txt", b"a.txt"), ("b.md", b"b.md")]
     with pytest.raises(readers.SourceNotConfiguredError, match="isn't known"):
         readers.connector("nothing")
+
+
+def test_office_files(spark):
+    def packed(**parts: str) -> bytearray:
+        buf = io.BytesIO()
+        with zipfile.ZipFile(buf, "w") as z:
+            for name, xml in parts.items():
+                z.writestr(name.replace("__", "/") + ".xml", xml)
+        return bytearray(buf.getvalue())
+
+    docx = packed(word__document="<w:document><w:p><w:r><w:t>One &amp; </w:t></w:r><w:r><w:t xml:space='preserve'>two</w:t></w:r></w:p><w:p></w:p><w:p><w:t>three</w:t></w:p></w:document>")
+    slide = "<p:sp><p:txBody><a:p><a:r><a:t>{}</a:t></a:r></a:p><a:p><a:t>b</a:t></a:p></p:txBody></p:sp>"
+    pptx = packed(ppt__slides__slide10=slide.format("ten"), ppt__slides__slide2=slide.format("two"))
+    xlsx = packed(xl__workbook='<sheets><sheet name="A&amp;B" sheetId="1"/></sheets>', xl__sharedStrings="<sst><si><t>name</t></si><si><r><t>x</t></r><r><t>y</t></r></si></sst>", xl__worksheets__sheet1='<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1"><v>3</v></c></row><row r="2"><c r="A2"/></row><row r="3"><c r="A3" t="s"><v>1</v></c></row>')
+    df = spark.createDataFrame([("a.docx", docx), ("b.pptx", pptx), ("c.xlsx", xlsx), ("d.docx", bytearray(b"broken")), ("e.txt", bytearray(b"text"))], "filename string, content binary")
+    got = {r.filename: r.text for r in readers.office_texts(df).collect()}
+    assert got == {"a.docx": "One & two\nthree", "b.pptx": "two\nb\n\nten\nb", "c.xlsx": "# Sheet A&B\nname | 3\nxy", "d.docx": None, "e.txt": None}
