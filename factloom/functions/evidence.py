@@ -17,7 +17,7 @@ NO_PERSONS = "president chairman chairwoman chief executive operating financial
 #: What actions, definitions and facts look like.
 ACTIONABLE = r"\b(must|should|require[sd]?|step\s*\d|first|then|next|click|select|submit|enable|disable|configure|install|renew)\b"
 DEFINITIONAL = r"\b(is\s+a|are\s+a|refers\s+to|means|defined\s+as|consists\s+of|provides|represents)\b"
-CONCRETE = r"(\b20\d{2}\b|\b\d{1,3}(?:,\d{3})+\+?\b|\b\d+\+\b|\b\d{1,5}\s*(?:%|percent|pages?|people|employees?|thoughtworkers?|offices?|countries?|years?|months?|decades?)\b|\b\d+\s+(?:street|ave|road|blvd)\b)"
+CONCRETE = r"(\b20\d{2}\b|\b\d{1,3}(?:,\d{3})+\+?\b|\b\d+\+\b|\b\d{1,5}\s*(?:%|percent|pages?|people|employees?|offices?|countries?|years?|months?|decades?)\b|\b\d+\s+(?:street|ave|road|blvd)\b)"
 PERSONAL = r"\b(my|his|her|their)\s+\d+\+?\s+years?\b|\b\d+\+?\s+years?\s+of\s+(?:experience|career)\b"
 METRIC = r"\b(?:more\s+than|over|about|approximately)?\s*\d{1,3}(?:,\d{3})+\+?\s+\w+|\b\d+\+\s+years?\b|\b\d+\s+offices?\b|\b\d+\s+countries?\b"
 #: Path shapes of pages that offer services, careers and opinions; three words as a slogan.

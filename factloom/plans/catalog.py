@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.plans import asks, crawl, governance, graphs, packs, relational, reports, texts, upkeep, weave  # noqa: F401
+from factloom.plans import asks, crawl, governance, graphs, packs, readiness, relational, reports, texts, upkeep, weave  # noqa: F401
 from factloom.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

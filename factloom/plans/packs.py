@@ -94,7 +94,7 @@ def _(d: Data) -> DataFrame:
 _FIT = rf"""x0 AS MATERIALIZED (SELECT q, t, {SHAPE} AS shape, {_TEAM} AS clarify, list_filter(list_concat(regexp_extract_all(t, '\b([A-Z]{{2,}}\d{{2,}}|\d{{3,}}[A-Z]+|[A-Z]{{3,}}\d+)\b'), regexp_extract_all(t, '["'']([^"'']{{3,80}})["'']', 1), list_filter(regexp_extract_all(t, '[A-Za-z][A-Za-z0-9_-]{{3,}}'), lambda w: NOT list_contains(string_split('about team teams page home site menu contact learn more click here read see view info information general overview introduction leadership leader leaders executive executives management', ' '), lower(w))), regexp_extract_all(t, '\b[A-Z]{{2,4}}\b')), lambda w: length(w) >= 2) AS found FROM s),
     x1 AS MATERIALIZED (SELECT q, t, shape, clarify, {_once('found')} AS terms, CASE q WHEN 2 THEN ['sl3000', 'sl2000'] WHEN 7 THEN ['gold plan', 'silver plan'] ELSE [] END AS sides FROM x0),
     x2 AS (SELECT x1.*, p2.*, least(1.0::DOUBLE, pen / 1.5) AS chrome, len(people) AS n, CASE WHEN len(terms) > 0 THEN len(list_filter(terms, lambda w: contains(low, lower(w)))) / len(terms)::DOUBLE ELSE 0.0 END AS ov, len(list_filter(sides, lambda w: contains(low, w))) AS n_both,
-        least(5, len(regexp_extract_all(low, '\b(must|should|require[sd]?|step\s*\d|first|then|next|click|select|submit|enable|disable|configure|install|renew)\b'))) AS actions, least(5, len(regexp_extract_all(low, '(\b20\d{{2}}\b|\b\d{{1,3}}(,\d{{3}})+\+?\b|\b\d+\+\b|\b\d{{1,5}}\s*(%|percent|pages?|people|employees?|thoughtworkers?|offices?|countries?|years?|months?|decades?)\b|\b\d+\s+(street|ave|road|blvd)\b)'))) AS facts,
+        least(5, len(regexp_extract_all(low, '\b(must|should|require[sd]?|step\s*\d|first|then|next|click|select|submit|enable|disable|configure|install|renew)\b'))) AS actions, least(5, len(regexp_extract_all(low, '(\b20\d{{2}}\b|\b\d{{1,3}}(,\d{{3}})+\+?\b|\b\d+\+\b|\b\d{{1,5}}\s*(%|percent|pages?|people|employees?|offices?|countries?|years?|months?|decades?)\b|\b\d+\s+(street|ave|road|blvd)\b)'))) AS facts,
         regexp_matches(low, '\b(is\s+a|are\s+a|refers\s+to|means|defined\s+as|consists\s+of|provides|represents)\b') AS defines, regexp_matches(low, '\b20\d{{2}}\b') AS dated, regexp_matches(low, '\d{{1,3}}(,\d{{3}})+\+?\s+\w+|\b\d+\+\s+years?\b|\b\d+\s+offices?\b|\b\d+\s+countries?\b') AS metric, regexp_matches(low, '\b(my|his|her|their)\s+\d+\+?\s+years?\b|\b\d+\+?\s+years?\s+of\s+(experience|career)\b') AS personal, regexp_matches(lower(t), '\b(how\s+many|how\s+long|offices?|countries?)\b') AS org FROM x1, p2),
     x3 AS (SELECT *, 0.35::DOUBLE * (1.0 - chrome) + 0.15::DOUBLE * (1.0 - chrome) AS base FROM x2),
     x4 AS MATERIALIZED (SELECT *, CASE shape WHEN 'list_people' THEN CASE WHEN n >= 2 THEN least(1.0, 0.55 + 0.15 * least(n, 4) + base) WHEN n = 1 THEN least(1.0, 0.45 + base) ELSE greatest(0.0, 0.08 * (1.0 - chrome) - 0.2 * chrome) END
