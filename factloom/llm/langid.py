@@ -7,7 +7,8 @@ language whose prototype has the largest cosine with it.
 
 Defined cases: texts that are null or have no letter get ``und`` and score 0, as do all texts if nothing could
 be learned; of equal cosines the first language by name wins; null languages aren't learned; repeated rows are
-scored alike; other columns are never read.
+scored alike; very long texts are read whole; an empty table gives no rows, and nothing to learn; other columns are
+never read.
 """
 
 from __future__ import annotations
