@@ -120,3 +120,70 @@ def _people(html: str | None) -> list[str]:
 def people_lines(html):
     """Sentences on the persons that a page's profile links name, with their roles; each person once."""
     return F.pandas_udf(lambda s: s.map(_people), "array<string>")(html)
+
+
+#: What a page's frame is marked by, beside its elements; lines that are left of it; characters of a body that are kept.
+FRAME_ROLES = {"navigation", "banner", "contentinfo", "complementary"}
+FRAME_IDS = {"onetrust-consent-sdk", "cookie-banner"}
+FRAME_CLASSES = {"ot-sdk-container", "cookie-banner", "cookie-consent", "cookies", "newsletter", "subscribe", "social-share", "share-buttons", "breadcrumb", "breadcrumbs", "menu", "site-menu", "mobile-menu"}
+CRUMB = re.compile(r"(back|close|news archive|menu|skip to (content|main)|accept all|reject all)\s*", re.I)
+BODY_CHARS = 80_000
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+
+
+class _Body(HTMLParser):
+    """Lines of a page's main part, or else its article, or else all of it, without frames."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.open: list[tuple[str, bool]] = []  # elements, and whether they begin a frame
+        self.lines: dict[str, list[str]] = {"main": [], "article": [], "": []}
+        self.title, self.mark = "", ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in VOID:
+            if tag in BLOCKS:
+                self.line("")
+            return
+        a = {k: (v or "") for k, v in attrs}
+        frame = tag in DROPPED or tag == "iframe" or a.get("role") in FRAME_ROLES or a.get("id") in FRAME_IDS or a.get("aria-label") == "breadcrumb" or bool(FRAME_CLASSES & set(a.get("class", "").split()))
+        self.open.append((tag, frame))
+        if tag in BLOCKS:
+            self.line({"h1": "# ", "h2": "## ", "h3": "### ", "h4": "### ", "li": "- "}.get(tag, ""))
+
+    def handle_endtag(self, tag):
+        if any(t == tag for t, _ in self.open):
+            while self.open.pop()[0] != tag:
+                pass
+        if tag in BLOCKS:
+            self.line("")
+
+    def line(self, mark: str) -> None:
+        for part in self.lines.values():
+            part.append(mark)
+
+    def handle_data(self, data):
+        tags = [t for t, _ in self.open]
+        if "title" in tags:
+            self.title += data
+        elif not any(frame for _, frame in self.open):
+            for part, lines in self.lines.items():
+                if part in ("", *tags):
+                    lines[-1:] = [(lines[-1] if lines else "") + data]
+
+
+def _page_text(html: str | None, url: str | None) -> str:
+    page = _Body()
+    page.feed(html or "")
+    page.close()
+    tidy = lambda lines: [x for x in (" ".join(y.split()) for y in lines) if x.strip("#- ")]
+    lines = next((x for part in ("main", "article", "") if (x := tidy(page.lines[part]))), [])
+    body = "\n".join(x for x in lines if not CRUMB.fullmatch(x))
+    people = "\n".join(_people(html))
+    whole = body + ("\n\n" if body and people else "") + people
+    return f"# {' '.join(page.title.split()) or url}\n\nSource: {url}\n\n{whole[:BODY_CHARS]}"
+
+
+def page_text(html, url):
+    """A page as it is stored: its title and URL, the lines of its main part without frames, and the persons it names."""
+    return F.pandas_udf(lambda h, u: pd.Series([_page_text(x, y) for x, y in zip(h, u, strict=True)]), "string")(html, url)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions import text, web
+from factloom.functions import quality, text, web
 from factloom.operators.lineage import cut
 from factloom.plans.datasets import Data
 from factloom.plans.registry import query
@@ -134,3 +134,26 @@ def _(d: Data) -> DataFrame:
     alike = pages.where("url <> '/'").select("host", "url", F.substring("url", 2, 2).alias("k")).join(other.withColumn("k", F.substring("to", 2, 2)), ["host", "k"]).select("host", "url", "to")
     links = cut(home.unionByName(alike).where("url <> to"))
     return crawl(pages, links, pages.where("url = '/'").select("host", "url"))
+
+
+_FRAMES = "CASE page_id % 6 WHEN 0 THEN '<p>Home</p><p>Contact Us</p><p>Our Great Products</p><p>Ada King</p><p>Accept all cookies</p><p>All rights reserved</p><p>Follow us</p><p>Sign in</p>' WHEN 1 THEN '<p>Alpha Beta</p><p>Gamma Delta Eps</p><p>Zeta Eta</p><p>Theta Iota</p><p>Kappa Lam</p><p>Mu Nu</p><p>Xi Omi</p><p>Pi Rho</p><p>Sig Tau Ups Phi Chi</p>' ELSE '' END"
+_CUT = "CASE page_id % 7 WHEN 0 THEN 300 WHEN 1 THEN 900 WHEN 2 THEN 1500 WHEN 3 THEN 2500 ELSE 1000000 END"
+_CAPITAL = "len(list_filter(string_split({x}, ' '), lambda w: regexp_full_match(w, '[A-Za-z]+') AND NOT regexp_matches(w, '^[A-Z]'))) = 0"
+
+
+@query("s15_quality_gate", rf"""WITH h AS (SELECT page_id, {_FRAMES} || substr(html, 1, CAST({_CUT} AS BIGINT)) AS html FROM pages), t AS (SELECT page_id, len(regexp_extract_all(html, '<a ')) AS links, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript|svg|iframe|nav|footer|header)\b[^>]*>.*?</(script|style|noscript|svg|iframe|nav|footer|header)>', chr(10), 'g'), '(?i)</?(p|div|li|ul|ol|br|tr|table|section|article|main|h[1-6]|title|head|body)\b[^>]*>', chr(10), 'g'), '(?s)<[^>]*>', ' ', 'g') AS t FROM h),
+    l AS MATERIALIZED (SELECT page_id, links, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS lines FROM t),
+    u AS MATERIALIZED (SELECT page_id, links, lines, list_filter(lines, lambda x: x[1] = '#' OR starts_with(x, '- ') OR NOT (regexp_matches(x, '(?i)^(home|about|about us|contact|contact us|careers|blog|news|newsroom|solutions|products|services|resources|support|help|faq|login|sign in|sign out|log in|log out|close menu|search|menu|pricing|partners|company|investors)\s*$')
+        OR (length(x) < 80 AND regexp_matches(lower(x), 'site map|sitemap|privacy policy|terms of use|terms of service|cookie|accessibility|close menu|sign in|log in|log out|subscribe|newsletter|reject all|accept all|confirm my choices|personalize ads|targeted advertising|leg\.interest|all rights reserved|follow us|skip to content|skip to main'))
+        OR (len(string_split(x, ' ')) <= 6 AND {_CAPITAL.format(x='x')} AND NOT (len(list_filter(string_split(x, ' '), lambda w: regexp_full_match(w, '[A-Za-z]+'))) BETWEEN 2 AND 4 AND len(list_filter(string_split(x, ' '), lambda w: regexp_full_match(w, '[A-Za-z]+') AND NOT regexp_full_match(w, '[A-Z][a-z]*'))) = 0) AND NOT regexp_matches(x, '[.!?]') AND length(x) < 60))) AS prose FROM l),
+    k AS (SELECT page_id, length(array_to_string(prose, ' ')) AS n, links / greatest(greatest(1, len(regexp_extract_all(CASE WHEN len(prose) > 0 THEN array_to_string(prose, ' ') ELSE array_to_string(lines, ' ') END, '[A-Za-z]{{2,}}'))) / 8.0, 1.0) AS density, len(list_filter(['site map', 'sitemap', 'privacy policy', 'terms of use', 'terms of service', 'cookie policy', 'cookie preferences', 'cookie settings', 'cookie', 'cookies', 'accessibility', 'close menu', 'sign in', 'log in', 'log out', 'subscribe', 'newsletter', 'reject all', 'accept all', 'confirm my choices', 'personalize ads', 'targeted advertising', 'cookie list', 'leg.interest', 'all rights reserved', 'follow us', 'skip to content', 'skip to main'], lambda m: contains(lower(array_to_string(lines, ' ')), m))) AS hits,
+        len(list_filter(lines[1:40], lambda y: len(string_split(y, ' ')) <= 5 AND {_CAPITAL.format(x='y')} AND NOT regexp_matches(y, '[.!?]'))) AS titled, len(regexp_extract_all(array_to_string(prose, ' '), '[.!?]')) AS stops FROM u), j AS (SELECT *, (hits >= 4 AND n < 1200) OR (titled >= 8 AND n < 800) AS heavy FROM k)
+    SELECT page_id, CAST(n AS INTEGER) AS unique_prose_chars, round(density, 3)::DOUBLE AS link_density, CAST(hits AS INTEGER) AS chrome_hits, heavy AS chrome_heavy, CASE WHEN n < 400 THEN 'short_prose' WHEN density > 4.0 AND n < 800 THEN 'high_link_density' WHEN heavy AND n < 800 THEN 'chrome_heavy' WHEN stops < 2 AND n < 600 THEN 'few_sentences' ELSE 'ok' END AS reason FROM j""")
+def _(d: Data) -> DataFrame:
+    """Pages, some with frames put before them and some cut short: how much prose they hold, and why they are thin."""
+    k = F.col("page_id")
+    frames = F.when(k % 6 == 0, "<p>Home</p><p>Contact Us</p><p>Our Great Products</p><p>Ada King</p><p>Accept all cookies</p><p>All rights reserved</p><p>Follow us</p><p>Sign in</p>").when(k % 6 == 1, "<p>Alpha Beta</p><p>Gamma Delta Eps</p><p>Zeta Eta</p><p>Theta Iota</p><p>Kappa Lam</p><p>Mu Nu</p><p>Xi Omi</p><p>Pi Rho</p><p>Sig Tau Ups Phi Chi</p>").otherwise("")
+    cut_at = F.when(k % 7 == 0, 300).when(k % 7 == 1, 900).when(k % 7 == 2, 1500).when(k % 7 == 3, 2500).otherwise(1_000_000)
+    pages = d.pages.select("page_id", F.concat(frames, F.substring(F.col("html"), F.lit(1), cut_at)).alias("html"))
+    q = quality.page_quality(quality.body_lines(F.col("html")), F.size(F.regexp_extract_all("html", F.lit("<a "), F.lit(0))))
+    return pages.select("page_id", q.alias("q")).select("page_id", "q.*")

@@ -89,6 +89,12 @@ def _(d: Data) -> DataFrame:
     return d.pages.select("page_id", html.main_content("html").alias("m")).select("page_id", "m.title", "m.text", F.size("m.links").alias("n_links"))
 
 
+@query("s13_page_text")
+def _(d: Data) -> DataFrame:
+    """Pages as they are stored: title, URL, main lines without frames, persons."""
+    return d.pages.select("page_id", html.page_text("html", "url").alias("text"))
+
+
 @query("s14_people_lines")
 def _(d: Data) -> DataFrame:
     """Persons on pages: those of a made-up grid of leaders, one card for each supplier, and whatever the stored pages link."""

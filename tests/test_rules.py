@@ -61,6 +61,15 @@ def test_people_cards(spark):
     assert column(spark, [page, None], lambda c: html.people_lines(c)) == [["Ada King serves as Chief Data Officer.", "Bob Ray is listed among the organization's leaders."], []]
 
 
+def test_page_text(spark):
+    page = """<html><head><title> A  page </title><style>x{}</style></head><body><header>top</header><div class="x cookies">eat</div><main><nav>go</nav><h2>Head</h2><p>One<br>two &amp; <b>three</b></p>
+        <ul><li>item</li></ul><div role="navigation"><p>deep</p></div><p>Back</p><a href="/people/bob-ray">Bob</a></main><footer>end</footer><p>outside</p></body></html>"""
+    df = spark.createDataFrame([(page, "https://x.com/a"), (None, "https://x.com/b"), ("<p>plain<p>text</div>" + "y" * 90_000, "u")], "h string, u string")
+    got = [r.t for r in df.select(html.page_text("h", "u").alias("t")).collect()]
+    assert got[0] == "# A page\n\nSource: https://x.com/a\n\n## Head\nOne\ntwo & three\n- item\nBob\n\nBob Ray is listed among the organization's leaders."
+    assert got[1] == "# https://x.com/b\n\nSource: https://x.com/b\n\n" and len(got[2]) == len("# u\n\nSource: u\n\n") + 80_000
+
+
 def test_climb_stops():
     assert [w for *_, w in climb(lambda g: 96.0)] == ["reached"]
     assert [w for *_, w in climb(lambda g: 10.0)] == ["", "", "", "stalled"]
