@@ -16,14 +16,11 @@ BLOCKS = {"p", "div", "li", "br", "tr", "section", "article", "ul", "ol", "table
 class _Page(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.skip, self.lines, self.title, self.in_title, self.links, self.words_in_links, self.anchor = 0, [""], "", False, [], 0, 0
+        self.skip, self.lines, self.title, self.in_title, self.links = 0, [""], "", False, []
 
     def handle_starttag(self, tag, attrs):
-        if tag == "a":
-            self.anchor += 1
-            href = dict(attrs).get("href")
-            if href:
-                self.links.append(href)
+        if tag == "a" and (href := dict(attrs).get("href")):
+            self.links.append(href)
         if tag == "title":
             self.in_title = True
         if tag in DROPPED:
@@ -32,8 +29,6 @@ class _Page(HTMLParser):
             self.lines.append({"h1": "# ", "h2": "## ", "h3": "### ", "h4": "### ", "li": "- "}.get(tag, ""))
 
     def handle_endtag(self, tag):
-        if tag == "a":
-            self.anchor = max(0, self.anchor - 1)
         if tag == "title":
             self.in_title = False
         if tag in DROPPED:

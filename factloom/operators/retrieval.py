@@ -29,11 +29,11 @@ def verify_cases(cases: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def evidence_pack(scored: DataFrame, terms: list[str], k: int) -> DataFrame:
-    """doc_id, score: the k best rows (doc_id, t, score) and the best row of every term."""
+    """doc_id, score: the k best rows (doc_id, t, score) and the best row of every term, in two passes however many terms there are."""
     best = scored.orderBy(F.desc("score"), "doc_id").limit(k).select("doc_id", "score")
-    for term in terms:
-        best = best.union(scored.where(F.col("t").contains(term)).orderBy(F.desc("score"), "doc_id").limit(1).select("doc_id", "score"))
-    return best.distinct()
+    held = scored.select("doc_id", "score", F.explode(F.filter(F.array(*map(F.lit, terms)), lambda term: F.col("t").contains(term))).alias("term"))
+    first = held.groupBy("term").agg(F.min(F.struct((-F.col("score")).alias("order"), "doc_id", "score")).alias("b"))
+    return best.union(first.select("b.doc_id", "b.score")).distinct()
 
 
 def lexical_pack(docs: DataFrame, terms: list[str], k: int) -> DataFrame:

@@ -86,13 +86,13 @@ def _(d: Data) -> DataFrame:
 @query("s13_main_content")
 def _(d: Data) -> DataFrame:
     """Title and content lines of HTML pages."""
-    return d.pages.select("page_id", html.main_content("html").alias("m")).select("page_id", "m.title", "m.text", F.size("m.links").alias("n_links"))
+    return chunks.small_batches(d.pages).select("page_id", html.main_content("html").alias("m")).select("page_id", "m.title", "m.text", F.size("m.links").alias("n_links"))
 
 
 @query("s13_page_text")
 def _(d: Data) -> DataFrame:
     """Pages as they are stored: title, URL, main lines without frames, persons."""
-    return d.pages.select("page_id", html.page_text("html", "url").alias("text"))
+    return chunks.small_batches(d.pages).select("page_id", html.page_text("html", "url").alias("text"))
 
 
 @query("s14_people_lines")
@@ -109,7 +109,7 @@ def _(d: Data) -> DataFrame:
 @query("s15_page_quality")
 def _(d: Data) -> DataFrame:
     """Link density, prose and reasons why a page is thin."""
-    m = d.pages.select("page_id", html.main_content("html").alias("m"))
+    m = chunks.small_batches(d.pages).select("page_id", html.main_content("html").alias("m"))
     words = F.size(F.filter(F.split("m.text", r"\s+"), lambda w: w != ""))
     density = F.size("m.links") / F.greatest(words / 8.0, F.lit(1.0))
     prose = F.char_length("m.text")
