@@ -83,8 +83,8 @@ def asserted(relations: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
     low = F.lower("text")
     place = lambda c: F.when(low.contains(F.lower(c)), F.struct((F.instr(low, F.lower(c)) - 1).alias("at"), F.greatest(F.char_length(c), F.lit(8)).alias("size")))
     kinds = relations.withColumn("kind", F.upper(F.regexp_replace("rel", "[^A-Za-z0-9]+", "_"))).where(F.col("kind").isin(*allowed) & (F.col("src") != "") & (F.col("dst") != "") & (F.lower("src") != F.lower("dst")) & (key("src") != key("dst")))
-    placed = kinds.withColumn("span", F.coalesce(place("src"), place("dst"))).where("span IS NOT NULL")
-    return placed.withColumns({"span_start": F.greatest(F.lit(0), F.col("span.at") - 40), "span_end": F.least(F.char_length("text"), F.col("span.at") + F.col("span.size") + 80)}).drop("span")
+    placed = kinds.withColumn("span", F.coalesce(place("src"), place("dst"))).where("span IS NOT NULL")  # the first of the two names that the text holds
+    return placed.withColumns({"span_start": F.greatest(F.lit(0), F.col("span.at") - 40).cast("long"), "span_end": F.least(F.char_length("text"), F.col("span.at") + F.col("span.size") + 80).cast("long")}).drop("span")
 
 
 def purged(edges: DataFrame, gone: DataFrame) -> DataFrame:
