@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, jaccard, knn, langid, packing, quality, secrets, sharding, suffix_dedup, toxicity
+from factloom.llm import bpe, jaccard, knn, langid, packing, periodic, quality, secrets, sharding, suffix_dedup, toxicity
 from factloom.llm.heldout import held_out
 
 #: The byte-level vocabulary; the operators take any such file's path.
@@ -78,6 +78,30 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.render(base).cast("binary"), 256).alias("base_sha256"), secrets.render(F.col("spans")).alias("spans"))
 
 
+def planted_period(text: Column, doc_id: Column) -> Column:
+    """The contract's rewriting: of every tenth text by crc32 of its id, the words from some place on repeat the first of them."""
+    h = F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+    g = F.floor(h / 10)
+    words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
+    n = F.size(words)
+    start = F.pmod(g, F.nullif(n, F.lit(0))).cast("int")
+    period = (1 + F.floor((n - start) / (3 + F.pmod(g, F.lit(8))))).cast("int")
+    again = F.flatten(F.array_repeat(F.slice(words, start + 1, period), F.ceil((n - start) / period).cast("int")))
+    return F.when(h % 10 == 0, F.array_join(F.concat(F.slice(words, 1, start), F.slice(again, 1, n - start)), " ")).otherwise(text)
+
+
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Find every document's maximal periodic runs of words."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", planted_period(F.col("text"), F.col("doc_id")).alias("text"))
+    found = periodic.find_runs(docs)
+    before = lambda a, b: F.struct(-a["length"], a["start"], a["period"]) < F.struct(-b["length"], b["start"], b["period"])
+    best = F.aggregate("runs", F.lit(None).cast("struct<start:long,length:long,period:long>"), lambda m, r: F.when(m.isNull() | before(r, m), r).otherwise(m))
+    line = lambda r: F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    told = found.select("doc_id", "runs", "collapsed", best.alias("best"), lines.alias("lines"))
+    return told.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"), F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 def base_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9's word statistics and base rule, without the compression verdict."""
     return op9_quality(spark, sf_dir).drop("kept")
@@ -88,7 +112,7 @@ def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_secrets(spark, sf_dir).drop("spans")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_suffix_dedup": op3_suffix_dedup, "op4_jaccard": op4_jaccard, "op5_langid": op5_langid, "op6_topk": op6_topk, "op7_toxicity": op7_toxicity, "op8_sharding": op8_sharding, "op9_quality": op9_quality, "op10_secrets": op10_secrets, "base_quality": base_quality, "base_secrets": base_secrets}
+QUERIES = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_suffix_dedup": op3_suffix_dedup, "op4_jaccard": op4_jaccard, "op5_langid": op5_langid, "op6_topk": op6_topk, "op7_toxicity": op7_toxicity, "op8_sharding": op8_sharding, "op9_quality": op9_quality, "op10_secrets": op10_secrets, "op11_periodic": op11_periodic, "base_quality": base_quality, "base_secrets": base_secrets}
 ORACLE_SQL: dict[str, str] = {
     "op4_jaccard": r"""
         WITH RECURSIVE words AS (
