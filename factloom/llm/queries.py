@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, jaccard, knn, langid, packing, periodic, quality, secrets, sharding, suffix_dedup, toxicity
+from factloom.llm import bpe, jaccard, knn, langid, packing, periodic, quality, secrets, sharding, simhash, suffix_dedup, toxicity
 from factloom.llm.heldout import held_out
 
 #: The byte-level vocabulary; the operators take any such file's path.
@@ -102,6 +102,12 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"), F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group documents whose fingerprints differ in at most 4 bits."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def base_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9's word statistics and base rule, without the compression verdict."""
     return op9_quality(spark, sf_dir).drop("kept")
@@ -112,7 +118,7 @@ def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_secrets(spark, sf_dir).drop("spans")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_suffix_dedup": op3_suffix_dedup, "op4_jaccard": op4_jaccard, "op5_langid": op5_langid, "op6_topk": op6_topk, "op7_toxicity": op7_toxicity, "op8_sharding": op8_sharding, "op9_quality": op9_quality, "op10_secrets": op10_secrets, "op11_periodic": op11_periodic, "base_quality": base_quality, "base_secrets": base_secrets}
+QUERIES = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_suffix_dedup": op3_suffix_dedup, "op4_jaccard": op4_jaccard, "op5_langid": op5_langid, "op6_topk": op6_topk, "op7_toxicity": op7_toxicity, "op8_sharding": op8_sharding, "op9_quality": op9_quality, "op10_secrets": op10_secrets, "op11_periodic": op11_periodic, "op12_simhash": op12_simhash, "base_quality": base_quality, "base_secrets": base_secrets}
 ORACLE_SQL: dict[str, str] = {
     "op4_jaccard": r"""
         WITH RECURSIVE words AS (
