@@ -6,11 +6,13 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, jaccard, knn, langid, packing, periodic, quality, secrets, sharding, simhash, suffix_dedup, toxicity
+from factloom.llm import alignment, bpe, jaccard, knn, langid, packing, periodic, quality, secrets, sharding, simhash, suffix_dedup, toxicity
 from factloom.llm.heldout import held_out
 
 #: The byte-level vocabulary; the operators take any such file's path.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+#: The sentencepiece model; likewise.
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,6 +110,13 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Align two tokenizers over every document and count their linked ids."""
+    digest = lambda groups: F.when(groups == "", "").otherwise(F.sha2(groups.cast("binary"), 256))
+    found = alignment.cross_align(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE, rendering=digest)
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
 def base_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9's word statistics and base rule, without the compression verdict."""
     return op9_quality(spark, sf_dir).drop("kept")
@@ -118,7 +127,7 @@ def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_secrets(spark, sf_dir).drop("spans")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_suffix_dedup": op3_suffix_dedup, "op4_jaccard": op4_jaccard, "op5_langid": op5_langid, "op6_topk": op6_topk, "op7_toxicity": op7_toxicity, "op8_sharding": op8_sharding, "op9_quality": op9_quality, "op10_secrets": op10_secrets, "op11_periodic": op11_periodic, "op12_simhash": op12_simhash, "base_quality": base_quality, "base_secrets": base_secrets}
+QUERIES = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_suffix_dedup": op3_suffix_dedup, "op4_jaccard": op4_jaccard, "op5_langid": op5_langid, "op6_topk": op6_topk, "op7_toxicity": op7_toxicity, "op8_sharding": op8_sharding, "op9_quality": op9_quality, "op10_secrets": op10_secrets, "op11_periodic": op11_periodic, "op12_simhash": op12_simhash, "op13_alignment": op13_alignment, "base_quality": base_quality, "base_secrets": base_secrets}
 ORACLE_SQL: dict[str, str] = {
     "op4_jaccard": r"""
         WITH RECURSIVE words AS (
