@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text
 from factloom.operators import chunks
+from factloom.operators.phrases import occurrences
 
 
 def term_overlap(t: Column, terms: list[str]) -> Column:
@@ -21,11 +22,16 @@ def trust(entity: Column, path: Column, cover: Column, quality: Column, conflict
 
 
 def verify_cases(cases: DataFrame, docs: DataFrame) -> DataFrame:
-    """item_id, docs, verdict of stated cases (item_id, must), which are few; counts are summed before the shuffle."""
-    if cases.count() > 10_000:
-        raise ValueError("verify_cases() is for stated suites")
-    hits = docs.select(F.lower("text").alias("t")).join(F.broadcast(cases), F.col("t").contains(F.col("must"))).groupBy("item_id").agg(F.count("*").alias("docs"))
-    return cases.join(hits, "item_id", "left").select("item_id", F.coalesce("docs", F.lit(0)).alias("docs"), F.when(F.col("docs") > 0, "pass").otherwise("retrieval").alias("verdict"))
+    """item_id, docs, verdict of cases (item_id, must): in how many documents (id, text) a case's phrase stands; texts and phrases in one case."""
+    hits = occurrences(docs, cases.select(F.col("must").alias("phrase"))).groupBy("phrase").agg(F.count("*").alias("docs"))
+    return cases.join(hits.withColumnRenamed("phrase", "must"), "must", "left").select("item_id", F.coalesce("docs", F.lit(0)).alias("docs"), F.when(F.col("docs") > 0, "pass").otherwise("retrieval").alias("verdict"))
+
+
+def fail_kind(expect: Column, decision: Column, must: Column, answer: Column, forbidden: Column) -> Column:
+    """Why a case fails, or the empty string: the decision, then what the answer must hold, then what it must not."""
+    missed = (F.size(must) > 0) & ~F.exists(must, lambda w: answer.contains(w))
+    wrong = F.when((expect == "answer") & (decision == "refuse"), "refuse_wrong").when((expect == "answer") & (decision == "clarify"), "clarify_wrong").when((expect == "refuse") & (decision == "answer"), "should_refuse").otherwise("decision_mismatch")
+    return F.when((expect != "either") & (decision != expect), wrong).when((expect == "answer") & missed, "must_any_miss").when(forbidden, "forbid_hit").otherwise("")
 
 
 def evidence_pack(scored: DataFrame, terms: list[str], k: int) -> DataFrame:

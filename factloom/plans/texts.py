@@ -265,14 +265,6 @@ def _(d: Data) -> DataFrame:
     return m.select("id", F.when(F.col("trust").isNull(), "refuse").when(F.col("decision") == "clarify", "clarify").when(F.col("trust") < 0.55, "verify").otherwise("answer").alias("final"))
 
 
-@query("r27_golden_verify", """WITH c AS (SELECT item_id, lower(string_split(text, ' ')[2]) AS must FROM benchmark), h AS (SELECT c.item_id, count(*) AS docs FROM c JOIN documents d ON contains(lower(d.text), c.must) GROUP BY 1)
-    SELECT c.item_id, coalesce(docs, 0) AS docs, CASE WHEN docs > 0 THEN 'pass' ELSE 'retrieval' END AS verdict FROM c LEFT JOIN h USING (item_id)""")
-def _(d: Data) -> DataFrame:
-    """Golden cases against the corpus: every case's phrase is looked for in every document."""
-    c = d.table("benchmark").select("item_id", F.lower(F.element_at(F.split("text", " "), 2)).alias("must"))
-    return retrieval.verify_cases(c, d.documents.select("text"))
-
-
 @query("r32_slug_tokens", f"WITH {_U} SELECT page_id, array_to_string(list_filter(string_split(p, '/'), lambda s: length(s) >= 3)[-4:], ' ') AS tokens FROM x")
 def _(d: Data) -> DataFrame:
     parts = F.filter(F.split(web.url_path(F.col("url")), "/"), lambda s: F.char_length(s) >= 3)

@@ -218,22 +218,6 @@ def _(d: Data) -> DataFrame:
     return link(parent, "page:", "page", "page:", "parent", "parent").union(link(t, "page:", "page", "topic:", "topic", "topic")).union(link(t, "topic:", "topic", "section:", "sec", "section")).distinct()
 
 
-@query("g19_pinned_facts", """WITH c AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark), f AS (SELECT item_id, unnest([w[1] || ' ' || w[2], w[3], w[4] || ' ' || w[5]]) AS phrase FROM c WHERE item_id % 3 <> 0),
-    h AS (SELECT f.item_id, phrase, min(doc_id) AS chunk FROM f JOIN documents ON source = 'src' || (f.item_id % 10) OR doc_id % 97 = f.item_id % 97 WHERE length(trim(phrase)) >= 3 AND contains(lower(text), lower(phrase)) GROUP BY ALL)
-    SELECT item_id, phrase, chunk, CASE WHEN contains(phrase, ' ') AND regexp_matches(phrase, '^[A-Z]') THEN 'Person' ELSE 'Concept' END AS kind FROM h""")
-def _(d: Data) -> DataFrame:
-    """Phrases of failed cases pinned to the first passage of their own source that holds them."""
-    w = F.split("text", " ")
-    phrases = F.array(F.concat_ws(" ", F.get(w, 0), F.get(w, 1)), F.get(w, 2), F.concat_ws(" ", F.get(w, 3), F.get(w, 4)))
-    failed = d.table("benchmark").where("item_id % 3 <> 0").select("item_id", F.explode(phrases).alias("phrase")).where("length(trim(phrase)) >= 3")
-    by_source = d.documents.select("doc_id", "text", F.concat(F.lit("s:"), "source").alias("key"))
-    by_number = d.documents.select("doc_id", "text", F.concat(F.lit("n:"), (F.col("doc_id") % 97).cast("string")).alias("key"))
-    keys = F.array(F.concat(F.lit("s:src"), (F.col("item_id") % 10).cast("string")), F.concat(F.lit("n:"), (F.col("item_id") % 97).cast("string")))
-    held = failed.select("item_id", "phrase", F.explode(keys).alias("key")).join(by_source.unionByName(by_number), "key").where(F.lower("text").contains(F.lower("phrase")))
-    first = held.groupBy("item_id", "phrase").agg(F.min("doc_id").alias("chunk"))
-    return first.select("item_id", "phrase", "chunk", F.when(F.col("phrase").contains(" ") & F.col("phrase").rlike("^[A-Z]"), "Person").otherwise("Concept").alias("kind"))
-
-
 @query("g24_enriched", """WITH f AS (SELECT DISTINCT p_brand AS entity, CAST(floor(p_retailprice / 5) * 5 AS BIGINT) AS amount FROM part), c AS (SELECT 'CONFLICTS_WITH' AS what, x.entity || ':' || x.amount AS a, y.entity || ':' || y.amount AS b FROM f x JOIN f y ON x.entity = y.entity AND x.amount < y.amount),
     m AS (SELECT e.dst AS id, count(*) AS n, min(v.chunk_id) AS chunk FROM kg_active e JOIN kg_evidence v ON v.edge_id = e.id WHERE v.status = 'active' GROUP BY 1 ORDER BY n DESC, id LIMIT 40)
     SELECT * FROM c UNION ALL SELECT 'summary', id, substr('order ' || o_orderkey || ' ' || o_orderpriority, 1, 420) FROM m JOIN orders ON o_orderkey = chunk""")
@@ -288,13 +272,14 @@ def _(d: Data) -> DataFrame:
     return first.select("name", "id", F.trim(F.substring(F.col("text"), start + 1, F.least(F.char_length("text"), at + 180) - start)).alias("quote"))
 
 
-@query("r26_conflict_penalty", """WITH c AS (SELECT p_brand, least(3, count(DISTINCT floor(p_retailprice / 20))) AS n FROM part GROUP BY 1), t AS (SELECT p_partkey, coalesce(n, 0) AS n, least(0.35, 0.05 * (p_size % 3) + 0.12 * coalesce(n, 0)) AS penalty, 0.5 + (p_size % 50) / 100.0 AS overall FROM part LEFT JOIN c USING (p_brand))
+@query("r26_conflict_penalty", """WITH c AS (SELECT p_brand, p_size, least(3, count(DISTINCT floor(p_retailprice / 100)) - 1) AS n FROM part GROUP BY ALL), e AS (SELECT l_partkey AS p_partkey, least(2, count(*) FILTER (l_returnflag = 'R')) AS k FROM lineitem GROUP BY 1), t AS (SELECT p_partkey, coalesce(n, 0) AS n, least(0.35::DOUBLE, 0.05::DOUBLE * coalesce(k, 0) + 0.12::DOUBLE * coalesce(n, 0)) AS penalty, 0.5::DOUBLE + (p_size % 50) / 100.0::DOUBLE AS overall FROM part LEFT JOIN c USING (p_brand, p_size) LEFT JOIN e USING (p_partkey))
     SELECT p_partkey, round(penalty, 3)::DOUBLE AS penalty, round(greatest(0.0, overall - penalty * 0.25), 3)::DOUBLE AS overall FROM t""")
 def _(d: Data) -> DataFrame:
-    """Trust after the conflicts of what is cited: three at most count."""
-    c = d.table("part").groupBy("p_brand").agg(F.least(F.lit(3).cast("long"), F.countDistinct(F.floor(F.col("p_retailprice") / 20))).alias("n"))
-    t = d.table("part").join(c, "p_brand", "left").select("p_partkey", "p_size", F.coalesce("n", F.lit(0)).alias("n"))
-    penalty = F.least(F.lit(0.35), 0.05 * (F.col("p_size") % 3) + 0.12 * F.col("n"))
+    """Trust after the conflicts of what is cited: prices that differ for one brand and size, three at most, and returned lines, two at most."""
+    c = d.table("part").groupBy("p_brand", "p_size").agg(F.least(F.lit(3).cast("long"), F.countDistinct(F.floor(F.col("p_retailprice") / 100)) - 1).alias("n"))
+    e = d.table("lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.least(F.lit(2).cast("long"), F.count("*")).alias("k"))
+    t = d.table("part").join(c, ["p_brand", "p_size"], "left").join(e, "p_partkey", "left")
+    penalty = F.least(F.lit(0.35), F.lit(0.05) * F.coalesce("k", F.lit(0)) + F.lit(0.12) * F.coalesce("n", F.lit(0)))
     return t.select("p_partkey", F.round(penalty, 3).alias("penalty"), F.round(F.greatest(F.lit(0.0), 0.5 + (F.col("p_size") % 50) / 100.0 - penalty * 0.25), 3).alias("overall"))
 
 

@@ -80,30 +80,6 @@ def _(d: Data) -> DataFrame:
     return each.select("id", "field", "value", "span_start", (F.col("span_start") + F.col("size")).alias("span_end"), F.lit(0.95).alias("weight"), F.lit(0.96).alias("confidence"))
 
 
-@query("g12_evidence_span", """WITH q AS (SELECT item_id, lower(substr(text, 1, 80)) AS long, lower(substr(text, 1, 40)) AS short, length(text) AS n FROM benchmark), d AS (SELECT doc_id, lower(text) AS low FROM documents)
-    SELECT item_id, doc_id, CASE WHEN contains(low, long) THEN instr(low, long) ELSE instr(low, short) END AS span_start, CAST(CASE WHEN contains(low, long) THEN least(80, n) ELSE least(40, n) END AS BIGINT) AS size FROM q JOIN d ON contains(low, short)""")
-def _(d: Data) -> DataFrame:
-    """Where quotes stand: their first 80 characters, else their first 40.
-
-    A quote's second and third word lead to the documents that hold them side by side, so no text meets every quote; quotes
-    without three whole words in 40 characters, if any, are few and looked for in every text.
-    """
-    q = d.table("benchmark").select("item_id", F.lower(F.substring("text", 1, 80)).alias("long"), F.lower(F.substring("text", 1, 40)).alias("short"), F.char_length("text").alias("n"))
-    w = F.split("short", " ")
-    keyed = q.where(F.size(w) >= 4).withColumn("key", F.concat_ws(" ", F.get(w, 1), F.get(w, 2)))
-    docs = d.documents.select("doc_id", F.lower("text").alias("low"))
-    words = F.split("low", " ")
-    pairs = docs.select("doc_id", F.explode(F.array_distinct(F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat_ws(" ", a, b)))).alias("key"))
-    met = pairs.join(keyed, "key").select("item_id", "doc_id", "long", "short", "n").join(docs, "doc_id").where(F.col("low").contains(F.col("short")))
-    odd = q.where(F.size(w) < 4)
-    if odd.count() > 1000:
-        raise ValueError("too many quotes without words")
-    rest = docs.join(F.broadcast(odd), F.col("low").contains(F.col("short"))).select("doc_id", "item_id", "long", "short", "n", "low")
-    whole = F.col("low").contains(F.col("long"))
-    at = F.when(whole, F.expr("instr(low, long)")).otherwise(F.expr("instr(low, short)")).cast("long")
-    return met.unionByName(rest).select("item_id", "doc_id", at.alias("span_start"), F.when(whole, F.least(F.lit(80), F.col("n"))).otherwise(F.least(F.lit(40), F.col("n"))).cast("long").alias("size"))
-
-
 def merged_entities(names: DataFrame) -> DataFrame:
     """id, root of entities (id, type, name): those of one name, and those of one type whose names are related, are one; the root is the smallest id.
 
