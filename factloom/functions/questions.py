@@ -50,7 +50,7 @@ WHAT_DOCUMENT = r"^(what|whats|what's)\b.+\b(agreement|contract|license|resume|c
 #: Questions for a person's papers, what rules them out, and words that are no names.
 CANDIDATE = r"\bcandidate\b|\bresume\b|\bcv\b|\bnamed\b|\bnames?\s+[A-Z][a-z]|is\s+there\s+(any|a)\b|do\s+we\s+have\b|anyone\s+named\b|person\s+named\b"
 CANDIDATE_CUE = r"\b(candidate|resume|cv|named)\b"
-NO_CANDIDATE = r"\b(difference|compare|versus|vs\.?|between)\b|\bname\s+(some|a\s+few|the|any|our|their)\b|\b(capabilities|services|offerings?|features|products|pathways)\b"
+NO_CANDIDATE = (r"\b(difference|compare|versus|vs\.?|between)\b", r"\bname\s+(some|a\s+few|the|any|our|their)\b|\b(capabilities|services|offerings?|features|products|pathways)\b")
 NO_NAMES = "is there any a an the named name names candidate candidates resume resumes cv do we have anyone person called about what who does with from can could would should you your please how why when where which whats compare difference between versus agreement contract license document policy level levels".split()
 #: Words that are no search terms, and words that are weak ones.
 NO_TERMS = (
@@ -134,7 +134,7 @@ def query_names(q: Column) -> Column:
 
 
 def is_candidate(q: Column) -> Column:
-    return ~has(q, NO_CANDIDATE) & (F.size(query_names(q)) > 0) & (has(q, CANDIDATE) | has(q, CANDIDATE_CUE))
+    return ~has(q, "|".join(NO_CANDIDATE)) & (F.size(query_names(q)) > 0) & (has(q, CANDIDATE) | has(q, CANDIDATE_CUE))
 
 
 def is_roster(q: Column) -> Column:

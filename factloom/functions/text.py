@@ -43,16 +43,16 @@ BOILERPLATE = (
     r"(?i)\bsubscribe\b.{0,40}\bnewsletter\b",
     r"(?i)\b(skip to (content|main)|all rights reserved|follow us)\b",
     r"(?i)\b(accept all|reject all|confirm my choices)\b",
-    r"(\|?[ \t\n\r\f]*[A-Z][A-Za-z &/-]{2,28}[ \t\n\r\f]*){6,}",
+    r"(?:\|?\s*[A-Z][A-Za-z &/-]{2,28}\s*){6,}",
 )
 #: Kinds of documents, in the order they are tried.
 KINDS = (
-    ("spotlight", r"(?i)\b(spotlight|employee of the|team of the|celebrat(e|ing)|culture\s+story|meet (the|our) team)\b"),
+    ("spotlight", r"(?i)\b(spotlight|employee of the|team of the|celebrat(?:e|ing)|culture\s+story|meet (?:the|our) team)\b"),
     ("letter", r"(?i)\b(letter\s+from|annual\s+letter|shareholder\s+letter|president\s+and\s+ceo)\b"),
-    ("press", r"(?i)\b(press[-_ ]?release|newsroom|named|appoint(ed|s)?|investor|earnings|media\s+release|announces)\b"),
+    ("press", r"(?i)\b(press[-_ ]?release|newsroom|named|appoint(?:ed|s)?|investor|earnings|media\s+release|announces)\b"),
     ("policy", r"(?i)\b(policy|compliance|privacy|terms|license|agreement|specification|standard|guideline)\b"),
 )
-NAVISH = r"(?i)\b(site\s*map|cookie|close menu|sign in|log in|skip to (content|main)|all rights reserved)\b"
+NAVISH = r"(?i)\b(site\s*map|cookie|close menu|sign in|log in|skip to (?:content|main)|all rights reserved)\b"
 #: What makes a section critical or important.
 CRITICAL = ("complian", "regulat", "policy", "legal", "security", "privacy", "mortgage", "hipaa")
 IMPORTANT = ("product", "api", "architect", "service", "auth", "payment")
@@ -100,7 +100,7 @@ def boilerplate_penalty(t: Column) -> Column:
     words = F.regexp_extract_all(t, F.lit("[A-Za-z]{3,}"), F.lit(0))
     titled = F.size(F.filter(words, lambda w: w.rlike("^[A-Z][a-z]+$")))
     phrases = sum((F.when(t.rlike(p), 0.35).otherwise(0.0) for p in BOILERPLATE), F.lit(0.0))
-    title_like = F.when((F.size(words) >= 8) & (titled / F.size(words) >= 0.72) & (F.char_length(t) < 280), 0.4).otherwise(0.0)
+    title_like = F.when((F.char_length(t) < 280) & (F.size(words) >= 8) & (titled / F.size(words) >= 0.72), 0.4).otherwise(0.0)
     menu = F.when((count_of(t, "|") >= 3) | ((count_of(t, "\n") >= 8) & (F.char_length(t) < 400)), 0.2).otherwise(0.0)
     return F.when(F.char_length(stripped(t)) < 20, 0.4).otherwise(F.least(F.lit(1.5), phrases + title_like + menu))
 
@@ -113,21 +113,48 @@ def doc_kind(title: Column, t: Column) -> Column:
     return out.when(blob.rlike(NAVISH) & (F.char_length(stripped(t)) < 400), "nav").otherwise("unknown")
 
 
-def passage_struct(title: Column, t: Column) -> Column:
-    """prose_score, chrome_score, doc_kind, has_dated_claim and quarantine of a passage, as one struct whose parts are computed once."""
+def passage_known(title: Column, t: Column) -> Column:
+    """What a passage's signals follow from, as a struct: give it a column of its own, so that it is computed once."""
     blob = F.concat(title, F.lit("\n"), t)
-    known = F.struct(
+    return F.struct(
         F.least(F.lit(1.0), boilerplate_penalty(blob) / 1.5).alias("chrome"), F.size(F.regexp_extract_all(t, F.lit("[A-Za-z]{3,}"), F.lit(0))).alias("words"),
         doc_kind(title, t).alias("kind"), F.char_length(stripped(t)).alias("size"), F.char_length(t).alias("n"), blob.rlike(r"\b(20\d{2}|19\d{2})\b").alias("dated"),
     )
 
-    def scored(x: Column) -> Column:
-        full = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.55 * F.least(F.lit(1.0), x["n"] / 600.0) + 0.45 * (1.0 - x["chrome"])))
-        prose = F.when(x["words"] < 12, F.least(full, F.lit(0.25))).otherwise(full)
-        quarantine = ((x["chrome"] >= 0.75) & (prose < 0.28)) | ((x["kind"] == "nav") & (x["size"] < 280)) | (x["size"] < 40)
-        return F.struct(F.round(prose, 3).alias("prose_score"), F.round(x["chrome"], 3).alias("chrome_score"), x["kind"].alias("doc_kind"), x["dated"].alias("has_dated_claim"), quarantine.alias("quarantine"))
 
-    return let(known, scored)
+def passage_scored(x: Column) -> Column:
+    """prose_score, chrome_score, doc_kind, has_dated_claim and quarantine of what ``passage_known`` tells."""
+    full = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.55 * F.least(F.lit(1.0), x["n"] / 600.0) + 0.45 * (1.0 - x["chrome"])))
+    prose = F.when(x["words"] < 12, F.least(full, F.lit(0.25))).otherwise(full)
+    quarantine = ((x["chrome"] >= 0.75) & (prose < 0.28)) | ((x["kind"] == "nav") & (x["size"] < 280)) | (x["size"] < 40)
+    return F.struct(F.round(prose, 3).alias("prose_score"), F.round(x["chrome"], 3).alias("chrome_score"), x["kind"].alias("doc_kind"), x["dated"].alias("has_dated_claim"), quarantine.alias("quarantine"))
+
+
+def passage_struct(title: Column, t: Column) -> Column:
+    """The signals of a passage, as one struct whose parts are computed once."""
+    return let(passage_known(title, t), passage_scored)
+
+
+def quarantine_parts(title: Column, t: Column) -> Column:
+    """What the quarantine of a passage follows from: its sizes, whether it is a frame, and whether it has less than twelve words.
+
+    Prose lies below .28 only for such or for less than 306 characters, since .55 of the length's share of 600 counts.
+    Give it, and then ``quarantine_chrome``, columns of their own: what stands twice in an expression is computed for every row.
+    """
+    size = F.char_length(stripped(t))
+    words = t.rlike(r"\A(?:(?:[^A-Za-z]++|[A-Za-z]{1,2}+(?![A-Za-z]))*+[A-Za-z]{3,}+){12}")
+    return F.struct(size.alias("size"), F.char_length(t).alias("n"), F.when(size < 280, doc_kind(title, t) == "nav").otherwise(False).alias("nav"), (~words).alias("few"))
+
+
+def quarantine_chrome(parts: Column, title: Column, t: Column) -> Column:
+    """The chrome score where it can matter, else 0."""
+    return F.when((parts["n"] < 306) | parts["few"], F.least(F.lit(1.0), boilerplate_penalty(F.concat(title, F.lit("\n"), t)) / 1.5)).otherwise(0.0)
+
+
+def quarantined(parts: Column, chrome: Column) -> Column:
+    """The quarantine signal alone."""
+    low = parts["few"] | (0.55 * (parts["n"] / 600.0) + 0.45 * (1.0 - chrome) < 0.28)
+    return (parts["size"] < 40) | parts["nav"] | ((chrome >= 0.75) & low)
 
 
 def amount(t: Column) -> Column:

@@ -45,13 +45,17 @@ def evidence_pack(scored: DataFrame, terms: list[str], k: int) -> DataFrame:
 def lexical_pack(docs: DataFrame, terms: list[str], k: int) -> DataFrame:
     """The k best passages of deduplicated, chunked documents, quarantined ones left out.
 
-    Which copies go is told by hashes; texts are never shuffled to find out, and meet the ids that go as they are read.
+    Texts are hashed, cut and scored in one scan; of equal texts the passages meet by hash and place, without the text,
+    and those of the document that stays are kept. The texts of the k best are read again for their excerpts.
     """
-    hashed = docs.select("doc_id", "n_chars", F.sha2("text", 256).alias("h"))
-    stays = hashed.groupBy("h").agg(F.max(F.struct("n_chars", "doc_id"))["doc_id"].alias("stays"), F.count("*").alias("n"))
-    goes = hashed.join(stays.where("n > 1"), "h").where("doc_id <> stays").select("doc_id")
-    unique = docs.select("doc_id", "text", "source").join(goes, "doc_id", "left_anti")
-    pieces = chunks.chunked(unique, "doc_id", "text", keep=["source"]).withColumn("signals", text.passage_struct(F.col("source"), F.col("piece")))
-    scored = pieces.where("NOT signals.quarantine").select("doc_id", "ordinal", "char_start", "char_end", F.round(text.lexical_score(F.col("piece"), F.col("source"), terms), 4).alias("score"), text.excerpt(F.col("piece"), terms[0]).alias("excerpt"))
+    hashed = docs.select("doc_id", "n_chars", "text", "source", F.sha2("text", 256).alias("h"))
+    title, piece = F.col("source"), F.col("piece")
+    pieces = chunks.chunked(hashed, "doc_id", "text", keep=["n_chars", "source", "h"]).withColumn("parts", text.quarantine_parts(title, piece))
+    pieces = pieces.withColumn("chrome", text.quarantine_chrome(F.col("parts"), title, piece))
+    scored = pieces.select("h", "ordinal", "n_chars", "doc_id", "char_start", "char_end", F.round(text.lexical_score(piece, title, terms), 4).alias("score"), text.quarantined(F.col("parts"), F.col("chrome")).alias("quarantine"))
+    kept = scored.groupBy("h", "ordinal").agg(F.max(F.struct("n_chars", "doc_id", "char_start", "char_end", "score", "quarantine")).alias("p")).select("p.*", "ordinal").where("NOT quarantine")
     order = [F.desc("score"), F.col("doc_id"), F.col("ordinal")]
-    return scored.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    best = kept.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # k rows
+    piece = text.stripped(F.substring(F.col("text"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start")))
+    told = docs.select("doc_id", "text").join(F.broadcast(best), "doc_id")
+    return told.select("doc_id", "ordinal", "char_start", "char_end", "score", text.excerpt(piece, terms[0]).alias("excerpt"), "rank")

@@ -169,3 +169,28 @@ def test_local_embedding_is_deterministic(spark):
     got = catalog.QUERIES["r29_local_embedding"](spark, SF).collect()
     again = {r.id: r.embedding for r in catalog.QUERIES["r29_local_embedding"](spark, SF).collect()}
     assert all(len(r.embedding) == 384 and abs(np.linalg.norm(r.embedding) - 1) < 1e-5 and again[r.id] == r.embedding for r in got)
+
+
+def test_quarantine_alone(spark):
+    """The quarantine signal alone equals that among all signals, on short, wordless and framed passages."""
+    from factloom.functions import text as rules
+
+    rows = [("t", x) for x in ("", "a b", "word " * 11, "word " * 12, "Site map | Home | Cookie policy | Sign in " * 4, "site map cookie policy all rights reserved accept all follow us subscribe newsletter " * 2, "12 34 " * 60, "éà ù " * 90, "x" * 700, "Read More About Us Home Team Menu Page Learn Here Click Info View " * 3, "one two three " + "1 " * 150, "a bc " * 200 + "word " * 11)]
+    df = spark.createDataFrame(rows, "title string, body string")
+    t, b = F.col("title"), F.col("body")
+    got = df.withColumn("parts", rules.quarantine_parts(t, b)).withColumn("chrome", rules.quarantine_chrome(F.col("parts"), t, b)).select(rules.quarantined(F.col("parts"), F.col("chrome")).alias("q"), rules.passage_struct(t, b)["quarantine"].alias("want"))
+    assert all(r.q == r.want for r in got.collect()) and len({r.q for r in got.collect()}) == 2
+
+
+def test_flagship_shuffles_no_text(spark):
+    """No exchange of the flagship carries texts."""
+    from factloom.operators import retrieval
+
+    docs = spark.createDataFrame([(1, "some text here", "s", 14)], "doc_id long, text string, source string, n_chars long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = retrieval.lexical_pack(docs, ["some", "text"], 5)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    shuffles = [line for line in plan.splitlines() if "Exchange" in line and "Broadcast" not in line]
+    assert shuffles and "SortMergeJoin" not in plan
