@@ -246,6 +246,17 @@ def info_score(low: Column, asked: Column) -> Column:
     return resume * sums(RESUME_INFO) + agreement * sums(AGREEMENT_INFO) - sums((w, 1.5) for w in FRAME_INFO)
 
 
+def content_overlap(q: Column, low: Column) -> Column:
+    """Share of a question's terms, without question words, that a lower-case text holds."""
+    return overlap(F.filter(questions.question_terms(q), lambda w: ~F.lower(w).isin("who", "what", "when", "where", "why", "how", "which", "does", "did", "are", "is")), low)
+
+
+def trail_relevance(ov: Column, penalty: Column) -> Column:
+    """How far a trail's names and quotes answer a question, 0 to 1, from the overlap and the boilerplate penalty."""
+    score = F.greatest(F.lit(0.0), ov - 0.35 * penalty)
+    return F.least(F.lit(1.0), F.when((ov < 0.15) & (penalty >= 0.35), F.least(score, F.lit(0.12))).otherwise(score))
+
+
 def graph_leads(relevance: Column, strength: Column, coverage: Column) -> Column:
     """Whether a trail's evidence may lead the pack."""
     return (relevance >= 0.45) & (strength >= 0.6) & ~((coverage >= 0.45) & (relevance < 0.55))

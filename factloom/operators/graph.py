@@ -65,12 +65,16 @@ RELATIONS = (
 )
 
 
+def adjusted_by_relation(question: Column, rels: Column) -> Column:
+    """What a trail gains because a lower-case question asks for one of its relations."""
+    return F.greatest(F.lit(0.0), F.lit(0.0), *(F.when(question.rlike("|".join(words)) & rels.contains(rel), gain).otherwise(0.0) for words, rel, gain in RELATIONS))
+
+
 def adjusted_strength(strength: Column, question: Column, rels: Column, names: Column, seeds: Column) -> Column:
     """A trail's strength for a lower-case question: by its relations, by the share of the question's entities on it, and by how many of them."""
-    asked = F.greatest(F.lit(0.0), F.lit(0.0), *(F.when(question.rlike("|".join(words)) & rels.contains(rel), gain).otherwise(0.0) for words, rel, gain in RELATIONS))
     blob, n = F.lower(F.array_join(names, " ")), F.size(F.array_intersect(names, seeds))
     fit = F.size(F.filter(seeds, lambda s: blob.contains(F.lower(s)))) / F.greatest(F.lit(1), F.size(seeds))
-    return strength + asked + 0.28 * fit - F.when(fit < 0.2, 0.35).otherwise(0.0) + F.when(n >= 2, 0.12 * (n - 1)).otherwise(0.0)
+    return strength + adjusted_by_relation(question, rels) + 0.28 * fit - F.when(fit < 0.2, 0.35).otherwise(0.0) + F.when(n >= 2, 0.12 * (n - 1)).otherwise(0.0)
 
 
 def asserted(relations: DataFrame, allowed: tuple[str, ...]) -> DataFrame:

@@ -150,11 +150,8 @@ _TERMS = r"""v0 AS (SELECT q, t, lower(t) AS ql, list_filter(regexp_extract_all(
 def _(d: Data) -> DataFrame:
     """How far passages, as evidence of a trail of strength .7, answer the stated questions; whether they lead a pack of coverage .5; the score they enter with."""
     blob = evidence.blob_of(F.col("title"), F.col("text"))
-    content = F.filter(questions.question_terms(F.col("t")), lambda w: ~F.lower(w).isin("who", "what", "when", "where", "why", "how", "which", "does", "did", "are", "is"))
-    o = _pairs(d).select("q", "id", evidence.overlap(content, F.lower(blob)).alias("ov"), text.boilerplate_penalty(blob).alias("pen"))
-    score = F.greatest(F.lit(0.0), F.col("ov") - 0.35 * F.col("pen"))
-    rel = F.least(F.lit(1.0), F.when((F.col("ov") < 0.15) & (F.col("pen") >= 0.35), F.least(score, F.lit(0.12))).otherwise(score))
-    return o.withColumn("rel", rel).select("q", "id", F.round("rel", 4).alias("relevance"), evidence.graph_leads(F.col("rel"), F.lit(0.7), F.lit(0.5)).alias("leads"), F.round(evidence.graph_base(F.col("rel"), F.lit(0.8)), 4).alias("base"))
+    o = _pairs(d).select("q", "id", evidence.content_overlap(F.col("t"), F.lower(blob)).alias("ov"), text.boilerplate_penalty(blob).alias("pen"))
+    return o.withColumn("rel", evidence.trail_relevance(F.col("ov"), F.col("pen"))).select("q", "id", F.round("rel", 4).alias("relevance"), evidence.graph_leads(F.col("rel"), F.lit(0.7), F.lit(0.5)).alias("leads"), F.round(evidence.graph_base(F.col("rel"), F.lit(0.8)), 4).alias("base"))
 
 
 @query("r14_title_bonus", rf"""WITH {_SUITE}, p AS (SELECT q, t, id, title, lower(title) AS path, replace(replace(lower(title), '_', ' '), '-', ' ') AS name, regexp_matches(lower(t), '\b(news|press|blog|announced|announcement|insights?\s+blog|podcast|webinar|yesterday|last\s+week)\b') AS news FROM s, passages),
