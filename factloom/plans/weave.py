@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import evidence, questions, text
 from factloom.functions.arrays import distinct_ci, found
+from factloom.operators.components import components
 from factloom.operators.lineage import cut
 from factloom.plans.asks import ASKS, _COMPARE, asked
 from factloom.plans.datasets import Data
@@ -54,8 +55,8 @@ def entities(t: Column) -> Column:
 
 _FOUND = r"""SELECT id, lower(n) AS key, {i} AS rule, '{kind}' AS kind, n AS name FROM (SELECT id, trim(regexp_replace(unnest(regexp_extract_all(t, '{pattern}', 1)), '\s+', ' ', 'g')) AS n FROM texts) WHERE length(n) BETWEEN {least} AND {most} AND lower(n) NOT IN ('utf8', 'utf16', 'sha256', 'md5')"""
 _RULES = (
-    ("Concept", r"([A-Z]\w+(\s+[A-Z][\w+/.-]+){0,6}\s+(Agreement|License|Policy|Standard|Specification|Addendum|Amendment))", 8, 90), ("Concept", r"([A-Z]\w+(\s+[A-Z]\w+){0,4}\s+v\d+)\b", 5, 80), ("Person", r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})", 1, 999),
-    ("Concept", r"\b([A-Z]{2,6}-\d{2,})\b", 1, 999), ("Concept", r"\b([A-Z]{1,8}\d{2,4})\b", 1, 999), ("SecurityLevel", r"(?i)\b((Security|Output\s+Protection|License\s+Security)\s+Level\s+\d{2,4})\b", 1, 999),
+    ("Concept", r"([A-Z][\w]+(?:\s+[A-Z][\w+/.-]+){0,6}\s+(?:Agreement|License|Policy|Standard|Specification|Addendum|Amendment))", 8, 90), ("Concept", r"([A-Z][\w]+(?:\s+[A-Z][\w]+){0,4}\s+v\d+)\b", 5, 80), ("Person", r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})", 1, 999),
+    ("Concept", r"\b([A-Z]{2,6}-\d{2,})\b", 1, 999), ("Concept", r"\b([A-Z]{1,8}\d{2,4})\b", 1, 999), ("SecurityLevel", r"(?i)\b((?:Security|Output\s+Protection|License\s+Security)\s+Level\s+\d{2,4})\b", 1, 999),
 )
 
 
@@ -80,42 +81,50 @@ def _(d: Data) -> DataFrame:
     return each.select("id", "field", "value", "span_start", (F.col("span_start") + F.col("size")).alias("span_end"), F.lit(0.95).alias("weight"), F.lit(0.96).alias("confidence"))
 
 
+#: Fixed value: short codes, which never take in longer names.
+CODE_NAME = r"^[a-z]{1,8}\d{2,}$"
+
+
 def merged_entities(names: DataFrame) -> DataFrame:
-    """id, root of entities (id, type, name): those of one name, and those of one type whose names are related, are one; the root is the smallest id.
+    """id, root, alias of entities (id, type, name): those of one name, and those of one type whose names are related, are one; the root is the smallest id, and names that differ from its own are its aliases.
 
-    Related: one name without blanks and marks, of five characters or more, lies in the other, at most 2.2 times as
-    long. Names meet by their rarest piece. All names are taken at once: the outcome doesn't depend on an order, as it
-    would if they came one by one.
+    Related: without blanks and marks the names are equal, or one of six characters or more lies in the other, at most 2.2
+    times as long, and neither is a code. Names that hold different numbers are never one: not two versions, not a policy
+    and its version, not SL200 and SL2000. That parts all names before any are linked, so no chain of links can join what must stay apart.
+    Names meet by their rarest piece. All are taken at once: the outcome doesn't depend on an order.
     """
-    keyed = cut(names.select("id", "type", F.lower("name").alias("name"), text.alnum_key(F.col("name")).alias("key")).where("key <> ''"))
+    numbers = F.array_join(F.regexp_extract_all(F.lower("name"), F.lit(r"\d+"), F.lit(0)), ",")
+    keyed = cut(names.select("id", "type", F.lower("name").alias("name"), text.alnum_key(F.col("name")).alias("key"), numbers.alias("numbers")).where("key <> ''"))
     by_name = keyed.groupBy("name").agg(F.min("id").alias("a"))
     same = keyed.join(by_name, "name").where("id <> a").select("a", F.col("id").alias("b"))
-    one = keyed.groupBy("type", "key").agg(F.min("id").alias("a"))
-    alike = keyed.join(one, ["type", "key"]).where("id <> a").select("a", F.col("id").alias("b"))
-    long = one.where(F.char_length("key") >= 5)
+    one = keyed.groupBy("type", "numbers", "key").agg(F.min("id").alias("a"))
+    alike = keyed.join(one, ["type", "numbers", "key"]).where("id <> a").select("a", F.col("id").alias("b"))
+    long = one.where((F.char_length("key") >= 6) & ~F.col("key").rlike(CODE_NAME))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("key") - 4), lambda i: F.substring(F.col("key"), i, 5)))
-    held = cut(long.select("type", "key", "a", F.explode(grams).alias("g")))
-    often = held.groupBy("type", "g").agg(F.count("*").alias("n"))
-    rare = held.join(often, ["type", "g"]).groupBy("type", "key", "a").agg(F.min(F.struct("n", "g"))["g"].alias("g"))
-    other = held.select("type", "g", F.col("key").alias("longer"), F.col("a").alias("b"))
-    related = rare.join(other, ["type", "g"]).where((F.col("key") != F.col("longer")) & F.col("longer").contains(F.col("key")) & (F.char_length("longer") <= F.char_length("key") * 2.2)).select("a", "b")
-    edges = cut(same.unionByName(alike).unionByName(related).distinct())
-    both = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    label = keyed.select("id", F.col("id").alias("root"))
-    while True:
-        lower = both.join(label.withColumnsRenamed({"id": "a", "root": "r"}), "a").groupBy(F.col("b").alias("id")).agg(F.min("r").alias("r"))
-        after = cut(label.join(lower, "id", "left").select("id", F.least("root", F.coalesce("r", "root")).alias("root"), (F.col("r") < F.col("root")).alias("moved")))
-        if after.where("moved").isEmpty():
-            return label
-        label = after.select("id", "root")
-
-
-@query("g09_merged_entities", r"""WITH RECURSIVE k AS MATERIALIZED (SELECT id, type, lower(name) AS name, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS key FROM kg_nodes WHERE type IN ('Product', 'Topic', 'Section')), n AS MATERIALIZED (SELECT type, key, min(id) AS id FROM k GROUP BY ALL), m AS MATERIALIZED (SELECT name, min(id) AS id FROM k GROUP BY ALL),
-    e0 AS (SELECT m.id AS a, k.id AS b FROM k JOIN m USING (name) UNION SELECT n.id, k.id FROM k JOIN n USING (type, key) UNION SELECT x.id, y.id FROM n x JOIN n y ON x.type = y.type AND x.key <> y.key AND length(x.key) >= 5 AND contains(y.key, x.key) AND length(y.key) <= length(x.key) * 2.2),
-    e AS MATERIALIZED (SELECT a, b FROM e0 WHERE a <> b UNION SELECT b, a FROM e0 WHERE a <> b), w(id, r) AS (SELECT id, id FROM k UNION SELECT e.b, w.r FROM w JOIN e ON e.a = w.id WHERE w.r < e.b) SELECT id, min(r) AS root FROM w GROUP BY 1""")
+    place = ["type", "numbers", "g"]
+    held = cut(long.select("type", "numbers", "key", "a", F.explode(grams).alias("g")))
+    often = held.groupBy(*place).agg(F.count("*").alias("n"))
+    rare = held.join(often, place).groupBy("type", "numbers", "key", "a").agg(F.min(F.struct("n", "g"))["g"].alias("g"))
+    other = held.select(*place, F.col("key").alias("longer"), F.col("a").alias("b"))
+    related = rare.join(other, place).where((F.col("key") != F.col("longer")) & F.col("longer").contains(F.col("key")) & (F.char_length("longer") <= F.char_length("key") * 2.2)).select("a", "b")
+    roots = components(same.unionByName(alike).unionByName(related))
+    placed = keyed.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "name", F.coalesce("root", "id").alias("root"))
+    own = keyed.select(F.col("id").alias("root"), F.col("name").alias("known"))
+    return placed.join(own, "root").select("id", "root", F.when(F.col("name") != F.col("known"), F.col("name")).otherwise("").alias("alias"))
+
+
+@query("g09_merged_entities", r"""WITH RECURSIVE t AS (SELECT id, type, name FROM kg_nodes WHERE type IN ('Product', 'Topic', 'Section') UNION ALL SELECT 'policy:' || p_partkey, 'Concept', CASE p_partkey % 4 WHEN 0 THEN p_brand || ' Data Policy' WHEN 1 THEN p_brand || ' Data Policy v' || p_size ELSE 'SL' || (200 + p_size) || CASE WHEN p_partkey % 4 = 2 THEN '0' ELSE '' END END FROM part),
+    k AS MATERIALIZED (SELECT id, type, lower(name) AS name, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS key, array_to_string(regexp_extract_all(name, '\d+'), ',') AS nums FROM t), n AS MATERIALIZED (SELECT type, nums, key, min(id) AS id FROM k GROUP BY ALL), m AS MATERIALIZED (SELECT name, min(id) AS id FROM k GROUP BY ALL),
+    e0 AS (SELECT m.id AS a, k.id AS b FROM k JOIN m USING (name) UNION SELECT n.id, k.id FROM k JOIN n USING (type, key) UNION SELECT x.id, y.id FROM n x JOIN n y ON x.type = y.type AND x.nums = y.nums AND x.key <> y.key AND length(x.key) >= 6 AND NOT regexp_matches(x.key, '^[a-z]{1,8}\d{2,}$') AND NOT regexp_matches(y.key, '^[a-z]{1,8}\d{2,}$') AND contains(y.key, x.key) AND length(y.key) <= length(x.key) * 2.2),
+    e AS MATERIALIZED (SELECT a, b FROM e0 WHERE a <> b UNION SELECT b, a FROM e0 WHERE a <> b), w(id, r) AS (SELECT id, id FROM k UNION SELECT e.b, w.r FROM w JOIN e ON e.a = w.id WHERE w.r < e.b), r AS (SELECT id, min(r) AS root FROM w GROUP BY 1)
+    SELECT r.id, root, CASE WHEN k.name <> o.name THEN k.name ELSE '' END AS alias FROM r JOIN k ON k.id = r.id JOIN k o ON o.id = root""")
 def _(d: Data) -> DataFrame:
-    """Products, topics and sections merged by name."""
-    return merged_entities(d.nodes.where("type IN ('Product', 'Topic', 'Section')").select("id", "type", "name"))
+    """Products, topics, sections and policies with their versions and levels, merged by name."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    level = F.concat(F.lit("SL"), (200 + F.col("p_size")).cast("string"), F.when(k % 4 == 2, "0").otherwise(""))
+    policy = F.when(k % 4 == 0, F.concat("p_brand", F.lit(" Data Policy"))).when(k % 4 == 1, F.concat("p_brand", F.lit(" Data Policy v"), size)).otherwise(level)
+    more = d.table("part").select(F.concat(F.lit("policy:"), k.cast("string")).alias("id"), F.lit("Concept").alias("type"), policy.alias("name"))
+    return merged_entities(d.nodes.where("type IN ('Product', 'Topic', 'Section')").select("id", "type", "name").unionByName(more))
 
 
 @query("g08_question_entities", rf"""WITH {ASKS}, t0 AS (SELECT q, t, {_COMPARE} AS comparison, list_concat(regexp_extract_all(t, '\b[A-Z][A-Za-z0-9]+(\s+[A-Z][A-Za-z0-9]+)*\b'), regexp_extract_all(t, '["“]([^"”]{{2,60}})["”]', 1), regexp_extract_all(t, '\b[A-Za-z]{{1,8}}\d{{2,}}\b')) AS found FROM (SELECT q, t FROM a UNION ALL SELECT 900000 + r_regionkey, 'What is in ' || upper(substr(r_name, 1, 1)) || lower(substr(r_name, 2)) || ' and the Moon' FROM region UNION ALL SELECT 910000 + n_nationkey, 'Tell me about ' || upper(n_name) FROM nation)),

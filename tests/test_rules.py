@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -108,6 +109,50 @@ def test_merged_entities(spark):
     assert got == {"a": "a", "b": "a", "c": "a", "d": "a", "e": "e", "f": "f", "g": "g"}
 
 
+def test_what_must_stay_apart(spark):
+    """Versions, a policy and its version, and codes don't become one, nor through others that are related to both."""
+    names = [("a", "C", "Data Policy v1"), ("b", "C", "Data Policy v2"), ("c", "C", "Data Policy"), ("d", "C", "data-policy"), ("e", "C", "SL200"), ("f", "C", "SL2000"), ("g", "C", "Big Data Policy v1"), ("h", "C", "SL200"), ("i", "C", "Policy"), ("j", "T", "Data Policy v2")]
+    got = {r.id: (r.root, r.alias) for r in merged_entities(spark.createDataFrame(names, "id string, type string, name string")).collect()}
+    assert got == {"a": ("a", ""), "b": ("b", ""), "c": ("c", ""), "d": ("c", "data-policy"), "e": ("e", ""), "f": ("f", ""), "g": ("a", "big data policy v1"), "h": ("e", ""), "i": ("c", "policy"), "j": ("b", "")}
+
+
+def test_merging_by_brute_force(spark):
+    rng = random.Random(12)
+    words = ["data", "vault", "policy", "cloud", "v1", "v2", "pro", "sl20", "sl200", "x"]
+    table = [(f"i{i:03}", rng.choice("CT"), " ".join(rng.choice(words) for _ in range(rng.randint(1, 4)))) for i in range(150)]
+    key = lambda n: re.sub("[^a-z0-9]", "", n)
+    code = lambda k: re.fullmatch(r"[a-z]{1,8}\d{2,}", k)
+    root = {i: i for i, _, _ in table}
+
+    def one(x, y) -> bool:
+        (_, s, a), (_, t, b) = x, y
+        if a == b:
+            return True
+        if s != t or re.findall(r"\d+", a) != re.findall(r"\d+", b):
+            return False
+        short, long = sorted((key(a), key(b)), key=len)
+        return short == long or (len(short) >= 6 and not code(short) and not code(long) and short in long and len(long) <= 2.2 * len(short))
+
+    for x in table:
+        for y in table:
+            if one(x, y) and root[x[0]] != root[y[0]]:
+                low, high = sorted((root[x[0]], root[y[0]]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    got = merged_entities(spark.createDataFrame(table, "id string, type string, name string")).collect()
+    assert {r.id: r.root for r in got} == root and len(set(root.values())) > 10
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    from factloom.operators import components as module
+
+    written = []
+    own = module.cut
+    monkeypatch.setattr(module, "cut", lambda df: written.append(1) or own(df))
+    edges = [(f"n{i:04}", f"n{i + 1:04}") for i in range(300)] + [("z", "z"), ("y1", "y2")]
+    got = {r.node: r.root for r in module.components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert got == {f"n{i:04}": "n0000" for i in range(301)} | {"y1": "y1", "y2": "y1"} and len(written) < 20
+
+
 def test_fuzzy_links_by_brute_force(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("ab") for _ in range(rng.randint(2, 9)))
