@@ -9,7 +9,7 @@ from factloom.functions import quality, text, web
 from factloom.operators.lineage import cut
 from factloom.plans.datasets import Data
 from factloom.plans.registry import query
-from factloom.plans.texts import _U, _urls
+from factloom.plans.texts import _PATH, _U, _urls
 
 #: Path words that biographies don't repeat, and words that name no topic.
 STRUCTURAL_WORDS = ("profiles", "profile", "leaders", "leadership", "team", "board", "people", "about", "executives", "management")
@@ -73,16 +73,20 @@ def topic_weak(u: Column, t: Column) -> Column:
 
 _WORDS = r"""list_filter(flatten(list_transform(list_filter(string_split(trim(p, '/'), '/'), lambda s: s NOT IN ('', 'index', 'home', 'en', 'www')), lambda s: string_split(regexp_replace(s, '[^a-z0-9-]+', '-', 'g'), '-'))), lambda w: length(w) >= 3 AND w NOT IN ('the', 'and', 'for', 'our', 'com', 'www'))[1:6]"""
 _PLAIN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|nav)[^>]*>.*?</(script|style|nav)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"""
-_BODY = rf"""{_U}, body AS (SELECT page_id % 50 AS k, {_PLAIN} AS t, len(regexp_extract_all(html, '<a ')) AS links FROM pages QUALIFY row_number() OVER (PARTITION BY page_id % 50 ORDER BY page_id) = 1), w AS MATERIALIZED (SELECT x.page_id, p, people, t, lower(t) AS low, links, {_WORDS} AS words FROM x JOIN body ON k = x.page_id % 50),
+#: SQL: every page at its URL and, numbered from a million on, at the URL of its first link; each with the words and links of its own text.
+_BODY = rf"""b AS (SELECT page_id, url, html FROM pages UNION ALL SELECT 1000000 + page_id, regexp_extract(url, '^https?://[^/?#]*') || regexp_extract(html, '<a href="(/[^"]*)"', 1), html FROM pages), v AS (SELECT page_id, {_PATH} AS p, regexp_extract(url, '^https?://[^/?#]*') AS host, {_PLAIN} AS t, len(regexp_extract_all(html, '<a ')) AS links FROM b),
+    w AS MATERIALIZED (SELECT page_id, p, host, regexp_matches(p, '/profiles/leaders|/about-us/leaders|/leadership') AS people, t, lower(t) AS low, links, {_WORDS} AS words FROM v),
     n AS (SELECT *, list_filter(words, lambda w: w NOT IN ('profiles', 'profile', 'leaders', 'leadership', 'team', 'board', 'people', 'about', 'executives', 'management')) AS names FROM w),
     weak AS MATERIALIZED (SELECT *, CASE WHEN len(words) = 0 THEN false WHEN people THEN len(names) > 0 AND len(list_filter(names, lambda w: contains(low, w))) < CASE WHEN len(names) <= 2 THEN 1 ELSE greatest(1, len(names) // 2) END
         WHEN len(words) = 1 THEN (length(low) - length(replace(low, words[1], ''))) / length(words[1]) < 2 ELSE len(list_filter(words, lambda w: contains(low, w))) < greatest(1, len(words) // 2) END AS weak FROM n)"""
 
 
 def _bodies(d: Data) -> DataFrame:
-    """Every URL with the words and links of one stored page."""
-    body = d.pages.groupBy((F.col("page_id") % 50).alias("k")).agg(F.min_by("html", "page_id").alias("html")).select("k", plain(F.col("html")).alias("t"), F.size(F.regexp_extract_all("html", F.lit("<a "), F.lit(0))).alias("links"))
-    return _urls(d).join(body, F.col("k") == F.col("page_id") % 50).select("page_id", "url", "t", "links")
+    """Every page at its URL and, numbered from a million on, at the URL of its first link; each with the words and links of its own text."""
+    host = F.regexp_extract("url", "^https?://[^/?#]*", 0)
+    linked = d.pages.select((1_000_000 + F.col("page_id")).alias("page_id"), F.concat(host, F.regexp_extract("html", r'<a href="(/[^"]*)"', 1)).alias("url"), "html")
+    both = d.pages.select("page_id", "url", "html").unionByName(linked)
+    return both.select("page_id", "url", host.alias("host"), plain(F.col("html")).alias("t"), F.size(F.regexp_extract_all("html", F.lit("<a "), F.lit(0))).alias("links"))
 
 
 @query("s16_topic_coverage", f"WITH {_BODY} SELECT page_id, weak FROM weak")
@@ -91,16 +95,19 @@ def _(d: Data) -> DataFrame:
     return _bodies(d).select("page_id", topic_weak(F.col("url"), F.col("t")).alias("weak"))
 
 
-@query("s17_crawl_decision", f"""WITH {_BODY}, q AS (SELECT *, length(t) AS size, links / greatest(greatest(1, len(regexp_extract_all(t, '[A-Za-z]{{2,}}'))) / 8.0, 1.0) AS density, len(regexp_extract_all(t, '[.!?]')) AS stops, p = '/' AS seed FROM weak),
+@query("s17_crawl_decision", f"""WITH {_BODY}, q AS (SELECT *, length(t) AS size, links / greatest(greatest(1, len(regexp_extract_all(t, '[A-Za-z]{{2,}}'))) / 8.0, 1.0) AS density, len(regexp_extract_all(t, '[.!?]')) AS stops, page_id = min(page_id) OVER (PARTITION BY host, page_id >= 1000000) AS seed FROM weak),
     verdict AS (SELECT *, size < 400 OR (density > 4.0 AND size < 800) OR (stops < 2 AND size < 600) AS thin, people AND size >= 400 AS person FROM q)
     SELECT page_id, CASE WHEN thin AND NOT person THEN 'skip_thin' WHEN size < 40 THEN 'skip_thin' WHEN weak AND seed AND NOT person THEN 'skip_weak' ELSE 'keep' END AS decision FROM verdict""")
 def _(d: Data) -> DataFrame:
-    """Whether a crawled page is kept; biographies of enough prose always are."""
+    """Whether a crawled page is kept, each by its own text; biographies of enough prose always are, and a host's first page must hold the words of its path."""
     t, size, p = F.col("t"), F.char_length("t"), web.url_path(F.col("url"))
     density = F.col("links") / F.greatest(F.greatest(F.lit(1), F.size(F.regexp_extract_all(t, F.lit("[A-Za-z]{2,}"), F.lit(0)))) / 8.0, F.lit(1.0))
     thin = (size < 400) | ((density > 4.0) & (size < 800)) | ((F.size(F.regexp_extract_all(t, F.lit("[.!?]"), F.lit(0))) < 2) & (size < 600))
     person = web.is_people(p) & (size >= 400)
-    return _bodies(d).select("page_id", F.when((thin & ~person) | (size < 40), "skip_thin").when(topic_weak(F.col("url"), t) & (p == "/") & ~person, "skip_weak").otherwise("keep").alias("decision"))
+    pages = cut(_bodies(d))
+    seeds = pages.groupBy("host", F.col("page_id") >= 1_000_000).agg(F.min("page_id").alias("page_id")).select("page_id", F.lit(True).alias("seed"))
+    told = pages.join(seeds, "page_id", "left")
+    return told.select("page_id", F.when((thin & ~person) | (size < 40), "skip_thin").when(topic_weak(F.col("url"), t) & F.coalesce("seed", F.lit(False)) & ~person, "skip_weak").otherwise("keep").alias("decision"))
 
 
 def crawl(pages: DataFrame, links: DataFrame, seeds: DataFrame, depth: int = 4, most: int = 500) -> DataFrame:
@@ -137,11 +144,10 @@ def _(d: Data) -> DataFrame:
 
 
 _FRAMES = "CASE page_id % 6 WHEN 0 THEN '<p>Home</p><p>Contact Us</p><p>Our Great Products</p><p>Ada King</p><p>Accept all cookies</p><p>All rights reserved</p><p>Follow us</p><p>Sign in</p>' WHEN 1 THEN '<p>Alpha Beta</p><p>Gamma Delta Eps</p><p>Zeta Eta</p><p>Theta Iota</p><p>Kappa Lam</p><p>Mu Nu</p><p>Xi Omi</p><p>Pi Rho</p><p>Sig Tau Ups Phi Chi</p>' ELSE '' END"
-_CUT = "CASE page_id % 7 WHEN 0 THEN 300 WHEN 1 THEN 900 WHEN 2 THEN 1500 WHEN 3 THEN 2500 ELSE 1000000 END"
 _CAPITAL = "len(list_filter(string_split({x}, ' '), lambda w: regexp_full_match(w, '[A-Za-z]+') AND NOT regexp_matches(w, '^[A-Z]'))) = 0"
 
 
-@query("s15_quality_gate", rf"""WITH h AS (SELECT page_id, {_FRAMES} || substr(html, 1, CAST({_CUT} AS BIGINT)) AS html FROM pages), t AS (SELECT page_id, len(regexp_extract_all(html, '<a ')) AS links, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript|svg|iframe|nav|footer|header)\b[^>]*>.*?</(script|style|noscript|svg|iframe|nav|footer|header)>', chr(10), 'g'), '(?i)</?(p|div|li|ul|ol|br|tr|table|section|article|main|h[1-6]|title|head|body)\b[^>]*>', chr(10), 'g'), '(?s)<[^>]*>', ' ', 'g') AS t FROM h),
+@query("s15_quality_gate", rf"""WITH h AS (SELECT page_id, {_FRAMES} || html AS html FROM pages), t AS (SELECT page_id, len(regexp_extract_all(html, '<a ')) AS links, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript|svg|iframe|nav|footer|header)\b[^>]*>.*?</(script|style|noscript|svg|iframe|nav|footer|header)>', chr(10), 'g'), '(?i)</?(p|div|li|ul|ol|br|tr|table|section|article|main|h[1-6]|title|head|body)\b[^>]*>', chr(10), 'g'), '(?s)<[^>]*>', ' ', 'g') AS t FROM h),
     l AS MATERIALIZED (SELECT page_id, links, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS lines FROM t),
     u AS MATERIALIZED (SELECT page_id, links, lines, list_filter(lines, lambda x: x[1] = '#' OR starts_with(x, '- ') OR NOT (regexp_matches(x, '(?i)^(home|about|about us|contact|contact us|careers|blog|news|newsroom|solutions|products|services|resources|support|help|faq|login|sign in|sign out|log in|log out|close menu|search|menu|pricing|partners|company|investors)\s*$')
         OR (length(x) < 80 AND regexp_matches(lower(x), 'site map|sitemap|privacy policy|terms of use|terms of service|cookie|accessibility|close menu|sign in|log in|log out|subscribe|newsletter|reject all|accept all|confirm my choices|personalize ads|targeted advertising|leg\.interest|all rights reserved|follow us|skip to content|skip to main'))
@@ -150,10 +156,9 @@ _CAPITAL = "len(list_filter(string_split({x}, ' '), lambda w: regexp_full_match(
         len(list_filter(lines[1:40], lambda y: len(string_split(y, ' ')) <= 5 AND {_CAPITAL.format(x='y')} AND NOT regexp_matches(y, '[.!?]'))) AS titled, len(regexp_extract_all(array_to_string(prose, ' '), '[.!?]')) AS stops FROM u), j AS (SELECT *, (hits >= 4 AND n < 1200) OR (titled >= 8 AND n < 800) AS heavy FROM k)
     SELECT page_id, CAST(n AS INTEGER) AS unique_prose_chars, round(density, 3)::DOUBLE AS link_density, CAST(hits AS INTEGER) AS chrome_hits, heavy AS chrome_heavy, CASE WHEN n < 400 THEN 'short_prose' WHEN density > 4.0 AND n < 800 THEN 'high_link_density' WHEN heavy AND n < 800 THEN 'chrome_heavy' WHEN stops < 2 AND n < 600 THEN 'few_sentences' ELSE 'ok' END AS reason FROM j""")
 def _(d: Data) -> DataFrame:
-    """Pages, some with frames put before them and some cut short: how much prose they hold, and why they are thin."""
+    """Whole pages, some with frames put before them: how much prose they hold, and why they are thin."""
     k = F.col("page_id")
     frames = F.when(k % 6 == 0, "<p>Home</p><p>Contact Us</p><p>Our Great Products</p><p>Ada King</p><p>Accept all cookies</p><p>All rights reserved</p><p>Follow us</p><p>Sign in</p>").when(k % 6 == 1, "<p>Alpha Beta</p><p>Gamma Delta Eps</p><p>Zeta Eta</p><p>Theta Iota</p><p>Kappa Lam</p><p>Mu Nu</p><p>Xi Omi</p><p>Pi Rho</p><p>Sig Tau Ups Phi Chi</p>").otherwise("")
-    cut_at = F.when(k % 7 == 0, 300).when(k % 7 == 1, 900).when(k % 7 == 2, 1500).when(k % 7 == 3, 2500).otherwise(1_000_000)
-    pages = d.pages.select("page_id", F.concat(frames, F.substring(F.col("html"), F.lit(1), cut_at)).alias("html"))
+    pages = d.pages.select("page_id", F.concat(frames, "html").alias("html"))
     q = quality.page_quality(quality.body_lines(F.col("html")), F.size(F.regexp_extract_all("html", F.lit("<a "), F.lit(0))))
     return pages.select("page_id", q.alias("q")).select("page_id", "q.*")
