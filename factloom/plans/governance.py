@@ -91,13 +91,13 @@ def _(d: Data) -> DataFrame:
     return p.select("k", F.round(high, 1).alias("high_impact"), F.round(low, 1).alias("low_impact"), F.round(high + low, 1).alias("total"))
 
 
-@query("a36_fleet_cards", f"""WITH p AS ({_DEBT}), s AS (SELECT k, round(least(100.0, topics + weak_edges + conflicts + unanswered + trust + coverage), 1) AS debt, greatest(conflicts, weak_edges, trust) AS hot FROM p), m AS (SELECT conv_id % 25 AS k, count(*) AS asks, round(count(*) FILTER (decision = 'refuse') / count(*), 3) AS refusals, round(100.0 * count(*) FILTER (decision = 'answer') / count(*), 1) AS trust FROM messages WHERE role = 'assistant' GROUP BY 1)
+@query("a36_fleet_cards", f"""WITH p AS ({_DEBT}), s AS (SELECT k, round(least(100.0, topics + weak_edges + conflicts + unanswered + trust + coverage), 1) AS debt, greatest(conflicts, weak_edges, trust) AS hot FROM p), m AS (SELECT c_nationkey AS k, count(*) AS asks, round(count(*) FILTER (decision = 'refuse') / count(*), 3) AS refusals, round(100.0 * count(*) FILTER (decision = 'answer') / count(*), 1) AS trust FROM messages JOIN customer ON c_custkey = conv_id WHERE role = 'assistant' GROUP BY 1)
     SELECT n_nationkey AS agent, n_name AS name, debt, CASE WHEN debt >= 28 OR (debt >= 18 AND hot >= 4) THEN 'High' WHEN debt >= 12 THEN 'Medium' ELSE 'Low' END AS risk, coalesce(asks, 0) AS asks, refusals AS refusal_rate, trust, coalesce(refusals, 0) <= 0.25 AS sla_ok FROM nation JOIN s ON s.k = n_nationkey LEFT JOIN m ON m.k = n_nationkey""")
 def _(d: Data) -> DataFrame:
     """One card for every agent: debt, risk, asks, refusals, trust and whether its service level holds."""
     s = aggregates.debt(_debt_in(d)).select("k", F.col("score").alias("debt"), F.greatest("conflicts", "weak_edges", "trust").alias("hot"))
     of = lambda what: F.count_if(F.col("decision") == what) / F.count("*")
-    m = d.messages.where("role = 'assistant'").groupBy((F.col("conv_id") % 25).alias("k")).agg(F.count("*").alias("asks"), F.round(of("refuse"), 3).alias("refusal_rate"), F.round(100.0 * of("answer"), 1).alias("trust"))
+    m = d.messages.where("role = 'assistant'").join(d.table("customer").select(F.col("c_custkey").alias("conv_id"), F.col("c_nationkey").alias("k")), "conv_id").groupBy("k").agg(F.count("*").alias("asks"), F.round(of("refuse"), 3).alias("refusal_rate"), F.round(100.0 * of("answer"), 1).alias("trust"))
     risk = F.when((F.col("debt") >= 28) | ((F.col("debt") >= 18) & (F.col("hot") >= 4)), "High").when(F.col("debt") >= 12, "Medium").otherwise("Low")
     n = d.table("nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name")).join(s, "k").join(m, "k", "left")
     return n.select(F.col("k").alias("agent"), "name", "debt", risk.alias("risk"), F.coalesce("asks", F.lit(0)).alias("asks"), "refusal_rate", "trust", (F.coalesce("refusal_rate", F.lit(0.0)) <= 0.25).alias("sla_ok"))

@@ -270,12 +270,38 @@ def _(d: Data) -> DataFrame:
     return h.select("k", aggregates.health_score(F.when(F.col("customers") > 0, 1.0).otherwise(0.0), F.lit(1.0), F.col("evidence"), F.least(F.lit(1.0), F.col("customers") / 70.0), F.lit(0.5), F.lit(1.0)).alias("health"))
 
 
-_DEBT_IN = "SELECT n_nationkey AS k, (n_nationkey * 7) % 101 AS cover, ((n_nationkey * 13) % 100) / 100.0::DOUBLE AS trust, n_nationkey % 11 AS conflicts, n_nationkey % 9 AS weak, 20 AS asserted, n_nationkey % 14 AS unanswered, n_nationkey % 7 AS gaps FROM nation"
+#: SQL: what each nation's debt follows from: the edges of its customers and suppliers, their evidence, and its customers' conversations.
+_DEBT_IN = """SELECT n_nationkey AS k, round(100.0::DOUBLE * coalesce(covered, 0) / greatest(coalesce(asserted, 0), 1), 1) AS cover, round(coalesce(cents / evidences::DOUBLE / 100.0::DOUBLE, 0.0), 3) AS trust, coalesce(conflicts, 0) AS conflicts, coalesce(weak, 0) AS weak, coalesce(asserted, 0) AS asserted, coalesce(unanswered, 0) AS unanswered, coalesce(gaps, 0) AS gaps FROM nation
+    LEFT JOIN (SELECT k, CAST(sum(asserted) AS BIGINT) AS asserted, CAST(sum(covered) AS BIGINT) AS covered, CAST(sum(weak) AS BIGINT) AS weak, CAST(sum(conflicts) AS BIGINT) AS conflicts, sum(cents) AS cents, sum(evidences) AS evidences, count(*) FILTER (100.0 * covered < 60.0 * asserted) AS gaps FROM (
+        SELECT o.k, o.id, count(*) FILTER (live) AS asserted, count(*) FILTER (live AND evidences > 0) AS covered, count(*) FILTER (live AND weight < 0.55) AS weak, count(*) FILTER (status = 'superseded' AND weight >= 1.1 AND evidences > 0) AS conflicts, coalesce(sum(cents), 0) AS cents, coalesce(sum(evidences), 0) AS evidences
+        FROM (SELECT *, status = 'active' AND edge_class = 'asserted_fact' AS live FROM kg_edges) e JOIN (SELECT 'customer:' || c_custkey AS id, c_nationkey AS k FROM customer UNION ALL SELECT 'supplier:' || s_suppkey, s_nationkey FROM supplier) o ON o.id = e.src
+        LEFT JOIN (SELECT edge_id, count(*) AS evidences, sum(CAST(round(confidence * 100) AS BIGINT)) AS cents FROM kg_evidence WHERE status = 'active' GROUP BY 1) v ON v.edge_id = e.id GROUP BY 1, 2) GROUP BY 1) g ON g.k = n_nationkey
+    LEFT JOIN (SELECT c_nationkey AS k, count(*) AS unanswered FROM messages JOIN customer ON c_custkey = conv_id WHERE decision IN ('refuse', 'clarify') GROUP BY 1) m ON m.k = n_nationkey"""
 
 
 def _debt_in(d: Data) -> DataFrame:
-    k = F.col("n_nationkey")
-    return d.table("nation").select(k.alias("k"), ((k * 7) % 101).alias("cover"), (((k * 13) % 100) / 100.0).alias("trust"), (k % 11).alias("conflicts"), (k % 9).alias("weak"), F.lit(20).alias("asserted"), (k % 14).alias("unanswered"), (k % 7).alias("gaps"))
+    """k, cover, trust, conflicts, weak, asserted, unanswered, gaps of every nation.
+
+    Each of its customers and suppliers is a section: asserted edges, those with active evidence (cover, in percent) and weak ones, and
+    superseded edges of weight that evidence still asserts (conflicts); sections with less than 60 percent are gaps.
+    Trust is the evidence's mean confidence; refused and clarified questions of its customers' conversations are unanswered.
+    """
+    owner = d.table("customer").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("src"), F.col("c_nationkey").alias("k"))
+    owner = owner.unionByName(d.table("supplier").select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("src"), F.col("s_nationkey").alias("k")))
+    v = d.evidence.where("status = 'active'").groupBy(F.col("edge_id").alias("id")).agg(F.count("*").alias("evidences"), F.sum(F.round(F.col("confidence") * 100).cast("long")).alias("cents"))
+    e = d.edges.join(v, "id", "left").withColumn("live", (F.col("status") == "active") & (F.col("edge_class") == "asserted_fact"))
+    held = F.coalesce(F.col("evidences") > 0, F.lit(False))
+    torn = (F.col("status") == "superseded") & (F.col("weight") >= 1.1) & held
+    sections = e.groupBy("src").agg(F.count_if("live").alias("asserted"), F.count_if(F.col("live") & held).alias("covered"), F.count_if(F.col("live") & (F.col("weight") < 0.55)).alias("weak"), F.count_if(torn).alias("conflicts"), F.sum("cents").alias("cents"), F.sum("evidences").alias("evidences"))
+    sums = ("asserted", "covered", "weak", "conflicts", "cents", "evidences")
+    g = sections.join(owner, "src").groupBy("k").agg(*(F.sum(c).alias(c) for c in sums), F.count_if(100.0 * F.col("covered") < 60.0 * F.col("asserted")).alias("gaps"))
+    asks = d.messages.where("decision IN ('refuse', 'clarify')").join(d.table("customer").select(F.col("c_custkey").alias("conv_id"), F.col("c_nationkey").alias("k")), "conv_id")
+    m = asks.groupBy("k").agg(F.count("*").alias("unanswered"))
+    n = d.table("nation").select(F.col("n_nationkey").alias("k")).join(g, "k", "left").join(m, "k", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    cover = F.round(100.0 * F.coalesce("covered", F.lit(0)) / F.greatest(F.coalesce("asserted", F.lit(0)), F.lit(1)), 1)
+    trust = F.round(F.coalesce(F.col("cents") / F.col("evidences") / 100.0, F.lit(0.0)), 3)
+    return n.select("k", cover.alias("cover"), trust.alias("trust"), *map(zero, ("conflicts", "weak", "asserted", "unanswered", "gaps")))
 
 
 _DEBT = f"""SELECT k, CAST(round(0.08 * least(20.0, gaps * 4.0), 1) AS DOUBLE) AS topics, CAST(round(0.16 * least(40.0, 100.0 * weak / greatest(asserted, 1)), 1) AS DOUBLE) AS weak_edges, CAST(round(0.18 * least(30.0, conflicts * 4.0), 1) AS DOUBLE) AS conflicts,
