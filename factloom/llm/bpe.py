@@ -200,7 +200,7 @@ def encoder(spark: SparkSession, path: str):
     """A column function: text to array<int> of token ids as ``encode`` of the tokenizers library without added special tokens.
 
     Null and empty texts give an empty array. Texts of any length are encoded whole. Ids depend on the text
-    alone, so repeated rows and ties need no rule, and other columns are left as they are.
+    alone, so repeated rows and ties need no rule, other columns, whatever their names, are left as they are, and an empty table gives no rows.
     """
     small_batches(spark)
     shared = spark.sparkContext.broadcast(tokenizer_source(path))

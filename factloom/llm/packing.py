@@ -11,7 +11,7 @@ Ids come from tiktoken with the vocabulary of ``Bpe``. It takes no run of about
 long runs go to ``Bpe`` itself, which gives the same ids.
 
 Defined cases: null and empty texts are documents of the end token only; equal rows and equal doc_ids are
-packed one by one; a very long text is encoded whole and becomes many windows; an empty table gives no pieces;
+packed one by one, so ties in length are broken by the id and then by the row's place, and only decide which of them goes where; a very long text is encoded whole and becomes many windows; an empty table gives no pieces;
 columns other than the id and the text aren't carried.
 """
 

@@ -17,7 +17,7 @@ for the 50 bytes), so they spread over all tasks; what a run's documents share i
 
 Defined cases: null and empty texts have no bytes; texts of fewer than 50 bytes are kept; rows with equal ids
 aren't copies of each other; rows without an id are kept whole and remove nothing; columns other than id and text
-aren't carried; a very long text is a run by itself; an empty table gives no rows.
+aren't carried; of equal strings, however many, the one of the smallest id stays; a very long text is a run by itself; an empty table gives no rows.
 """
 
 from __future__ import annotations
