@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last return the
 columns of ``docs``. Rows without a doc_id pass the stages that compare documents unchanged.
+
+Defined cases: null, empty and wordless texts fail the quality rules and go first; texts of any length are read whole by
+every stage; of rows with one id and text one stays, whichever (they differ in other columns at most), and of a near-duplicate
+group the row with the smallest id; repeated passages stay in the document with the smallest id; an empty table gives no rows; other columns are kept
+up to packing, and names that a stage needs for itself are chosen so that they clash with none.
 """
 
 from __future__ import annotations
