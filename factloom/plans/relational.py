@@ -271,7 +271,7 @@ def _(d: Data) -> DataFrame:
 
 
 #: SQL: what each nation's debt follows from: the edges of its customers and suppliers, their evidence, and its customers' conversations.
-_DEBT_IN = """SELECT n_nationkey AS k, round(100.0::DOUBLE * coalesce(covered, 0) / greatest(coalesce(asserted, 0), 1), 1) AS cover, round(coalesce(cents / evidences::DOUBLE / 100.0::DOUBLE, 0.0), 3) AS trust, coalesce(conflicts, 0) AS conflicts, coalesce(weak, 0) AS weak, coalesce(asserted, 0) AS asserted, coalesce(unanswered, 0) AS unanswered, coalesce(gaps, 0) AS gaps FROM nation
+_DEBT_IN = """SELECT n_nationkey AS k, round(100.0::DOUBLE * coalesce(covered, 0) / greatest(coalesce(asserted, 0), 1), 1) AS cover, round(coalesce(cents / nullif(evidences, 0)::DOUBLE / 100.0::DOUBLE, 0.0), 3) AS trust, coalesce(conflicts, 0) AS conflicts, coalesce(weak, 0) AS weak, coalesce(asserted, 0) AS asserted, coalesce(unanswered, 0) AS unanswered, coalesce(gaps, 0) AS gaps FROM nation
     LEFT JOIN (SELECT k, CAST(sum(asserted) AS BIGINT) AS asserted, CAST(sum(covered) AS BIGINT) AS covered, CAST(sum(weak) AS BIGINT) AS weak, CAST(sum(conflicts) AS BIGINT) AS conflicts, sum(cents) AS cents, sum(evidences) AS evidences, count(*) FILTER (100.0 * covered < 60.0 * asserted) AS gaps FROM (
         SELECT o.k, o.id, count(*) FILTER (live) AS asserted, count(*) FILTER (live AND evidences > 0) AS covered, count(*) FILTER (live AND weight < 0.55) AS weak, count(*) FILTER (status = 'superseded' AND weight >= 1.1 AND evidences > 0) AS conflicts, coalesce(sum(cents), 0) AS cents, coalesce(sum(evidences), 0) AS evidences
         FROM (SELECT *, status = 'active' AND edge_class = 'asserted_fact' AS live FROM kg_edges) e JOIN (SELECT 'customer:' || c_custkey AS id, c_nationkey AS k FROM customer UNION ALL SELECT 'supplier:' || s_suppkey, s_nationkey FROM supplier) o ON o.id = e.src
