@@ -39,6 +39,11 @@ def _between(pairs: DataFrame, steps: DataFrame, inner: DataFrame, width: DataFr
     if open_.isEmpty():
         return done
     way = inner.select(F.col("u").alias("from"), F.col("v").alias("to"))
+    if hops == 2:  # one node between: the narrower end's neighbours that the other end has too, without writing them down
+        narrow, other = F.when(F.col("left"), F.col("a")).otherwise(F.col("b")), F.when(F.col("left"), F.col("b")).otherwise(F.col("a"))
+        tried = open_.select("a", "b", narrow.alias("from"), other.alias("v")).join(way, "from").select("a", "b", F.col("to").alias("u"), "v")
+        met = tried.join(steps, ["u", "v"]).groupBy("a", "b").agg(F.min("u").alias("m"))
+        return cut(done.unionByName(met.select("a", "b", F.lit(2).alias("hops"), F.array("a", "m", "b").alias("path"))))
     lefts = open_.where("left").join(way, F.col("a") == F.col("from")).select("a", "b", "left", F.col("to").alias("x"), F.col("b").alias("y"))
     rights = open_.where("NOT left").join(way, F.col("b") == F.col("from")).select("a", "b", "left", F.col("a").alias("x"), F.col("to").alias("y"))
     opened = cut(lefts.unionByName(rights))

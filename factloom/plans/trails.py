@@ -10,21 +10,19 @@ from factloom.plans.datasets import Data
 from factloom.plans.registry import query
 from factloom.plans.weave import _TERMS
 
-_ENDS = "pairs AS MATERIALIZED (SELECT DISTINCT 'customer:' || o_custkey AS a, 'supplier:' || l_suppkey AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 1 AND o_orderkey % 20 = 0)"
+_ENDS = "pairs AS MATERIALIZED (SELECT DISTINCT 'customer:' || o_custkey AS a, 'part:' || l_partkey AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 1 AND o_orderkey % 20 = 0)"
 
 
 @query("g02_shortest_paths", f"""WITH {_ENDS}, s AS MATERIALIZED (SELECT src AS u, dst AS v FROM kg_active UNION SELECT dst, src FROM kg_active), i AS MATERIALIZED (SELECT u, v FROM s WHERE v IN (SELECT u FROM s GROUP BY u HAVING count(*) > 1)), f AS MATERIALIZED (SELECT DISTINCT a FROM pairs),
-    w1 AS MATERIALIZED (SELECT a, [a, v] AS p, v AS x FROM f JOIN i ON u = a), w2 AS MATERIALIZED (SELECT a, list_append(p, v) AS p, v AS x FROM w1 JOIN i ON u = x WHERE NOT list_contains(p, v)), b1 AS MATERIALIZED (SELECT DISTINCT b, u AS x FROM pairs JOIN s ON v = b),
-    b2 AS MATERIALIZED (SELECT b, u AS y, v AS x FROM b1 JOIN i ON v = x WHERE u <> b),
-    ways AS (SELECT a, b, 1 AS hops, [a, b] AS path FROM pairs JOIN s ON u = a AND v = b UNION ALL SELECT a, pairs.b, 2, list_append(p, pairs.b) FROM pairs JOIN w1 USING (a) JOIN b1 ON b1.b = pairs.b AND b1.x = w1.x UNION ALL SELECT a, pairs.b, 3, list_append(p, pairs.b) FROM pairs JOIN w2 USING (a) JOIN b1 ON b1.b = pairs.b AND b1.x = w2.x
-        UNION ALL SELECT a, pairs.b, 4, list_concat(p, [b2.x, pairs.b]) FROM pairs JOIN w2 USING (a) JOIN b2 ON b2.b = pairs.b AND b2.y = w2.x WHERE NOT list_contains(p, b2.x))
+    w1 AS MATERIALIZED (SELECT a, [a, v] AS p, v AS x FROM f JOIN i ON u = a), w2 AS MATERIALIZED (SELECT a, list_append(p, v) AS p, v AS x FROM w1 JOIN i ON u = x WHERE NOT list_contains(p, v)),
+    ways AS (SELECT a, b, 1 AS hops, [a, b] AS path FROM pairs JOIN s ON u = a AND v = b UNION ALL SELECT a, b, 2, list_append(p, b) FROM pairs JOIN w1 USING (a) JOIN s ON u = x AND v = b UNION ALL SELECT a, b, 3, list_append(p, b) FROM pairs JOIN w2 USING (a) JOIN s ON u = x AND v = b WHERE NOT list_contains(p, b))
     SELECT a, b, CAST(hops AS INTEGER) AS hops, array_to_string(path, '>') AS path FROM ways QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY hops, path) = 1""")
 def _(d: Data) -> DataFrame:
-    """How customers and the suppliers of their orders hang together, at most four hops: a path for each pair of every 20th order."""
-    lines = d.table("lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey")
+    """How customers hang together with parts that they ordered, at most three hops: a path for each pair of every 20th order."""
+    lines = d.table("lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
     ref = lambda kind, key: F.concat(F.lit(f"{kind}:"), F.col(key).cast("string"))
-    pairs = d.table("orders").where("o_orderkey % 20 = 0").join(lines, "o_orderkey").select(ref("customer", "o_custkey").alias("a"), ref("supplier", "l_suppkey").alias("b"))
-    return trails.shortest_paths(pairs, d.active_edges, 4).select("a", "b", "hops", F.array_join("path", ">").alias("path"))
+    pairs = d.table("orders").where("o_orderkey % 20 = 0").join(lines, "o_orderkey").select(ref("customer", "o_custkey").alias("a"), ref("part", "l_partkey").alias("b"))
+    return trails.shortest_paths(pairs, d.active_edges, 3).select("a", "b", "hops", F.array_join("path", ">").alias("path"))
 
 
 @query("g04_ranked_trails", f"""WITH line AS (SELECT l_orderkey AS q, min({{'s': l_suppkey, 'p': l_partkey}}) AS x FROM lineitem WHERE l_orderkey % 40 = 0 GROUP BY 1), ask AS MATERIALIZED (SELECT q, 'Is ' || s_name || ' responsible for what it provides as ' || p_name AS t, ['supplier:' || x.s, 'part:' || x.p] AS seeds, [s_name, p_name] AS names FROM line JOIN supplier ON s_suppkey = x.s JOIN part ON p_partkey = x.p), s AS (SELECT q, t FROM ask), {_TERMS},
