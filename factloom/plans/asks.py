@@ -71,11 +71,15 @@ def _(d: Data) -> DataFrame:
     return asked(d).select("q", F.when(questions.is_structural(t) & ~fuzzy, "structural").otherwise("fuzzy").alias("intent"))
 
 
-@query("f06_comparison", rf"""WITH {ASKS}, p AS (SELECT q, t, {_COMPARE} AS comparison, regexp_extract(t, '(?i)\b(compare|comparing|comparison\s+of)\s+(.+?)\s+(and|vs\.?|versus)\s+(.+?)(\?|$)', 2) AS a1, regexp_extract(t, '(?i)\b(compare|comparing|comparison\s+of)\s+(.+?)\s+(and|vs\.?|versus)\s+(.+?)(\?|$)', 4) AS b1,
+#: SQL: what the questions of table a compare, in table k.
+_SIDES = rf"""p AS (SELECT q, t, {_COMPARE} AS comparison, regexp_extract(t, '(?i)\b(compare|comparing|comparison\s+of)\s+(.+?)\s+(and|vs\.?|versus)\s+(.+?)(\?|$)', 2) AS a1, regexp_extract(t, '(?i)\b(compare|comparing|comparison\s+of)\s+(.+?)\s+(and|vs\.?|versus)\s+(.+?)(\?|$)', 4) AS b1,
     regexp_extract(t, '(?i)\b(difference|differences)\s+between\s+(.+?)\s+and\s+(.+?)(\?|$)', 2) AS a2, regexp_extract(t, '(?i)\b(difference|differences)\s+between\s+(.+?)\s+and\s+(.+?)(\?|$)', 3) AS b2, regexp_extract(t, '(?i)\b(.+?)\s+(vs\.?|versus)\s+(.+?)(\?|$)', 1) AS a3, regexp_extract(t, '(?i)\b(.+?)\s+(vs\.?|versus)\s+(.+?)(\?|$)', 3) AS b3 FROM a),
     c AS (SELECT q, t, comparison, list_transform([a1, b1, a2, b2, a3, b3], lambda x: regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(x, '^[ \t"''.,]+|[ \t"''.,]+$', '', 'g'), '\s+', ' ', 'g')), '(?i)^(the|a|an|compare|comparing|difference|differences|between)\s+', ''), '^[ \t"''.,]+|[ \t"''.,]+$', '', 'g')) AS s FROM p),
     g AS MATERIALIZED (SELECT q, comparison, list_concat(CASE WHEN s[1] <> '' AND s[2] <> '' AND lower(s[1]) <> lower(s[2]) THEN s[1:2] WHEN s[3] <> '' AND s[4] <> '' AND lower(s[3]) <> lower(s[4]) THEN s[3:4] WHEN s[5] <> '' AND s[6] <> '' AND lower(s[5]) <> lower(s[6]) THEN s[5:6] ELSE [] END, regexp_extract_all(t, '\b[A-Za-z]{{1,8}}\d{{2,}}\b')) AS s FROM c),
-    o AS MATERIALIZED (SELECT q, comparison, {_once('s')} AS s FROM g), k AS (SELECT *, list_filter(s, lambda x: regexp_full_match(x, '[A-Za-z]{{1,8}}\d{{2,}}')) AS coded FROM o)
+    o AS MATERIALIZED (SELECT q, comparison, {_once('s')} AS s FROM g), k AS (SELECT *, list_filter(s, lambda x: regexp_full_match(x, '[A-Za-z]{{1,8}}\d{{2,}}')) AS coded FROM o)"""
+
+
+@query("f06_comparison", rf"""WITH {ASKS}, {_SIDES}
     SELECT q, comparison, array_to_string((CASE WHEN len(coded) >= 2 THEN coded ELSE s END)[1:4], '|') AS sides FROM k""")
 def _(d: Data) -> DataFrame:
     """Whether a question compares, and what: sides of the first pattern that fits, codes first."""
