@@ -429,6 +429,14 @@ def _(d: Data) -> DataFrame:
     return dedupe.budget_sample(d.documents.select("doc_id", "source", "n_chars"), 40)
 
 
+@query("w03_weave_sample", """WITH r AS (SELECT coalesce(source, '') AS ws, coalesce(lang, '') AS doc, doc_id AS id, coalesce(n_chars, 0) AS size, row_number() OVER (PARTITION BY coalesce(source, ''), coalesce(lang, '') ORDER BY doc_id) AS early, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY coalesce(n_chars, 0) DESC, doc_id) AS rank, count(*) OVER (PARTITION BY coalesce(source, '')) AS n FROM documents), d AS (SELECT ws, doc, min(rank) AS first FROM r GROUP BY ALL),
+    t AS (SELECT r.ws, id, CASE WHEN early <= 2 THEN 0 WHEN (rank - 1) % greatest(1, n // 21) = 0 THEN 1 ELSE 2 END AS part, CASE WHEN early <= 2 THEN first ELSE rank END AS a, CASE WHEN early <= 2 THEN early ELSE 0 END AS b FROM r JOIN d ON d.ws = r.ws AND d.doc = r.doc)
+    SELECT ws, id, CAST(row_number() OVER (PARTITION BY ws ORDER BY part, a, b) AS INTEGER) AS place FROM t QUALIFY place <= 21""")
+def _(d: Data) -> DataFrame:
+    """What a weave may read of each source: two early texts of each language, then spaced by length, then the longest, 21 in all."""
+    return dedupe.weave_sample(d.documents.select(F.coalesce("source", F.lit("")).alias("ws"), F.coalesce("lang", F.lit("")).alias("doc"), F.col("doc_id").alias("id"), F.col("doc_id").alias("ordinal"), F.col("n_chars").alias("size")), 21)
+
+
 _DAILY = "SELECT user_id % 10 AS ws, CAST(ts AS DATE) AS day, floor(round(sum(value), 2)) AS debt FROM events GROUP BY ALL"
 
 

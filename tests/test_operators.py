@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import html, text, web
@@ -110,3 +112,20 @@ def test_ego_paths_of_a_cycle(spark):
     edges = spark.createDataFrame([("1", "2"), ("2", "3"), ("3", "4"), ("4", "1")], "src string, dst string").select(F.monotonically_increasing_id().cast("string").alias("id"), "src", "dst", F.lit("R").alias("rel_type"), F.lit(1.0).alias("weight"))
     got = graph.ego_paths(spark.createDataFrame([("1",)], "seed string"), edges, 3, 24).groupBy("length").count().collect()
     assert {r.length: r["count"] for r in got} == {1: 2, 2: 2, 3: 2}
+
+
+@pytest.mark.parametrize("budget", [0, 1, 5, 9, 400])
+def test_weave_sample_takes_as_a_plain_loop_does(spark, budget):
+    rng = random.Random(budget)
+    rows = [(ws, f"{ws}{rng.randrange(docs)}", i, rng.randrange(50), rng.choice([None, 1, 5, 90, rng.randrange(100)])) for i, (ws, docs) in enumerate([("big", 3)] * 200 + [("many", 40)] * 60 + [("one", 1)])]
+    want = set()
+    for ws in ("big", "many", "one"):
+        ranked = sorted((r for r in rows if r[0] == ws), key=lambda r: (-(r[4] or 0), r[2]))
+        docs: dict = {}
+        for r in ranked:
+            docs.setdefault(r[1], []).append(r)
+        order = [r for d in docs.values() for r in sorted(d, key=lambda r: (r[3], r[2]))[:2]] + ranked[:: max(1, len(ranked) // max(1, budget))] + ranked
+        taken = list(dict.fromkeys(r[2] for r in order))[:budget]
+        want |= {(ws, i, p + 1) for p, i in enumerate(taken)}
+    got = dedupe.weave_sample(spark.createDataFrame(rows, "ws string, doc string, id long, ordinal int, size int"), budget)
+    assert {tuple(r) for r in got.collect()} == want
