@@ -10,6 +10,7 @@ from factloom.operators import aggregates, graph, joins
 from factloom.operators.lineage import cut
 from factloom.plans.datasets import Data
 from factloom.plans.registry import query
+from factloom.sources import sinks
 from factloom.plans.relational import _DEBT, _debt_in
 
 #: Words of regulated domains.
@@ -72,6 +73,22 @@ def _(d: Data) -> DataFrame:
     return rows.select("id", F.coalesce("score", "p_retailprice").cast("double").alias("score"), F.coalesce("status", F.lit("draft")).alias("status"))
 
 
+_PATCHES = "ch AS MATERIALIZED (SELECT user_id AS id, ts, event_id, CASE WHEN event_type = 'purchase' THEN 'accepted' WHEN event_type = 'error' THEN 'rejected' END AS status, CASE WHEN event_type = 'view' THEN value END AS balance, event_type AS member, value FROM events)"
+
+
+@query("s34_patched_rows", f"""WITH {_PATCHES}, l AS (SELECT id, arg_max(balance, (ts, event_id)) FILTER (balance IS NOT NULL) AS balance, arg_min(status, (ts, event_id)) FILTER (status IS NOT NULL) AS status FROM ch GROUP BY 1),
+    m AS (SELECT id, member, arg_max(CAST(floor(value) AS BIGINT)::VARCHAR, (ts, event_id)) AS v FROM ch GROUP BY 1, 2), o AS (SELECT c_custkey AS id, unnest(['segment', 'view']) AS member, unnest(['\"' || c_mktsegment || '\"', '-1']) AS v FROM customer),
+    p AS (SELECT id, '{{' || string_agg('\"' || member || '\":' || v, ',' ORDER BY member) || '}}' AS props FROM (SELECT o.id, o.member, o.v FROM o LEFT JOIN m ON m.id = o.id AND m.member = o.member WHERE m.id IS NULL UNION ALL SELECT m.id, m.member, m.v FROM m) GROUP BY 1)
+    SELECT c_custkey AS id, c_name AS name, coalesce(l.balance, c_acctbal)::DOUBLE AS balance, CASE WHEN c_custkey % 7 = 0 THEN 'closed' ELSE coalesce(l.status, 'draft') END AS status, props FROM customer LEFT JOIN l ON l.id = c_custkey JOIN p ON p.id = c_custkey""")
+def _(d: Data) -> DataFrame:
+    """Customers updated in place from the log of events: the last balance wins, a status leaves draft once, props are merged by member; names, which no change may touch, and users without a row stay out."""
+    k, e = F.col("c_custkey"), F.col("event_type")
+    old = d.table("customer").select(k.alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").cast("double").alias("balance"), F.when(k % 7 == 0, "closed").otherwise("draft").alias("status"), F.concat(F.lit('{"segment":"'), "c_mktsegment", F.lit('","view":-1}')).alias("props"))
+    status = F.when(e == "purchase", "accepted").when(e == "error", "rejected")
+    changes = d.events.select(F.col("user_id").alias("id"), "ts", "event_id", status.alias("status"), F.when(e == "view", F.col("value")).alias("balance"), F.concat(F.lit('{"'), e, F.lit('":'), F.floor("value").cast("string"), F.lit("}")).alias("props"), F.lit("x").alias("name"))
+    return sinks.patched(old, changes, ["id"], ["ts", "event_id"], ["balance"], "props", {"status": "draft"})
+
+
 @query("s26_latest_health", "SELECT user_id AS ws, arg_max(value, (ts, event_id)) AS score, arg_max(event_type, (ts, event_id)) AS state, count(*) AS writes FROM events GROUP BY 1")
 def _(d: Data) -> DataFrame:
     """Health of every workspace: the last write wins."""

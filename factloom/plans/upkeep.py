@@ -13,6 +13,7 @@ from factloom.functions import text, web
 from factloom.operators import aggregates, graph, topk
 from factloom.plans.datasets import Data
 from factloom.plans.registry import query
+from factloom.sources import sinks
 from factloom.plans.relational import _DAILY, _daily
 from factloom.plans.texts import _U, _urls
 
@@ -67,6 +68,19 @@ def _(d: Data) -> DataFrame:
     return rows.select(F.concat(F.lit("ws"), (F.col("doc_id") % 3).cast("string"), F.lit(":"), F.col("doc_id").cast("string")).alias("key"), F.col("doc_id").alias("chunk_id"), "source", F.size("embedding").alias("dims"), F.round(norm, 4).alias("norm"))
 
 
+@query("s30_vector_upsert", """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), c AS (SELECT source || ':' || doc_id AS key, doc_id AS chunk_id, text, n_chars, e FROM documents JOIN v ON vec_id = doc_id), n AS (SELECT key, chunk_id, list_transform(e, lambda x: x / greatest(1e-12, sqrt(list_sum(list_transform(e, lambda y: y * y))))) AS e FROM c WHERE trim(text) <> '' AND n_chars >= 400)
+    SELECT key, chunk_id, batch, CAST(len(e) AS INTEGER) AS dims, round(sqrt(list_sum(list_transform(e, lambda x: x * x))), 4) AS norm FROM (SELECT key, chunk_id, 2 AS batch, e FROM n UNION ALL SELECT key, chunk_id, 1, e FROM c WHERE n_chars % 2 = 0 AND key NOT IN (SELECT key FROM n))""")
+def _(d: Data) -> DataFrame:
+    """A store of vectors by source and chunk after a second batch, of unit vectors of the longer texts: its keys are replaced, others stay, blank texts bring none."""
+    length = lambda e: F.sqrt(F.aggregate(e, F.lit(0.0), lambda s, x: s + x * x))
+    v = d.table("embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("e"))
+    c = d.documents.withColumnRenamed("doc_id", "chunk_id").join(v, "chunk_id").select(F.concat_ws(":", "source", F.col("chunk_id").cast("string")).alias("key"), "chunk_id", "text", "n_chars", "e")
+    old = c.where("n_chars % 2 = 0").select("key", "chunk_id", F.lit(1).alias("batch"), "e")
+    unit = c.where((F.trim("text") != "") & (F.col("n_chars") >= 400)).withColumn("l", F.greatest(F.lit(1e-12), length(F.col("e"))))
+    new = unit.select("key", "chunk_id", F.lit(2).alias("batch"), F.transform("e", lambda x: x / F.col("l")).alias("e"))
+    return sinks.upserted(old, new, ["key"], "batch").select("key", "chunk_id", "batch", F.size("e").alias("dims"), F.round(length(F.col("e")), 4).alias("norm"))
+
+
 @query("s35_latest", """WITH a AS (SELECT 'asks' AS list, id AS ref, row_number() OVER (PARTITION BY conv_id % 10 ORDER BY id DESC) AS r, 80 AS most, conv_id % 10 AS ws FROM messages WHERE role = 'user' UNION ALL SELECT 'runs', event_id, row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts DESC, event_id DESC), 30, user_id % 10 FROM events WHERE event_type = 'signup'
     UNION ALL SELECT 'versions', doc_id, row_number() OVER (PARTITION BY doc_id % 10 ORDER BY doc_id DESC), 20, doc_id % 10 FROM documents) SELECT list, ws, ref FROM a WHERE r <= most""")
 def _(d: Data) -> DataFrame:
