@@ -18,7 +18,8 @@ def top_per_group(rows: DataFrame, group: list[str], order: list, k: int) -> Dat
 QUERY_BLOCK, VECTOR_BLOCK = 4096, 16384
 
 
-def _best_of_block(k: int):
+def best_of_block(k: int):
+    """For applyInArrow: of a block (ask, vec_id, embedding), the k best vectors of each query by cosine."""
     def run(group: pa.Table) -> pa.Table:
         asks = group.column("ask").to_numpy(zero_copy_only=False)
         ids = group.column("vec_id").to_numpy()
@@ -48,5 +49,5 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     some = lambda df: df.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     asks = some(queries).select(F.lit(True).alias("ask"), dealt(n).alias("i"), each(m).alias("j"), "vec_id", "embedding")
     held = some(vectors).select(F.lit(False).alias("ask"), each(n).alias("i"), dealt(m).alias("j"), "vec_id", "embedding")
-    scored = asks.unionByName(held).groupBy("i", "j").applyInArrow(_best_of_block(k), "query_id long, vec_id long, score double")
+    scored = asks.unionByName(held).groupBy("i", "j").applyInArrow(best_of_block(k), "query_id long, vec_id long, score double")
     return top_per_group(scored, ["query_id"], [F.desc("score"), "vec_id"], k)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.operators import aggregates, dedupe, joins, ordered, topk
+from factloom.operators import aggregates, cells, dedupe, joins, ordered, topk
 from factloom.plans.datasets import Data
 from factloom.plans.registry import query
 
@@ -500,9 +500,9 @@ def _(d: Data) -> DataFrame:
 @query("t01_nearest", """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id)
     SELECT query_id, vec_id, score, CAST(row_number() OVER w AS INTEGER) AS rank FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 6""")
 def _(d: Data) -> DataFrame:
-    """The nearest of every 20th vector."""
+    """The nearest of every 20th vector, by cells."""
     v = d.table("embeddings")
-    return topk.nearest(v.where("vec_id % 20 = 0"), v, 6)
+    return cells.search(cells.build(v), v.where("vec_id % 20 = 0"), 6)
 
 
 @query("t02_top_quotes", "SELECT edge_id, id, confidence FROM kg_evidence WHERE status = 'active' QUALIFY row_number() OVER (PARTITION BY edge_id ORDER BY confidence DESC, id) <= 2")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text, web
-from factloom.operators import aggregates, graph, topk
+from factloom.operators import aggregates, cells, graph, topk
 from factloom.plans.datasets import Data
 from factloom.plans.registry import query
 from factloom.sources import sinks
@@ -54,10 +54,10 @@ def _(d: Data) -> DataFrame:
 @query("j20_filtered_neighbours", """WITH k AS (SELECT doc_id AS vec_id FROM documents WHERE n_chars >= 400), s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN (SELECT * FROM embeddings SEMI JOIN k USING (vec_id)) v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id)
     SELECT query_id, vec_id, score, CAST(row_number() OVER w AS INTEGER) AS rank FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 6""")
 def _(d: Data) -> DataFrame:
-    """Nearest vectors among those whose document isn't thin: a semi-join before the search."""
+    """Nearest vectors among those whose document isn't thin: the index is filtered before its cells are opened."""
     v = d.table("embeddings")
     some = d.documents.where("n_chars >= 400").select(F.col("doc_id").alias("vec_id"))
-    return topk.nearest(v.where("vec_id % 20 = 0"), v.join(some, "vec_id", "left_semi"), 6)
+    return cells.search(cells.kept(cells.build(v), some), v.where("vec_id % 20 = 0"), 6)
 
 
 @query("s30_vectors", """SELECT 'ws' || (doc_id % 3) || ':' || doc_id AS key, doc_id AS chunk_id, source, CAST(len(embedding) AS INTEGER) AS dims, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS norm FROM documents JOIN embeddings ON vec_id = doc_id WHERE trim(text) <> ''""")
