@@ -13,9 +13,9 @@ from factloom.functions import text, web
 from factloom.operators import aggregates, cells, graph, topk
 from factloom.plans.datasets import Data
 from factloom.plans.registry import query
-from factloom.sources import sinks
-from factloom.plans.relational import _DAILY, _daily
+from factloom.plans.relational import _COVER, _DAILY, _cover, _daily
 from factloom.plans.texts import _U, _urls
+from factloom.sources import sinks
 
 _ORIGINS = "o AS (SELECT page_id, regexp_extract(url, '^https?://[^/?#]*') AS origin, CASE page_id % 5 WHEN 0 THEN '*' WHEN 1 THEN '' WHEN 2 THEN regexp_extract(url, '^https?://[^/?#]*') || '/, https://other.example' WHEN 3 THEN ' https://a.example ,https://b.example/' ELSE 'https://b.example' END AS allowed FROM pages)"
 
@@ -116,6 +116,19 @@ def _(d: Data) -> DataFrame:
     return g.unionByName(scale).withColumn("criticality", text.criticality(F.col("domain")))
 
 
+@query("a31_section_confidence", f"""WITH c AS ({_COVER}) SELECT section, pages, coverage_pct AS confidence, CASE WHEN regexp_matches(lower(section), 'complian|regulat|policy|legal|security|privacy|mortgage|hipaa') THEN 'Critical' WHEN regexp_matches(lower(section), 'product|api|architect|service|auth|payment') THEN 'Important' ELSE 'Informational' END AS criticality FROM c""")
+def _(d: Data) -> DataFrame:
+    """The coverage report of sections, told as confidence with its criticality."""
+    return _cover(d).select("section", "pages", F.col("coverage_pct").alias("confidence"), text.criticality(F.col("section")).alias("criticality"))
+
+
+@query("a31_scale_card", "SELECT 'nodes' AS what, count(*) AS n FROM kg_nodes UNION ALL SELECT 'edges', count(*) FROM kg_edges UNION ALL SELECT 'evidence', count(*) FROM kg_evidence UNION ALL SELECT 'documents', count(*) FROM documents")
+def _(d: Data) -> DataFrame:
+    """The size of the graph and of its corpus."""
+    one = lambda what, rows: rows.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
+    return one("nodes", d.nodes).unionByName(one("edges", d.edges)).unionByName(one("evidence", d.evidence)).unionByName(one("documents", d.documents))
+
+
 @query("a34_map_histogram", """WITH l AS (SELECT id, src, dst, unnest(CASE WHEN edge_class = 'asserted_fact' THEN ['asserted', 'structure'] WHEN rel_type = 'BELONGS_TO' THEN ['structure'] ELSE [] END) AS lens FROM kg_active), n AS (SELECT lens, src AS id FROM l UNION ALL SELECT lens, dst FROM l), g AS (SELECT lens, id, count(*) AS degree FROM n GROUP BY ALL)
     SELECT lens, type, count(*) AS nodes, max(degree) AS max_degree, CAST(sum(degree) AS BIGINT) AS ends FROM g JOIN kg_nodes USING (id) GROUP BY ALL""")
 def _(d: Data) -> DataFrame:
