@@ -9,7 +9,7 @@ from factloom.functions import terms as T
 from factloom.functions import text
 from factloom.functions.arrays import found
 from factloom.operators.joins import fuzzy_link
-from factloom.operators.lineage import cut
+from factloom.operators.lineage import cut, sorted_join
 
 #: How many entities a code, a near name and a bare name of versions may stand for.
 BY_CODE, BY_FUZZY, VERSIONS = 8, 4, 12
@@ -30,26 +30,26 @@ def resolved(terms: DataFrame, nodes: DataFrame, aliases: DataFrame) -> DataFram
     nothing. Terms that nothing matches have no row. Joins are on names, squeezed names, stems and rare pieces; nodes
     of one name meet a term as one row, so a name that many nodes have is no hot key.
     """
-    keyed = nodes.select("id", "name", text.entity_name(F.col("name")).alias("n")).where("n <> ''")
-    names = cut(keyed.groupBy("n").agg(F.min("id").alias("id"), F.min("name").alias("name"), F.count("*").alias("copies")))
+    keyed = sorted_join(nodes.select("id", "name", text.entity_name(F.col("name")).alias("n")).where("n <> ''"))
+    names = sorted_join(cut(keyed.groupBy("n").agg(F.min("id").alias("id"), F.min("name").alias("name"), F.count("*").alias("copies"))))
     known = aliases.select(F.col("normalized_alias").alias("key"), F.col("node_id").alias("id")).join(keyed.select("id", "n"), "id").groupBy("key", "n").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-    known = cut(known.where("key <> ''"))
+    known = sorted_join(cut(known.where("key <> ''")))
     asked = cut(terms.select("term").where("term IS NOT NULL").distinct().withColumn("norm", text.entity_name(F.col("term"))).where("norm <> ''"))
 
     own = asked.join(names.select(F.col("n").alias("norm"), "n", "id", "copies"), "norm")
     by_alias = asked.join(known.withColumnRenamed("key", "norm"), "norm")
     exact = own.select("term", "n", "id", "copies").unionByName(by_alias.select("term", "n", "id", "copies")).groupBy("term", "n").agg(F.min("id").alias("id"), F.max("copies").alias("copies"))
     exact = cut(_first(exact, 2**31 - 1, "id", "n").withColumn("how", F.lit("exact")))
-    open_ = asked.join(exact.select("term").distinct(), "term", "left_anti")
+    open_ = asked.join(sorted_join(exact.select("term").distinct()), "term", "left_anti")
 
     squeezed = lambda c: F.lower(F.regexp_replace(c, "[ -]", ""))
     keys = names.select("n", "id", "copies", F.explode(F.array_distinct(F.array(squeezed(F.col("n")), squeezed(F.col("name"))))).alias("key"))
     coded = open_.withColumn("key", text.alnum_key(F.col("norm"))).where((F.char_length("key") >= 4) & F.col("key").rlike(r"^[a-z]{1,8}\d{2,}$"))
     code = cut(_first(coded.join(keys, "key").select("term", "n", "id", "copies").distinct(), BY_CODE, "id", "n").withColumn("how", F.lit("code")))
-    open_ = open_.join(code.select("term").distinct(), "term", "left_anti")
+    open_ = open_.join(sorted_join(code.select("term").distinct()), "term", "left_anti")
 
     near = fuzzy_link(open_.select(F.col("norm").alias("term")).distinct(), names.select(F.col("n").alias("id"), F.col("n").alias("normalized_name")).unionByName(known.select(F.col("n").alias("id"), F.col("key").alias("normalized_name"))), BY_FUZZY)
-    fuzzy = open_.join(near.select(F.col("term").alias("norm"), F.col("id").alias("n"), "rank"), "norm").join(names.select("n", "id", "copies"), "n").withColumn("how", F.lit("fuzzy"))
+    fuzzy = open_.join(sorted_join(near.select(F.col("term").alias("norm"), F.col("id").alias("n"), "rank")), "norm").join(names.select("n", "id", "copies"), "n").withColumn("how", F.lit("fuzzy"))
 
     columns = ["term", "n", "id", "copies", "rank", "how"]
     every = exact.select(columns).unionByName(code.select(columns)).unionByName(fuzzy.select(columns)).unionByName(_versions(asked, names).select(columns))
@@ -61,9 +61,9 @@ def _versions(asked: DataFrame, names: DataFrame) -> DataFrame:
     stems = F.transform(F.filter(F.sequence(F.lit(1), F.char_length("n")), lambda i: F.substring(F.col("n"), i, F.lit(2)) == " v"), lambda i: F.substring(F.col("n"), F.lit(1), i - 1))
     versions = names.where(F.col("n").rlike(T.VERSION)).select("n", "id", "copies", F.explode(F.array_distinct(F.concat(stems, F.array("n")))).alias("norm"))
     bare = asked.where((F.char_length("norm") >= 4) & ~F.col("term").rlike(T.CODES) & ~F.col("term").rlike(T.VERSION))
-    rows = bare.join(versions, "norm")
+    rows = bare.join(sorted_join(versions), "norm")
     several = rows.groupBy("term").agg(F.sum("copies").alias("all")).where("all > 1").select("term")
-    return _first(rows.join(several, "term", "left_semi"), VERSIONS, "n").withColumn("how", F.lit("version"))
+    return _first(rows.join(sorted_join(several), "term", "left_semi"), VERSIONS, "n").withColumn("how", F.lit("version"))
 
 
 def overlap(name: Column, n: Column, term: Column, question: Column) -> Column:
@@ -89,7 +89,7 @@ def decided(asks: DataFrame, found_: DataFrame) -> DataFrame:
     then id and name are null and up to four names are options. Compared things are asked back only about their sides,
     codes never bind to what doesn't share them. Terms that nothing matches have null id.
     """
-    rows = asks.distinct().join(found_, "term")
+    rows = asks.distinct().join(sorted_join(found_), "term")
     versions = Window.partitionBy("q", "term")
     rows = rows.withColumn("open", (F.max(F.col("how") == "version").over(versions)) & ~F.col("comparison")).where((F.col("how") == "version") == F.col("open"))
     rows = rows.withColumn("related", is_related(F.col("name"), F.col("n"), F.col("term"))).withColumn("score", overlap(F.col("name"), F.col("n"), F.col("term"), F.col("t")))
@@ -110,7 +110,7 @@ def decided(asks: DataFrame, found_: DataFrame) -> DataFrame:
     pick = F.when(foreign, None).when(alike & clear, F.col("best")).when(alike & (F.col("near_matches") != 1), None).otherwise(F.coalesce("near", "first"))
     unsure = alike & ~foreign & ~clear & (F.col("near_matches") != 1)
     told = g.select("q", "term", pick.alias("pick"), unsure.alias("ambiguous"), F.when(unsure, F.transform("options", lambda o: o["name"])).otherwise(F.array().cast("array<string>")).alias("options"))
-    every = asks.select("q", "term").distinct().join(told, ["q", "term"], "left")
+    every = asks.select("q", "term").distinct().join(sorted_join(told), ["q", "term"], "left")
     return every.select("q", "term", F.col("pick.id").alias("id"), F.col("pick.name").alias("name"), F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"), F.coalesce("options", F.array().cast("array<string>")).alias("options"))
 
 
@@ -120,8 +120,8 @@ def outcomes(asks: DataFrame, terms: DataFrame, decisions: DataFrame) -> DataFra
     Comparisons of two sides always go on; others need an entity and no ambiguity. Options are those of the first
     four ambiguous names, each once whatever its case, in order of the terms (q, term, pos).
     """
-    d = terms.join(decisions, ["q", "term"]).groupBy("q").agg(F.count_if(F.col("id").isNotNull()).alias("entities"), F.max("ambiguous").alias("ambiguous"), F.array_sort(F.collect_list(F.struct("pos", "options"))).alias("o"))
-    rows = asks.join(d, "q", "left")
+    d = terms.join(sorted_join(decisions), ["q", "term"]).groupBy("q").agg(F.count_if(F.col("id").isNotNull()).alias("entities"), F.max("ambiguous").alias("ambiguous"), F.array_sort(F.collect_list(F.struct("pos", "options"))).alias("o"))
+    rows = asks.join(sorted_join(d), "q", "left")
     n, unsure = F.coalesce("entities", F.lit(0)), F.coalesce("ambiguous", F.lit(False))
     two = F.col("comparison") & (F.size("sides") >= 2)
     reason = F.when(two, "").when(unsure, "ENTITY_AMBIGUOUS").when((n == 0) & ~F.col("overview") & ~F.col("comparison"), "ENTITY_NOT_RESOLVED").otherwise("")

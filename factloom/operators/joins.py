@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.operators.lineage import sorted_join
+
 
 def degrees(edges: DataFrame) -> DataFrame:
     """node, degree: edges at either end; a self-loop counts once. One pass instead of a join on src OR dst."""
@@ -46,8 +48,8 @@ def fuzzy_link(names: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     from pyspark.sql import Window
 
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(c) - 3), lambda i: F.substring(c, i, 4)))
-    terms = names.where(F.char_length("term") >= 4).select("term", F.explode(grams(F.col("term"))).alias("g"))
-    named = nodes.where(F.char_length("normalized_name") >= 4).select("id", F.col("normalized_name").alias("n"), F.explode(grams(F.col("normalized_name"))).alias("g"))
+    terms = sorted_join(names.where(F.char_length("term") >= 4).select("term", F.explode(grams(F.col("term"))).alias("g")))
+    named = sorted_join(nodes.where(F.char_length("normalized_name") >= 4).select("id", F.col("normalized_name").alias("n"), F.explode(grams(F.col("normalized_name"))).alias("g")))
     often = named.groupBy("g").agg(F.count("*").alias("often"))
     rarest = F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "g"))["g"].alias("g")
     by_term = terms.join(often, "g", "left").groupBy("term").agg(rarest).join(named, "g").select("term", "id", "n")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import questions, terms
 from factloom.operators import entities
-from factloom.operators.lineage import cut
+from factloom.operators.lineage import cut, sorted_join
 from factloom.plans.asks import _OVERVIEW, _SIDES, ASKS, asked
 from factloom.plans.datasets import Data
 from factloom.plans.registry import query
@@ -69,10 +69,10 @@ _DECIDED = rf"""c0 AS (SELECT h.q, t, comparison, list_contains(list_transform(s
 
 
 def _asks(d: Data) -> DataFrame:
-    """q, t, comparison, sides, side, term, pos: the terms of all questions"""
-    t = F.col("t")
-    one = cut(_questions(d).select("q", "t", questions.is_comparison(t).alias("comparison"), questions.compare_sides(t).alias("sides"), terms.harvested(t).alias("terms")))
-    each = one.select("q", "t", "comparison", "sides", F.posexplode("terms").alias("pos", "term"))
+    """q, t, comparison, sides, side, term, pos: the terms of all questions; those of one text are found once"""
+    t, asks = F.col("t"), _questions(d)
+    told = cut(asks.select("t").distinct().select("t", questions.is_comparison(t).alias("comparison"), questions.compare_sides(t).alias("sides"), terms.harvested(t).alias("terms")))
+    each = asks.join(sorted_join(told), "t").select("q", "t", "comparison", "sides", F.posexplode("terms").alias("pos", "term"))
     return each.withColumn("pos", F.col("pos") + 1).withColumn("side", F.array_contains(F.transform("sides", F.lower), F.lower("term")))
 
 
@@ -103,7 +103,7 @@ def _(d: Data) -> DataFrame:
     SELECT q, n AS entities, two OR (NOT unsure AND n > 0) AS clear, CASE WHEN two THEN '' WHEN unsure THEN 'ENTITY_AMBIGUOUS' WHEN n = 0 AND NOT overview AND NOT comparison THEN 'ENTITY_NOT_RESOLVED' ELSE '' END AS reason, CASE WHEN unsure AND NOT two THEN array_to_string(list_filter(o, lambda x, i: list_position(list_transform(o, lambda y: lower(y)), lower(x)) = i)[1:4], '|') ELSE '' END AS options FROM z""")
 def _(d: Data) -> DataFrame:
     """Whether each question is resolved, why not, and what it is asked back with."""
-    t, asks = F.col("t"), cut(_asks(d))
+    t, asks = F.col("t"), sorted_join(cut(_asks(d)))
     whole = _questions(d).select("q", questions.is_comparison(t).alias("comparison"), questions.compare_sides(t).alias("sides"), questions.is_overview(t).alias("overview"))
     decisions = entities.decided(asks.select("q", "t", "comparison", "side", "term"), _found(d, asks))
     return entities.outcomes(whole, asks.select("q", "term", "pos"), decisions).select("q", "entities", "clear", "reason", F.array_join("options", "|").alias("options"))

@@ -87,3 +87,13 @@ def test_empty_tables(spark):
     nodes, aliases = spark.createDataFrame([], "id string, name string"), spark.createDataFrame([], "node_id string, normalized_alias string")
     asked = spark.createDataFrame([("Gold",), (None,)], "term string")
     assert entities.resolved(asked, nodes, aliases).count() == 0
+
+
+def test_questions_are_not_sent_to_all_tasks(spark):
+    """Files of repeated questions are small, their rows aren't: no join of questions and names goes through the driver."""
+    asks = spark.createDataFrame([(i, f"Is SL{i} used?", False, False, f"SL{i}") for i in range(9)], "q long, t string, comparison boolean, side boolean, term string")
+    nodes = spark.createDataFrame([(f"n:{i}", f"SL{i}") for i in range(9)], "id string, name string")
+    aliases = spark.createDataFrame([(f"n:{i}", f"level {i}") for i in range(9)], "node_id string, normalized_alias string")
+    told = entities.decided(asks, entities.resolved(asks.select("term"), nodes, aliases))
+    assert "BroadcastHashJoin" not in told._jdf.queryExecution().executedPlan().toString()
+    assert told.where("id IS NOT NULL").count() == 9
