@@ -38,10 +38,16 @@ def _suite(d: Data) -> DataFrame:
     return d.spark.range(len(SUITE)).select(F.col("id").alias("q"), F.element_at(F.array(*map(F.lit, SUITE)), (F.col("id") + 1).cast("int")).alias("t"))
 
 
+def _known() -> dict:
+    """What is known of a passage and of a question before they are paired."""
+    return {c: F.col(c) for c in ("pen", "n", "density", "qterms", "sides", "anchors")}
+
+
 def _pairs(d: Data, terms: bool = False) -> DataFrame:
-    """q, t, shape (and terms) of the stated questions with every passage: a broadcast of as many rows as SUITE has."""
-    asks = _suite(d).select("q", "t", questions.evidence_shape(F.col("t")).alias("shape"), *([questions.required_terms(F.col("t")).alias("terms")] if terms else []))
-    return d.passages.crossJoin(F.broadcast(asks))
+    """q, t, shape (and terms) of the stated questions with every passage: a broadcast of as many rows as SUITE has; pen, n, density, qterms, sides, anchors: the facts of each, computed before the pairs."""
+    t = F.col("t")
+    asks = _suite(d).select("q", "t", questions.evidence_shape(t).alias("shape"), *([questions.required_terms(t).alias("terms")] if terms else []), *(v.alias(c) for c, v in evidence.question_facts(t).items()))
+    return d.passages.select("*", *(v.alias(c) for c, v in evidence.passage_facts(F.col("title"), F.col("text")).items())).crossJoin(F.broadcast(asks))
 
 
 @query("r05_person_titles", f"WITH {_P} SELECT id, array_to_string(people, '|') AS people FROM p2")
@@ -107,14 +113,14 @@ _FIT = rf"""x0 AS MATERIALIZED (SELECT q, t, {SHAPE} AS shape, {_TEAM} AS clarif
 @query("r16_contract_fit", f"WITH {_SUITE}, {_P}, {_FIT} SELECT q, id, shape, round(fit, 4) AS fit FROM x4")
 def _(d: Data) -> DataFrame:
     """How well every passage has the shape of evidence that the stated questions need."""
-    return _pairs(d).select("q", "id", "shape", F.round(evidence.fit(F.col("shape"), F.col("t"), F.col("title"), F.col("text")), 4).alias("fit"))
+    return _pairs(d).select("q", "id", "shape", F.round(evidence.fit(F.col("shape"), F.col("t"), F.col("title"), F.col("text"), _known()), 4).alias("fit"))
 
 
 @query("r18_quote_support")
 def _(d: Data) -> DataFrame:
     """How strongly every passage supports the stated questions."""
-    fits = _pairs(d).withColumn("fit", evidence.fit(F.col("shape"), F.col("t"), F.col("title"), F.col("text")))
-    return fits.select("q", "id", F.round(evidence.support(F.col("shape"), F.col("t"), F.col("title"), F.col("text"), F.col("fit")), 4).alias("support"))
+    fits = _pairs(d).withColumn("fit", evidence.fit(F.col("shape"), F.col("t"), F.col("title"), F.col("text"), _known()))
+    return fits.select("q", "id", F.round(evidence.support(F.col("shape"), F.col("t"), F.col("title"), F.col("text"), F.col("fit"), _known()), 4).alias("support"))
 
 
 @query("r15_people_bonus", r"""WITH """ + _SUITE + ", " + _P + r""", b AS (SELECT q, id, q = 1 AS roster, q = 0 AS officer, len(people) AS n, low, lower(title) AS tl, blob, title FROM s, p2)
@@ -131,7 +137,7 @@ def _(d: Data) -> DataFrame:
 @query("r10_hybrid_top")
 def _(d: Data) -> DataFrame:
     """The eight best passages of each stated question by hybrid score."""
-    scored = _pairs(d, True).select("q", "id", F.round(evidence.hybrid_score(F.col("shape"), F.col("t"), F.col("terms"), F.col("title"), F.col("text"), F.lit(0.0)), 4).alias("score"))
+    scored = _pairs(d, True).select("q", "id", F.round(evidence.hybrid_score(F.col("shape"), F.col("t"), F.col("terms"), F.col("title"), F.col("text"), F.lit(0.0), _known()), 4).alias("score"))
     w = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(w)).where("rank <= 8")
 
@@ -144,10 +150,10 @@ def _(d: Data) -> DataFrame:
     SELECT q, shape, reason, round(least(1.0, CASE WHEN reason = 'CONTRACT_OK' THEN 0.55 ELSE 0.2 END + 0.45 * mean_fit), 4) AS coverage FROM v""")
 def _(d: Data) -> DataFrame:
     """Whether the five best passages meet what each stated question needs, why not, and how far."""
-    fits = _pairs(d).withColumn("fit", evidence.fit(F.col("shape"), F.col("t"), F.col("title"), F.col("text")))
+    fits = _pairs(d).withColumn("fit", evidence.fit(F.col("shape"), F.col("t"), F.col("title"), F.col("text"), _known()))
     ranked = fits.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("fit"), "id"))).where("r <= 5")
     low = F.lower(evidence.blob_of(F.col("title"), F.col("text")))
-    each = ranked.select("q", "t", "shape", "r", "fit", low.alias("low"), F.size(evidence.people(evidence.blob_of(F.col("title"), F.col("text")))).alias("n"), evidence.text.boilerplate_penalty(evidence.blob_of(F.col("title"), F.col("text"))).alias("pen"))
+    each = ranked.select("q", "t", "shape", "r", "fit", low.alias("low"), "n", "pen")
     pack = each.groupBy("q", "t", "shape").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "low"))), lambda x: x["low"]), "\n").alias("low"), F.max("n").alias("n"), F.max("pen").alias("pen"), F.avg("fit").alias("mean_fit"), F.max("fit").alias("best"))
     q, has = F.col("t"), lambda p: F.col("low").rlike(p)
     pack = pack.withColumns({"ov": evidence.overlap(questions.question_terms(q), F.col("low")), "sides": F.slice(questions.compare_sides(q), 1, 2), "clarify": questions.needs_team(q)})

@@ -57,3 +57,14 @@ def test_empty_tables(spark):
     asks = spark.createDataFrame([(1, ["a"], [], 0.0, 0.0, False)], "q long, terms array<string>, more array<string>, up double, down double, special boolean")
     built = index.build(kept, asks.select(F.explode("terms").alias("phrase")), "lang", ["plus"])
     assert index.search(built, asks, lambda *a: a[3], 3)[0].count() == 0
+
+
+def test_facts_come_before_the_pairs(spark):
+    """The penalty of a passage is computed below the join with the questions, once for each passage."""
+    from factloom.plans import catalog
+    from tests.conftest import SF
+
+    for name in ("r16_contract_fit", "r18_quote_support", "r19_graph_base"):
+        plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        above = plan[: plan.index("Join ")]
+        assert "newsletter" in plan and "newsletter" not in above
