@@ -129,3 +129,17 @@ def test_weave_sample_takes_as_a_plain_loop_does(spark, budget):
         want |= {(ws, i, p + 1) for p, i in enumerate(taken)}
     got = dedupe.weave_sample(spark.createDataFrame(rows, "ws string, doc string, id long, ordinal int, size int"), budget)
     assert {tuple(r) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("margin", [1e-3, 2.0])
+def test_similar_pairs_of_many_blocks(spark, monkeypatch, margin):
+    """One token in all vectors: blocks and their inner parts give every near pair once, by single as by double precision."""
+    for name, value in (("LEAST_BLOCK", 7), ("MOST_BLOCK", 9), ("DENSE", 4), ("MARGIN", margin)):
+        monkeypatch.setattr(dedupe, name, value)
+    made = random.Random(8)
+    x = [{"all": 1.0} | {f"t{made.randrange(9)}": made.random() * 2 for _ in range(3)} for _ in range(50)]
+    x = [{t: w / math.sqrt(sum(v * v for v in r.values())) for t, w in r.items()} for r in x]
+    df = Counter(t for r in x for t in r)
+    rows = spark.createDataFrame([(i, t, df[t], w) for i, r in enumerate(x) for t, w in r.items()], "id long, token string, df long, w double")
+    want = sorted((a, b) for b in range(50) for a in range(b) if round(sum(w * x[b].get(t, 0.0) for t, w in x[a].items()), 9) >= 0.85)
+    assert sorted(map(tuple, dedupe.similar_pairs(rows, 0.85).collect())) == want and len(want) > 40
