@@ -143,3 +143,14 @@ def test_similar_pairs_of_many_blocks(spark, monkeypatch, margin):
     rows = spark.createDataFrame([(i, t, df[t], w) for i, r in enumerate(x) for t, w in r.items()], "id long, token string, df long, w double")
     want = sorted((a, b) for b in range(50) for a in range(b) if round(sum(w * x[b].get(t, 0.0) for t, w in x[a].items()), 9) >= 0.85)
     assert sorted(map(tuple, dedupe.similar_pairs(rows, 0.85).collect())) == want and len(want) > 40
+
+
+def test_reach_writes_sets_not_pairs(spark, monkeypatch):
+    written, keep = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: written.append(keep(df)) or written[-1])
+    spokes = [("hub", f"n{i:03}") for i in range(200)]
+    edges = spark.createDataFrame(spokes, "src string, dst string").select("dst", "src", F.col("dst").alias("id"), F.lit("R").alias("rel_type"), F.lit(1.0).alias("weight"))
+    got = graph.reach(spark.createDataFrame([(n,) for _, n in spokes] + [("alone",)], "seed string"), edges, 3).collect()
+    want = {(a, b): 0 if a == b else 2 for _, a in spokes for _, b in spokes} | {(n, "hub"): 1 for _, n in spokes} | {("alone", "alone"): 0}
+    assert {(r.seed, r.node): r.hops for r in got} == want and len(got) == len(want)
+    assert max(w.count() for w in written) <= 400
