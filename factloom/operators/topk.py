@@ -14,8 +14,14 @@ def top_per_group(rows: DataFrame, group: list[str], order: list, k: int) -> Dat
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-#: Queries and vectors of a block, about: what one task holds as matrices.
-QUERY_BLOCK, VECTOR_BLOCK = 4096, 16384
+#: Queries and vectors of a block, about: what one task holds as matrices. Queries whose scores stand side by side.
+QUERY_BLOCK, VECTOR_BLOCK, SIDE_BY_SIDE = 2048, 4096, 256
+
+
+def matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as the rows of a matrix, without a Python object for each number."""
+    flat = np.concatenate([np.zeros(0), *(c.flatten().to_numpy(zero_copy_only=False) for c in vectors.chunks)])
+    return flat.reshape(len(vectors), -1)
 
 
 def best_of_block(k: int):
@@ -23,14 +29,15 @@ def best_of_block(k: int):
     def run(group: pa.Table) -> pa.Table:
         asks = group.column("ask").to_numpy(zero_copy_only=False)
         ids = group.column("vec_id").to_numpy()
-        x = np.array(group.column("embedding").to_pylist(), np.float64)
+        x = matrix(group.column("embedding"))
         x /= np.where((norm := np.linalg.norm(x, axis=1, keepdims=True)) == 0, 1.0, norm)
         q, v, q_ids, v_ids = x[asks], x[~asks], ids[asks], ids[~asks]
         rows = []
-        for i, s in enumerate(np.round(q @ v.T, 6)):
-            s, who = s[v_ids != q_ids[i]], v_ids[v_ids != q_ids[i]]
-            top = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k]) if len(s) > k else np.arange(len(s))
-            rows += [(q_ids[i], who[j], s[j]) for j in top[np.lexsort((who[top], -s[top]))[:k]]]
+        for at in range(0, len(q), SIDE_BY_SIDE):
+            for i, s in enumerate(np.round(q[at : at + SIDE_BY_SIDE] @ v.T, 6), at):
+                s, who = s[v_ids != q_ids[i]], v_ids[v_ids != q_ids[i]]
+                top = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k]) if len(s) > k else np.arange(len(s))
+                rows += [(q_ids[i], who[j], s[j]) for j in top[np.lexsort((who[top], -s[top]))[:k]]]
         q_out, v_out, s_out = zip(*rows, strict=True) if rows else ((), (), ())
         return pa.table({"query_id": pa.array(q_out, pa.int64()), "vec_id": pa.array(v_out, pa.int64()), "score": pa.array(s_out, pa.float64())})
 

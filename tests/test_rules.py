@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,6 +173,16 @@ def test_fuzzy_links_by_brute_force(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_nearest_scores_few_queries_at_a_time():
+    x = np.random.default_rng(3).normal(size=(4000, 4))
+    block = pa.table({"ask": np.arange(4000) % 2 == 0, "vec_id": np.arange(4000), "embedding": pa.array(list(x))})
+    tracemalloc.start()
+    assert topk.best_of_block(3)(block).num_rows == 6000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30_000_000  # all scores at once take 32 MB, twice
+
+
 def test_nearest_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
     monkeypatch.setattr(topk, "VECTOR_BLOCK", 11)
