@@ -15,7 +15,8 @@ _TWO = "kg_two AS (SELECT src AS u, dst AS v FROM kg_active UNION ALL SELECT dst
 
 @query("g01_adjacency", f"WITH {_TWO} SELECT u AS node, count(*) AS n, min(v) AS first FROM kg_two GROUP BY 1")
 def _(d: Data) -> DataFrame:
-    return graph.undirected(d.active_edges).groupBy(F.col("u").alias("node")).agg(F.count("*").alias("n"), F.min("v").alias("first"))
+    ends = graph.spread(graph.undirected(d.active_edges).select(F.col("u").alias("node"), "v"), d.edge_parts, "node")
+    return ends.groupBy("node").agg(F.count("*").alias("n"), F.min("v").alias("first"))
 
 
 _STEPS = "kg_steps AS MATERIALIZED (SELECT src AS u, dst AS v FROM kg_active UNION SELECT dst, src FROM kg_active)"
@@ -26,7 +27,7 @@ _STEPS = "kg_steps AS MATERIALIZED (SELECT src AS u, dst AS v FROM kg_active UNI
 def _(d: Data) -> DataFrame:
     """Shortest distances within three hops of every 20th supplier, over all active edges."""
     seeds = d.table("supplier").where("s_suppkey % 20 = 0").select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("seed"))
-    return graph.reach(seeds, d.active_edges, 3)
+    return graph.reach(seeds, d.active_edges, 3, d.edge_parts)
 
 
 @query("g03_ego_paths", f"""WITH RECURSIVE {_STEPS}, w(seed, path, length) AS (SELECT id, [id], 0 FROM kg_nodes WHERE type IN ('Section', 'Topic') UNION ALL SELECT seed, list_append(path, v), length + 1 FROM w JOIN kg_steps ON u = path[-1] WHERE length < 3 AND NOT list_contains(path, v))
@@ -34,7 +35,7 @@ def _(d: Data) -> DataFrame:
 def _(d: Data) -> DataFrame:
     """The first 24 simple paths of up to three hops from every section and topic, over all active edges."""
     seeds = d.nodes.where("type IN ('Section', 'Topic')").select(F.col("id").alias("seed"))
-    return graph.ego_paths(seeds, d.active_edges, 3, 24)
+    return graph.ego_paths(seeds, d.active_edges, 3, 24, d.edge_parts)
 
 
 @query("g04_trail_strength", """WITH c AS MATERIALIZED (SELECT edge_id, count(DISTINCT chunk_id) AS chunks FROM kg_evidence WHERE status = 'active' GROUP BY 1), a AS MATERIALIZED (SELECT id, src, rel_type, weight FROM kg_active),

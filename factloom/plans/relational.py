@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.operators import aggregates, cells, dedupe, joins, ordered, topk
+from factloom.operators import aggregates, cells, dedupe, graph, joins, ordered, topk
 from factloom.plans.datasets import Data
 from factloom.plans.registry import query
 
@@ -583,12 +583,14 @@ def _(d: Data) -> DataFrame:
 
 @query("d07_undirected", """SELECT least(src, dst) AS a, greatest(src, dst) AS b, rel_type, max(CASE WHEN status = 'active' THEN 1 ELSE 0 END) AS evidenced FROM kg_edges GROUP BY 1, 2, 3""")
 def _(d: Data) -> DataFrame:
-    return d.edges.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "rel_type").agg(F.max((F.col("status") == "active").cast("int")).alias("evidenced"))
+    ends = d.edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "rel_type", "status")
+    return graph.spread(ends, d.edge_parts, "a", "b", "rel_type").groupBy("a", "b", "rel_type").agg(F.max((F.col("status") == "active").cast("int")).alias("evidenced"))
 
 
 @query("d08_natural_key", "SELECT src, dst, rel_type, edge_class, min(id) AS id FROM kg_active WHERE src <> dst GROUP BY 1, 2, 3, 4")
 def _(d: Data) -> DataFrame:
-    return d.active_edges.where("src <> dst").groupBy("src", "dst", "rel_type", "edge_class").agg(F.min("id").alias("id"))
+    keys = ["src", "dst", "rel_type", "edge_class"]
+    return graph.spread(d.active_edges.where("src <> dst").select(*keys, "id"), d.edge_parts, *keys).groupBy(*keys).agg(F.min("id").alias("id"))
 
 
 @query("d09_conflict_pairs", """WITH f AS (SELECT DISTINCT p_brand AS src, CAST(floor(p_retailprice / 5) * 5 AS BIGINT) AS amount FROM part)

@@ -327,6 +327,6 @@ def _(d: Data) -> DataFrame:
 def _(d: Data) -> DataFrame:
     """Hops of the shortest path, six at most, between two named nodes; null if there is none."""
     ends = d.table("customer").where("c_custkey % 17 <> 0").agg(F.concat(F.lit("customer:"), F.min("c_custkey").cast("string")).alias("seed")).crossJoin(d.table("part").agg(F.concat(F.lit("part:"), F.max("p_partkey").cast("string")).alias("node")))
-    found = graph.reach(ends.select("seed"), d.active_edges, 6)
+    found = graph.reach(ends.select("seed"), d.active_edges, 6, d.edge_parts)
     named = lambda key, to: d.nodes.select(F.col("id").alias(key), F.col("name").alias(to))
     return ends.join(found, ["seed", "node"], "left").join(named("seed", "source"), "seed").join(named("node", "target"), "node").select("source", "target", "hops")
