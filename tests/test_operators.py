@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import html, text, web
 from factloom.operators import chunks, dedupe, graph, ordered
+from factloom.plans import catalog, datasets
 from factloom.streaming import limits
 from tests.conftest import SF
 
@@ -154,3 +155,11 @@ def test_reach_writes_sets_not_pairs(spark, monkeypatch):
     want = {(a, b): 0 if a == b else 2 for _, a in spokes for _, b in spokes} | {(n, "hub"): 1 for _, n in spokes} | {("alone", "alone"): 0}
     assert {(r.seed, r.node): r.hops for r in got} == want and len(got) == len(want)
     assert max(w.count() for w in written) <= 400
+
+
+def test_edges_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(datasets, "PART_ROWS", 1000)
+    monkeypatch.setattr(datasets, "LEAST_PARTS", 1)
+    d = datasets.Data(spark, SF)
+    assert d.edge_parts == -(-d.table("lineitem").count() // 1000) > 4
+    assert {catalog.QUERIES[q](spark, SF).rdd.getNumPartitions() for q in ("g01_adjacency", "d07_undirected", "d08_natural_key")} == {d.edge_parts}
