@@ -68,3 +68,27 @@ def test_facts_come_before_the_pairs(spark):
         plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         above = plan[: plan.index("Join ")]
         assert "newsletter" in plan and "newsletter" not in above
+
+
+def test_alike_passages_are_told_k_times(spark):
+    """Copies of a passage are told as often as the answer may name them, the first by id, and not as often as there are copies."""
+    table = [(f"p{i:02}", "x", "red fox-trot and ed fox", 1.0, False) for i in range(40)] + [("q0", "x", "red fox", 5.0, False)]
+    asks = [(1, ["red", "ed fox"], [], 0.0, 0.0, False), (2, ["red", "ed fox"], [], 0.5, 0.5, False)]
+    kept = spark.createDataFrame(table, "id string, lang string, low string, plus double, special boolean")
+    questions_ = spark.createDataFrame(asks, "q long, terms array<string>, more array<string>, up double, down double, special boolean")
+    built = index.build(kept, questions_.select(F.explode("terms").alias("phrase")), "lang", ["plus"])
+    found, _ = index.search(built, questions_, lambda n, s, m, strong, soft, more, plus: 2.0 * soft + 3.0 * strong + plus, 4)
+    told = found.join(built.passages, ["block", "place"]).select("q", "id").collect()
+    assert sorted(r.id for r in told if r.q == 1) == ["p00", "p01", "p02", "p03", "q0"]
+    assert sum(r.q == 2 for r in told) == 41  # a margin keeps all
+
+
+def test_candidates_score_pairs_by_facts_found_before(spark):
+    """No pair looks for what its passage or its question tells alone; and facts are found in many parts."""
+    kept = spark.createDataFrame([(f"p{i}", "en", "https://x.example/news/item", f"The Apache License {i} applies to the blue widgets of plant {i}.") for i in range(30)], "id string, lang string, title string, piece string")
+    asks = spark.createDataFrame([(1, "blue widgets apply"), (2, "Which Apache License applies?"), (3, None)], "q long, t string")
+    got, _ = retrieval.candidates(Data(spark, SF), asks, kept)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "newsletter" not in plan and "Agreement|License" not in plan
+    assert retrieval.dealt(kept, "id").rdd.getNumPartitions() == retrieval.LEAST_PARTS
+    assert {r.q for r in got.collect()} >= {1, 2}
