@@ -92,3 +92,27 @@ def test_candidates_score_pairs_by_facts_found_before(spark):
     assert "newsletter" not in plan and "Agreement|License" not in plan
     assert retrieval.dealt(kept, "id").rdd.getNumPartitions() == retrieval.LEAST_PARTS
     assert {r.q for r in got.collect()} >= {1, 2}
+
+
+def test_factoids_are_rated_without_a_margin(spark):
+    """A factoid's candidates are no more than its best ones and those alike; and they are those of all pairs."""
+    texts = [f"The plant of Lyon opened in {1990 + i % 40} with {i % 7} offices and {i},{200 + i} people" + (" for over 12,500 users." if i % 3 else ".") for i in range(60)]
+    kept = spark.createDataFrame([(f"p{i:02}", "en", "handbook", t) for i, t in enumerate(texts)], "id string, lang string, title string, piece string")
+    asks = spark.createDataFrame([(1, "when did the plant open"), (2, "where are plant offices located")], "q long, t string")
+    got, told = None, []
+    search = index.search
+
+    def counted(*given):
+        found, read = search(*given)
+        told.append(found.count())
+        return found, read
+
+    try:
+        index.search = counted
+        got, _ = retrieval.candidates(Data(spark, SF), asks, kept)
+    finally:
+        index.search = search
+    every = asks.crossJoin(kept).select("q", "t", questions.evidence_shape(F.col("t")).alias("shape"), questions.required_terms(F.col("t")).alias("own"), entities(F.col("t")).alias("named"), "id", "title", "piece")
+    assert {r.shape for r in every.select("shape").distinct().collect()} == {"factoid"}
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, retrieval.scored(every).collect()))
+    assert told[0] < 60
