@@ -99,3 +99,52 @@ def test_ranked_trails(spark):
             rated.append((-round(x, 6), "|".join(ids), len(ids), conflict, bool(held)))
         want += [(q, t, n, c, -x, k, -x >= 0.5 and h) for k, (x, t, n, c, h) in enumerate(sorted(rated)[:8], 1)]
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def joined_rows(spark, since: int) -> tuple[int, int]:
+    """The most rows that a join has made in executions from a number on, and the number of the next."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store = spark._jsparkSession.sharedState().statusStore()
+    most, last, all_ = 0, -1, store.executionsList()
+    for e in (all_.apply(i) for i in range(all_.size())):
+        last = max(last, e.executionId())
+        if e.executionId() < since:
+            continue
+        values, nodes = store.executionMetrics(e.executionId()), store.planGraph(e.executionId()).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            for m in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                if "Join" in node.name() and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return most, last + 1
+
+
+def test_first_trails_dont_walk_all(spark):
+    """Of a seed's paths only as many go on, and of a node's steps only as many are read, as 24 paths need."""
+    edges = [(f"a{i:02}", "seed", f"h{i:02}") for i in range(20)] + [(f"b{i:02}:{j:04}", f"h{i:02}", f"p{i}:{j}") for i in range(20) for j in range(2000)] + [("a00x", "seed", "h00"), ("a01x", "seed", "h00")]
+    steps = spark.createDataFrame([(i, u, v) for i, a, b in edges for u, v in ((a, b), (b, a))], "id string, u string, v string")
+    _, since = joined_rows(spark, 0)
+    got = trails.ego_trails(spark.createDataFrame([("seed",)], "seed string"), steps, 3, 24).collect()
+    want = [((i,), ("seed", b)) for i, a, b in edges if a == "seed"] + [(("a00", f"b00:{j:04}"), ("seed", "h00", f"p0:{j}")) for j in range(2)]
+    assert sorted((tuple(r.edges), tuple(r.nodes)) for r in got) == sorted(want)
+    most, _ = joined_rows(spark, since)
+    assert 0 < most <= 1000
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_first_trails_among_parallel_edges(spark, seed):
+    """Steps of one pair of nodes, and steps back, take no other path's place."""
+    rng = random.Random(seed)
+    names = [f"n{i}" for i in range(5)]
+    edges = [(f"e{i:03}", *(rng.choices(names, k=2) if i % 9 == 0 else rng.sample(names[:2] if i % 3 else names, 2))) for i in range(60)]
+    steps = spark.createDataFrame([(i, u, v) for i, a, b in edges for u, v in ((a, b), (b, a))], "id string, u string, v string")
+    got = trails.ego_trails(spark.createDataFrame([(n,) for n in [*names, "alone"]], "seed string"), steps, 3, 30).collect()
+    want = [(s, ids, nodes) for s in names for nodes, ids in sorted(walks(names, edges, s, 3), key=lambda w: (len(w[1]), w[1]))[:30]]
+    assert sorted((r.seed, tuple(r.edges), tuple(r.nodes)) for r in got) == sorted(want)
+
+
+@pytest.mark.parametrize("listed, entries", [(4096, 16), (4096, 10**9), (2, 10**9), (2, 16)])
+def test_shortest_paths_by_every_way(spark, monkeypatch, listed, entries):
+    """The last two hops by the node between, by lists and by rows tell the same."""
+    monkeypatch.setattr(trails, "LISTED", listed)
+    monkeypatch.setattr(trails, "ENTRIES", entries)
+    test_shortest_paths(spark, 3)
