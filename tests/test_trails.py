@@ -6,8 +6,12 @@ import random
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.operators import trails
+from factloom.plans import catalog
+from factloom.plans.datasets import Data
+from tests.conftest import SF
 
 
 def graph(seed: int, nodes: int, edges: int):
@@ -148,3 +152,18 @@ def test_shortest_paths_by_every_way(spark, monkeypatch, listed, entries):
     monkeypatch.setattr(trails, "LISTED", listed)
     monkeypatch.setattr(trails, "ENTRIES", entries)
     test_shortest_paths(spark, 3)
+
+
+def test_all_order_lines_are_asked(spark):
+    """Pairs of every line of every order, not of some orders' first lines."""
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").join(spark.read.parquet(f"{SF}/orders.parquet"), F.col("l_orderkey") == F.col("o_orderkey"))
+    named = lines.select(F.concat(F.lit("customer:"), F.col("o_custkey").cast("string")).alias("a"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("b")).distinct()
+    got = {(r.a, r.b) for r in catalog.QUERIES["g02_shortest_paths"](spark, SF).collect()}
+    edges = Data(spark, SF).active_edges.select("src", "dst").collect()
+    step = {}
+    for e in edges:
+        step.setdefault(e.src, set()).add(e.dst)
+        step.setdefault(e.dst, set()).add(e.src)
+    near = lambda n: step.get(n, set())
+    want = {(r.a, r.b) for r in named.collect() if any(near(x) & near(r.b) for x in near(r.a))}
+    assert got == want and len(want) > 1000
