@@ -6,9 +6,9 @@ import os
 
 from pyspark.sql import functions as F
 
-from factloom.operators import index
+from factloom.operators import index, tallies
 from factloom.operators.lineage import cut, drop
-from tests import test_retrieval
+from tests import test_retrieval, test_tallies
 
 
 def test_index_in_rounds(spark, monkeypatch):
@@ -20,6 +20,11 @@ def test_index_in_rounds(spark, monkeypatch):
     assert len(rounds) > 3
 
 
+def test_tallies_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(tallies, "ROUND", 200)
+    test_tallies.test_best_equal_all_pairs(spark, 5000)
+
+
 def test_written_tables_and_their_shuffles_go(spark):
     table = cut(spark.range(50).repartition(3, F.col("id") % 7))
     path = spark._jvm.java.net.URI(table.inputFiles()[0]).getPath()
